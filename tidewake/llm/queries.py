@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.llm import bpe
-from tidewake.llm.common import table
+from tidewake.llm import bpe, chat, quality
+from tidewake.llm.common import id_remainder, table
 
 TOKEN_LIMIT = 2048
 
@@ -30,17 +30,63 @@ def op1_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train_quality(docs, table(spark, sf_dir, "labels"), learn=id_remainder(F.col("id"), 4) != 2)
+    scored = quality.score_quality(docs, model)
+    return scored.select("doc_id", (id_remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = bpe.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sample = r"\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", sample), (-7, 1, "assistant", sample)], "conv_id bigint, turn bigint, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    made = chat.format_chats(chat.turn_rows(rows))
+    turns = chat.read_turns(F.col("formatted"))
+    made = made.select("conv_id", "formatted", turns.alias("turns"), chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    text = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return made.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(text.cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+OP5_SQL = r"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL
+    SELECT -7, t, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)
+), sized AS (
+    SELECT *, replace(replace(replace(replace(text, '\', '\b'), '<turn', '\lturn'), '</turn', '\l/turn'), '###', '\h##') AS body,
+        replace(replace(replace(replace(replace(role, '\', '\b'), '<turn', '\lturn'), '</turn', '\l/turn'), '###', '\h##'), chr(10), '\e') AS head
+    FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    CAST(sum(length('<turn>') + length(head) + 1 + length(body) + length('</turn>') + 1) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe_roundtrip": op1_bpe_roundtrip,
+        "op2_quality": op2_quality,
         "op4_token_counts": op4_token_counts,
+        "op5_chat_format": op5_chat_format,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_chat_format": OP5_SQL}
