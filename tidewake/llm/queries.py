@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.llm import bpe, chat, quality
+from tidewake.llm import bpe, chat, exact_dedup, mixing, quality
 from tidewake.llm.common import id_remainder, table
 
 TOKEN_LIMIT = 2048
@@ -79,14 +79,75 @@ FROM sized GROUP BY conv_id
 """
 
 
+def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+
+
+OP8_SQL = r"""
+WITH named AS (
+    SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS bare FROM documents
+), ranked AS (
+    SELECT *, first_value(doc_id) OVER w AS keep_id, row_number() OVER w AS n, count(*) OVER (PARTITION BY bare) AS group_size
+    FROM named WINDOW w AS (PARTITION BY bare ORDER BY points DESC, doc_id NULLS LAST)
+)
+SELECT doc_id, keep_id, group_size, n = 1 AS kept, sha256(bare) AS text_sha256 FROM ranked
+"""
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "copies", "taken")
+
+
+OP9_SQL = r"""
+WITH sized AS (
+    SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+        (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':mix-1'), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+    FROM documents
+), each AS (
+    SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight FROM sized GROUP BY source
+), prefix AS (
+    SELECT *, CAST(sum(source_size) OVER () AS BIGINT) AS total, CAST(sum(weight) OVER () AS BIGINT) AS all_weight,
+        CAST(coalesce(sum(source_size) OVER b, 0) AS BIGINT) AS full_size, CAST(coalesce(sum(weight) OVER b, 0) AS BIGINT) AS full_weight
+    FROM each WINDOW b AS (ORDER BY CAST(source_size AS DOUBLE) / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), capped AS (
+    SELECT *, CAST(total - 3 * full_size AS DOUBLE) * weight > CAST(3 * source_size AS DOUBLE) * (all_weight - full_weight) AS is_full,
+        CAST(total - 3 * full_size AS DOUBLE) / (all_weight - full_weight) AS level FROM prefix
+), targets AS (
+    SELECT source, source_size, CASE WHEN is_full THEN CAST(3 * source_size AS DOUBLE) ELSE weight * first_value(level) OVER (ORDER BY is_full, full_weight) END AS target FROM capped
+), rests AS (
+    SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS base FROM targets
+), rest AS (SELECT *, target - base * source_size AS rest FROM rests
+), joined AS (
+    SELECT s.*, r.source_size, r.target, r.base, r.rest, s.size > 0 AND s.size <= r.rest AS can,
+        sum(CASE WHEN s.size > 0 AND s.size <= r.rest THEN s.size END) OVER (PARTITION BY s.source) AS eligible
+    FROM sized s JOIN rest r ON s.source IS NOT DISTINCT FROM r.source
+), odds AS (
+    SELECT *, least(rest / CAST(eligible AS DOUBLE), 1 - 1e-9::DOUBLE) AS p FROM joined
+), ordered AS (SELECT *, CASE WHEN can THEN (u / (1 - u)) / (p / (1 - p)) END AS q FROM odds
+), ranked AS (
+    SELECT *, can AND sum(CASE WHEN can THEN size END) OVER (PARTITION BY source, can ORDER BY q, u, doc_id ROWS UNBOUNDED PRECEDING) <= rest AS is_in FROM ordered
+), got AS (SELECT *, rest - sum(CASE WHEN is_in THEN size ELSE 0 END) OVER (PARTITION BY source) AS miss FROM ranked
+), spare AS (
+    SELECT *, CASE WHEN NOT is_in AND size > 0 AND base < 3 AND miss > 0 AND abs(size - miss) < miss
+        THEN row_number() OVER (PARTITION BY source, NOT is_in AND size > 0 AND base < 3 AND miss > 0 AND abs(size - miss) < miss ORDER BY abs(size - miss), coalesce(q, 'infinity'::DOUBLE), u, doc_id) END AS nth
+    FROM got
+)
+SELECT doc_id, size, source_size, target, base + CASE WHEN is_in OR coalesce(nth = 1, false) THEN 1 ELSE 0 END AS copies,
+    (base + CASE WHEN is_in OR coalesce(nth = 1, false) THEN 1 ELSE 0 END) * size AS taken
+FROM spare
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe_roundtrip": op1_bpe_roundtrip,
         "op2_quality": op2_quality,
         "op4_token_counts": op4_token_counts,
         "op5_chat_format": op5_chat_format,
+        "op8_exact_dedup": op8_exact_dedup,
+        "op9_mixing": op9_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_format": OP5_SQL}
+    return {"op5_chat_format": OP5_SQL, "op8_exact_dedup": OP8_SQL, "op9_mixing": OP9_SQL}
