@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.llm import bpe, chat, exact_dedup, mixing, quality
+from tidewake.llm import bpe, chat, exact_dedup, langid, mixing, quality
 from tidewake.llm.common import id_remainder, table
 
 TOKEN_LIMIT = 2048
@@ -79,6 +79,14 @@ FROM sized GROUP BY conv_id
 """
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = id_remainder(F.col("doc_id"), 3) == 1
+    model = langid.train_languages(docs.filter(~held_out))
+    found = langid.predict_languages(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -144,6 +152,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality": op2_quality,
         "op4_token_counts": op4_token_counts,
         "op5_chat_format": op5_chat_format,
+        "op7_language_id": op7_language_id,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_mixing": op9_mixing,
     }
