@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.llm import bpe, chat, exact_dedup, langid, mixing, quality
+from tidewake.llm import bpe, chat, exact_dedup, jaccard, langid, mixing, quality
 from tidewake.llm.common import id_remainder, table
 
 TOKEN_LIMIT = 2048
@@ -37,6 +37,29 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (id_remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.jaccard_components(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
+OP3_SQL = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+    SELECT doc_id, CASE WHEN coalesce(len(w), 0) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM words
+), items AS (SELECT doc_id, unnest(s) AS item FROM sets
+), common AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM items a JOIN items b ON a.item = b.item AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+    SELECT c.a, c.b FROM common c JOIN sets x ON x.doc_id = c.a JOIN sets y ON y.doc_id = c.b WHERE 100 * c.n >= 90 * (len(x.s) + len(y.s) - c.n)
+), both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links
+), reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, e.b FROM reach r JOIN both_ways e ON e.a = r.other)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, r.component_id
+FROM sets s JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) r ON r.doc_id = s.doc_id
+"""
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = bpe.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
@@ -150,6 +173,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe_roundtrip": op1_bpe_roundtrip,
         "op2_quality": op2_quality,
+        "op3_jaccard_join": op3_jaccard_join,
         "op4_token_counts": op4_token_counts,
         "op5_chat_format": op5_chat_format,
         "op7_language_id": op7_language_id,
@@ -159,4 +183,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_format": OP5_SQL, "op8_exact_dedup": OP8_SQL, "op9_mixing": OP9_SQL}
+    return {"op3_jaccard_join": OP3_SQL, "op5_chat_format": OP5_SQL, "op8_exact_dedup": OP8_SQL, "op9_mixing": OP9_SQL}
