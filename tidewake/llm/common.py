@@ -68,3 +68,10 @@ def id_remainder(doc_id: Column, modulus: int) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def with_key(docs: DataFrame, id_col: str, label: str) -> tuple[DataFrame, str]:
+    """The rows with a column that tells them apart: the id itself where it does, else a written row number."""
+    if docs.groupBy(id_col).count().filter((F.col("count") > 1) | F.col(id_col).isNull()).isEmpty():
+        return docs, id_col
+    return Tables(docs.sparkSession, label).write(docs.withColumn("_row", F.monotonically_increasing_id())), "_row"

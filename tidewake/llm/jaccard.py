@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewake.llm.common import WORD_PATTERN, Tables
+from tidewake.llm.common import WORD_PATTERN, Tables, with_key
 
 #: Words whose hash a worker remembers.
 KNOWN_WORDS = 400_000
@@ -264,3 +264,11 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     tops = member.groupBy("comp").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("component_rows"), F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row")).alias("top"))
     out = member.join(tops, "comp")
     return out.select(F.col("id").alias(id_col), "row", F.col("n").alias("n_shingles"), "component_id", "component_rows", (F.col("row") == F.col("top.row")).alias("first"))
+
+
+def keep_first(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, without those linked to a row of a smaller id (where ids repeat or are null: to an earlier row)."""
+    rows, key = with_key(docs, id_col, "jaccard-rows")
+    found = jaccard_components(rows, words, num, den, key, text_col).filter("NOT first").select(F.col(key).alias("_key"))
+    gone = Tables(docs.sparkSession, "jaccard-gone").write(found)
+    return rows.join(_smaller(gone), F.col(key) == F.col("_key"), "left_anti").select(*docs.columns)

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import WORD_PATTERN, Tables
+from tidewake.llm.common import WORD_PATTERN, Tables, with_key
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
@@ -120,3 +120,16 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = placed.join(F.broadcast(pick) if targets.count() <= 100_000 else pick, F.col("row") == F.col("p_row"), "left")
     copies = F.col("base") + ((F.col("place") == "in") | F.col("p_row").isNotNull()).cast("long")
     return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+#: Ids that are broadcast at most; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
+    """The mix itself: every row of ``docs``, with its columns, as often as the mix takes it."""
+    rows, key = with_key(docs, id_col, "mix-rows")
+    plan = mix_sources(rows, key, text_col, source_col, weights, most, seed).filter("copies > 0").select(F.col(key).alias("_key"), F.col("copies").cast("int").alias("_copies"))
+    plan = Tables(docs.sparkSession, "mix-plan").write(plan)
+    out = rows.join(F.broadcast(plan) if plan.count() <= BROADCAST_IDS else plan, F.col(key) == F.col("_key"))
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)

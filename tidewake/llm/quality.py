@@ -170,3 +170,16 @@ def score_quality(df: DataFrame, model: QualityModel, id_col: str = "doc_id", te
     source = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
     schema = T.StructType([T.StructField("id", source.schema["id"].dataType), T.StructField("score", T.DoubleType())])
     return source.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+
+
+def keep_good(df: DataFrame, model: QualityModel, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose whole text scores ``threshold`` or more."""
+    place = df.columns.index(text_col)
+
+    def run(batches):
+        compressors = model.compressors() if model.constant is None else None
+        for b in batches:
+            sizes = sizes_of(b.column(place).to_pylist(), compressors) if compressors else np.zeros((b.num_rows, 3))
+            yield b.filter(pa.array(model.score(sizes) >= threshold))
+
+    return df.mapInArrow(run, df.schema)

@@ -11,6 +11,7 @@ from tidewake.llm import bpe, chat, exact_dedup, jaccard, langid, mixing, qualit
 from tidewake.llm.common import id_remainder, table
 
 TOKEN_LIMIT = 2048
+QUALITY_THRESHOLD = 0.7
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -34,7 +35,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.train_quality(docs, table(spark, sf_dir, "labels"), learn=id_remainder(F.col("id"), 4) != 2)
     scored = quality.score_quality(docs, model)
-    return scored.select("doc_id", (id_remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return scored.select("doc_id", (id_remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
