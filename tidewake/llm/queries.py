@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.llm import bpe, chat, exact_dedup, jaccard, langid, mixing, quality
+from tidewake.llm import bpe, chat, ctw, exact_dedup, jaccard, langid, mixing, quality
 from tidewake.llm.common import id_remainder, table
 
 TOKEN_LIMIT = 2048
@@ -103,6 +103,11 @@ FROM sized GROUP BY conv_id
 """
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return ctw.score_texts(docs, id_remainder(F.col("doc_id"), 5) == 1)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = id_remainder(F.col("doc_id"), 3) == 1
@@ -177,6 +182,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_jaccard_join": op3_jaccard_join,
         "op4_token_counts": op4_token_counts,
         "op5_chat_format": op5_chat_format,
+        "op6_lm_score": op6_lm_score,
         "op7_language_id": op7_language_id,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_mixing": op9_mixing,
