@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.llm import bpe, chat, ctw, exact_dedup, jaccard, langid, mixing, quality
+from tidewake.llm import bpe, chat, ctw, exact_dedup, jaccard, langid, mixing, quality, search
 from tidewake.llm.common import id_remainder, table
 
 TOKEN_LIMIT = 2048
@@ -175,6 +175,10 @@ FROM spare
 """
 
 
+def op10_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), F.col("doc_id") % 50 == 0, k=10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe_roundtrip": op1_bpe_roundtrip,
@@ -186,6 +190,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_language_id": op7_language_id,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_mixing": op9_mixing,
+        "op10_search": op10_search,
     }
 
 
