@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewake.plans import event_queries  # noqa: F401  (registers its queries)
+from tidewake.plans import event_queries, score_queries  # noqa: F401  (they register their queries)
 from tidewake.plans.inputs import QUERIES, SQL, Query
 
 

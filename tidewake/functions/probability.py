@@ -7,15 +7,16 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def two_sided_p(z: pd.Series) -> pd.Series:
     """Two-sided normal p-value; Spark has no error function."""
     return z.map(lambda v: None if pd.isna(v) else math.erfc(abs(v) / math.sqrt(2)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_cdf(z: pd.Series) -> pd.Series:
     return z.map(lambda v: None if pd.isna(v) else 0.5 * math.erfc(-v / math.sqrt(2)))
 

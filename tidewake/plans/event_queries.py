@@ -51,11 +51,12 @@ def case_id_normalize(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", ids.canonical_case_id(raw).alias("case_id"), F.length(raw).cast("long").alias("raw_length"))
 
 
-_REASON = [
-    ("kind_unknown", lambda: ~F.col("event_type").isin("view", "click", "purchase", "signup")),
-    *[(n, lambda r=r: r) for n, r in events.ingest_lag_rules(F.col("ts"), F.col("ingest_ts"), 10)],
-    *[(n, lambda r=r: r) for n, r in events.money_rules(F.col("value"), 0, 90)],
-]
+def _rejections() -> list:
+    return [
+        ("kind_unknown", ~F.col("event_type").isin("view", "click", "purchase", "signup")),
+        *events.ingest_lag_rules(F.col("ts"), F.col("ingest_ts"), 10),
+        *events.money_rules(F.col("value"), 0, 90),
+    ]
 
 
 @query("event_normalize_classify", f"""
@@ -72,7 +73,7 @@ def event_normalize_classify(spark, sf_dir):
     return e.select(
         "event_id", ids.tidy("event_type").alias("kind"), F.coalesce(F.nullif(F.col("event_type"), F.lit("view")), F.lit("seen")).alias("kind_or_seen"), F.substring("event_type", 1, 3).alias("prefix"), "site", "service",
         events.window_label(F.col("ts"), "2024-01-08", "2024-01-22").alias("study_window"),
-        events.first_reason(*((n, r()) for n, r in _REASON)).alias("rejection_reason"),
+        events.first_reason(*_rejections()).alias("rejection_reason"),
         F.date_format("ts", "yyyy-MM").alias("month"), F.date_trunc("hour", "ts").cast("timestamp_ntz").cast("string").alias("hour"), ids.week_start("ts").cast("string").alias("week"),
         F.datediff(F.to_date("ingest_ts"), F.to_date("ts")).cast("long").alias("lag_days"), F.col("service").startswith(F.concat(F.col("site"), F.lit("-"))).alias("service_of_site"),
         F.get_json_object("props", "$.k").try_cast("int").cast("long").alias("k"),
