@@ -91,7 +91,7 @@ _BANDS = bands(1 << 40)
 #: Blocks over the least number that the pigeonhole needs, so that frequent blocks can be left out.
 SPARE = 1.25
 #: Bits of the parity sketch for each element that may differ.
-BITS = 4
+BITS = 8
 
 
 def allowed_difference(n: int, num: int, den: int) -> int:
@@ -214,47 +214,44 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     quota = F.floor(F.col("n") * (den - num) / num).cast("long") + 1 - (blocks - F.col("shared"))
     per = per.withColumn("quota", quota).filter("quota > 0").select("node", "band", "quota")
     nth = F.row_number().over(Window.partitionBy("node", "band").orderBy("times", "key"))
-    kept = shared.join(per, ["node", "band"]).withColumn("nth", nth).filter("nth <= quota").select("key", "node")
+    kept = shared.join(per, ["node", "band"]).withColumn("nth", nth).filter("nth <= quota").select("key", "node", "band")
     kept = tables.write(kept)
     several = kept.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
     kept = tables.write(kept.join(several, "key"))
     nodes = tables.write(kept.select("node").distinct())
     # sketches and sets of the documents that share a key
     some = _smaller(nodes)
-    bits = tables.write(parts.join(some, "node").select("node", F.col("n").alias("size"), F.col("part.band").alias("band"), F.col("part.bits").alias("bits")))
+    bits = parts.join(some, "node").select("node", "n", F.col("part.band").alias("band"), F.col("part.bits").alias("bits"))
+    kept = tables.write(kept.join(bits, ["node", "band"]).select("key", "node", "n", "bits"))
     wanted = tables.write(classes.join(nodes, "node").select("node", "n", "f1", "f2", "id"))
     ids = _smaller(wanted.select(F.col("id").alias("w_id")).distinct())
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, F.col("id").eqNullSafe(F.col("w_id")), "left_semi")
     sets = tables.write(shingle_sets(texts, words).join(wanted.drop("id"), ["n", "f1", "f2"]).select("node", "items"))
-    sizes = wanted.select("node", "n")
+    # by size and by parity bits, where a pair meets: pairs that can't be similar enough aren't passed on
+    apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, v: t + v)
+    # |A and B| (den + num) >= num (|A| + |B|), with |A and B| = (|A| + |B| - difference) / 2
+    near = (F.least("na", "nb") * den >= F.greatest("na", "nb") * num) & ((F.col("na") + F.col("nb") - apart) * (den + num) >= 2 * num * (F.col("na") + F.col("nb")))
+
+    def side(rows: DataFrame, x: str) -> DataFrame:
+        return rows.select(F.col("key").alias("key" if x == "a" else "k"), F.col("node").alias(x), F.col("comp").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}"))
 
     def links(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose sets are similar enough: by size, then by sketch, then by the sets."""
-        x = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-        x = x.filter(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
-        one = bits.select(F.col("node").alias("a"), F.col("band"), F.col("bits").alias("bits_a"))
-        two = bits.select(F.col("node").alias("b"), F.col("band"), F.col("bits").alias("bits_b"))
-        x = x.join(one, "a").join(two, ["b", "band"])
-        apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, v: t + v)
-        # |A and B| (den + num) >= num (|A| + |B|), with |A and B| = (|A| + |B| - difference) / 2
-        x = x.filter((F.col("na") + F.col("nb") - apart) * (den + num) >= 2 * num * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb").distinct()
-        x = x.join(sets.select(F.col("node").alias("a"), F.col("items").alias("items_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("items_b")), "b")
+        """The pairs (a, b) whose sets are similar enough."""
+        x = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("items_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("items_b")), "b")
         common = F.size(F.array_intersect("items_a", "items_b"))
-        return x.filter(common * den >= (F.col("na") + F.col("nb") - common) * num).select("a", "b")
+        return x.filter(common * den >= (F.size("items_a") + F.size("items_b") - common) * num).select("a", "b")
 
     labels = nodes.select("node", F.col("node").alias("comp"))
     for whole in (False, False, True):
-        rows = tables.write(kept.join(labels, "node").select("key", "node", "comp"))
+        rows = tables.write(kept.join(labels, "node").select("key", "node", "n", "bits", "comp"))
         mixed = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
-        rows = rows.join(mixed, "key")
-        if whole:
-            right = rows.select("key", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
-            pairs = rows.select("key", F.col("node").alias("a"), "comp").join(right, "key").filter("comp < comp_b")
-        else:
-            first = rows.groupBy("key", "comp", "low").agg(F.min("node").alias("node"))
-            hub = first.filter("comp = low").select("key", F.col("node").alias("a"))
-            pairs = first.filter("comp > low").select("key", F.col("node").alias("b")).join(hub, "key")
-        pairs = tables.write(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        rows = rows.join(mixed.select("key", "low"), "key")
+        if not whole:  # of each component in a group, its first document, against that of the group's first component
+            first = rows.groupBy("key", "comp").agg(F.min("node").alias("node"))
+            rows = rows.join(first, ["key", "comp", "node"])
+        ahead = side(rows if whole else rows.filter("comp = low"), "a")
+        pairs = ahead.join(side(rows if whole else rows.filter("comp > low"), "b"), (ahead["key"] == F.col("k")) & (F.col("ca") < F.col("cb")) & near)
+        pairs = tables.write(pairs.select("a", "b").distinct())
         linked = tables.write(links(pairs))
         ends = linked.join(labels.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a").join(labels.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b")
         merged = connect(tables, labels.select(F.col("comp").alias("node")).distinct(), ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
