@@ -37,7 +37,9 @@ from pyspark.sql import types as T
 #: Offset that turns the last character of a word into its word-final symbol.
 FINAL = 0x1000
 #: Entries in each of the two generations of a worker's caches, and the longest text that is kept.
-CACHE_SIZE = 200_000
+CACHE_SIZE = 60_000
+#: Pairs of tokens whose compatibility a worker remembers.
+KNOWN_PAIRS = 200_000
 CACHE_CHARS = 48
 #: Text in which Python's own lower() and split() do what the tokenizer's normalizer does.
 _UNUSUAL = re.compile("[^\x00-\x1b\x20-ɏ]")
@@ -67,9 +69,7 @@ class Vocabulary:
         self.usual = regex.compile(_PIECES).findall if steps[0].get("pattern", {}).get("Regex") == _PIECES else None
         self.suffix = model.get("end_of_word_suffix") or ""
         self.ids: dict[str, int] = {self._symbols(t): i for t, i in model["vocab"].items()}
-        self.names = {i: t for t, i in model["vocab"].items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.names.update({i: t for t, i in self.special.items()})
         self._special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.merges: dict[tuple[str, str], int] = {}
         self.parts: dict[str, tuple[str, str, int]] = {}
@@ -101,7 +101,7 @@ class Vocabulary:
         yield self._chunks(text[at:])
 
     def _chunks(self, text: str) -> list[str]:
-        if text.isascii() and not _UNUSUAL.search(text) or not _UNUSUAL.search(text):
+        if not _UNUSUAL.search(text):
             return text.lower().split()
         return self.normalize(text).split(" ")
 
@@ -171,7 +171,7 @@ class PrefixCoder:
                 key = left << 20 | i
                 fit = fits.get(key)
                 if fit is None:
-                    if len(fits) > 1_000_000:
+                    if len(fits) > KNOWN_PAIRS:
                         fits.clear()
                     fit = fits[key] = self.compatible(tokens[left], token)
                 if not fit:
@@ -282,9 +282,17 @@ def encode_text(path: str, text: str | None) -> array.array:
     return ids
 
 
+@lru_cache(maxsize=4)
+def token_names(path: str) -> dict[int, str]:
+    """All that decoding needs of a tokenizer file."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    return {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+
+
 def decode_ids(path: str, ids) -> str:
     """Token names joined by a space, as a tokenizer file without a decoder gives them."""
-    names = vocabulary(path).names
+    names = token_names(path)
     return " ".join([names[i] for i in ids])
 
 
@@ -300,7 +308,7 @@ def _lists(values: list[array.array]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, type=pa.int32()))
 
 
-def _few(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
+def _few(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Smaller batches, so that what is held beside the text stays small."""
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)
