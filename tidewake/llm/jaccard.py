@@ -90,8 +90,8 @@ def bands(n_max: int) -> list[int]:
 _BANDS = bands(1 << 40)
 #: Blocks over the least number that the pigeonhole needs, so that frequent blocks can be left out.
 SPARE = 1.25
-#: Bits of the parity sketch for each element that may differ.
-BITS = 8
+#: Bits of the parity sketch for each block, and at most: rows of every key carry it, so it mustn't grow with the text.
+BITS, MOST_BITS = 8, 1024
 
 
 def allowed_difference(n: int, num: int, den: int) -> int:
@@ -119,7 +119,7 @@ def sketches(shingles: np.ndarray, num: int, den: int) -> Iterator[tuple[int, np
         so_far = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(_mixed(shingles))])
         words = so_far[edges[1:]] ^ so_far[edges[:-1]]
         keys = _mixed(words * _MIX[2] + _mixed(np.arange(k, dtype=np.uint64) + np.uint64(band << 40)))
-        size = -(-k * BITS // 64) * 64
+        size = min(-(-k * BITS // 64) * 64, MOST_BITS)
         parity = (np.bincount((_mixed(shingles + _MIX[2]) % np.uint64(size)).astype(np.int64), minlength=size) & 1).astype(np.uint8)
         yield band, keys, np.packbits(parity, bitorder="little").view(np.uint64)
 
