@@ -43,8 +43,8 @@ DEALT = 3
 BROADCAST_STRINGS = 4_000_000
 BROADCAST_WORDS = 1_000_000
 #: Distinct words, and strings, that a worker holds before it passes their counts on.
-HELD_WORDS, HELD_STRINGS = 300_000, 3_000_000
-CHUNK_BYTES = 8_000_000
+HELD_WORDS, HELD_STRINGS = 200_000, 1_500_000
+CHUNK_BYTES = 4_000_000
 
 _WORDS = re.compile(WORD_PATTERN).findall
 _LOWER = str.maketrans({c: chr(c + 32) for c in range(65, 91)})
@@ -76,8 +76,60 @@ def strings_of(lines: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.n
     return code[keep], np.concatenate([[0], np.cumsum(lengths)[:-1]])
 
 
+class WordKeys(dict):
+    """word → signed 64-bit key, of bounded size."""
+
+    def __missing__(self, word: str) -> int:
+        k = word_key(word)
+        if len(self) >= HELD_WORDS:
+            self.clear()
+        self[word] = k
+        return k
+
+
 def word_key(word: str) -> int:
-    return xxhash.xxh64_intdigest(word) - (1 << 63)
+    return max(xxhash.xxh64_intdigest(word) - (1 << 63), _FREE + 1)
+
+
+#: What a free slot of a lookup table holds.
+_FREE = -(1 << 63)
+
+
+class Lookup:
+    """Open addressing over arrays: a few gathers for each key where a binary search needs twenty."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(int(2 * len(keys)).bit_length(), 4)
+        self.keys, self.values = np.full(1 << self.bits, _FREE), np.zeros(1 << self.bits)
+        at, left = self._home(keys), np.arange(len(keys))
+        while len(left):
+            free = np.flatnonzero(self.keys[at] == _FREE)
+            slots, first = np.unique(at[free], return_index=True)
+            taken = free[first]
+            self.keys[slots], self.values[slots] = keys[left[taken]], values[left[taken]]
+            stay = np.ones(len(left), dtype=bool)
+            stay[taken] = False
+            left, at = left[stay], (at[stay] + 1) & (len(self.keys) - 1)
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        h = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return ((h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values of the keys, and which of them are there."""
+        at = self._home(keys)
+        held = self.keys[at]
+        out, hit = self.values[at], held == keys
+        rest = np.flatnonzero(~hit & (held != _FREE))
+        at = at[rest]
+        while len(rest):
+            at = (at + 1) & (len(self.keys) - 1)
+            held = self.keys[at]
+            found = held == keys[rest]
+            out[rest[found]], hit[rest[found]] = self.values[at[found]], True
+            going = ~found & (held != _FREE)
+            rest, at = rest[going], at[going]
+        return out, hit
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -270,11 +322,9 @@ def string_model(tables: Tables, strings: DataFrame, depth: int = DEPTH, partiti
     return tables.write(by_context().mapInArrow(downward, "key bigint, logp double"))
 
 
-def _sorted_arrays(df: DataFrame, value: str) -> tuple[np.ndarray, np.ndarray]:
+def _table(df: DataFrame, value: str) -> Lookup:
     found = df.select("key", value).toArrow()
-    keys, values = found.column(0).to_numpy(), found.column(1).to_numpy()
-    order = np.argsort(keys)
-    return keys[order], values[order]
+    return Lookup(found.column(0).to_numpy(), found.column(1).to_numpy().astype(float))
 
 
 def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, broadcast_strings: int = BROADCAST_STRINGS, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
@@ -301,42 +351,34 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
         if so_far > broadcast_words:
             break
         least = r["n"]
-    known = spark.sparkContext.broadcast((_sorted_arrays(words.filter(F.col("n") >= least), "n"), _sorted_arrays(model, "logp") if in_memory else None))
+    frequent = _table(words.filter(F.col("n") >= least), "n")
+    frequent.values = np.log10((frequent.values + 0.5) / floor)
+    known = spark.sparkContext.broadcast((frequent, _table(model, "logp") if in_memory else None))
     settled = so_far <= broadcast_words  # every word of the training texts is in the broadcast table
 
     def run(batches):
-        (keys, times), model_arrays = known.value
-        logs = np.log10((times + 0.5) / floor)
-        ids: dict[str, int] = {}
+        frequent, model_table = known.value
+        ids = WordKeys()
         for whole in batches:
             for start in range(0, whole.num_rows, 128):
                 b = whole.slice(start, 128)
                 lists = [words_of(t) for t in b.column(3).to_pylist()]
                 out = {k: [] for k in ("n_tokens", "n_known", "base", "score", "rare", "grams")}
                 codes, starts = strings_of([line_of(ws) for ws in lists], depth)
-                if model_arrays is not None:
-                    at = np.searchsorted(model_arrays[0], codes)
-                    out["score"] = np.add.reduceat(model_arrays[1][at], starts) / _LN10
+                if model_table is not None:
+                    out["score"] = np.add.reduceat(model_table.find(codes)[0], starts) / _LN10
                 else:
                     out["score"] = np.zeros(len(lists))
                     for part in np.split(codes, starts[1:]):
                         c, m = np.unique(part, return_counts=True)
                         out["grams"].append([{"key": x, "m": y} for x, y in zip(c.tolist(), m.tolist(), strict=True)])
                 for ws in lists:
-                    if len(ids) > HELD_WORDS:
-                        ids.clear()
-                    mine = np.empty(len(ws), dtype=np.int64)
-                    for i, w in enumerate(ws):
-                        k = ids.get(w)
-                        if k is None:
-                            k = ids[w] = word_key(w)
-                        mine[i] = k
-                    at = np.minimum(np.searchsorted(keys, mine), max(len(keys) - 1, 0))
-                    hit = keys[at] == mine if len(keys) else np.zeros(len(mine), bool)
+                    mine = np.fromiter(map(ids.__getitem__, ws), dtype=np.int64, count=len(ws))
+                    logs, hit = frequent.find(mine)
                     out["n_tokens"].append(len(ws) + 1)
                     out["n_known"].append(int(hit.sum()) + (1 if ends else 0))
                     rest, m = np.unique(mine[~hit], return_counts=True)
-                    base = logs[at[hit]].sum() + np.log10((ends + 0.5) / floor)
+                    base = logs[hit].sum() + np.log10((ends + 0.5) / floor)
                     if settled:
                         base += m.sum() * np.log10(0.5 / floor)
                         rest, m = rest[:0], m[:0]
