@@ -146,8 +146,7 @@ reach AS (SELECT DISTINCT node, node AS other FROM links UNION SELECT r.node, e.
 
 def _labels(spark, sf_dir):
     li, s = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey"), table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    rows = li.filter("l_partkey % 97 = 0").join(s, li.l_suppkey == s.s_suppkey).filter("s_nationkey % 3 = (l_partkey div 97) % 3")
-    links = rows.select(F.col("s_nationkey").alias("node"), F.col("l_partkey").alias("via")).distinct()
+    links = li.join(s, li.l_suppkey == s.s_suppkey).select(F.col("s_nationkey").alias("node"), F.col("l_partkey").alias("via")).distinct()
     return graph.components(links.select("node"), graph.shared_edges(links, "node", "via"), "node")
 
 
