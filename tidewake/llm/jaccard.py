@@ -10,10 +10,9 @@ out: of its K blocks each document keeps the D + 1 rarest. The rarest block that
 common is among them on both sides, as at most D rarer ones can differ. Pairs are compared by
 size, then by Hamming distance, and what is left is verified on the sets.
 
-Documents with equal sets are one class and are joined once. Of the classes that share a key,
-each is first verified against the smallest one only. Groups that this doesn't connect are
-then compared pair by pair across the components found so far, never within one: links that
-can't change a component aren't looked for, all others are.
+Documents with equal sets are one class and are joined once. All pairs of classes that share a
+key and pass the filters are verified: no link is left out, so that the links of each document
+are counted, each class with its members.
 
 Defined results: null and empty texts, and texts without words, have no shingles and are linked
 with nothing; a text with fewer words than a shingle has one shingle, the whole sequence; rows
@@ -195,7 +194,7 @@ def _smaller(df: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, row, n_shingles, component_id, component_rows, first: ``first`` marks one row, of the smallest id, of each component."""
+    """id_col, row, n_shingles, n_links, component_id, component_rows, first: ``n_links`` counts the other rows that are similar enough, ``first`` marks one row, of the smallest id, of each component."""
     spark = docs.sparkSession
     tables = Tables(spark, "jaccard")
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -233,34 +232,27 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     near = (F.least("na", "nb") * den >= F.greatest("na", "nb") * num) & ((F.col("na") + F.col("nb") - apart) * (den + num) >= 2 * num * (F.col("na") + F.col("nb")))
 
     def side(rows: DataFrame, x: str) -> DataFrame:
-        return rows.select(F.col("key").alias("key" if x == "a" else "k"), F.col("node").alias(x), F.col("comp").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}"))
+        return rows.select(F.col("key").alias("key" if x == "a" else "k"), F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}"))
 
     def links(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sets are similar enough."""
         x = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("items_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("items_b")), "b")
         common = F.size(F.array_intersect("items_a", "items_b"))
-        return x.filter(common * den >= (F.size("items_a") + F.size("items_b") - common) * num).select("a", "b")
-
-    labels = nodes.select("node", F.col("node").alias("comp"))
-    for whole in (False, False, True):
-        rows = tables.write(kept.join(labels, "node").select("key", "node", "n", "bits", "comp"))
-        mixed = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
-        rows = rows.join(mixed.select("key", "low"), "key")
-        if not whole:  # of each component in a group, its first document, against that of the group's first component
-            first = rows.groupBy("key", "comp").agg(F.min("node").alias("node"))
-            rows = rows.join(first, ["key", "comp", "node"])
-        ahead = side(rows if whole else rows.filter("comp = low"), "a")
-        pairs = ahead.join(side(rows if whole else rows.filter("comp > low"), "b"), (ahead["key"] == F.col("k")) & (F.col("ca") < F.col("cb")) & near)
-        pairs = tables.write(pairs.select("a", "b").distinct())
-        linked = tables.write(links(pairs))
-        ends = linked.join(labels.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a").join(labels.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b")
-        merged = connect(tables, labels.select(F.col("comp").alias("node")).distinct(), ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-        labels = tables.write(labels.join(merged.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp").select("node", F.col("to").alias("comp")))
-    member = plain.join(classes.select("n", "f1", "f2", "node"), ["n", "f1", "f2"], "left").join(labels, "node", "left")
-    member = tables.write(member.select("row", "id", "n", F.coalesce("comp", "node", "row").alias("comp")))
+        return x.filter(common * den >= (F.size("items_a") + F.size("items_b") - common) * num).select("a", "b").distinct()
+
+    ahead, behind = side(kept, "a"), side(kept, "b")
+    pairs = tables.write(ahead.join(behind, (ahead["key"] == behind["k"]) & (F.col("a") < F.col("b")) & near).select("a", "b").distinct())
+    linked = tables.write(links(pairs))
+    labels = connect(tables, nodes, linked)
+    # a document is linked with the others of its class and with all members of linked classes
+    both = linked.unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    across = both.join(classes.select(F.col("node").alias("b"), "members"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("members").alias("across"))
+    member = plain.join(classes.select("n", "f1", "f2", "node", "members"), ["n", "f1", "f2"], "left").join(labels, "node", "left").join(across, "node", "left")
+    n_links = F.coalesce(F.col("members") - 1, F.lit(0)) + F.coalesce("across", F.lit(0))
+    member = tables.write(member.select("row", "id", "n", n_links.alias("n_links"), F.coalesce("comp", "node", "row").alias("comp")))
     tops = member.groupBy("comp").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("component_rows"), F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row")).alias("top"))
     out = member.join(tops, "comp")
-    return out.select(F.col("id").alias(id_col), "row", F.col("n").alias("n_shingles"), "component_id", "component_rows", (F.col("row") == F.col("top.row")).alias("first"))
+    return out.select(F.col("id").alias(id_col), "row", F.col("n").alias("n_shingles"), "n_links", "component_id", "component_rows", (F.col("row") == F.col("top.row")).alias("first"))
 
 
 def keep_first(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
