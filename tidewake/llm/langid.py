@@ -6,8 +6,9 @@ with a penalty for each change of language, labels spans. The document's languag
 whose spans hold most letters; its score is their share.
 
 Most texts are in one language, where the path is constant: this is so if no run of words gains
-more than one penalty under another language (each of k deviating spans would cost a penalty at
-least), a test over running sums. Only other texts go through the step-by-step recursion.
+more than half a penalty under another language (k deviating spans cost k - 1 penalties at least, k
+if any word keeps the language, and a single span over all words gains nothing), a test over
+running sums. Only other texts go through the step-by-step recursion.
 
 The model has a fixed size: one number for each language and hash bucket. All training texts
 are counted, whole.
@@ -104,7 +105,7 @@ def viterbi(scores: np.ndarray, penalty: float = SWITCH) -> np.ndarray:
     best = int(scores.sum(axis=0).argmax())
     gain = np.cumsum(scores - scores[:, best : best + 1], axis=0)
     low = np.minimum.accumulate(np.vstack([np.zeros((1, scores.shape[1])), gain[:-1]]), axis=0)
-    if (gain - low).max() <= penalty:
+    if (gain - low).max() <= penalty / 2:
         return np.full(len(scores), best)
     n, k = scores.shape
     value, labels = scores[0].tolist(), range(k)
