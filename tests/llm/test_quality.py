@@ -56,3 +56,40 @@ def test_filter_keeps_columns_and_good_rows(trained):
     kept = quality.keep_good(docs, model)
     assert kept.columns == docs.columns
     assert {r.doc_id % 2 for r in kept.collect()} == {1}
+
+
+def test_scores_equal_brute_force(spark, trained):
+    """Each segment compressed with a compressor of its own, the difference over the length, the curve."""
+    import math
+
+    import zstandard
+
+    docs, _, model = trained
+    texts = [None, "", GOOD, BAD, "é" * 500, GOOD * 40 + BAD * 40, "x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+
+    def size(part: bytes, raw: bytes) -> int:
+        return len(zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(raw), write_content_size=False, write_checksum=False, write_dict_id=False).compress(part)) - 9
+
+    for r in quality.score_quality(df, model).collect():
+        raw = (texts[r.doc_id] or "").encode()
+        parts = [raw[i : i + 128] for i in range(0, len(raw), 128)]
+        saved = sum(size(p, model.bad) - size(p, model.good) for p in parts) / (len(raw) + 20)
+        z = model.intercept + model.slope * (saved - model.centre) / model.scale
+        assert r.score == pytest.approx(1 / (1 + math.exp(-max(-35, min(35, z)))))
+
+
+def test_several_labels_and_ids_that_repeat(spark):
+    docs = [(i % 60, (GOOD if i % 2 else BAD) * 3 + str(i), "x") for i in range(120)]
+    labels = [(i, i % 2) for i in range(60)]
+    docs, schema = spark.createDataFrame(docs, "doc_id bigint, text string, label string"), "doc_id bigint, quality int"
+    once = quality.train_quality(docs, spark.createDataFrame(labels, schema), F.lit(True))
+    again = quality.train_quality(docs, spark.createDataFrame(labels + labels + [(i, 1) for i in range(0, 60, 2)], schema), F.lit(True))
+    assert once == again and once.constant is None
+
+
+def test_filter_of_tables_with_clashing_columns(trained, spark):
+    model = trained[2]
+    df = spark.createDataFrame([(1, GOOD * 3, 0.1, 5), (None, BAD * 3, 0.2, 5), (1, None, 0.3, 5)], "doc_id bigint, text string, score double, label int")
+    kept = quality.keep_good(df, model)
+    assert kept.columns == df.columns and 0.1 in {r.score for r in kept.collect()}

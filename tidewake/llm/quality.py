@@ -2,19 +2,19 @@
 
 Two zstandard dictionaries are built, one from good and one from bad labelled text. A text is cut
 into short segments, each compressed alone with either dictionary, so that the dictionaries and
-not the text's own past explain it. The difference of the two sizes over the text's length is
-the signal. A logistic curve, fitted on labelled rows that built no dictionary and weighted back
-to the classes' true shares, turns it into a probability. The curve may bend with the size under
-the good dictionary (repetition compresses well under both) and with the length (short texts
-carry less evidence).
+not the text's own past explain it. The difference of the two sizes, over the text's length and
+a constant that holds short texts back, is the only signal. A logistic curve of it, fitted on
+labelled rows that built no dictionary and weighted back to the classes' true shares, is the score.
 
 Training takes a bounded, documented sample (``SAMPLE_ROWS`` rows of each class, chosen by a hash
-of the id); scoring reads every whole text.
+of the id, and of each text that builds a dictionary ``SAMPLE_SEGMENTS`` segments at most, evenly
+spread over all of it); scoring reads every whole text.
 
 Defined results: null text counts as empty and is scored; labels other than 0 and 1, null labels
 and labels of unknown documents aren't learned from; several labels of one document count once,
-by their smallest; with one class only, every score is that class; with none, 0.5. Repeated rows
-get equal scores; extra columns are ignored; an empty table gives an empty table.
+by their smallest; with one class only, every score is that class; with none, 0.5. A row without
+an id is scored and, having no label, not learned from. Repeated rows get equal scores; extra columns
+are ignored, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ DICTIONARY_BYTES = 32768
 LEVEL = 3
 #: Bytes of a frame that hold no text.
 FRAME = 9
+#: Bytes added to a length, so that a few bytes saved in a short text say little.
+SHORT = 20
 
 
 def segments(text: str | None) -> list[bytes]:
@@ -45,13 +47,14 @@ def segments(text: str | None) -> list[bytes]:
 
 @dataclass(frozen=True)
 class QualityModel:
-    """Dictionaries, and the curve's centre, scale and weights; ``constant`` where nothing could be learned."""
+    """Dictionaries, and the curve's centre, scale, intercept and slope; ``constant`` where nothing could be learned."""
 
     good: bytes = b""
     bad: bytes = b""
-    centre: tuple[float, ...] = ()
-    scale: tuple[float, ...] = ()
-    weights: tuple[float, ...] = ()
+    centre: float = 0.0
+    scale: float = 1.0
+    intercept: float = 0.0
+    slope: float = 0.0
     constant: float | None = None
 
     def compressors(self):
@@ -67,9 +70,8 @@ class QualityModel:
     def score(self, sizes: np.ndarray) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(sizes), self.constant)
-        x = (_features(sizes) - np.array(self.centre)) / np.array(self.scale)
-        z = np.clip(self.weights[0] + x @ np.array(self.weights[1:]), -35, 35)
-        return 1 / (1 + np.exp(-z))
+        x = (size_difference(sizes) - self.centre) / self.scale
+        return 1 / (1 + np.exp(-np.clip(self.intercept + self.slope * x, -35, 35)))
 
 
 def sizes_of(texts: list[str | None], compressors) -> np.ndarray:
@@ -82,14 +84,13 @@ def sizes_of(texts: list[str | None], compressors) -> np.ndarray:
     return out
 
 
-def _features(sizes: np.ndarray) -> np.ndarray:
-    n = sizes[:, 2] + 20
-    d, g, length = (sizes[:, 1] - sizes[:, 0]) / n, sizes[:, 0] / n, np.log(n)
-    return np.stack([d, g, length, d * g, d * d, g * g, d * length, g * length], axis=1)
+def size_difference(sizes: np.ndarray) -> np.ndarray:
+    """Bytes that the good dictionary saves over the bad one, for each byte of text."""
+    return (sizes[:, 1] - sizes[:, 0]) / (sizes[:, 2] + SHORT)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Newton steps for weighted logistic regression with a unit ridge on all but the intercept."""
+    """Intercept and slope by Newton steps for weighted logistic regression, with a unit ridge on the slope."""
     a = np.column_stack([np.ones(len(x)), x])
     ridge = np.eye(a.shape[1])
     ridge[0, 0] = 1e-6
@@ -150,12 +151,12 @@ def train_quality(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str
     y = np.array(found.column("label").to_pylist(), dtype=float)
     if not 0 < y.sum() < len(y):
         return QualityModel(constant=shares.get(1, 0) / sum(shares.values()))
-    x = _features(np.column_stack([found.column(c).to_numpy() for c in ("g", "b", "n")]))
-    centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
+    x = size_difference(np.column_stack([found.column(c).to_numpy() for c in ("g", "b", "n")]))
+    centre, scale = float(x.mean()), float(x.std()) + 1e-9
     share = shares[1] / (shares[0] + shares[1])
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
-    weights = _logistic((x - centre) / scale, y, weight)
-    return QualityModel(good, bad, tuple(centre), tuple(scale), tuple(weights))
+    intercept, slope = _logistic((x - centre) / scale, y, weight)
+    return QualityModel(good, bad, centre, scale, float(intercept), float(slope))
 
 
 def score_quality(df: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
