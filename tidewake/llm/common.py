@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,12 +15,22 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 SPACE_PATTERN = r"[\x20\x09-\x0D]"
 
 
+#: Deletes the shuffle files of a statement when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Groups that are broadcast at most, the largest; all others are joined by a shuffle.
+MOST_HOT = 50_000
+#: Rows that a group may bring to one task in any case.
+LEAST_HOT = 64
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else (tests) a temporary one."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where none is set and all runs on one machine, a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidewake-"))
         found = spark.sparkContext.getCheckpointDir()
     return found
@@ -40,7 +51,13 @@ class Tables:
     def write(self, df: DataFrame, partitions: Iterable[str] = ()) -> DataFrame:
         path = f"{self.base}/{self.count}"
         self.count += 1
-        df.write.partitionBy(*partitions).parquet(path) if partitions else df.write.parquet(path)
+        # what was shuffled for a table isn't read again once it is written
+        before = self.spark.conf.get(_CLEANUP, None)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.partitionBy(*partitions).parquet(path) if partitions else df.write.parquet(path)
+        finally:
+            self.spark.conf.unset(_CLEANUP) if before is None else self.spark.conf.set(_CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._tidewake_path = path
         return out
@@ -70,8 +87,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(base: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def with_key(docs: DataFrame, id_col: str, label: str) -> tuple[DataFrame, str]:
     """The rows with a column that tells them apart: the id itself where it does, else a written row number."""
     if docs.groupBy(id_col).count().filter((F.col("count") > 1) | F.col(id_col).isNull()).isEmpty():
         return docs, id_col
-    return Tables(docs.sparkSession, label).write(docs.withColumn("_row", F.monotonically_increasing_id())), "_row"
+    row = free_name("_row", docs)
+    return Tables(docs.sparkSession, label).write(docs.withColumn(row, F.monotonically_increasing_id())), row
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], size: str, total: int) -> DataFrame:
+    """Inner join of rows with their group, on keys without nulls, where a group may hold any share of the rows.
+
+    ``size`` is the column of ``groups`` with its number of rows, ``total`` the number of all rows. Groups of
+    more than a ``MOST_HOT``-th of the rows are fewer than ``MOST_HOT`` and are broadcast, so that their rows
+    stay where they are; the rows of the others are shuffled, a bounded number for each key.
+    """
+    least = max(total // MOST_HOT, LEAST_HOT)
+    hot = F.broadcast(groups.filter(F.col(size) > least))
+    few = rows.join(F.broadcast(groups.filter(F.col(size) > least).select(*keys)), list(keys), "left_anti")
+    return rows.join(hot, list(keys)).unionByName(few.join(groups.filter(F.col(size) <= least), list(keys)))
+
+
+def join_spread(many: DataFrame, one: DataFrame, key: str, total: int) -> DataFrame:
+    """Inner join of rows with the one row of their key, where a key may hold any share of the rows.
+
+    The row of a key with more than a ``MOST_HOT``-th of all ``total`` rows is copied, so that its rows meet it in
+    several tasks; there are fewer than ``MOST_HOT`` such keys, and only they, with a number each, are broadcast.
+    """
+    limit = max(total // MOST_HOT, 8 * LEAST_HOT, 1)
+    hot = many.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / limit).cast("int").alias("_salts")).filter("_salts > 1")
+    spread = many.join(F.broadcast(hot), key, "left").withColumn("_salt", F.pmod(F.xxhash64(*many.columns), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
+    copied = one.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return spread.join(copied, [key, "_salt"]).drop("_salt")

@@ -2,22 +2,26 @@
 
 Sizes are words. Sources share the corpus's size by weight; a target stops at ``MOST`` times its
 source's size, and the excess is shared out again by weight until none is above (the level at
-which this settles is found at once from sources in order of size for each unit of weight). A
-source whose target is r times its size gives every document floor(r) whole copies; the rest of
-the target is sampled: each document has an inclusion probability p (0 if it alone is longer
-than the rest, else the rest over the size of all others) and a random number u from its id, and
-documents are taken in order of the odds of u over the odds of p while they fit. One more
-document, the one whose size is nearest to what is then missing, is taken if that brings the
-source nearer to its target.
+which this settles is found at once from sources in order of size for each unit of weight).
+
+Inside a source, a document is expected in e copies, in proportion to its priority (the bits of its
+size: a text of 1 000 words counts ten, one of 30 words five) and ``MOST`` at most, so that the
+expected words are the source's target. Its floor(e) whole copies are certain. What is left of e
+is its inclusion probability p, more than 0 however long the text is, and the documents are ranked
+by the odds of a random number u, made from the id, over the odds of p. The sample has a fixed size,
+the words that the whole copies leave of the target: documents are taken in order of rank up to it.
+One more document, the one whose size is nearest to what is then missing, is taken if that brings
+the source nearer to its target. (Where a document is longer than twice what is missing it would
+take the source farther from its target than leaving it out does; the sample passes it over.)
 
 A source may be any share of the corpus: ranks aren't computed by sorting it, but by sums over
 buckets of the order, refined where the cut falls, so that only the few rows of the last bucket
-are ordered one by one.
+are ordered one by one. A row without an id has its random number from its text.
 
 Defined results: null text has size 0 and is taken 0 words; a null source is a source, last in
-order; sources without words get target 0; equal orders go by id, then row; repeated rows have
-the same random number and are taken one by one; reruns give the same rows; extra columns are
-ignored; an empty table gives an empty table.
+order; sources without words get target 0; equal orders go by id, then row; rows that repeat an
+id, or a text without one, have the same random number and are taken one by one; reruns give the
+same rows; extra columns are ignored, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import WORD_PATTERN, Tables, with_key
+from tidewake.llm.common import WORD_PATTERN, Tables, free_name, with_key
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
@@ -56,29 +60,47 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     return each.select("source", "source_size", target.alias("target"))
 
 
+def inclusion(rows: DataFrame, targets: DataFrame, most: int = MOST) -> DataFrame:
+    """source, bits, source_size, target, base, p, rest for each source and number of bits of a size.
+
+    e = least(most, c * bits), with c such that the expected words of the source are its target; base = floor(e),
+    p = e - base, and rest is the target without the words of the whole copies. At most 64 rows for each source.
+    """
+    each = rows.groupBy("source", "bits").agg(F.sum("size").alias("words"))
+    each = each.alias("w").join(targets.alias("t"), F.col("w.source").eqNullSafe(F.col("t.source"))).select("w.source", "bits", "words", "source_size", "target")
+    longer = Window.partitionBy("source").orderBy(F.desc("bits")).rowsBetween(Window.unboundedPreceding, -1)
+    shorter = Window.partitionBy("source").orderBy("bits").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy("source")
+    left = F.col("target") - most * F.coalesce(F.sum("words").over(longer), F.lit(0))
+    each = each.withColumn("c", left / F.nullif(F.sum(F.col("bits") * F.col("words")).over(shorter), F.lit(0)))
+    each = each.withColumn("full", F.coalesce(F.col("c") * F.col("bits") >= most, F.lit(False)))
+    each = each.withColumn("c", F.max(F.when(~F.col("full"), F.struct("bits", "c"))).over(whole)["c"])
+    e = F.when(F.col("full"), F.lit(float(most))).otherwise(F.least(F.coalesce(F.col("c") * F.col("bits"), F.lit(0.0)), F.lit(float(most))))
+    each = each.withColumn("e", F.greatest(e, F.lit(0.0))).withColumn("base", F.floor("e").cast("long"))
+    each = each.withColumn("p", F.least(F.col("e") - F.col("base"), F.lit(1 - 1e-9)))
+    return each.select("source", "bits", "source_size", "target", "base", "p", (F.col("target") - F.sum(F.col("base") * F.col("words")).over(whole)).alias("rest"))
+
+
+#: Ids, and rows of a plan, that are broadcast at most; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
     """id_col, source, size, source_size, target, copies, taken: a row for each document."""
     tables = Tables(docs.sparkSession, "mix")
-    digits = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary")), 1, 13), 16, 10)
+    digits = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(text_col, F.lit("")).cast("binary"))), F.lit(f":{seed}")).cast("binary")), 1, 13), 16, 10)
     words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
     rows = tables.write(
         docs.select(
             F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), words.alias("size"), ((digits.cast("double") + 0.5) / 2.0**52).alias("u")
-        )
+        ).withColumn("bits", F.length(F.bin("size")))
     )
-    same = lambda a, b: a["source"].eqNullSafe(b["source"])
-    targets = source_targets(rows, weights, most)
-    ratio = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    targets = targets.withColumn("base", ratio).withColumn("rest", F.col("target") - F.col("base") * F.col("source_size"))
-    eligible = F.sum(F.when((F.col("size") > 0) & (F.col("size") <= F.col("rest")), F.col("size")))
-    sums = rows.alias("r").join(targets.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source"))).groupBy("t.source").agg(eligible.alias("eligible"))
-    targets = tables.write(targets.join(sums.withColumnRenamed("source", "s2"), F.col("source").eqNullSafe(F.col("s2")), "left").drop("s2"))
-    t = targets.withColumnRenamed("source", "t_source")
-    full = rows.join(t, F.col("source").eqNullSafe(F.col("t_source")), "left").drop("t_source")
-    p = F.least(F.col("rest") / F.col("eligible"), F.lit(1 - 1e-9))
-    q = (F.col("u") / (1 - F.col("u"))) / (p / (1 - p))
-    can = (F.col("size") > 0) & (F.col("size") <= F.col("rest"))
-    full = full.withColumn("q", F.when(can, q)).withColumn("z", F.col("q") / (1 + F.col("q")))
+    plan = tables.write(inclusion(rows, source_targets(rows, weights, most), most))
+    few = plan.count() <= BROADCAST_IDS
+    t = plan.select(F.col("source").alias("t_source"), F.col("bits").alias("t_bits"), "source_size", "target", "base", "p", "rest")
+    full = rows.join(F.broadcast(t) if few else t, F.col("source").eqNullSafe(F.col("t_source")) & (F.col("bits") == F.col("t_bits"))).drop("t_source", "t_bits")
+    q = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
+    full = full.withColumn("q", F.when((F.col("size") > 0) & (F.col("p") > 0), q)).withColumn("z", F.col("q") / (1 + F.col("q")))
     step = F.lit(0).cast("long")
     # the bucket numbers of an order: z in base BUCKETS
     scaled = F.col("z")
@@ -87,7 +109,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         full = full.withColumn(f"b{k}", step)
         scaled = scaled * BUCKETS - F.col(f"b{k}")
     full = tables.write(full.drop("z"))
-    cut = targets.select("source", "rest", F.lit(0).cast("long").alias("sum"))
+    cut = plan.select("source", "rest").distinct().withColumn("sum", F.lit(0).cast("long"))
     for k in range(LEVELS):
         inside = full.filter("q IS NOT NULL").select("source", "size", *(f"b{i}" for i in range(k + 1)))
         c = cut.select(F.col("source").alias("c_source"), "rest", "sum", *(F.col(f"b{i}").alias(f"c{i}") for i in range(k)))
@@ -117,19 +139,19 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spare = spare.filter((miss > 0) & (F.abs(F.col("size") - miss) < miss))
     pick = spare.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - miss).alias("off"), F.coalesce("q", F.lit(float("inf"))).alias("q"), F.col("u"), F.col("id"), F.col("row"))).alias("p"))
     pick = pick.select(F.col("p.row").alias("p_row"))
-    out = placed.join(F.broadcast(pick) if targets.count() <= 100_000 else pick, F.col("row") == F.col("p_row"), "left")
+    out = placed.join(F.broadcast(pick) if few else pick, F.col("row") == F.col("p_row"), "left")
     copies = F.col("base") + ((F.col("place") == "in") | F.col("p_row").isNotNull()).cast("long")
     return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
-#: Ids that are broadcast at most; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
-
-
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
-    """The mix itself: every row of ``docs``, with its columns, as often as the mix takes it."""
+    """The mix itself: every row of ``docs``, with all its columns, whatever these are called, as often as the mix takes it.
+
+    Where ids repeat or are null, rows are told apart by a written row number, which then makes their random numbers.
+    """
     rows, key = with_key(docs, id_col, "mix-rows")
-    plan = mix_sources(rows, key, text_col, source_col, weights, most, seed).filter("copies > 0").select(F.col(key).alias("_key"), F.col("copies").cast("int").alias("_copies"))
+    its_key, copies, nth = (free_name(x, rows) for x in ("_key", "_copies", "_copy"))
+    plan = mix_sources(rows, key, text_col, source_col, weights, most, seed).filter("copies > 0").select(F.col(key).alias(its_key), F.col("copies").cast("int").alias(copies))
     plan = Tables(docs.sparkSession, "mix-plan").write(plan)
-    out = rows.join(F.broadcast(plan) if plan.count() <= BROADCAST_IDS else plan, F.col(key) == F.col("_key"))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    out = rows.join(F.broadcast(plan) if plan.count() <= BROADCAST_IDS else plan, F.col(key) == F.col(its_key))
+    return out.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)

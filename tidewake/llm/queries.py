@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewake.llm import bpe, chat, ctw, exact_dedup, jaccard, langid, mixing, quality, search
@@ -31,16 +31,21 @@ def op1_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _held_out(modulus: int, remainder: int) -> Column:
+    """Whether a document is held out by its id; one without an id isn't."""
+    return F.coalesce(id_remainder(F.col("doc_id"), modulus) == remainder, F.lit(False))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.train_quality(docs, table(spark, sf_dir, "labels"), learn=id_remainder(F.col("id"), 4) != 2)
     scored = quality.score_quality(docs, model)
-    return scored.select("doc_id", (id_remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", _held_out(4, 2).alias("held_out"), "score", (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard.jaccard_components(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
-    return found.select("doc_id", "n_shingles", "component_id")
+    return found.select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 OP3_SQL = r"""
@@ -56,8 +61,9 @@ WITH RECURSIVE words AS (
     SELECT c.a, c.b FROM common c JOIN sets x ON x.doc_id = c.a JOIN sets y ON y.doc_id = c.b WHERE 100 * c.n >= 90 * (len(x.s) + len(y.s) - c.n)
 ), both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links
 ), reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, e.b FROM reach r JOIN both_ways e ON e.a = r.other)
-SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, r.component_id
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, r.component_id, coalesce(l.n_links, 0) AS n_links
 FROM sets s JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) r ON r.doc_id = s.doc_id
+LEFT JOIN (SELECT a AS doc_id, count(*) AS n_links FROM both_ways GROUP BY a) l ON l.doc_id = s.doc_id
 """
 
 
@@ -105,12 +111,12 @@ FROM sized GROUP BY conv_id
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return ctw.score_texts(docs, id_remainder(F.col("doc_id"), 5) == 1)
+    return ctw.score_texts(docs, _held_out(5, 1))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = id_remainder(F.col("doc_id"), 3) == 1
+    held_out = _held_out(3, 1)
     model = langid.train_languages(docs.filter(~held_out))
     found = langid.predict_languages(docs, model)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
@@ -135,43 +141,46 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "copies", "taken")
 
 
+#: Rounds of sharing in place of a level found at once, and one sorted sum in place of buckets.
 OP9_SQL = r"""
-WITH sized AS (
+WITH RECURSIVE sized AS (
     SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-        (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':mix-1'), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+        (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, ''))) || ':mix-1'), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
     FROM documents
-), each AS (
-    SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight FROM sized GROUP BY source
-), prefix AS (
-    SELECT *, CAST(sum(source_size) OVER () AS BIGINT) AS total, CAST(sum(weight) OVER () AS BIGINT) AS all_weight,
-        CAST(coalesce(sum(source_size) OVER b, 0) AS BIGINT) AS full_size, CAST(coalesce(sum(weight) OVER b, 0) AS BIGINT) AS full_weight
-    FROM each WINDOW b AS (ORDER BY CAST(source_size AS DOUBLE) / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
-), capped AS (
-    SELECT *, CAST(total - 3 * full_size AS DOUBLE) * weight > CAST(3 * source_size AS DOUBLE) * (all_weight - full_weight) AS is_full,
-        CAST(total - 3 * full_size AS DOUBLE) / (all_weight - full_weight) AS level FROM prefix
+), shares AS (
+    SELECT 0 AS round, source, CAST(sum(size) AS BIGINT) AS source_size, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight, false AS stopped FROM sized GROUP BY source
+    UNION ALL
+    SELECT round + 1, source, source_size, weight,
+        stopped OR weight * CAST(sum(source_size) OVER () - 3 * coalesce(sum(source_size) FILTER (stopped) OVER (), 0) AS DOUBLE) > CAST(3 * source_size AS DOUBLE) * coalesce(sum(weight) FILTER (NOT stopped) OVER (), 0)
+    FROM shares WHERE round < (SELECT count(DISTINCT source) + 1 FROM sized)
 ), targets AS (
-    SELECT source, source_size, CASE WHEN is_full THEN CAST(3 * source_size AS DOUBLE) ELSE weight * first_value(level) OVER (ORDER BY is_full, full_weight) END AS target FROM capped
-), rests AS (
-    SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS base FROM targets
-), rest AS (SELECT *, target - base * source_size AS rest FROM rests
-), joined AS (
-    SELECT s.*, r.source_size, r.target, r.base, r.rest, s.size > 0 AND s.size <= r.rest AS can,
-        sum(CASE WHEN s.size > 0 AND s.size <= r.rest THEN s.size END) OVER (PARTITION BY s.source) AS eligible
-    FROM sized s JOIN rest r ON s.source IS NOT DISTINCT FROM r.source
-), odds AS (
-    SELECT *, least(rest / CAST(eligible AS DOUBLE), 1 - 1e-9::DOUBLE) AS p FROM joined
-), ordered AS (SELECT *, CASE WHEN can THEN (u / (1 - u)) / (p / (1 - p)) END AS q FROM odds
+    SELECT source, source_size, CASE WHEN stopped THEN CAST(3 * source_size AS DOUBLE)
+        ELSE weight * (CAST(sum(source_size) OVER () - 3 * coalesce(sum(source_size) FILTER (stopped) OVER (), 0) AS DOUBLE) / sum(weight) FILTER (NOT stopped) OVER ()) END AS target
+    FROM shares WHERE round = (SELECT max(round) FROM shares)
+), classes AS (
+    SELECT s.source, length(bin(s.size)) AS bits, CAST(sum(s.size) AS BIGINT) AS words, any_value(t.source_size) AS source_size, any_value(t.target) AS target
+    FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source GROUP BY s.source, length(bin(s.size))
+), levels AS (
+    SELECT *, (target - 3 * coalesce(sum(words) OVER (PARTITION BY source ORDER BY bits DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+        / nullif(sum(bits * words) OVER (PARTITION BY source ORDER BY bits ROWS UNBOUNDED PRECEDING), 0) AS c FROM classes
+), expected AS (
+    SELECT l.source, l.bits, l.words, l.source_size, l.target, CASE WHEN coalesce(l.c * l.bits >= 3, false) THEN 3.0::DOUBLE
+        ELSE greatest(least(coalesce((SELECT max_by(m.c, m.bits) FROM levels m WHERE m.source IS NOT DISTINCT FROM l.source AND NOT coalesce(m.c * m.bits >= 3, false)) * l.bits, 0), 3), 0) END AS e
+    FROM levels l
 ), ranked AS (
-    SELECT *, can AND sum(CASE WHEN can THEN size END) OVER (PARTITION BY source, can ORDER BY q, u, doc_id ROWS UNBOUNDED PRECEDING) <= rest AS is_in FROM ordered
-), got AS (SELECT *, rest - sum(CASE WHEN is_in THEN size ELSE 0 END) OVER (PARTITION BY source) AS miss FROM ranked
-), spare AS (
-    SELECT *, CASE WHEN NOT is_in AND size > 0 AND base < 3 AND miss > 0 AND abs(size - miss) < miss
-        THEN row_number() OVER (PARTITION BY source, NOT is_in AND size > 0 AND base < 3 AND miss > 0 AND abs(size - miss) < miss ORDER BY abs(size - miss), coalesce(q, 'infinity'::DOUBLE), u, doc_id) END AS nth
-    FROM got
+    SELECT s.doc_id, s.size, s.u, e.source, e.source_size, e.target, CAST(floor(e.e) AS BIGINT) AS base, least(e.e - floor(e.e), 1 - 1e-9::DOUBLE) AS p
+    FROM sized s JOIN expected e ON s.source IS NOT DISTINCT FROM e.source AND e.bits = length(bin(s.size))
+), odds AS (
+    SELECT *, CASE WHEN size > 0 AND p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS q, target - sum(base * size) OVER (PARTITION BY source) AS rest FROM ranked
+), sampled AS (
+    SELECT *, q IS NOT NULL AND sum(CASE WHEN q IS NOT NULL THEN size END) OVER (PARTITION BY source, q IS NULL ORDER BY q, u, doc_id ROWS UNBOUNDED PRECEDING) <= rest AS is_in FROM odds
+), missing AS (SELECT *, rest - sum(CASE WHEN is_in THEN size ELSE 0 END) OVER (PARTITION BY source) AS miss FROM sampled
+), closing AS (
+    SELECT source, arg_min(doc_id, {'off': abs(size - miss), 'q': coalesce(q, 'infinity'::DOUBLE), 'u': u, 'd': doc_id}) AS doc_id
+    FROM missing WHERE NOT is_in AND size > 0 AND base < 3 AND miss > 0 AND abs(size - miss) < miss GROUP BY source
 )
-SELECT doc_id, size, source_size, target, base + CASE WHEN is_in OR coalesce(nth = 1, false) THEN 1 ELSE 0 END AS copies,
-    (base + CASE WHEN is_in OR coalesce(nth = 1, false) THEN 1 ELSE 0 END) * size AS taken
-FROM spare
+SELECT m.doc_id, m.size, m.source_size, m.target, m.base + (m.is_in OR c.doc_id IS NOT NULL)::INT AS copies, (m.base + (m.is_in OR c.doc_id IS NOT NULL)::INT) * m.size AS taken
+FROM missing m LEFT JOIN closing c ON c.doc_id = m.doc_id AND c.source IS NOT DISTINCT FROM m.source
 """
 
 
