@@ -58,16 +58,57 @@ def test_mix_of_odd_tables(spark, docs):
     assert {r.taken for r in mixing.mix_sources(odd.filter("text IS NULL")).collect()} == {0}
 
 
+def test_inclusion_follows_unequal_probabilities(spark):
+    """Many sources with the same 60 sizes are as many draws: each size is sampled as often as its probability says."""
+    rng, draws = random.Random(4), 160
+    sizes = [rng.choice([1, 3, 9, 30, 80, 250, 600]) for _ in range(60)] + [2500]
+    rows = [(s * 1000 + i, "w " * n, f"s{s:03d}") for s in range(draws) for i, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    out = mixing.mix_sources(df, weights=(1, 2)).collect()
+    for weight in (1, 2):
+        mine = [r for r in out if int(r.source[1:]) % 2 == weight - 1]
+        target, total = mine[0].target, sum(sizes)
+        # c by bisection, so that the expected words are the target
+        low, high = 0.0, 3.0
+        for _ in range(80):
+            c = (low + high) / 2
+            low, high = (c, high) if sum(min(3, c * n.bit_length()) * n for n in sizes) < target else (low, c)
+        assert 0 < target <= 3 * total
+        for n in sorted(set(sizes)):
+            expected = min(3, c * n.bit_length())
+            got = [r.copies for r in mine if r["size"] == n]
+            spread = math.sqrt(max(expected % 1 * (1 - expected % 1), 0.02) / len(got))
+            assert {math.floor(expected), math.ceil(expected)} >= set(got) or n < 31  # the closing document may be small
+            assert abs(sum(got) / len(got) - expected) < 5 * spread + 0.06
+    assert any(r.taken for r in out if r["size"] == 2500) and not all(r.taken for r in out if r["size"] == 2500)
+
+
+def test_rows_of_the_mix_keep_clashing_columns(spark):
+    odd = spark.createDataFrame([(1, "a b", "s", 7, 8, 9, 1), (1, "a b", "s", 7, 8, 9, 2), (None, "c", None, 7, 8, 9, 3)], "doc_id bigint, text string, source string, _key int, _row int, _copies int, bits int")
+    rows = mixing.mixed_rows(odd)
+    assert rows.columns == odd.columns and {tuple(r[3:6]) for r in rows.collect()} == {(7, 8, 9)}
+
+
+def test_mix_of_rows_without_ids_and_of_long_texts(spark):
+    rows = [(None, f"w{i} " * (i % 7 + 1), "s") for i in range(300)] + [(1, "x " * 40_000, "t"), (2, "y", "t"), (3, "z " * 500, "u")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    a = mixing.mix_sources(df).collect()
+    assert sorted(map(str, a)) == sorted(map(str, mixing.mix_sources(df.repartition(5)).collect()))
+    assert all(r.taken <= 3 * r["size"] for r in a) and max(r["size"] for r in a) == 40_000
+
+
 def test_search_equals_brute_force(spark, docs, monkeypatch):
     monkeypatch.setattr(search, "SHARD_ROWS", 64)
-    monkeypatch.setattr(search, "BLOCK_DOCS", 8)
+    monkeypatch.setattr(search, "BLOCK_DOCS", 4)
+    monkeypatch.setattr(search, "BLOCKS_AT_ONCE", 3)
+    monkeypatch.setattr(search, "FIRST_BLOCKS", 2)
     rows = documents()
     tf = [collections.Counter(re.findall(WORD_PATTERN, (t or "").translate(LOWER))) for _, t, _, _ in rows]
     length = [sum(c.values()) for c in tf]
     mean, n = sum(length) / len(rows), len(rows)
     df = collections.Counter(w for c in tf for w in c)
     found = collections.defaultdict(list)
-    for r in search.search(docs.repartition(6), F.col("doc_id") % 50 == 0, k=5, query_block=3).orderBy("query_id", "rank").collect():
+    for r in search.search(docs.repartition(6), F.col("doc_id") % 50 == 0, k=5, query_terms=60).orderBy("query_id", "rank").collect():
         found[r.query_id].append((r.doc_id, r.score))
     for q in range(0, n, 50):
         scores = [sum(m * math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * length[i] / mean)) for w, m in tf[q].items() if w in c) for i, c in enumerate(tf)]
