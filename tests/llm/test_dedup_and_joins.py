@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from tidewake.llm import exact_dedup, jaccard
+from tidewake.llm import common, exact_dedup, jaccard
 from tidewake.llm.common import WORD_PATTERN
 
 SCHEMA = "doc_id bigint, text string, name string, key int"
@@ -97,3 +97,32 @@ def test_sketches_bound_the_difference():
         for band in common:
             assert int(np.bitwise_count(one[band][1] ^ two[band][1]).sum()) <= len(np.setxor1d(a, b))
             assert one[band][0] & two[band][0]
+
+
+def test_clashing_columns_stay(spark):
+    df = spark.createDataFrame([(4, "a b c d e f", 1, 2, 3, 4), (4, "a b c d e f", 1, 2, 3, 4), (None, "x y", 1, 2, 3, 4)], "doc_id bigint, text string, _row int, _own int, _key int, _gone int")
+    for kept in (exact_dedup.keep_one(df), jaccard.keep_first(df, 3, 90)):
+        assert kept.columns == df.columns and [tuple(r[2:]) for r in kept.collect()] == [(1, 2, 3, 4)] * 2
+
+
+def test_hot_groups_and_joins_by_shuffle_give_the_same_rows(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [rng.choice([f"w{i}" for i in range(50)]) for _ in range(60)]
+    texts = [" ".join(base)] * 40 + [" ".join(base[:i] + ["q"] + base[i + 1 :]) for i in range(30)] + ["other words here"] * 3 + [None]
+    df = frame(spark, texts)
+    want = sorted(map(tuple, jaccard.jaccard_components(df, 3, 80).drop("row").collect()), key=str)
+    exact = sorted(map(tuple, exact_dedup.exact_dedup(df, block=16).collect()))
+    for most, least in ((1, 1), (1000, 0)):
+        monkeypatch.setattr(common, "MOST_HOT", most)
+        monkeypatch.setattr(common, "LEAST_HOT", least)
+        assert sorted(map(tuple, jaccard.jaccard_components(df, 3, 80, most_ids=0).drop("row").collect()), key=str) == want
+        assert sorted(map(tuple, exact_dedup.exact_dedup(df, block=16).collect())) == exact
+
+
+def test_very_long_texts(spark):
+    long = " ".join(f"w{i * 7919 % 30011}" for i in range(120_000))
+    texts = [long, long + " more", long[: len(long) // 2], "w1 w2 w3"]
+    found = {r.doc_id: r for r in jaccard.jaccard_components(frame(spark, texts), 3, 90).collect()}
+    want, sizes = components(texts, 3, 90)
+    assert [found[i].component_id for i in range(4)] == want and [found[i].n_shingles for i in range(4)] == sizes
+    assert [r.group_size for r in exact_dedup.exact_dedup(frame(spark, [long, long.replace(" ", "\n"), long[:-1]])).orderBy("doc_id").collect()] == [2, 2, 1]

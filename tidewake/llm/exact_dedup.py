@@ -13,8 +13,11 @@ each task at most. Groups of copies are counted before they are shuffled and nev
 
 Defined results: null text counts as empty, and empty texts are equal; the row with the most
 code points in its original text stays, then the smallest id (null ids last), then one row of
-those that repeat the id; extra columns are ignored; an empty table gives an empty table.
-Built-in functions only.
+those that repeat the id; extra columns are ignored, whatever their names; an empty table gives
+an empty table. Built-in functions only.
+
+A block, a pair or a text may be that of any share of the rows: the few names that are so common
+are broadcast, and only the rows of the others move to their name.
 """
 
 from __future__ import annotations
@@ -22,14 +25,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import SPACE_PATTERN, Tables
+from tidewake.llm.common import SPACE_PATTERN, Tables, free_name, join_groups
 
 BLOCK = 2048
 
 
 def _numbered(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Distinct keys, sorted within their partitions, with an integer name each."""
-    return df.distinct().sortWithinPartitions(*keys).withColumn("name", F.monotonically_increasing_id())
+    """Distinct keys, sorted within their partitions, with an integer name each and the rows that have it."""
+    return df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("uses")).sortWithinPartitions(*keys).withColumn("name", F.monotonically_increasing_id())
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
@@ -42,7 +45,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for seed in range(8):
         digest = digest_of(seed)
         pieces = source.select(F.explode(blocks).alias("block"))
-        names = tables.write(_numbered(pieces.select(digest(F.col("block")).alias("key"), "block"), ["block"]).select("key", "name"))
+        names = tables.write(_numbered(pieces.select(digest(F.col("block")).alias("key"), "block"), ["block"]).select("key", "name", "uses"))
         if names.groupBy("key").count().filter("count > 1").isEmpty():
             break
         tables.drop(names)
@@ -52,8 +55,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.monotonically_increasing_id().alias("row"), "id", F.length("text").alias("points"), F.sha2(bare.cast("binary"), 256).alias("text_sha256"), blocks.alias("blocks")
     )
     rows = tables.write(rows.select("row", "id", "points", "text_sha256", F.size("blocks").alias("n"), F.transform("blocks", digest).alias("keys")))
-    most = rows.agg(F.max("n")).first()[0] or 0
-    level = rows.select("row", F.posexplode("keys").alias("pos", "key"), "n").join(names, "key").select("row", "pos", "name", "n")
+    most, n_rows, n_pieces = (x or 0 for x in rows.agg(F.max("n"), F.count(F.lit(1)), F.sum("n")).first())
+    level = join_groups(rows.select("row", F.posexplode("keys").alias("pos", "key"), "n"), names, ["key"], "uses", n_pieces).select("row", "pos", "name", "n")
     done = rows.filter("n = 0").select("row", F.lit(-1).alias("level"), F.lit(0).cast("long").alias("name"))
     depth, width = 0, 1
     while width < most:
@@ -66,13 +69,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             .agg(F.max(F.when(F.col("pos") % 2 == 0, F.col("name"))).alias("left"), F.coalesce(F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))), F.lit(-1)).alias("right"))
         )
         names = tables.write(_numbered(pairs.select("left", "right"), ["left", "right"]))
-        level = pairs.join(names, ["left", "right"]).select("row", "pos", "name", "n")
+        level = join_groups(pairs, names, ["left", "right"], "uses", n_pieces).select("row", "pos", "name", "n")
         depth, width = depth + 1, width * 2
     done = done.unionByName(level.select("row", F.lit(depth).alias("level"), "name"))
     named = tables.write(rows.select("row", "id", "points", "text_sha256").join(done, "row"))
     best = F.struct((-F.col("points")).alias("points"), F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("row").alias("row"))
-    groups = named.groupBy("level", "name").agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("group_size"))
-    out = named.join(groups, ["level", "name"])
+    groups = tables.write(named.groupBy("level", "name").agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("group_size")))
+    out = join_groups(named, groups, ["level", "name"], "group_size", n_rows)
     return out.select(F.col("id").alias(id_col), F.col("best.id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256")
 
 
@@ -82,12 +85,16 @@ def digest_of(seed: int):
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns."""
-    found = Tables(docs.sparkSession, "exact-dedup-kept").write(exact_dedup(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")))
+    """The rows of ``docs`` that stay, with all their columns, whatever these are called.
+
+    Null ids and texts, ties and repeats are as for ``exact_dedup``: of rows that repeat an id and a text, one stays.
+    """
+    spark, own, nth, its_id, its_sha = docs.sparkSession, *(free_name(x, docs) for x in ("_own", "_nth", "_kept_id", "_kept_sha"))
+    found = Tables(spark, "exact-dedup-kept").write(exact_dedup(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias(its_id), F.col("text_sha256").alias(its_sha)))
     bare = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), f"{SPACE_PATTERN}+", "")
-    marked = docs.withColumn("_own", F.sha2(bare.cast("binary"), 256))
-    out = marked.join(found, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha")), "left_semi")
+    marked = docs.withColumn(own, F.sha2(bare.cast("binary"), 256))
+    out = marked.join(found, F.col(id_col).eqNullSafe(F.col(its_id)) & (F.col(own) == F.col(its_sha)), "left_semi")
     if not docs.groupBy(id_col).count().filter("count > 1").isEmpty():  # repeated ids: one row for each text
-        first = Window.partitionBy(id_col, "_own").orderBy(F.desc_nulls_last(F.length(text_col)), text_col)
-        out = out.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
-    return out.drop("_own")
+        first = Window.partitionBy(id_col, own).orderBy(F.desc_nulls_last(F.length(text_col)), text_col)
+        out = out.withColumn(nth, F.row_number().over(first)).filter(F.col(nth) == 1)
+    return out.select(*docs.columns)
