@@ -26,3 +26,23 @@ def test_links_of_repeated_ids(spark):
     df = frame(spark, ["a b c d e f", "a b c d e f", "x y z u v w", "a b c d e f", None], [4, 4, None, None, 5])
     found = jaccard.jaccard_components(df, 3, 90).collect()
     assert sorted((r.doc_id or -1, r.n_links) for r in found) == [(-1, 0), (-1, 2), (4, 2), (4, 2), (5, 0)]
+
+
+def test_links_across_chunks(spark, monkeypatch):
+    """Chunks of a few documents or elements, so that components meet in many tasks."""
+    rng = random.Random(3)
+    base = [rng.choice([f"w{i}" for i in range(300)]) for _ in range(80)]
+    texts = []
+    for i in range(60):
+        words = list(base)
+        for _ in range(i % 5):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(9)}"
+        texts.append(" ".join(words))
+    sets = [sets_of(t, 3) for t in texts]
+    want = [sum(100 * len(a & b) >= 85 * len(a | b) for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)]
+    for docs, items, columns in ((7, 1 << 18, 10), (256, 500, 4096)):
+        monkeypatch.setattr(jaccard, "CHUNK_DOCS", docs)
+        monkeypatch.setattr(jaccard, "CHUNK_ITEMS", items)
+        monkeypatch.setattr(jaccard, "MATRIX_COLUMNS", columns)
+        found = {r.doc_id: r.n_links for r in jaccard.jaccard_components(frame(spark, texts), 3, 85).collect()}
+        assert [found[i] for i in range(len(texts))] == want and max(want) > 20
