@@ -85,7 +85,8 @@ def guarded(spark, tmp_path_factory):
     source = spark.createDataFrame(CASES, "site string, service string, referral_date string, cancellation_proxy boolean, readiness_days double").withColumn("referral_date", F.col("referral_date").cast("date"))
     scope = guard.Scope("p", ("site", "service", "cancellation_proxy"), ("A",), None, "2026-01-01", "2026-12-31")
     rows = guard.scoped(source, scope)
-    assert guard.scope_breaches(rows, scope).first() == (0, 0)
+    assert guard.scope_breaches(rows, scope).first() == (0, 0, 0)
+    assert guard.scope_breaches(source, scope).first() == (1, 0, 1)
     assert guard.scoped(source, guard.Scope("none", ("site",), ())).count() == 0
     return guard.GuardedQueries(spark, rows, scope, str(tmp_path_factory.mktemp("scope")), guard.Limits(rows=1, possible_rows=7))
 
@@ -94,17 +95,60 @@ def test_admitted_statements(guarded):
     assert guarded.answer("SELECT count(*) AS n FROM cases").rows == [[2]]
     a = guarded.answer("WITH x AS (SELECT service FROM cases) SELECT a.service FROM x a JOIN x b ON a.service = b.service ORDER BY a.service")
     assert a.rows == [["A-1"]] and a.truncated
+    for sql in (
+        "SELECT site, count(*) AS n, avg(CAST(cancellation_proxy AS INT)) AS r FROM cases GROUP BY site HAVING count(*) > 0", "SELECT row_number() OVER (PARTITION BY site ORDER BY service DESC) AS nth FROM cases", "SELECT max(service) AS s FROM cases WHERE service LIKE 'A-%' AND site IN ('A', 'B') OR NOT cancellation_proxy",
+        "SELECT CASE WHEN count(*) > 1 THEN 'many' ELSE upper('few') END AS x FROM cases", "SELECT service FROM cases WHERE service IN (SELECT service FROM cases) ORDER BY service", "SELECT COUNT(*) AS n, Sum(1) AS s, round(avg(length(service)) / 2.0, 2) AS m FROM cases UNION ALL SELECT 1 AS n, 2 AS s, 3.0 AS m",
+        "SELECT concat('x', site) AS x FROM cases", "SELECT lag(service) OVER (ORDER BY service) AS before FROM cases", "SELECT coalesce(nullif(site, 'B'), 'x') AS y, if(cancellation_proxy, 1, 0) AS z FROM cases",
+    ):
+        assert guarded.answer(sql).rows, sql
 
 
 @pytest.mark.parametrize("sql", [
     "", "DROP TABLE cases", "SELECT 1; SELECT 2", "SELECT * FROM parquet.`/etc`", "SELECT * FROM other", "SELECT reflect('java.lang.System', 'exit') AS x FROM cases", "SELECT readiness_days FROM cases", "SELECT (SELECT 1 FROM other) AS x FROM cases",
     "SELECT count(*) AS n FROM cases a CROSS JOIN cases b CROSS JOIN cases c", "SELECT /* x */ 1 AS a", "SET x = 1", "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t) SELECT n FROM t", "SELECT explode(array(1)) AS x FROM cases", "SELECT * FROM range(5)", "SELECT site, site FROM cases", "SELECT ſite FROM cases",
+    "SELECT REFLECT('java.lang.System','getProperty','user.home') AS x FROM cases", "SELECT JAVA_METHOD('java.lang.System','getenv','HOME') AS x FROM cases", "SELECT Version() AS x FROM cases", "SELECT Current_User() AS x FROM cases",
+    "SELECT current_user AS x FROM cases", "SELECT CURRENT_DATE AS x FROM cases", "SELECT count(*) AS n FROM cases a JOIN cases b ON a.service < b.service JOIN cases c ON b.service < c.service", "SELECT count(*) AS n FROM cases a LEFT JOIN cases b ON true LEFT JOIN cases c ON true",
+    "SELECT 'WITH other AS (' AS x FROM other", "SELECT (SELECT REFLECT('java.lang.System','getProperty','user.home')) AS x FROM cases", "SELECT service FROM cases WHERE site = (SELECT Input_File_Name())", "VALUES (1)", "SELECT count(*) AS `a b` FROM cases", "SELECT * FROM (VALUES (1)) AS t(x)",
+    "SELECT max(site) FILTER (WHERE REFLECT('java.lang.System','getProperty','user.home') = 'x') AS x FROM cases", "SELECT site AS x FROM cases ORDER BY Rand()", "SELECT transform(array(1), x -> x) AS a FROM cases", "TABLE cases2",
 ])
 def test_refused_statements(guarded, sql):
     with pytest.raises(guard.Refused):
         guarded.answer(sql)
 
 
+def test_audit_rows_hold_no_text(spark, guarded, monkeypatch):
+    seen = []
+    monkeypatch.setattr(guarded, "audit", seen.append)
+    guarded.answer("SELECT count(*) AS n FROM cases")
+    with pytest.raises(guard.Refused):
+        guarded.answer("SELECT count(*) AS n FROM secret_table")
+    guarded.ask("how MANY?", guard.PROVIDERS["fixed"]({"How many?": "SELECT count(*) AS n FROM cases"}))
+    with pytest.raises(guard.Refused, match="clarify"):
+        guarded.ask("why?", guard.PROVIDERS["fixed"]({}))
+    assert [r["admitted"] for r in seen] == [True, False, True] and seen[0]["rows_sha256"] == seen[2]["rows_sha256"] != seen[1]["rows_sha256"]
+    assert "secret_table" not in json.dumps([{k: v for k, v in r.items() if k != "reason"} for r in seen]) and seen[1]["reason"] == "relation 'secret_table'"
+
+
+def test_policies_are_strict():
+    good = {"version": 1, "principals": {"p": {"columns": ["site"], "sites": ["A"], "services": ["A-1"], "first_day": "2026-01-01"}}}
+    assert guard.load_policy(good)["p"] == guard.Scope("p", ("site",), ("A",), ("A-1",), "2026-01-01")
+    for change in ({"extra": 1}, {"sites": []}, {"sites": "A"}, {"columns": ["site", "site"]}, {"services": ["B-1"]}, {"first_day": "x"}, {"last_day": "2025-01-01"}):
+        with pytest.raises(ValueError):
+            guard.load_policy({"version": 1, "principals": {"p": good["principals"]["p"] | change}})
+    for bad in ({"version": 2, "principals": {}}, {"version": 1}, good | {"more": 1}):
+        with pytest.raises(ValueError):
+            guard.load_policy(bad)
+
+
+def test_pointers_are_replaced_in_one_step(spark, tmp_path):
+    from tidewake.sources.store import Store
+
+    store = Store(spark, str(tmp_path))
+    for value in (1, 2, 3):
+        store.write_json("state.json", {"v": value})
+        assert store.read_json("state.json") == {"v": value} and not store.exists("state.json.part")
+
+
 def test_questions():
     allowed = ("site", "service_code", "cancellation_proxy")
     assert guard.question_sql("How many cases are there by site?", allowed) == ("answer", guard.template_sql("count", "by site"))
@@ -133,3 +177,19 @@ def test_stream_fires_retracts_and_ignores_replays(spark, tmp_path):
     assert actions == [("fired", "2026-01-12/A/A-1"), ("retracted", "2026-01-12/A/A-1")]
     rejected = spark.read.parquet(str(tmp_path / "state/rejected"))
     assert {r.event_id for r in rejected.collect()} == {"e9", "e2"}
+
+
+def test_stream_takes_first_arrivals_and_revisions_in_sequence(spark, tmp_path):
+    watch = scored_cases.ScoredCaseMonitor(spark, str(tmp_path / "state"), matured_days=0)
+    later = {"arrived_at": "2026-01-05T11:30:00+00:00"}
+    batches = [
+        [event(1, 0, 1), event(1, 0, 0, **later), event(1, 0, 1), event(2, 0, 1, case="x"), event(3, 0, 0, case="x", revision=2, corrects="e2"), event(4, 0, 0, case="y", revision=2, corrects="e9")],
+        [event(5, 0, 1, case="x", revision=3, corrects="e3"), event(6, 0, 1, case="x", revision=5, corrects="e5"), event(7, 0, 1, case="c1", revision=2, corrects="e2"), event(8, 0, 1, scored_at="2026-01-04T10:00:00+00:00", arrived_at="2026-01-20T10:00:00+00:00")],
+    ]
+    for i, rows in enumerate(batches):
+        watch.apply(spark.read.schema(scored_cases.SCHEMA).json(spark.sparkContext.parallelize(map(json.dumps, rows))), i)
+    accepted = {r.event_id: r for r in spark.read.parquet(str(tmp_path / "state/accepted")).collect()}
+    assert set(accepted) == {"e1", "e2", "e3", "e5", "e8"} and accepted["e1"].outcome == 1
+    assert accepted["e8"].is_late and accepted["e8"].is_backfill and not accepted["e1"].is_late
+    rejected = {(r.event_id, r.reason) for r in spark.read.parquet(str(tmp_path / "state/rejected")).collect()}
+    assert rejected == {("e1", "conflict"), ("e4", "sequence"), ("e6", "sequence"), ("e7", "sequence")}

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -13,20 +16,27 @@ def shared_edges(df: DataFrame, node: str, via: str) -> DataFrame:
     return pairs.join(smallest, via).filter(F.col("a") != F.col(node)).select("a", F.col(node).alias("b")).distinct()
 
 
-def components(nodes: DataFrame, edges: DataFrame, node: str, most_rounds: int = 64) -> DataFrame:
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where none is set and all runs on one machine, a temporary one."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="tidewake-"))
+    return context.getCheckpointDir()
+
+
+def components(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:
     """node, root: the smallest node that each can reach.
 
-    Rounds of the smallest neighbour's root and its root; each round is written to the checkpoint
-    folder, so plans stay short and lost executors cost only their tasks.
+    Rounds of the smallest neighbour's root and its root, until none changes; each round is written to
+    the checkpoint folder, so plans stay short and lost executors cost only their tasks.
     """
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    shared_dir(nodes.sparkSession)
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = nodes.select(F.col(node).alias("node"), F.col(node).alias("root")).distinct()
-    if not nodes.sparkSession.sparkContext.getCheckpointDir():
-        import tempfile
-
-        nodes.sparkSession.sparkContext.setCheckpointDir(nodes.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    both = both.checkpoint()
-    for _ in range(most_rounds):
+    while True:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("near"))
         step = labels.join(near, F.col("node") == F.col("a"), "left").select("node", "root", F.least("root", F.coalesce("near", "root")).alias("next"))
         jump = step.select(F.col("node").alias("_n"), F.col("next").alias("_r"))
@@ -34,14 +44,14 @@ def components(nodes: DataFrame, edges: DataFrame, node: str, most_rounds: int =
         labels = step.select("node", F.col("next").alias("root"))
         if step.filter("root <> next").isEmpty():
             return labels.withColumnRenamed("node", node)
-    raise RuntimeError(f"components not settled after {most_rounds} rounds")
 
 
 def component_listing(labels: DataFrame, node: str, prefix: str = "IC") -> DataFrame:
-    """Stable ids by order of the components' smallest nodes, with their members."""
+    """Stable ids by order of the components' smallest nodes, with their members; ids are as wide as their number needs, two digits at least."""
     groups = labels.groupBy("root").agg(F.array_join(F.array_sort(F.collect_list(F.col(node).cast("string"))), ",").alias("members"), F.count(F.lit(1)).alias("n"))
     nth = F.row_number().over(Window.orderBy("root"))
-    return groups.select(F.concat(F.lit(f"{prefix}-"), F.lpad(nth.cast("string"), 2, "0")).alias("component"), "root", "members", "n")
+    width = F.greatest(F.lit(2), F.length(F.count(F.lit(1)).over(Window.partitionBy()).cast("string")))
+    return groups.select(F.concat(F.lit(f"{prefix}-"), F.lpad(nth.cast("string"), width, F.lit("0"))).alias("component"), "root", "members", "n")
 
 
 def assign_sequences(df: DataFrame, item: str, stratum: str, sequences: int, seed: str) -> DataFrame:

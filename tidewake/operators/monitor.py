@@ -12,12 +12,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def classify_replays(batch: DataFrame, accepted: DataFrame, event_id: str, content: Column) -> DataFrame:
-    """Rows of a batch as new, replayed (same id and content) or in conflict (same id, other content); repeats within the batch count as replays of its first row."""
+def classify_replays(batch: DataFrame, accepted: DataFrame, event_id: str, content: Column, arrival: Sequence[str]) -> DataFrame:
+    """Rows of a batch as new, replayed (same id and content) or in conflict (same id, other content).
+
+    What was accepted before counts first, then what arrived first in the batch, by ``arrival`` and then by content.
+    """
     rows = batch.withColumn("_hash", content)
-    first = F.min_by("_hash", F.struct("_hash")).over(Window.partitionBy(event_id))
+    by = Window.partitionBy(event_id).orderBy(*(F.col(c).asc_nulls_last() for c in arrival), "_hash")
     known = accepted.select(F.col(event_id).alias("_known"), F.col("content_hash").alias("_old"))
-    rows = rows.withColumn("_first", first).withColumn("_n", F.row_number().over(Window.partitionBy(event_id).orderBy("_hash")))
+    rows = rows.withColumn("_first", F.first("_hash").over(by)).withColumn("_n", F.row_number().over(by))
     rows = rows.join(known, F.col(event_id) == F.col("_known"), "left")
     base = F.coalesce("_old", "_first")
     status = F.when(F.col("_hash") != base, "conflict").when(F.col("_old").isNotNull() | (F.col("_n") > 1), "replayed").otherwise("new")
@@ -32,20 +35,37 @@ def check_revisions(df: DataFrame, case: str, revision: str, event_id: str, corr
     return df.withColumn("sequence_ok", ok)
 
 
+def follow_on(rows: DataFrame, accepted: DataFrame, case: Sequence[str], revision: str, event_id: str, corrects: str, arrival: Sequence[str]) -> DataFrame:
+    """``sequence_ok`` for new rows: they continue what was accepted of their case, revision by revision, each naming the one before.
+
+    Of rows with the same revision the first arrival counts; after a gap or a wrong link nothing of the case is taken.
+    """
+    latest = active_revisions(accepted, case, revision, event_id).select(*(F.col(c).alias(f"_{c}") for c in case), F.col(revision).alias("_base"), F.col(event_id).alias("_base_id"))
+    same = Window.partitionBy(*case, revision).orderBy(*(F.col(c).asc_nulls_last() for c in arrival), event_id)
+    out = rows.withColumn("_twin", F.row_number().over(same)).join(latest, [F.col(c) == F.col(f"_{c}") for c in case], "left")
+    # one row for each revision is the chain; twins hang behind and are never taken
+    by = Window.partitionBy(*case, F.col("_twin") == 1).orderBy(revision)
+    before, named = F.coalesce(F.lag(revision).over(by), "_base", F.lit(0)), F.coalesce(F.lag(event_id).over(by), "_base_id")
+    out = out.withColumn("_ok", (F.col("_twin") == 1) & (F.col(revision) == before + 1) & F.col(corrects).eqNullSafe(named))
+    return out.withColumn("sequence_ok", F.bool_and("_ok").over(by.rowsBetween(Window.unboundedPreceding, 0))).drop("_twin", "_ok", "_base", "_base_id", *(f"_{c}" for c in case))
+
+
 def active_revisions(df: DataFrame, case: Sequence[str], revision: str, event_id: str) -> DataFrame:
     """The latest revision of every case."""
     by = Window.partitionBy(*case).orderBy(F.col(revision).desc_nulls_last(), F.col(event_id).desc_nulls_last())
     return df.withColumn("_nth", F.row_number().over(by)).filter("_nth = 1").drop("_nth")
 
 
-def late_and_backfilled(df: DataFrame, scored: str, arrived: str, order: str, late_days: int, by: Sequence[str] = ()) -> DataFrame:
+def late_and_backfilled(df: DataFrame, scored: str, arrived: str, order: str, late_days: int, by: Sequence[str] = (), seen: Column | None = None) -> DataFrame:
     """Late: arrived more than ``late_days`` after scoring. Backfilled: scored before something that had arrived already.
 
-    The running maximum is over the order of arrival within ``by``; without it, over all rows.
+    The running maximum is over the order of arrival within ``by``; without it, over all rows. ``seen`` is the
+    largest that came before all of these rows.
     """
     w = Window.partitionBy(*by).orderBy(arrived, order).rowsBetween(Window.unboundedPreceding, -1)
     late = F.col(arrived) > F.col(scored) + F.make_dt_interval(F.lit(late_days))
-    return df.withColumn("is_late", late).withColumn("is_backfill", F.coalesce(F.col(scored) < F.max(scored).over(w), F.lit(False)))
+    so_far = F.max(scored).over(w) if seen is None else F.greatest(F.max(scored).over(w), seen)
+    return df.withColumn("is_late", late).withColumn("is_backfill", F.coalesce(F.col(scored) < so_far, F.lit(False)))
 
 
 def weekly_metrics(df: DataFrame, week: str, segment: Sequence[str], score: str, outcome: str, matured: Column, baseline_weeks: int, edges: Sequence[float], least_outcomes: int = 1) -> DataFrame:
@@ -130,11 +150,63 @@ def seasonal_shrinkage(df: DataFrame, service: str, week: str, month: Column, n:
 
 
 def provenance(df: DataFrame, metric: Sequence[str], inputs: Sequence[str]) -> DataFrame:
-    """The exact inputs of each metric, sorted, their number and a digest."""
-    rows = F.array_sort(F.collect_list(F.struct(*inputs)))
-    out = df.groupBy(*metric).agg(rows.alias("_rows"), F.count(F.lit(1)).alias("n_inputs"))
-    ids = F.transform("_rows", lambda r: r[inputs[0]].cast("string"))
-    return out.select(*metric, "n_inputs", F.array_join(ids, ",").alias("input_ids"), F.sha2(F.to_json("_rows").cast("binary"), 256).alias("input_digest"))
+    """The inputs of each metric by number, bounds and a digest that doesn't depend on their order.
+
+    The digest is the sum of 64-bit parts of the inputs' hashes, so a metric of any number of inputs is one
+    aggregation; ``provenance_inputs`` lists them as rows.
+    """
+    text = F.sha2(F.to_json(F.struct(*inputs)).cast("binary"), 256)
+    parts = [F.sum(F.conv(F.substring(text, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")).alias(f"_d{i}") for i in range(4)]
+    out = df.groupBy(*metric).agg(F.count(F.lit(1)).alias("n_inputs"), F.min(inputs[0]).alias("first_input"), F.max(inputs[0]).alias("last_input"), *parts)
+    digest = F.sha2(F.concat_ws("|", F.col("n_inputs").cast("string"), *(F.col(f"_d{i}").cast("string") for i in range(4))).cast("binary"), 256)
+    return out.select(*metric, "n_inputs", "first_input", "last_input", digest.alias("input_digest"))
+
+
+def provenance_inputs(df: DataFrame, metric: Sequence[str], inputs: Sequence[str], wanted: dict[str, object] | None = None) -> DataFrame:
+    """The exact inputs of metrics, a row for each; of one metric with ``wanted``."""
+    rows = equal_filters(df, wanted or {}, metric)
+    return rows.select(*metric, *inputs)
+
+
+def retract(ledger: DataFrame, alert_ids: DataFrame, key: str, content: str) -> DataFrame:
+    """Rows to append so that listed alerts that stand are retracted; unknown and already retracted ones give none."""
+    standing = active_alerts(ledger, key, content)
+    return standing.join(alert_ids.select(F.col(key).alias("_k")).distinct(), F.col(key) == F.col("_k"), "left_semi").select(key, F.lit(1).alias("step"), F.lit("retracted").alias("action"), content)
+
+
+def active_alerts(ledger: DataFrame, key: str, content: str, order: Sequence[str] = ("batch", "step")) -> DataFrame:
+    """The alerts of an append-only ledger whose last change fired them."""
+    last = F.max_by(F.struct("action", content), F.struct(*order)).alias("r")
+    return ledger.groupBy(key).agg(last).filter("r.action = 'fired'").select(key, f"r.{content}")
+
+
+def daily_budget(df: DataFrame, at: str, severity: str, name: str, budget: int, by: Sequence[str] = ()) -> DataFrame:
+    """Alerts of each day within a budget, the most severe first."""
+    rank = F.row_number().over(Window.partitionBy(*by, F.to_date(at)).orderBy(F.desc(severity), name))
+    return df.withColumn("within_budget", rank <= budget)
+
+
+def weekly_monitor(df: DataFrame, service: str, week: str, month: Column, n: str, events: str, alpha: float = 0.05, budget: int = 2, prior: float = 50.0) -> DataFrame:
+    """A weekly monitor from weekly sums: z against the shrunk seasonal rate, p adjusted within each week for all
+    services (Benjamini-Yekutieli), a breach kept only in its second week running in the same direction, and of those the
+    most extreme of a week up to the budget.
+    """
+    from tidewake.functions.probability import two_sided_p
+
+    rows = seasonal_shrinkage(df, service, week, month, n, events, prior).filter("z IS NOT NULL").withColumn("p", two_sided_p(F.col("z")))
+    # tests of a week: harmonic factor and step-up minimum, one partition for each week
+    by, all_ = Window.partitionBy(week), F.count(F.lit(1))
+    m, rank = all_.over(by), F.row_number().over(by.orderBy("p", service))
+    rows = rows.withColumn("_m", m).withColumn("_i", rank)
+    harmonic = F.aggregate(F.sequence(F.lit(1), F.col("_m").cast("int")), F.lit(0.0), lambda t, x: t + 1.0 / x)
+    rows = rows.withColumn("_q", F.least(F.lit(1.0), F.col("p") * F.col("_m") * harmonic / F.col("_i")))
+    rows = rows.withColumn("p_adjusted", F.min("_q").over(by.orderBy(F.desc("_i")).rowsBetween(Window.unboundedPreceding, 0))).drop("_m", "_i", "_q")
+    rows = rows.withColumn("direction", F.when(F.col("z") > 0, "up").otherwise("down")).withColumn("breach", F.col("p_adjusted") <= alpha)
+    rows = streaks(rows, [service], week, "breach", "direction")
+    rows = rows.withColumn("persists", F.col("streak") >= 2).withColumn("_z", F.abs("z"))
+    nth = F.row_number().over(Window.partitionBy(week, "persists").orderBy(F.desc("_z"), service))
+    state = F.when(~F.col("breach"), "quiet").when(~F.col("persists"), "watch").when(nth <= budget, "fired").otherwise("over_budget")
+    return rows.withColumn("state", state).drop("_z")
 
 
 def equal_filters(df: DataFrame, wanted: dict[str, object], allowed: Sequence[str]) -> DataFrame:

@@ -15,7 +15,8 @@ def number_registry(results: DataFrame, table: str, key: Sequence[str], units: d
     cells = rows.unpivot(["row_key"], numbers, "cell", "value")
     unit = F.coalesce(*(F.when(F.col("cell") == c, F.lit(u)) for c, u in units.items()), F.lit("number"))
     nth = F.row_number().over(Window.orderBy("row_key", "cell"))
-    return cells.select(F.concat(F.lit(f"{table}-"), F.lpad(nth.cast("string"), 6, "0")).alias("number_id"), F.lit(table).alias("source_table"), "row_key", "cell", "value", unit.alias("unit"), F.lit(status).alias("status"))
+    width = F.greatest(F.lit(6), F.length(F.count(F.lit(1)).over(Window.partitionBy()).cast("string")))
+    return cells.select(F.concat(F.lit(f"{table}-"), F.lpad(nth.cast("string"), width, F.lit("0"))).alias("number_id"), F.lit(table).alias("source_table"), "row_key", "cell", "value", unit.alias("unit"), F.lit(status).alias("status"))
 
 
 def explode_listed(df: DataFrame, column: str, out: str, sep: str = ";") -> DataFrame:

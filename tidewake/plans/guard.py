@@ -1,23 +1,30 @@
 """Guarded read-only SQL over one scoped view for each principal.
 
 A principal's rows and columns are filtered in an isolated session that knows a single view,
-``cases``. A statement passes a text check, then is parsed by Spark itself: it must be one query,
-read ``cases`` (or its own common table expressions) and nothing else, call only listed
-functions, and stay under a ceiling of scans and possible rows. Only then does it run, under a
-tag by which a timer can cancel it, and with its rows, columns and cells capped.
+``cases``. A statement passes a text check, then is parsed by Spark itself, and the plan is walked
+node by node: it must be one query, read ``cases`` (or its own common table expressions) and
+nothing else, call only listed functions, hold only listed expressions once it is analyzed, and
+stay under a ceiling of scans and of rows that joins without an equality can make. Only then does
+it run, under a tag by which a timer can cancel it, and with its rows, columns and cells capped.
+Every statement leaves an audit row of hashes and counts, admitted or not.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 import math
 import re
 import threading
+import time
 import unicodedata
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
+from datetime import date
 from decimal import Decimal
 
+from py4j.java_gateway import is_instance_of
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +32,11 @@ VIEW = "cases"
 _DENIED = re.compile(r"\b(insert|update|delete|merge|drop|create|alter|truncate|set|reset|use|cache|uncache|refresh|add|load|describe|show|explain|analyze|call|grant|revoke|copy|attach|pragma)\b|\binformation_schema\b|\bsystem\b|`", re.I)
 #: Functions that a statement may call, by the names that Spark's parser leaves unresolved.
 ALLOWED_FUNCTIONS = frozenset("count sum avg mean min max round floor ceil abs coalesce nullif upper lower trim length substr substring year month day date_trunc percentile median stddev stddev_samp variance row_number rank dense_rank lag lead if ifnull when case cast and or not between in like concat count_if bool_or bool_and + - * / % = == != <> < > <= >= isnull isnotnull unary_minus negative".split())
+#: Classes of expressions that an analyzed statement may hold; what isn't listed is refused, whatever it was called.
+ALLOWED_EXPRESSIONS = frozenset("""AttributeReference Alias Literal Cast Add Subtract Multiply Divide Remainder UnaryMinus EqualTo EqualNullSafe LessThan LessThanOrEqual GreaterThan GreaterThanOrEqual Not And Or In InSubquery ListQuery ScalarSubquery Exists
+OuterReference IsNull IsNotNull CaseWhen If Coalesce NullIf Nvl Between AggregateExpression Count Sum Average Min Max Round Floor Ceil Abs Upper Lower StringTrim Length Substring Year Month DayOfMonth TruncTimestamp Percentile Median StddevSamp VarianceSamp
+CountIf BoolOr BoolAnd RowNumber Rank DenseRank Lag Lead WindowExpression WindowSpecDefinition SpecifiedWindowFrame UnspecifiedFrame$ UnboundedPreceding$ UnboundedFollowing$ CurrentRow$ SortOrder Like Concat Complete$ TempResolvedColumn LateralColumnAliasReference With CommonExpressionDef CommonExpressionRef TypedNullLiteral""".split())
+_QUERY_PLAN, _EXPRESSION = "org.apache.spark.sql.catalyst.plans.QueryPlan", "org.apache.spark.sql.catalyst.expressions.Expression"
 
 
 class Refused(ValueError):
@@ -72,10 +84,11 @@ def scoped(source: DataFrame, scope: Scope, site: str = "site", service: str = "
     return rows.filter(F.col(day).between(F.lit(scope.first_day).cast("date"), F.lit(scope.last_day).cast("date"))).select(*scope.columns)
 
 
-def scope_breaches(rows: DataFrame, scope: Scope, site: str = "site", service: str = "service") -> DataFrame:
-    """Counts of rows that a scope shouldn't hold; all must be zero."""
+def scope_breaches(rows: DataFrame, scope: Scope, site: str = "site", service: str = "service", day: str = "referral_date") -> DataFrame:
+    """Counts of rows that a scope shouldn't hold; all must be zero. Days are looked at where the scope shows them."""
     foreign = ~F.col(service).isin(list(scope.services)) if scope.services is not None else F.lit(False)
-    return rows.agg(F.count_if(~F.col(site).isin(list(scope.sites) or [""])).alias("foreign_site"), F.count_if(foreign).alias("foreign_service"))
+    other_day = ~F.coalesce(F.col(day).between(F.lit(scope.first_day).cast("date"), F.lit(scope.last_day).cast("date")), F.lit(False)) if day in rows.columns else F.lit(False)
+    return rows.agg(F.count_if(~F.col(site).isin(list(scope.sites) or [""])).alias("foreign_site"), F.count_if(foreign).alias("foreign_service"), F.count_if(other_day).alias("foreign_day"))
 
 
 def check_text(sql: str, limits: Limits) -> None:
@@ -90,37 +103,67 @@ def check_text(sql: str, limits: Limits) -> None:
         raise Refused(f"word {m[0]!r}")
 
 
+def _each(seq) -> Iterator:
+    for i in range(seq.length()):
+        yield seq.apply(i)
+
+
+def nodes(session: SparkSession, plan) -> Iterator[tuple[str, object, bool]]:
+    """(class, node, whether it is an expression) of a plan, its subqueries and their expressions."""
+    gateway, left = session.sparkContext._gateway, [plan]
+    while left:
+        node = left.pop()
+        expression = is_instance_of(gateway, node, _EXPRESSION)
+        yield node.getClass().getSimpleName(), node, expression
+        left += _each(node.children())
+        if not expression:
+            left += _each(node.expressions())
+            left += [x for x in _each(node.innerChildren()) if is_instance_of(gateway, x, _QUERY_PLAN)]
+        elif is_instance_of(gateway, node, "org.apache.spark.sql.catalyst.expressions.PlanExpression"):
+            left.append(node.plan())
+
+
 def check_plan(session: SparkSession, sql: str, limits: Limits) -> None:
-    """Rules on the statement as Spark parses and analyzes it."""
+    """Rules on the statement as Spark parses, analyzes and optimizes it."""
     state = session._jsparkSession.sessionState()
     try:
         parsed = state.sqlParser().parsePlan(sql)
     except Exception as e:
         raise Refused("syntax") from e
-    text = parsed.toString()
-    if re.search(r"Command|InsertInto|DropTable|CreateTable|DropNamespace|SetCatalog|Replace|Alter|CacheTable|'?RecursiveRelation|UnresolvedInlineTable|ScriptTransformation", text):
-        raise Refused("not a query")
-    if re.search(r"RECURSIVE", re.sub(r"'(?:[^']|'')*'", "''", sql), re.I):
-        raise Refused("recursion")
-    own = {x.lower() for x in re.findall(r"(?:\bwith\b|,)\s*([a-z_]\w*)(?:\s*\([^)]*\))?\s+as\s*\(", sql, re.I)}
-    for name in re.findall(r"'?UnresolvedRelation \[([^\]]*)\]", text):
-        if name.strip().lower() not in own | {VIEW}:
-            raise Refused(f"relation {name!r}")
-    for name in re.findall(r"'([a-z_][\w.]*)\(", text):
-        if name.lower() not in ALLOWED_FUNCTIONS:
-            raise Refused(f"function {name!r}")
-    if re.search(r"UnresolvedTableValuedFunction|'?UnresolvedTVF|Generate", text):
-        raise Refused("table function")
+    found = list(nodes(session, parsed))
+    own = {VIEW}
+    for kind, node, _ in found:
+        if kind == "UnresolvedWith":
+            if node.allowRecursion():
+                raise Refused("recursion")
+            own |= {x._1().lower() for x in _each(node.cteRelations())}
+    for kind, node, expression in found:
+        if not expression and re.search(r"Command|Insert|Drop|Create|Set|Replace|Alter|Cache|InlineTable|LocalRelation|ScriptTransformation|TableValuedFunction|TVF|Generate|Describe|Show", kind):
+            raise Refused("not a query")
+        if kind == "UnresolvedRelation":
+            name = ".".join(_each(node.multipartIdentifier())).lower()
+            if name not in own:
+                raise Refused(f"relation {name!r}")
+        if kind == "UnresolvedFunction":
+            name = ".".join(_each(node.nameParts())).lower()
+            if name not in ALLOWED_FUNCTIONS:
+                raise Refused(f"function {name!r}")
     try:
-        analyzed = session.sql(sql)._jdf.queryExecution().analyzed()
+        execution = session.sql(sql)._jdf.queryExecution()
+        analyzed = execution.analyzed()
     except Exception as e:
         raise Refused("analysis") from e
-    leaves = analyzed.collectLeaves().length()
-    if leaves > limits.scans:
+    for kind, _, expression in nodes(session, analyzed):
+        if expression and kind not in ALLOWED_EXPRESSIONS:
+            raise Refused(f"expression {kind!r}")
+    if analyzed.collectLeaves().length() > limits.scans:
         raise Refused("scans")
-    rows = max(session.table(VIEW).count(), 1)
-    crosses = len(re.findall(r"Join (?:Cross|Inner)\s*$", analyzed.toString(), re.M))
-    if crosses and rows ** (crosses + 1) > limits.possible_rows:
+    equal = session.sparkContext._jvm.org.apache.spark.sql.catalyst.planning.ExtractEquiJoinKeys
+    try:
+        open_joins = sum(kind == "Join" and equal.unapply(node).isEmpty() for kind, node, _ in nodes(session, execution.optimizedPlan()))
+    except Exception as e:
+        raise Refused("analysis") from e
+    if open_joins and max(session.table(VIEW).count(), 1) ** (open_joins + 1) > limits.possible_rows:
         raise Refused("possible rows")
 
 
@@ -136,21 +179,41 @@ def cell(value, limits: Limits):
 
 
 class GuardedQueries:
-    """Answers statements of one principal in a session of its own."""
+    """Answers statements of one principal in a session of its own; ``audit`` takes a row for each."""
 
-    def __init__(self, spark: SparkSession, rows: DataFrame, scope: Scope, location: str, limits: Limits = Limits()):
+    def __init__(self, spark: SparkSession, rows: DataFrame, scope: Scope, location: str, limits: Limits = Limits(), audit: Callable[[dict], None] | None = None):
         path = f"{location.rstrip('/')}/scope-{uuid.uuid4().hex}"
         rows.write.parquet(path)
-        self.scope, self.limits = scope, limits
+        self.scope, self.limits, self.audit = scope, limits, audit
         self.session = spark.newSession()
         self.session.read.parquet(path).createOrReplaceTempView(VIEW)
         self.session.conf.set("spark.sql.runSQLOnFiles", "false")
 
     def answer(self, sql: str) -> Answer:
+        began, out, reason = time.time(), None, None
+        try:
+            out = self._answer(sql)
+            return out
+        except Refused as e:
+            reason = str(e)
+            raise
+        finally:
+            if self.audit:
+                self.audit(audit_row(self.scope, sql, out, reason, time.time() - began))
+
+    def ask(self, question: str, provider: Callable[[str, Sequence[str]], tuple[str, str | None]]) -> Answer:
+        """The answer to a question that a provider puts into SQL; its SQL is checked like any other."""
+        decision, sql = provider(question, self.scope.columns)
+        if decision != "answer" or sql is None:
+            raise Refused(decision)
+        return self.answer(sql)
+
+    def _answer(self, sql: str) -> Answer:
         check_text(sql, self.limits)
         check_plan(self.session, sql, self.limits)
         frame = self.session.sql(sql)
-        if len(frame.columns) > self.limits.columns or len(set(frame.columns)) < len(frame.columns):
+        names = frame.columns
+        if len(names) > self.limits.columns or len({n.lower() for n in names}) < len(names) or not all(_LABEL.fullmatch(n) for n in names):
             raise Refused("columns")
         tag = f"guard-{uuid.uuid4().hex}"
         timer = threading.Timer(self.limits.seconds, lambda: self.session.interruptTag(tag))
@@ -167,6 +230,44 @@ class GuardedQueries:
         return Answer(frame.columns, [[cell(v, self.limits) for v in r] for r in kept], len(found) > len(kept), self.scope.name, sql)
 
 
+#: Names of result columns: letters, digits and underscores.
+_LABEL = re.compile(r"[A-Za-z_][A-Za-z0-9_]{0,63}")
+
+
+def _hash(value) -> str:
+    return hashlib.sha256(json.dumps(value, sort_keys=True, default=str, separators=(",", ":")).encode()).hexdigest()
+
+
+def audit_row(scope: Scope, sql: str, answer: Answer | None, reason: str | None, seconds: float) -> dict:
+    """What happened to a statement, in hashes and counts: neither its text nor its rows."""
+    return {
+        "principal_sha256": _hash(scope.name), "scope_sha256": _hash([scope.columns, scope.sites, scope.services, scope.first_day, scope.last_day]), "statement_sha256": hashlib.sha256(sql.encode()).hexdigest(), "admitted": answer is not None,
+        "reason": reason, "rows": len(answer.rows) if answer else None, "truncated": answer.truncated if answer else None, "rows_sha256": _hash(answer.rows) if answer else None, "millis": round(seconds * 1000),
+    }
+
+
+def load_policy(policy: dict) -> dict[str, Scope]:
+    """Scopes by principal from ``{"version": 1, "principals": {name: {...}}}``; unknown or missing fields, wrong types and empty lists are refused."""
+    if set(policy) != {"version", "principals"} or policy["version"] != 1 or not isinstance(policy["principals"], dict):
+        raise ValueError("policy: version 1 with principals")
+    out = {}
+    for name, p in policy["principals"].items():
+        required, known = {"columns", "sites"}, {"columns", "sites", "services", "first_day", "last_day"}
+        if not isinstance(p, dict) or not required <= set(p) <= known:
+            raise ValueError(f"policy of {name!r}: fields")
+        for k in ("columns", "sites", "services"):
+            v = p.get(k)
+            if (v is not None or k != "services") and not (isinstance(v, list) and v and all(isinstance(x, str) and x for x in v) and len(set(v)) == len(v)):
+                raise ValueError(f"policy of {name!r}: {k}")
+        if p.get("services") and not all(any(s.startswith(f"{site}-") for site in p["sites"]) for s in p["services"]):
+            raise ValueError(f"policy of {name!r}: a service outside its sites")
+        days = [date.fromisoformat(p.get(k, d)) for k, d in (("first_day", "0001-01-01"), ("last_day", "9999-12-31"))]
+        if days[0] > days[1]:
+            raise ValueError(f"policy of {name!r}: days")
+        out[name] = Scope(name, tuple(p["columns"]), tuple(p["sites"]), tuple(p["services"]) if p.get("services") else None, *(d.isoformat() for d in days))
+    return out
+
+
 #: What questions can ask for, and how it is computed.
 MEASURES = {"count": "count(*)", "cancellation rate": "avg(CAST(cancellation_proxy AS INT))", "mean readiness": "avg(readiness_days)", "mean cost": "avg(total_cost_cad)"}
 GROUPS = {"": (), "by site": ("site",), "by service": ("service_code",), "by site and service": ("site", "service_code")}
@@ -202,6 +303,21 @@ def question_sql(question: str, allowed: Sequence[str]) -> tuple[str, str | None
     return "answer", template_sql(found[0], group)
 
 
+def fixed_provider(statements: dict[str, str]) -> Callable[[str, Sequence[str]], tuple[str, str | None]]:
+    """Answers listed questions with listed SQL and asks back for all others."""
+    known = {" ".join(q.lower().split()): sql for q, sql in statements.items()}
+
+    def provide(question: str, allowed: Sequence[str]) -> tuple[str, str | None]:
+        sql = known.get(" ".join(question.lower().split()))
+        return ("answer", sql) if sql else ("clarify", None)
+
+    return provide
+
+
+#: Ways to put questions into SQL, by name: each makes a function of (question, allowed columns).
+PROVIDERS: dict[str, Callable[..., Callable[[str, Sequence[str]], tuple[str, str | None]]]] = {"template": lambda: question_sql, "fixed": fixed_provider}
+
+
 def evaluation_summary(cases: DataFrame) -> DataFrame:
     """Refusal precision and recall, success rate, nearest-rank latency and cost from rows (expected, decision, correct, millis, cost)."""
     refused, should = F.col("decision") == "refuse", F.col("expected") == "refuse"

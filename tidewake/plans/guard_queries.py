@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from tidewake.plans import guard
@@ -39,15 +37,25 @@ def _shape(measure: str, group: str) -> str:
 
 @query("guarded_template_16", f"WITH {_CASES_SQL} " + " UNION ALL ".join(_shape(m, g) for m in guard.MEASURES for g in guard.GROUPS))
 def guarded_template_16(spark, sf_dir):
-    session_view = f"{guard.VIEW}"
-    rows = _cases(spark, sf_dir)
-    frames = []
-    for m in guard.MEASURES:
-        for g, keys in guard.GROUPS.items():
-            out = spark.sql(guard.template_sql(m, g).replace(f"FROM {session_view}", "FROM {rows}"), rows=rows)
-            null = F.lit(None).cast("string")
-            frames.append(out.select(F.lit(f"{m} {g}").alias("shape"), *(F.col(k) if k in keys else null.alias(k) for k in ("site", "service_code")), F.round(F.col("answer").cast("double"), 6).alias("answer")))
-    return reduce(lambda a, b: a.unionAll(b), frames)
+    """All templates at once: the groups are a cube, the measures columns of one aggregation."""
+    measures = [F.expr(e).cast("double").alias(m) for m, e in guard.MEASURES.items()]
+    cells = _cases(spark, sf_dir).cube("site", "service_code").agg(F.grouping_id().alias("g"), *measures)
+    group = F.when(F.col("g") == 3, "").when(F.col("g") == 1, "by site").when(F.col("g") == 2, "by service").otherwise("by site and service")
+    shapes = cells.withColumn("group", group).unpivot(["site", "service_code", "group"], [f"`{m}`" for m in guard.MEASURES], "measure", "answer")
+    return shapes.select(F.concat_ws(" ", "measure", "group").alias("shape"), "site", "service_code", F.round("answer", 6).alias("answer"))
+
+
+@query("guarded_answers", f"""WITH {_CASES_SQL} SELECT 1 AS question, site AS label, CAST(count(*) AS DOUBLE) AS answer FROM cases GROUP BY site UNION ALL SELECT 2, service_code, round(avg(CAST(cancellation_proxy AS INT)), 6) FROM cases GROUP BY service_code UNION ALL SELECT 3, 'all', round(avg(readiness_days), 6) FROM cases""")
+def guarded_answers(spark, sf_dir):
+    """Questions through provider, guard and scope: what a principal gets."""
+    from tidewake.operators.graph import shared_dir
+
+    asked = guard.GuardedQueries(spark, _cases(spark, sf_dir), SCOPE, shared_dir(spark))
+    rows = []
+    for i, question in enumerate(("How many cases are there by site?", "What is the cancellation rate per service?", "mean readiness"), 1):
+        for r in asked.ask(question, guard.PROVIDERS["template"]()).rows:
+            rows.append((i, str(r[0]) if len(r) > 1 else "all", round(float(r[-1]), 6)))
+    return spark.createDataFrame(rows, "question int, label string, answer double")
 
 
 @query("service_templates", """SELECT c_mktsegment AS service, CAST(CAST(date_trunc('week', o_orderdate) AS DATE) AS VARCHAR) AS week, count(*) AS n, round(quantile_cont(o_totalprice, 0.9), 4) AS p90, round(median(o_totalprice), 4) AS median, count(*) FILTER (o_orderstatus = 'F') AS closed

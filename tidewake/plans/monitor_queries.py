@@ -27,22 +27,28 @@ def active_revisions(spark, sf_dir):
     return monitor.active_revisions(revisions(spark, sf_dir), ["user_id", "week"], "revision", "event_id").select("user_id", F.col("week").cast("string").alias("week"), "event_id", "revision", "corrects")
 
 
-@query("revision_sequence", f"""WITH {EVENTS_SQL}, {REV_SQL}, kept AS (SELECT * FROM rev WHERE event_id % 7 <> 0),
+@query("revision_sequence", f"""WITH {EVENTS_SQL}, {REV_SQL}, kept AS (SELECT * REPLACE (revision + CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END AS revision) FROM rev),
 checked AS (SELECT *, lag(revision) OVER w AS r0, lag(event_id) OVER w AS e0 FROM kept WINDOW w AS (PARTITION BY user_id, week ORDER BY revision, event_id))
 SELECT event_id, CASE WHEN r0 IS NULL THEN revision = 1 AND corrects IS NULL ELSE revision = r0 + 1 AND corrects IS NOT DISTINCT FROM e0 END AS sequence_ok FROM checked""")
 def revision_sequence(spark, sf_dir):
-    rows = revisions(spark, sf_dir).filter("event_id % 7 <> 0").withColumn("case", F.struct("user_id", "week"))
+    # some revisions skip a number
+    rows = revisions(spark, sf_dir).withColumn("revision", F.col("revision") + F.when(F.col("event_id") % 7 == 0, 1).otherwise(0)).withColumn("case", F.struct("user_id", "week"))
     return monitor.check_revisions(rows, "case", "revision", "event_id", "corrects").select("event_id", "sequence_ok")
 
 
-@query("replay_conflicts", f"""WITH {EVENTS_SQL}, old AS (SELECT event_id, sha256(event_type || '|' || cents) AS h FROM ev WHERE event_id % 3 = 0), batch AS (SELECT event_id, sha256(event_type || '|' || (cents + CASE WHEN event_id % 12 = 0 THEN 1 ELSE 0 END)) AS h FROM ev WHERE event_id % 2 = 0)
-SELECT b.event_id, CASE WHEN o.h IS NULL THEN 'new' WHEN o.h <> b.h THEN 'conflict' ELSE 'replayed' END AS status FROM batch b LEFT JOIN old o ON o.event_id = b.event_id""")
+@query("replay_conflicts", f"""WITH {EVENTS_SQL}, old AS (SELECT event_id, sha256(event_type || '|' || cents) AS h FROM ev WHERE event_id % 3 = 0),
+sent AS (SELECT event_id, event_type, cents, 0 AS try FROM ev WHERE event_id % 2 = 0 UNION ALL SELECT event_id, event_type, cents, 1 FROM ev WHERE event_id % 10 = 0 UNION ALL SELECT event_id, event_type, cents + 5, 2 FROM ev WHERE event_id % 14 = 0),
+batch AS (SELECT event_id, try, sha256(event_type || '|' || (cents + CASE WHEN event_id % 12 = 0 THEN 1 ELSE 0 END)) AS h FROM sent),
+based AS (SELECT b.*, o.h AS old, coalesce(o.h, first_value(b.h) OVER (PARTITION BY b.event_id ORDER BY try)) AS base, row_number() OVER (PARTITION BY b.event_id ORDER BY try) AS n FROM batch b LEFT JOIN old o ON o.event_id = b.event_id)
+SELECT event_id, try, CASE WHEN h <> base THEN 'conflict' WHEN old IS NOT NULL OR n > 1 THEN 'replayed' ELSE 'new' END AS status FROM based""")
 def replay_conflicts(spark, sf_dir):
     e = event_log(spark, sf_dir)
     content = F.sha2(F.concat_ws("|", "event_type", F.col("cents").cast("string")).cast("binary"), 256)
     accepted = e.filter("event_id % 3 = 0").select("event_id", content.alias("content_hash"))
-    batch = e.filter("event_id % 2 = 0").withColumn("cents", F.col("cents") + F.when(F.col("event_id") % 12 == 0, 1).otherwise(0))
-    return monitor.classify_replays(batch, accepted, "event_id", content).select("event_id", "status")
+    # events are sent, sent again as they are, and sent again with another amount
+    times = F.filter(F.array(F.when(F.col("event_id") % 2 == 0, 0), F.when(F.col("event_id") % 10 == 0, 1), F.when(F.col("event_id") % 14 == 0, 2)), lambda x: x.isNotNull())
+    batch = e.withColumn("try", F.explode(times)).withColumn("cents", F.col("cents") + F.when(F.col("event_id") % 12 == 0, 1).otherwise(0) + F.when(F.col("try") == 2, 5).otherwise(0))
+    return monitor.classify_replays(batch, accepted, "event_id", content, ["try"]).select("event_id", "try", "status")
 
 
 @query("backfill_late_flags", f"""WITH {EVENTS_SQL}, {REV_SQL} SELECT event_id, ingest_ts > ts + INTERVAL 9 DAY AS is_late, coalesce(ts < max(ts) OVER (PARTITION BY site, service ORDER BY ingest_ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS is_backfill FROM rev""")
@@ -128,9 +134,16 @@ def seasonal_shrinkage_monitor(spark, sf_dir):
     return rounded(out, "expected", "z").withColumn("week", F.col("week").cast("string"))
 
 
-@query("metric_provenance", f"""WITH {EVENTS_SQL}, {REV_SQL} SELECT CAST(week AS VARCHAR) AS week, service, count(*) AS n_inputs, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) AS input_ids FROM rev GROUP BY 1, 2""")
+@query("metric_provenance", f"""WITH {EVENTS_SQL}, {REV_SQL}, x AS (SELECT week, service, event_id, sha256('{{"event_id":' || event_id || ',"revision":' || revision || '}}') AS h FROM rev),
+s AS (SELECT week, service, count(*) AS n_inputs, min(event_id) AS first_input, max(event_id) AS last_input, {', '.join(f"CAST(sum(CAST('0x' || substr(h, {1 + 15 * i}, 15) AS BIGINT)) AS VARCHAR) AS d{i}" for i in range(4))} FROM x GROUP BY 1, 2)
+SELECT CAST(week AS VARCHAR) AS week, service, n_inputs, first_input, last_input, sha256(concat_ws('|', n_inputs, d0, d1, d2, d3)) AS input_digest FROM s""")
 def metric_provenance(spark, sf_dir):
-    return monitor.provenance(revisions(spark, sf_dir), ["week", "service"], ["event_id", "revision"]).select(F.col("week").cast("string").alias("week"), "service", "n_inputs", "input_ids")
+    return monitor.provenance(revisions(spark, sf_dir), ["week", "service"], ["event_id", "revision"]).withColumn("week", F.col("week").cast("string"))
+
+
+@query("provenance_lookup", f"""WITH {EVENTS_SQL}, {REV_SQL} SELECT CAST(week AS VARCHAR) AS week, service, event_id, CAST(revision AS INTEGER) AS revision FROM rev WHERE service = 'A-2'""")
+def provenance_lookup(spark, sf_dir):
+    return monitor.provenance_inputs(revisions(spark, sf_dir), ["week", "service"], ["event_id", "revision"], {"service": "A-2"}).withColumn("week", F.col("week").cast("string"))
 
 
 @query("last_write_wins", f"""WITH {EVENTS_SQL} SELECT user_id, first(event_type ORDER BY ingest_ts DESC, event_id DESC) AS event_type, first(cents ORDER BY ingest_ts DESC, event_id DESC) AS cents, epoch_us(max(ingest_ts)) AS arrived_us FROM ev GROUP BY 1""")
@@ -139,8 +152,8 @@ def last_write_wins(spark, sf_dir):
     return event_log(spark, sf_dir).groupBy("user_id").agg(latest.alias("r"), micros(F.max("ingest_ts")).alias("arrived_us")).select("user_id", "r.*", "arrived_us")
 
 
-_GRAPH_SQL = """links AS (SELECT DISTINCT s_nationkey AS node, l_partkey AS via FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_partkey % 97 = 0 AND s_nationkey % 3 = (l_partkey // 97) % 3),
-edges AS (SELECT DISTINCT a.node AS a, b.node AS b FROM links a JOIN links b ON a.via = b.via),
+_GRAPH_SQL = """links AS (SELECT DISTINCT s_nationkey AS node, l_partkey AS via FROM lineitem JOIN supplier ON l_suppkey = s_suppkey), stars AS (SELECT via, min(node) AS a FROM links GROUP BY 1),
+edges AS (SELECT a, node AS b FROM links JOIN stars USING (via) UNION SELECT node, a FROM links JOIN stars USING (via)),
 reach AS (SELECT DISTINCT node, node AS other FROM links UNION SELECT r.node, e.b FROM reach r JOIN edges e ON e.a = r.other), roots AS (SELECT node, min(other) AS root FROM reach GROUP BY 1)"""
 
 
@@ -155,7 +168,7 @@ def components(spark, sf_dir):
     return _labels(spark, sf_dir)
 
 
-@query("component_listing", f"""WITH RECURSIVE {_GRAPH_SQL} SELECT 'IC-' || lpad(CAST(row_number() OVER (ORDER BY root) AS VARCHAR), 2, '0') AS component, root, array_to_string(list_sort(list(CAST(node AS VARCHAR))), ',') AS members, count(*) AS n FROM roots GROUP BY root""")
+@query("component_listing", f"""WITH RECURSIVE {_GRAPH_SQL} SELECT 'IC-' || lpad(CAST(row_number() OVER (ORDER BY root) AS VARCHAR), greatest(2, length(CAST(count(*) OVER () AS VARCHAR)))::INT, '0') AS component, root, array_to_string(list_sort(list(CAST(node AS VARCHAR))), ',') AS members, count(*) AS n FROM roots GROUP BY root""")
 def component_listing(spark, sf_dir):
     return graph.component_listing(_labels(spark, sf_dir), "node")
 

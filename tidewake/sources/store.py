@@ -53,9 +53,15 @@ class Store:
             stream.write(raw)
         finally:
             stream.close()
-        if self.exists(name):
-            self.delete(name)
-        self.rename(part, name)
+        self.replace(part, name)
+
+    def replace(self, old: str, new: str) -> None:
+        """Rename over what is there, in one step where the store has one; readers see the former file or the new one."""
+        fs = self._jvm.org.apache.hadoop.fs
+        option = self.spark.sparkContext._gateway.new_array(fs.Options.Rename, 1)
+        option[0] = fs.Options.Rename.OVERWRITE
+        path = self._fs.makeQualified(self._path(new))
+        fs.FileContext.getFileContext(path.toUri(), self._conf).rename(self._fs.makeQualified(self._path(old)), path, option)
 
     def rename(self, old: str, new: str) -> None:
         if not self._fs.rename(self._path(old), self._path(new)):

@@ -41,27 +41,37 @@ def content_of(df: DataFrame) -> DataFrame:
 class ScoredCaseMonitor:
     """Accepts batches of events and projects metrics and alerts; each batch is applied once, by its number."""
 
-    def __init__(self, spark: SparkSession, location: str, threshold: float = 0.4, baseline_weeks: int = 2, persistence: int = 2, budget: int = 3, matured_days: int = 7):
+    def __init__(self, spark: SparkSession, location: str, threshold: float = 0.4, baseline_weeks: int = 2, persistence: int = 2, budget: int = 3, matured_days: int = 7, late_days: int = 10):
         self.spark, self.store = spark, Store(spark, location)
-        self.threshold, self.baseline_weeks, self.persistence, self.budget, self.matured_days = threshold, baseline_weeks, persistence, budget, matured_days
+        self.threshold, self.baseline_weeks, self.persistence, self.budget, self.matured_days, self.late_days = threshold, baseline_weeks, persistence, budget, matured_days, late_days
 
     def _table(self, name: str) -> DataFrame | None:
         return self.spark.read.parquet(self.store.at(name)) if self.store.exists(name) else None
 
     def apply(self, batch: DataFrame, number: int) -> None:
-        """Validate, tell new from replayed and conflicting events, then project anew from all accepted ones.
+        """Validate, tell new from replayed and conflicting events, take revisions in sequence, then project anew from all accepted ones.
 
         All tables of a batch are folders named by it, so that a batch that is run again replaces its own.
         """
         state = self.store.read_json("state.json", {"batch": -1})
         if number <= state["batch"]:
             return
-        rows = content_of(validated(batch))
+        rows = content_of(validated(batch)).drop("content_hash").withColumn("content_hash", rows_hash())
         before = self._accepted(state["batch"])
-        known = before.select("event_id", "content_hash") if before is not None else self.spark.createDataFrame([], "event_id string, content_hash string")
-        sorted_ = monitor.classify_replays(rows.filter("validation_error IS NULL").drop("content_hash"), known, "event_id", rows_hash())
-        self._write(sorted_.filter("status = 'new'").drop("status"), f"accepted/batch={number}")
-        self._write(sorted_.filter("status = 'conflict'").select("event_id", "content_hash").unionByName(rows.filter("validation_error IS NOT NULL").select("event_id", "content_hash")), f"rejected/batch={number}")
+        nothing = self.spark.createDataFrame([], rows.schema)
+        old = before if before is not None else nothing
+        arrival = ["arrived_at_utc"]
+        told = monitor.classify_replays(rows.filter("validation_error IS NULL").drop("content_hash"), old.select("event_id", "content_hash"), "event_id", rows_hash(), arrival)
+        new = monitor.follow_on(told.filter("status = 'new'").drop("status"), old, ["case_id"], "revision", "event_id", "correction_of_event_id", arrival)
+        # flags of the order of arrival, carried on from all that came before
+        segment = ["site", "service_code"]
+        seen = old.groupBy(*(F.col(c).alias(f"_{c}") for c in segment)).agg(F.max("scored_at_utc").alias("_seen"))
+        taken = new.filter("sequence_ok").drop("sequence_ok").join(seen, [F.col(c) == F.col(f"_{c}") for c in segment], "left")
+        taken = monitor.late_and_backfilled(taken, "scored_at_utc", "arrived_at_utc", "event_id", self.late_days, segment, F.col("_seen")).drop("_seen", *(f"_{c}" for c in segment))
+        self._write(taken, f"accepted/batch={number}")
+        refused = lambda df, reason: df.select("event_id", "content_hash", reason.alias("reason"))
+        bad = refused(told.filter("status = 'conflict'"), F.lit("conflict")).unionByName(refused(new.filter("NOT sequence_ok"), F.lit("sequence"))).unionByName(refused(rows.filter("validation_error IS NOT NULL"), F.col("validation_error")))
+        self._write(bad, f"rejected/batch={number}")
         desired = self.project(self._accepted(number))
         self._write(desired, f"alerts/batch={number}")
         previous = self._table(f"alerts/batch={state['batch']}") if state["batch"] >= 0 else None
