@@ -5,6 +5,7 @@ Each estimator is one aggregation to cells, then arithmetic on the cells.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -53,27 +54,37 @@ def ipw_means(df: DataFrame, value: Column, selected: Column, stratum: Sequence[
 
 
 def parse_predicate(text: str, columns: dict[str, str]) -> Column:
-    """``name:value`` and ``name<number`` parts, joined by ``|`` (all must hold), over an allow-list of names."""
+    """``name:value``, ``name<number``, ``name>=number`` and ``weekend:name`` parts, joined by ``|`` (all must hold), over an allow-list of names."""
     out = F.lit(True)
     for part in text.split("|"):
-        op = ":" if ":" in part else "<"
-        name, value = part.split(op, 1)
-        if name not in columns:
-            raise ValueError(f"unknown name {name!r}")
-        out = out & (F.col(columns[name]) == value if op == ":" else F.col(columns[name]) < float(value))
+        m = re.fullmatch(r"(\w+)(:|<|>=)(.+)", part)
+        if not m:
+            raise ValueError(f"not a predicate: {part!r}")
+        name, op, value = m.groups()
+        known = value if name == "weekend" else name
+        if known not in columns:
+            raise ValueError(f"unknown name {known!r}")
+        column = F.col(columns[known])
+        if name == "weekend":
+            term = F.weekday(column) >= 5
+        else:
+            term = column == value if op == ":" else column < float(value) if op == "<" else column >= float(value)
+        out = out & term
     return out
 
 
 def before_after(df: DataFrame, y: str, after: str, comparisons: Sequence[tuple[str, Column]]) -> DataFrame:
-    """Two-proportion tests of many overlapping subgroups, in one pass over the rows."""
-    aggs = []
-    for i, (_, keep) in enumerate(comparisons):
-        for t in (1, 0):
-            side = keep & (F.col(after) if t else ~F.col(after))
-            aggs += [F.count_if(side).alias(f"n{t}_{i}"), F.count_if(side & (F.col(y) == 1)).alias(f"x{t}_{i}")]
-    one = df.agg(*aggs)
-    rows = F.array(*(F.struct(F.lit(name).alias("comparison"), *(F.col(f"{c}_{i}").alias(c) for c in ("n1", "x1", "n0", "x0"))) for i, (name, _) in enumerate(comparisons)))
-    out = one.select(F.explode(rows).alias("r")).select("r.*")
+    """Two-proportion tests of many overlapping subgroups.
+
+    Rows are first counted by the truth of every comparison, as one bit set, so that the rows are read once
+    and a few distinct sets are left, however many comparisons there are.
+    """
+    mask = F.concat(*(F.when(keep, "1").otherwise("0") for _, keep in comparisons))
+    few = df.groupBy(mask.alias("_in"), F.col(after).alias("_after")).agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col(y) == 1).alias("_x"))
+    names = F.array(*(F.struct(F.lit(i + 1).alias("i"), F.lit(name).alias("comparison")) for i, (name, _) in enumerate(comparisons)))
+    cell = few.select("*", F.explode(names).alias("c")).withColumn("_hit", F.substr("_in", F.col("c.i"), F.lit(1)) == "1")
+    side = lambda t, v: F.coalesce(F.sum(F.when(F.col("_hit") & (F.col("_after") if t else ~F.col("_after")), F.col(v))), F.lit(0))
+    out = cell.groupBy("c.comparison").agg(side(1, "_n").alias("n1"), side(1, "_x").alias("x1"), side(0, "_n").alias("n0"), side(0, "_x").alias("x0"))
     ok = (F.col("n1") > 0) & (F.col("n0") > 0) & (F.col("x1") + F.col("x0") > 0) & (F.col("x1") + F.col("x0") < F.col("n1") + F.col("n0"))
     return out.withColumn("diff", F.when((F.col("n1") > 0) & (F.col("n0") > 0), F.col("x1") / F.col("n1") - F.col("x0") / F.col("n0"))).withColumn("z", F.when(ok, two_proportion_z(F.col("x1"), F.col("n1"), F.col("x0"), F.col("n0"))))
 

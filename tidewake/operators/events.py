@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewake.functions.identifiers import boundary_seconds, full_match, tidy
+from tidewake.functions.identifiers import boundary_seconds, full_match
 
 
 def first_reason(*rules: tuple[str, Column]) -> Column:
@@ -18,6 +18,11 @@ def first_reason(*rules: tuple[str, Column]) -> Column:
     return out
 
 
+def exact_sum(amount: Column) -> Column:
+    """A sum of whole numbers in 38 digits, nulls as 0: it doesn't overflow at any number of rows."""
+    return F.sum(F.coalesce(amount, F.lit(0)).cast("decimal(28,0)")).cast("decimal(38,0)")
+
+
 def ingest_lag_rules(event: Column, ingest: Column, most_days: int) -> list[tuple[str, Column]]:
     return [
         ("ingest_before_event", ingest < event),
@@ -80,7 +85,7 @@ def case_workflow(df: DataFrame, case: str, event: str, kind: str, kinds: Sequen
         F.max(event).alias("last_event_at"),
         F.count(F.lit(1)).alias("n_events"),
         F.sum(F.when(F.col(event) < F.col("prior_event"), 1).otherwise(0)).alias("inversions"),
-        F.sum(F.coalesce(F.col(money), F.lit(0))).cast("long").alias("total_cents"),
+        exact_sum(F.col(money)).alias("total_cents"),
         F.bool_or(F.col(kind) == "error").alias("had_error"),
         F.count_distinct(service).alias("n_services"),
         boundary_seconds(F.min(event), F.max(event)).alias("span_seconds"),
@@ -91,7 +96,7 @@ def service_day(df: DataFrame, event: str, site: str, service: str, case: str, m
     return df.groupBy(F.to_date(event).alias("event_date"), site, service).agg(
         F.count(F.lit(1)).alias("n_events"),
         F.count_distinct(case).alias("n_cases"),
-        F.sum(F.coalesce(F.col(money), F.lit(0))).cast("long").alias("total_cents"),
+        exact_sum(F.col(money)).alias("total_cents"),
         F.count_if(F.col(money).isNull()).alias("n_without_money"),
     )
 
@@ -126,13 +131,17 @@ def late_arrivals(df: DataFrame, event: str, ingest: str, partition: Column, sit
 
 
 def snapshot_summary(df: DataFrame, case: str, columns: Sequence[str], when: str) -> DataFrame:
-    """One row for each case of a snapshot whose keys repeat: how far the repeats agree."""
-    row_digest = F.sha2(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("<NULL>")) for c in columns)).cast("binary"), 256)
-    return df.groupBy(case).agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        *(F.count_distinct(c).alias(f"n_{c}") for c in columns),
-        F.count_distinct(row_digest).alias("n_distinct_rows"),
-        F.array_join(F.array_sort(F.collect_set(F.to_date(when).cast("string"))), ",").alias("dates"),
+    """One row for each case of a snapshot whose keys repeat: how far the repeats agree.
+
+    One shuffle, of the distinct rows of a case with their number; the distinct values of a column are then
+    those of a few rows and are counted in one pass, without a copy of the rows for each column.
+    """
+    few = df.groupBy(case, *columns, F.to_date(when).cast("string").alias("_day")).agg(F.count(F.lit(1)).alias("_n"))
+    return few.groupBy(case).agg(
+        F.sum("_n").alias("n_rows"),
+        *(F.size(F.collect_set(c)).cast("long").alias(f"n_{c}") for c in columns),
+        F.size(F.collect_set(F.struct(*(F.coalesce(F.col(c).cast("string"), F.lit("<NULL>")).alias(c) for c in columns)))).cast("long").alias("n_distinct_rows"),
+        F.array_join(F.array_sort(F.collect_set("_day")), ",").alias("dates"),
     )
 
 
@@ -161,6 +170,3 @@ def enrich_with_audit(facts: DataFrame, dimension: DataFrame, key: str, dim_key:
     status = F.when(facts[key].isNull(), "no_key").when(dimension[dim_key].isNull(), "unknown_key").when(mismatch, "mismatch").otherwise("match")
     return out.withColumn("audit", status)
 
-
-def upper_kind(c: str) -> Column:
-    return tidy(c)

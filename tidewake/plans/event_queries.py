@@ -152,7 +152,7 @@ def case_workflow(spark, sf_dir):
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("event_type"))
     out = events.case_workflow(event_log(spark, sf_dir), "user_id", "ts", "event_type", KINDS, rank, "site", "service", "cents", "event_id", ["ingest_ts", "event_id"])
     at = [f"{k}_at" for k in KINDS] + ["last_event_at"]
-    return out.withColumns({c: ids.micros(c) for c in at})
+    return out.withColumns({c: ids.micros(c) for c in at} | {"total_cents": F.col("total_cents").cast("long")})
 
 
 @query("workflow_arrival_inversions", f"""
@@ -168,7 +168,7 @@ WITH {EVENTS_SQL}
 SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS event_date, site, service, count(*) AS n_events, count(DISTINCT user_id) AS n_cases, CAST(sum(coalesce(cents, 0)) AS BIGINT) AS total_cents, count(*) FILTER (cents IS NULL) AS n_without_money
 FROM ev GROUP BY 1, 2, 3""")
 def service_day(spark, sf_dir):
-    return events.service_day(event_log(spark, sf_dir), "ts", "site", "service", "user_id", "cents").withColumn("event_date", F.col("event_date").cast("string"))
+    return events.service_day(event_log(spark, sf_dir), "ts", "site", "service", "user_id", "cents").withColumns({"event_date": F.col("event_date").cast("string"), "total_cents": F.col("total_cents").cast("long")})
 
 
 @query("partition_characterization", f"""
