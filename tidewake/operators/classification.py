@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewake.functions.probability import clipped, log_loss, wilson
+from tidewake.operators.ranks import positions, running
 
 
 def agreement(df: DataFrame, a: str, b: str, *by: str) -> DataFrame:
@@ -43,8 +44,7 @@ def by_score(df: DataFrame, y: str, score: str, *by: str) -> DataFrame:
 
 def rank_auc(df: DataFrame, y: str, score: str, *by: str) -> DataFrame:
     """Area under the ROC curve; ties count half."""
-    w = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    counts = by_score(df, y, score, *by).withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
+    counts = running(by_score(df, y, score, *by), by, score, {"below": F.col("neg")})
     area = F.sum(F.col("pos") * (F.col("below") + 0.5 * F.col("neg")))
     out = counts.groupBy(*by).agg(area.alias("_u"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     return out.select(*by, "n_pos", "n_neg", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("_u") / (F.col("n_pos") * F.col("n_neg"))).alias("auc"))
@@ -52,8 +52,8 @@ def rank_auc(df: DataFrame, y: str, score: str, *by: str) -> DataFrame:
 
 def average_precision(df: DataFrame, y: str, score: str, *by: str) -> DataFrame:
     """Precision at each distinct score, weighted by the recall that it adds."""
-    w = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    counts = by_score(df, y, score, *by).withColumn("tp", F.sum("pos").over(w)).withColumn("taken", F.sum(F.col("pos") + F.col("neg")).over(w))
+    counts = running(by_score(df, y, score, *by), by, score, {"tp": F.col("pos"), "taken": F.col("pos") + F.col("neg")}, descending=True)
+    counts = counts.withColumn("tp", F.col("tp") + F.col("pos")).withColumn("taken", F.col("taken") + F.col("pos") + F.col("neg"))
     out = counts.groupBy(*by).agg(F.sum(F.col("pos") * F.col("tp") / F.col("taken")).alias("_s"), F.sum("pos").alias("n_pos"))
     return out.select(*by, "n_pos", F.when(F.col("n_pos") > 0, F.col("_s") / F.col("n_pos")).alias("average_precision"))
 
@@ -63,18 +63,14 @@ def equal_count_bin(position: Column, n: Column, bins: int) -> Column:
     return F.floor((position * bins - 1) / n).cast("int")
 
 
+def in_equal_bins(df: DataFrame, score: str, tie: str, bins: int) -> DataFrame:
+    """The rows with their bin of equal count by (score, tie)."""
+    return positions(df, score, tie).withColumn("bin", equal_count_bin(F.col("_position"), F.col("_rows"), bins)).drop("_position", "_rows")
+
+
 def reliability_bins(df: DataFrame, y: str, score: str, tie: str, bins: int) -> DataFrame:
-    """Mean score and observed rate, with Wilson interval, in bins of equal count.
-
-    Positions are counts of cases in smaller (score, tie) groups: a running sum over distinct
-    scores, then one within each score.
-    """
-    groups = df.groupBy(score).agg(F.count(F.lit(1)).alias("_c"))
-    before = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    groups = groups.select(F.col(score).alias("_score"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"), F.sum("_c").over(Window.partitionBy()).alias("_n"))
-    within = F.row_number().over(Window.partitionBy(score).orderBy(tie))
-    placed = df.join(groups, F.col(score) == F.col("_score")).withColumn("bin", equal_count_bin(F.col("_before") + within, F.col("_n"), bins))
-    out = placed.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean_score"), F.sum(y).cast("long").alias("events"))
+    """Mean score and observed rate, with Wilson interval, in bins of equal count."""
+    out = in_equal_bins(df, score, tie, bins).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean_score"), F.sum(y).cast("long").alias("events"))
     low, high = wilson(F.col("events"), F.col("n"))
     return out.withColumns({"observed": F.col("events") / F.col("n"), "low": low, "high": high})
 

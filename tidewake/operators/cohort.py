@@ -11,7 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewake.functions.probability import shifted_odds, two_proportion_z
+from tidewake.functions.probability import exponential_rmst, shifted_odds, two_proportion_z
+from tidewake.operators.classification import in_equal_bins
+from tidewake.operators.ranks import positions
 
 
 def poststratified_rate(df: DataFrame, y: str, strata: Sequence[str], by: str) -> DataFrame:
@@ -19,7 +21,7 @@ def poststratified_rate(df: DataFrame, y: str, strata: Sequence[str], by: str) -
     cells = df.groupBy(by, *strata).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(y).cast("double")).alias("rate"))
     sizes = cells.groupBy(*strata).agg(F.sum("n").alias("size"))
     overall = df.groupBy(by).agg(F.count(F.lit(1)).alias("n_group"), F.avg(F.col(y).cast("double")).alias("crude"))
-    grid = overall.crossJoin(F.broadcast(sizes))  # groups x strata cells
+    grid = overall.crossJoin(sizes)  # groups x strata cells
     full = grid.join(cells.select(by, *strata, "rate"), [by, *strata], "left")
     weighted = F.sum(F.coalesce("rate", "crude") * F.col("size")) / F.sum("size")
     return full.groupBy(by).agg(F.first("n_group").alias("n"), F.first("crude").alias("crude"), weighted.alias("poststratified"))
@@ -90,15 +92,8 @@ def before_after(df: DataFrame, y: str, after: str, comparisons: Sequence[tuple[
 
 
 def ranked_gain(df: DataFrame, score: str, tie: str, y: str, treated: Column, fractions: Sequence[float]) -> DataFrame:
-    """Responses of treated and untreated cases among the best fractions by score, and the uplift that they show.
-
-    Ranks come from counts of distinct scores, then within a score; fractions are read off in one pass.
-    """
-    groups = df.groupBy(score).agg(F.count(F.lit(1)).alias("_c"))
-    before = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)
-    groups = groups.select(F.col(score).alias("_score"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"), F.sum("_c").over(Window.partitionBy()).alias("_n"))
-    rank = F.col("_before") + F.row_number().over(Window.partitionBy(score).orderBy(tie))
-    rows = df.join(groups, F.col(score) == F.col("_score")).withColumn("_rank", rank)
+    """Responses of treated and untreated cases among the best fractions by score, and the uplift that they show; fractions are read off in one pass."""
+    rows = positions(df, score, tie, descending=True).withColumnRenamed("_position", "_rank").withColumnRenamed("_rows", "_n")
     aggs = []
     for i, f in enumerate(fractions):
         keep = F.col("_rank") <= F.ceil(F.lit(f) * F.col("_n"))
@@ -116,13 +111,7 @@ def trapezoid(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def uplift_bins(df: DataFrame, score: str, tie: str, y: str, treated: Column, bins: int) -> DataFrame:
-    from tidewake.operators.classification import equal_count_bin
-
-    groups = df.groupBy(score).agg(F.count(F.lit(1)).alias("_c"))
-    before = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    groups = groups.select(F.col(score).alias("_score"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"), F.sum("_c").over(Window.partitionBy()).alias("_n"))
-    rank = F.col("_before") + F.row_number().over(Window.partitionBy(score).orderBy(tie))
-    rows = df.join(groups, F.col(score) == F.col("_score")).withColumn("bin", equal_count_bin(rank, F.col("_n"), bins))
+    rows = in_equal_bins(df, score, tie, bins)
     rate = lambda t: F.avg(F.when(t, F.col(y).cast("double")))
     return rows.groupBy("bin").agg(F.count_if(treated).alias("n_treated"), F.count_if(~treated).alias("n_control"), (rate(treated) - rate(~treated)).alias("uplift"))
 
@@ -156,6 +145,69 @@ def dense_panel(df: DataFrame, week: Column, site: str, service: str, y: str) ->
     cells = df.groupBy(week.alias("week"), site, service).agg(F.avg(F.col(y).cast("double")).alias("rate"), F.count(F.lit(1)).alias("n"))
     fallback = df.groupBy(site, service).agg(F.avg(F.col(y).cast("double")).alias("fallback"))
     weeks = cells.select("week").distinct()
-    grid = fallback.crossJoin(F.broadcast(weeks))  # services x weeks
+    grid = fallback.crossJoin(weeks)  # services x weeks
     full = grid.join(cells, ["week", site, service], "left")
     return full.groupBy("week", site).agg(F.avg(F.coalesce("rate", "fallback")).alias("rate"), F.count("rate").alias("n_observed"), F.count(F.lit(1)).alias("n_services"))
+
+
+def did_by(df: DataFrame, y: Column, service: str, arm: Column, after: Column, keys: Sequence[str]) -> DataFrame:
+    """Differences in differences of each service within each combination of ``keys``, where all four cells have rows."""
+    cell = lambda a, t: (arm if a else ~arm) & (after if t else ~after)
+    mean = lambda a, t: F.avg(F.when(cell(a, t), y))
+    out = df.groupBy(*keys, service).agg(F.count(F.lit(1)).alias("n"), (mean(1, 1) - mean(1, 0) - (mean(0, 1) - mean(0, 0))).alias("did"))
+    return out.filter("did IS NOT NULL")
+
+
+def clustered_effect(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Equal-weight mean effect over services for each combination of ``keys``, with its standard error and t."""
+    out = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_services"), F.sum("n").alias("n"), F.avg("did").alias("effect"), (F.stddev_samp("did") / F.sqrt(F.count(F.lit(1)))).alias("se"))
+    return out.withColumn("t", F.when(F.col("se") > 0, F.col("effect") / F.col("se")))
+
+
+def subgroup_effects(df: DataFrame, y: Column, service: str, arm: Column, after: Column, dimensions: dict[str, Column], least_services: int, least_rows: int) -> DataFrame:
+    """Effects of every level of every dimension with inference, and their difference from the dimension's other levels (the interaction); levels of few services or rows are suppressed."""
+    pairs = F.explode(F.array(*(F.struct(F.lit(d).alias("dimension"), c.cast("string").alias("level")) for d, c in dimensions.items())))
+    rows = df.withColumn("_y", y).withColumn("_arm", arm).withColumn("_after", after).select(service, "_y", "_arm", "_after", pairs.alias("g")).select(service, "_y", "_arm", "_after", "g.*")
+    cells = did_by(rows, F.col("_y"), service, F.col("_arm"), F.col("_after"), ["dimension", "level"])
+    out = clustered_effect(cells, ["dimension", "level"])
+    w = Window.partitionBy("dimension")  # levels of a dimension
+    k, total, variance = F.count("effect").over(w), F.sum("effect").over(w), F.sum(F.col("se") * F.col("se")).over(w)
+    others = (total - F.col("effect")) / (k - 1)
+    spread = F.sqrt(F.col("se") * F.col("se") + (variance - F.col("se") * F.col("se")) / ((k - 1) * (k - 1)))
+    out = out.withColumn("interaction", F.when(k > 1, F.col("effect") - others)).withColumn("interaction_z", F.when((k > 1) & (spread > 0), F.col("interaction") / spread))
+    hidden = (F.col("n_services") < least_services) | (F.col("n") < least_rows)
+    return out.withColumn("suppressed", hidden).withColumns({c: F.when(~hidden, F.col(c)) for c in ("effect", "se", "t", "interaction", "interaction_z")})
+
+
+def shifted_switches(df: DataFrame, y: Column, service: str, arm: Column, when: str, switch: str, shifts: Sequence[int], horizons: Sequence[int]) -> DataFrame:
+    """The effect if the switch were days earlier or later, and with only the days of a horizon on either side; 0 stands for all days.
+
+    Rows are copied for each variant that takes them; services and variants are then cells.
+    """
+    variants = F.explode(F.array(*(F.struct(F.lit(s).alias("shift"), F.lit(h).alias("horizon")) for s in shifts for h in horizons)))
+    days = F.datediff(F.to_date(when), F.lit(switch).cast("date"))
+    rows = df.withColumn("_y", y).withColumn("_arm", arm).withColumn("_d", days).select(service, "_y", "_arm", "_d", variants.alias("v")).select(service, "_y", "_arm", (F.col("_d") - F.col("v.shift")).alias("_d"), "v.*")
+    rows = rows.filter((F.col("horizon") == 0) | F.col("_d").between(-F.col("horizon"), F.col("horizon") - 1))
+    return clustered_effect(did_by(rows, F.col("_y"), service, F.col("_arm"), F.col("_d") >= 0, ["shift", "horizon"]), ["shift", "horizon"])
+
+
+def placebo_switch(df: DataFrame, y: Column, service: str, arm: Column, when: str, switch: str, placebo: str) -> DataFrame:
+    """The effect of a switch that wasn't: only rows before the real one, split at an earlier date."""
+    before = df.filter(F.to_date(when) < F.lit(switch).cast("date"))
+    return clustered_effect(did_by(before, y, service, arm, F.to_date(when) >= F.lit(placebo).cast("date"), []), [])
+
+
+def missingness_effects(cells: DataFrame, odds_factors: Sequence[float], horizon: float) -> DataFrame:
+    """Effects over all cells (arm, after, n, observed, rate) if the odds, or the hazards, among unobserved cases are multiplied in the treated cell after the switch.
+
+    ``effect`` is of event rates, ``rmst_effect`` of restricted means of exponential times with these rates by the horizon.
+    """
+    grid = cells.withColumn("factor", F.explode(F.array(*map(F.lit, map(float, odds_factors)))))
+    treated = F.col("arm") & F.col("after")
+    unseen = F.when(treated, shifted_odds(F.col("rate"), F.col("factor"))).otherwise(F.col("rate"))
+    share = F.col("observed") / F.col("n")
+    rate = share * F.col("rate") + (1 - share) * unseen
+    hazard = F.when(treated, F.col("factor")).otherwise(F.lit(1.0))
+    mean = share * exponential_rmst(F.col("rate"), horizon) + (1 - share) * exponential_rmst(F.col("rate"), horizon, hazard)
+    sign = F.when(F.col("arm") == F.col("after"), 1).otherwise(-1)
+    return grid.withColumn("_r", rate).withColumn("_m", mean).groupBy("factor").agg(F.sum(sign * F.col("_r")).alias("effect"), F.sum(sign * F.col("_m")).alias("rmst_effect"))

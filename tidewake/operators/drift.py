@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewake.operators.ranks import quantiles
+
 
 def psi_quantile(df: DataFrame, value: str, reference: Column, bins: int = 10, floor: float = 1e-6) -> DataFrame:
     """Population stability index over bins between the reference's quantiles, one row for each bin."""
     points = [i / bins for i in range(1, bins)]
-    edges = df.filter(reference).agg(F.percentile(value, F.array(*map(F.lit, points))).alias("edges"))  # one row
+    edges = quantiles(df.filter(reference), value, points)  # one row
     rows = df.withColumn("_ref", reference).crossJoin(F.broadcast(edges))
     placed = rows.withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col(value))))
     return _psi(placed.groupBy("bin").agg(F.count_if("_ref").alias("n_ref"), F.count_if(~F.col("_ref")).alias("n_cur")), lambda n, t: F.greatest(n / t, F.lit(floor)))

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewake.operators.ranks import running
+
 
 def kaplan_meier(df: DataFrame, time: str, event: str, *by: str) -> DataFrame:
-    """At-risk numbers, events and survival after each distinct time."""
+    """At-risk numbers, events, and survival before and after each distinct time."""
     counts = df.groupBy(*by, time).agg(F.count_if(F.col(event)).alias("d"), F.count(F.lit(1)).alias("c"))
-    down = Window.partitionBy(*by).orderBy(F.desc(time)).rowsBetween(Window.unboundedPreceding, 0)
-    up = Window.partitionBy(*by).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
-    counts = counts.withColumn("at_risk", F.sum("c").over(down))
-    return counts.withColumn("survival", F.product(1 - F.col("d") / F.col("at_risk")).over(up))
+    counts = running(counts, by, time, {"at_risk": F.col("c")}, descending=True).withColumn("at_risk", F.col("at_risk") + F.col("c"))
+    step = 1 - F.col("d") / F.col("at_risk")
+    return running(counts, by, time, {"before": step}, product=True).withColumn("survival", F.col("before") * step)
 
 
 def restricted_mean(df: DataFrame, time: str, event: str, horizon: float, *by: str) -> DataFrame:
@@ -20,8 +21,6 @@ def restricted_mean(df: DataFrame, time: str, event: str, horizon: float, *by: s
     t = F.least(F.col(time).cast("double"), F.lit(float(horizon)))
     rows = df.withColumn("_e", F.col(event) & (F.col(time) <= horizon)).withColumn("_t", t)
     km = kaplan_meier(rows, "_t", "_e", *by)
-    w = Window.partitionBy(*by).orderBy("_t")
-    before, at = F.coalesce(F.lag("survival").over(w), F.lit(1.0)), F.coalesce(F.lag("_t").over(w), F.lit(0.0))
-    last = F.when(F.lead("_t").over(w).isNull(), F.col("survival") * (horizon - F.col("_t"))).otherwise(0.0)
-    km = km.withColumn("_area", before * (F.col("_t") - at) + last)
-    return km.groupBy(*by).agg(F.sum("c").alias("n"), F.sum("d").alias("events"), F.sum("_area").alias("rmst"))
+    # area = horizon - sum of each time's drop of the curve over what is left of the horizon
+    km = km.withColumn("_lost", F.col("before") * F.col("d") / F.col("at_risk") * (horizon - F.col("_t")))
+    return km.groupBy(*by).agg(F.sum("c").alias("n"), F.sum("d").alias("events"), (F.lit(float(horizon)) - F.sum("_lost")).alias("rmst"))

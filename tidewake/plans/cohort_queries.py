@@ -156,7 +156,7 @@ def subgroup_suppression(spark, sf_dir):
     return rounded(cohort.subgroup_rates(scored_cases(spark, sf_dir), "y", "source", dims, 5, 20), "rate")
 
 
-@query("week_panel", f"""WITH {STUDY_SQL}, r AS (SELECT CAST(CAST(date_trunc('week', o_orderdate) AS DATE) AS VARCHAR) AS week, site, segment, y FROM study WHERE o_orderdate < TIMESTAMP '1995-07-01'), c AS (SELECT week, site, segment, avg(y) AS rate FROM r GROUP BY 1, 2, 3), f AS (SELECT site, segment, avg(y) AS fallback FROM r GROUP BY 1, 2)
+@query("week_panel", f"""WITH {STUDY_SQL}, r AS (SELECT CAST(CAST(date_trunc('week', o_orderdate) AS DATE) AS VARCHAR) AS week, site, segment, y FROM study), c AS (SELECT week, site, segment, avg(y) AS rate FROM r GROUP BY 1, 2, 3), f AS (SELECT site, segment, avg(y) AS fallback FROM r GROUP BY 1, 2)
 SELECT w.week, f.site, round(avg(coalesce(rate, fallback)), 6) AS rate, count(rate) AS n_observed, count(*) AS n_services FROM f CROSS JOIN (SELECT DISTINCT week FROM r) w LEFT JOIN c ON c.week = w.week AND c.site = f.site AND c.segment = f.segment GROUP BY 1, 2""")
 def week_panel(spark, sf_dir):
     return rounded(cohort.dense_panel(study(spark, sf_dir), week_start("o_orderdate").cast("string"), "site", "segment", "y"), "rate")
