@@ -5,9 +5,13 @@ Only sufficient statistics of clusters are resampled: cases are read once.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewake.functions.probability import log_loss
+from tidewake.operators.classification import by_score, in_equal_bins
+from tidewake.operators.ranks import running
+
 #: The six-point wild bootstrap weights.
 SIX_POINTS = (-(1.5**0.5), -1.0, -(0.5**0.5), 0.5**0.5, 1.0, 1.5**0.5)
 
@@ -32,8 +36,6 @@ def wild_bootstrap(effects: DataFrame, cluster: str, effect: str, draws: int, se
 
 def cluster_multiplicities(clusters: DataFrame, cluster: str, draws: int, seed: str) -> DataFrame:
     """draw, cluster, times: clusters drawn with replacement, as many as there are, in each draw."""
-    from pyspark.sql import Window
-
     numbered = clusters.select(cluster).distinct().withColumn("_i", F.row_number().over(Window.orderBy(cluster)) - 1)
     k = numbered.agg(F.count(F.lit(1)).alias("_k"))
     slots = k.select("_k", F.explode(F.sequence(F.lit(0), F.col("_k").cast("int") - 1)).alias("slot")).crossJoin(clusters.sparkSession.range(draws).select(F.col("id").alias("draw")))
@@ -47,3 +49,61 @@ def cluster_bootstrap(statistics: DataFrame, cluster: str, numerator: str, denom
     each = drawn_.groupBy("draw").agg(F.sum(F.col("times") * F.col(numerator)).alias("_n"), F.sum(F.col("times") * F.col(denominator)).alias("_d"))
     interval = each.filter("_d > 0").agg(F.percentile(F.col("_n") / F.col("_d"), F.lit(alpha / 2)).alias("low"), F.percentile(F.col("_n") / F.col("_d"), F.lit(1 - alpha / 2)).alias("high"), F.count(F.lit(1)).alias("draws"))
     return statistics.agg((F.sum(numerator) / F.sum(denominator)).alias("estimate")).crossJoin(interval)
+
+
+def win_matrix(df: DataFrame, cluster: str, y: str, score: str) -> DataFrame:
+    """a, b, wins: how often positives of cluster a score above negatives of cluster b, ties counting half.
+
+    Distinct scores x clusters of running counts, never pairs of cases.
+    """
+    groups = by_score(df, y, score, cluster)
+    dense = groups.select(score).distinct().crossJoin(groups.select(F.col(cluster).alias("b")).distinct())
+    negatives = groups.select(F.col(cluster).alias("b"), score, "neg")
+    dense = dense.join(negatives, ["b", score], "left").withColumn("neg", F.coalesce("neg", F.lit(0)))
+    below = running(dense, ["b"], score, {"below": F.col("neg")})
+    positives = groups.filter("pos > 0").select(F.col(cluster).alias("a"), score, "pos")
+    return positives.join(below, score).groupBy("a", "b").agg(F.sum(F.col("pos") * (F.col("below") + 0.5 * F.col("neg"))).alias("wins"))
+
+
+def _measures(threshold: float) -> dict[str, Column]:
+    over = lambda n, d: F.when(d > 0, n / d)
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+    n, sensitivity, specificity = tp + fp + fn + tn, over(tp, tp + fn), over(tn, tn + fp)
+    return {
+        "sensitivity": sensitivity, "specificity": specificity, "ppv": over(tp, tp + fp), "npv": over(tn, tn + fn), "balanced_accuracy": (sensitivity + specificity) / 2,
+        "auc": over(F.col("wins"), ((tp + fn) * (fp + tn)).cast("double")), "brier": over(F.col("squares"), n), "log_loss": over(F.col("losses"), n), "net_benefit": over(tp - fp * (threshold / (1 - threshold)), n),
+    }
+
+
+def classification_bootstrap(df: DataFrame, cluster: str, y: str, score: str, threshold: float, draws: int, seed: str, alpha: float = 0.05) -> DataFrame:
+    """measure, estimate, low, high, draws: nine measures of a binary classifier with percentile intervals over resampled clusters.
+
+    Cases are read for sums of each cluster and a matrix of wins; a draw then costs clusters squared.
+    """
+    hit, true = F.col(score) >= threshold, F.col(y) == 1
+    squares, losses = (F.col(score) - F.col(y)) * (F.col(score) - F.col(y)), log_loss(F.col(y), F.col(score), 1e-12)
+    counts = [F.count_if(hit & true).alias("tp"), F.count_if(hit & ~true).alias("fp"), F.count_if(~hit & true).alias("fn"), F.count_if(~hit & ~true).alias("tn")]
+    stats = df.groupBy(cluster).agg(*counts, F.sum(squares).alias("squares"), F.sum(losses).alias("losses"))
+    wins = win_matrix(df, cluster, y, score)
+    names = ("tp", "fp", "fn", "tn", "squares", "losses")
+    times = cluster_multiplicities(stats, cluster, draws, seed)
+    sums = times.join(stats, cluster).groupBy("draw").agg(*(F.sum(F.col("times") * F.col(c)).alias(c) for c in names))
+    left, right = times.select("draw", F.col(cluster).alias("a"), F.col("times").alias("ta")), times.select("draw", F.col(cluster).alias("b"), F.col("times").alias("tb"))
+    won = left.join(wins, "a").join(right, ["draw", "b"]).groupBy("draw").agg(F.sum(F.col("ta") * F.col("tb") * F.col("wins")).alias("wins"))
+    measures = _measures(threshold)
+    table = lambda rows, keys: rows.select(*keys, *(m.alias(k) for k, m in measures.items())).unpivot(list(keys), list(measures), "measure", "value")
+    zero = F.coalesce("wins", F.lit(0.0))
+    drawn_ = table(sums.join(won, "draw", "left").withColumn("wins", zero), ["draw"]).filter("value IS NOT NULL")
+    interval = drawn_.groupBy("measure").agg(F.percentile("value", F.lit(alpha / 2)).alias("low"), F.percentile("value", F.lit(1 - alpha / 2)).alias("high"), F.count(F.lit(1)).alias("draws"))
+    point = table(stats.agg(*(F.sum(c).alias(c) for c in names)).crossJoin(wins.agg(F.coalesce(F.sum("wins"), F.lit(0.0)).alias("wins"))), [])
+    return point.withColumnRenamed("value", "estimate").join(interval, "measure", "left")
+
+
+def cluster_reliability(df: DataFrame, cluster: str, y: str, score: str, tie: str, bins: int, draws: int, seed: str, alpha: float = 0.05) -> DataFrame:
+    """Bins of equal count, fixed once, whose observed rates have percentile intervals over resampled clusters."""
+    cells = in_equal_bins(df, score, tie, bins).groupBy("bin", cluster).agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("events"), F.sum(score).alias("scores"))
+    times = cluster_multiplicities(cells, cluster, draws, seed)
+    each = times.join(cells, cluster).groupBy("draw", "bin").agg((F.sum(F.col("times") * F.col("events")) / F.sum(F.col("times") * F.col("n"))).alias("rate"))
+    interval = each.groupBy("bin").agg(F.percentile("rate", F.lit(alpha / 2)).alias("low"), F.percentile("rate", F.lit(1 - alpha / 2)).alias("high"))
+    point = cells.groupBy("bin").agg(F.sum("n").alias("n"), (F.sum("scores") / F.sum("n")).alias("mean_score"), (F.sum("events") / F.sum("n")).alias("observed"), F.count(F.lit(1)).alias("n_clusters"))
+    return point.join(interval, "bin", "left")

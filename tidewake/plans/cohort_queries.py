@@ -9,7 +9,7 @@ from tidewake.functions.identifiers import age_band, age_years, week_start
 from tidewake.functions.probability import two_sided_p
 from tidewake.operators import cohort
 from tidewake.plans.inputs import SCORED_SQL, STUDY_SQL, query, scored_cases, study, table
-from tidewake.plans.score_queries import rounded
+from tidewake.plans.score_queries import p_sql, rounded
 
 Y = lambda: F.col("y").cast("double")
 #: The arm of an order, crossed with nation: order-key parity.
@@ -89,15 +89,18 @@ def _comparisons(spark, sf_dir):
     return cohort.before_after(study(spark, sf_dir), "y", "after", [(c, cohort.parse_predicate(c, _NAMES)) for c in _COMPARISONS])
 
 
-@query("before_after_z51", f"WITH {STUDY_SQL}, c AS (" + " UNION ALL ".join(f"SELECT '{c}' AS comparison, count(*) FILTER (after) AS n1, count(*) FILTER (after AND y = 1) AS x1, count(*) FILTER (NOT after) AS n0, count(*) FILTER (NOT after AND y = 1) AS x0 FROM study WHERE {_predicate_sql(c)}" for c in _COMPARISONS) + """), p AS (SELECT *, (x1 + x0) / (n1 + n0) AS p FROM c)
-SELECT comparison, n1, x1, n0, x0, round(CASE WHEN n1 > 0 AND n0 > 0 THEN x1 / n1 - x0 / n0 END, 6) AS diff, round(CASE WHEN n1 > 0 AND n0 > 0 AND x1 + x0 > 0 AND x1 + x0 < n1 + n0 THEN (x1 / n1 - x0 / n0) / sqrt(p * (1 - p) * (1 / n1 + 1 / n0)) END, 6) AS z FROM p""")
+_Z_SQL = f"WITH {STUDY_SQL}, c AS (" + " UNION ALL ".join(f"SELECT '{c}' AS comparison, count(*) FILTER (after) AS n1, count(*) FILTER (after AND y = 1) AS x1, count(*) FILTER (NOT after) AS n0, count(*) FILTER (NOT after AND y = 1) AS x0 FROM study WHERE {_predicate_sql(c)}" for c in _COMPARISONS) + """), p AS (SELECT *, (x1 + x0) / (n1 + n0) AS p FROM c),
+tests AS (SELECT *, CASE WHEN n1 > 0 AND n0 > 0 THEN x1 / n1 - x0 / n0 END AS diff, CASE WHEN n1 > 0 AND n0 > 0 AND x1 + x0 > 0 AND x1 + x0 < n1 + n0 THEN (x1 / n1 - x0 / n0) / sqrt(p * (1 - p) * (1 / n1 + 1 / n0)) END AS z FROM p)"""
+
+
+@query("before_after_z51", f"{_Z_SQL} SELECT comparison, n1, x1, n0, x0, round(diff, 6) AS diff, round(z, 6) AS z FROM tests")
 def before_after_z51(spark, sf_dir):
     return rounded(_comparisons(spark, sf_dir), "diff", "z")
 
 
-@query("before_after_p51")
+@query("before_after_p51", f"{_Z_SQL} SELECT comparison, round(z, 6) AS z, round({p_sql('z')}, 6) AS p FROM tests")
 def before_after_p51(spark, sf_dir):
-    return _comparisons(spark, sf_dir).select("comparison", "z", two_sided_p(F.col("z")).alias("p"))
+    return rounded(_comparisons(spark, sf_dir).select("comparison", "z", two_sided_p(F.col("z")).alias("p")), "z", "p")
 
 
 _FRACTIONS = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
@@ -156,6 +159,46 @@ def subgroup_suppression(spark, sf_dir):
     return rounded(cohort.subgroup_rates(scored_cases(spark, sf_dir), "y", "source", dims, 5, 20), "rate")
 
 
+_CLUSTERED = "count(*) AS n_services, CAST(sum(n) AS BIGINT) AS n, avg(did) AS effect, stddev_samp(did) / sqrt(count(*)) AS se"
+_DID_OF = f"avg(y) FILTER ({ARM_SQL} AND after) - avg(y) FILTER ({ARM_SQL} AND NOT after) - (avg(y) FILTER (NOT ({ARM_SQL}) AND after) - avg(y) FILTER (NOT ({ARM_SQL}) AND NOT after))"
+
+
+@query("subgroup_effects", f"""WITH {STUDY_SQL}, g AS (SELECT *, unnest([{{'d': 'segment', 'l': segment}}, {{'d': 'priority', 'l': priority}}, {{'d': 'balance', 'l': CASE WHEN c_acctbal < 0 THEN 'negative' ELSE 'positive' END}}]) AS g FROM study),
+d AS (SELECT g.d AS dimension, g.l AS level, service, count(*) AS n, {_DID_OF} AS did FROM g GROUP BY 1, 2, 3), e AS (SELECT dimension, level, {_CLUSTERED} FROM d WHERE did IS NOT NULL GROUP BY 1, 2),
+w AS (SELECT *, count(effect) OVER x AS k, sum(effect) OVER x AS total, sum(se * se) OVER x AS variance FROM e WINDOW x AS (PARTITION BY dimension)),
+i AS (SELECT *, CASE WHEN se > 0 THEN effect / se END AS t, CASE WHEN k > 1 THEN effect - (total - effect) / (k - 1) END AS interaction, sqrt(se * se + (variance - se * se) / ((k - 1) * (k - 1))) AS spread, n_services < 20 OR n < 400 AS suppressed FROM w WHERE k > 1)
+SELECT dimension, level, n_services, n, suppressed, CASE WHEN NOT suppressed THEN round(effect, 6) END AS effect, CASE WHEN NOT suppressed THEN round(se, 6) END AS se, CASE WHEN NOT suppressed THEN round(t, 6) END AS t, CASE WHEN NOT suppressed THEN round(interaction, 6) END AS interaction, CASE WHEN NOT suppressed AND spread > 0 THEN round(interaction / spread, 6) END AS interaction_z FROM i""")
+def subgroup_effects(spark, sf_dir):
+    dims = {"segment": F.col("segment"), "priority": F.col("priority"), "balance": F.when(F.col("c_acctbal") < 0, "negative").otherwise("positive")}
+    return rounded(cohort.subgroup_effects(study(spark, sf_dir), Y(), "service", ARM(), F.col("after"), dims, 20, 400), "effect", "se", "t", "interaction", "interaction_z")
+
+
+_SHIFTS, _HORIZONS = (-60, -30, 0, 30, 60), (0, 180, 365)
+
+
+@query("sensitivity_shifts", f"""WITH {STUDY_SQL}, v AS (SELECT * EXCLUDE (after), date_diff('day', DATE '1998-05-01', CAST(o_orderdate AS DATE)) - s AS d, CAST(s AS INTEGER) AS shift, CAST(h AS INTEGER) AS horizon FROM study, (SELECT unnest({list(_SHIFTS)}) AS s), (SELECT unnest({list(_HORIZONS)}) AS h)),
+c AS (SELECT shift, horizon, service, count(*) AS n, {_DID_OF} AS did FROM (SELECT *, d >= 0 AS after FROM v WHERE horizon = 0 OR d BETWEEN -horizon AND horizon - 1) GROUP BY 1, 2, 3), e AS (SELECT shift, horizon, {_CLUSTERED} FROM c WHERE did IS NOT NULL GROUP BY 1, 2)
+SELECT shift, horizon, n_services, n, round(effect, 6) AS effect, round(se, 6) AS se, round(CASE WHEN se > 0 THEN effect / se END, 6) AS t FROM e""")
+def sensitivity_shifts(spark, sf_dir):
+    return rounded(cohort.shifted_switches(study(spark, sf_dir), Y(), "service", ARM(), "o_orderdate", "1998-05-01", _SHIFTS, _HORIZONS), "effect", "se", "t")
+
+
+@query("placebo_switch", f"""WITH {STUDY_SQL}, c AS (SELECT service, count(*) AS n, {_DID_OF} AS did FROM (SELECT * EXCLUDE (after), CAST(o_orderdate AS DATE) >= DATE '1996-09-01' AS after FROM study WHERE CAST(o_orderdate AS DATE) < DATE '1998-05-01') GROUP BY 1), e AS (SELECT {_CLUSTERED} FROM c WHERE did IS NOT NULL)
+SELECT n_services, n, round(effect, 6) AS effect, round(se, 6) AS se, round(CASE WHEN se > 0 THEN effect / se END, 6) AS t FROM e""")
+def placebo_switch(spark, sf_dir):
+    return rounded(cohort.placebo_switch(study(spark, sf_dir), Y(), "service", ARM(), "o_orderdate", "1998-05-01", "1996-09-01"), "effect", "se", "t")
+
+
+@query("missingness_effects", f"""WITH {STUDY_SQL}, c AS (SELECT {ARM_SQL} AS arm, after, count(*) AS n, count(*) FILTER (status <> 'P') AS observed, avg(y) FILTER (status <> 'P') AS rate FROM study GROUP BY 1, 2),
+g AS (SELECT *, observed / n AS share, CASE WHEN arm AND after THEN f * rate / (1 - rate + f * rate) ELSE rate END AS unseen, -ln(1 - least(greatest(rate, 1e-6), 1 - 1e-6)) / 90 AS h, CASE WHEN arm AND after THEN f ELSE 1 END AS m FROM c, (SELECT unnest([{', '.join(f'{f}::DOUBLE' for f in _FACTORS)}]) AS f)),
+r AS (SELECT f, CASE WHEN arm = after THEN 1 ELSE -1 END AS sign, share * rate + (1 - share) * unseen AS r, share * (1 - exp(-h * 90)) / h + (1 - share) * (1 - exp(-h * m * 90)) / (h * m) AS mean FROM g)
+SELECT f AS factor, round(sum(sign * r), 6) AS effect, round(sum(sign * mean), 6) AS rmst_effect FROM r GROUP BY 1""")
+def missingness_effects(spark, sf_dir):
+    seen = F.col("status") != "P"
+    cells = study(spark, sf_dir).groupBy(ARM().alias("arm"), "after").agg(F.count(F.lit(1)).alias("n"), F.count_if(seen).alias("observed"), F.avg(F.when(seen, Y())).alias("rate"))
+    return rounded(cohort.missingness_effects(cells, _FACTORS, 90.0), "effect", "rmst_effect")
+
+
 @query("week_panel", f"""WITH {STUDY_SQL}, r AS (SELECT CAST(CAST(date_trunc('week', o_orderdate) AS DATE) AS VARCHAR) AS week, site, segment, y FROM study), c AS (SELECT week, site, segment, avg(y) AS rate FROM r GROUP BY 1, 2, 3), f AS (SELECT site, segment, avg(y) AS fallback FROM r GROUP BY 1, 2)
 SELECT w.week, f.site, round(avg(coalesce(rate, fallback)), 6) AS rate, count(rate) AS n_observed, count(*) AS n_services FROM f CROSS JOIN (SELECT DISTINCT week FROM r) w LEFT JOIN c ON c.week = w.week AND c.site = f.site AND c.segment = f.segment GROUP BY 1, 2""")
 def week_panel(spark, sf_dir):

@@ -114,7 +114,11 @@ def semantic_key_hash(spark, sf_dir):
     return o.select("o_orderkey", ids.digest("o_custkey", F.nullif(F.col("o_orderstatus"), F.lit("P")), F.date_format("o_orderdate", "yyyy-MM-dd"), ids.cents("o_totalprice")).alias("semantic_key"))
 
 
-@query("timezone_offsets")
+@query("timezone_offsets", f"""WITH {EVENTS_SQL}, w AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN TIMESTAMP '2026-03-08 00:30:00' ELSE TIMESTAMP '2025-11-02 00:30:00' END + to_hours(CAST(event_id % 5 AS INTEGER)) AS wall, CASE WHEN event_id % 3 = 0 THEN -18000 END AS stated FROM ev),
+o AS (SELECT *, CASE WHEN event_id % 2 = 0 THEN CASE WHEN hour(wall) < 2 THEN [-21600] WHEN hour(wall) < 3 THEN [] ELSE [-18000] END ELSE CASE WHEN hour(wall) < 1 THEN [-18000] WHEN hour(wall) < 2 THEN [-21600, -18000] ELSE [-21600] END END AS offsets FROM w),
+r AS (SELECT *, CASE WHEN event_id % 11 = 0 THEN 'fixed_utc' WHEN len(offsets) = 0 THEN 'nonexistent_local_time' WHEN len(offsets) = 2 AND list_contains(offsets, stated) THEN 'stated_in_fold' WHEN stated IS NOT NULL AND NOT list_contains(offsets, stated) THEN 'stated_offset_invalid' WHEN len(offsets) = 2 THEN 'ambiguous_local_time' ELSE 'unique' END AS resolution,
+    CASE WHEN event_id % 11 = 0 THEN 0 WHEN list_contains(offsets, stated) THEN stated WHEN len(offsets) = 1 THEN offsets[1] END AS off FROM o)
+SELECT event_id, CAST(wall AS VARCHAR) AS wall, array_to_string(offsets, ',') AS offsets, CAST(off AS BIGINT) AS "offset", resolution, CAST(wall - to_seconds(off) AS VARCHAR) AS utc FROM r""")
 def timezone_offsets(spark, sf_dir):
     e = event_log(spark, sf_dir)
     # wall clocks around both changes of the year, an hour apart in the night
@@ -280,3 +284,29 @@ def union_universe(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.lit("customer").alias("clock"))
     stacked = o.unionByName(c)
     return stacked.groupBy("key").agg(F.count_if(F.col("clock") == "order").alias("n_orders"), F.count_if(F.col("clock") == "customer").alias("n_customers"))
+
+
+@query("code_in_columns", "SELECT o_orderkey, n_name IN (o_orderstatus, c_mktsegment, n_name) AS listed, o_orderpriority IN (c_mktsegment, o_orderstatus) AS crossed, c_mktsegment IN (nullif(c_mktsegment, 'BUILDING'), o_orderstatus) AS maybe FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
+def code_in_columns(spark, sf_dir):
+    """A value among other columns of its row, with SQL's three values: null where no column is equal and one is null."""
+    o, c, n = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
+    rows = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
+    return rows.select("o_orderkey", F.expr("n_name IN (o_orderstatus, c_mktsegment, n_name)").alias("listed"), F.expr("o_orderpriority IN (c_mktsegment, o_orderstatus)").alias("crossed"), F.expr("c_mktsegment IN (nullif(c_mktsegment, 'BUILDING'), o_orderstatus)").alias("maybe"))
+
+
+@query("json_numbers", """WITH made AS (SELECT event_id, '{"k":' || CAST(json_extract(props, '$.k') AS VARCHAR) || ',"list":[1.5,{"deep":' || event_id % 7 || '},"x",null,true],"more":{"a":{"b":' || event_id || '}}}' AS j FROM events)
+SELECT event_id, replace(replace(t.fullkey, '$.', ''), '"', '') AS path, CAST(t.atom AS DOUBLE) AS number FROM made, json_tree(made.j) t WHERE t.type IN ('UBIGINT', 'BIGINT', 'DOUBLE')""")
+def json_numbers(spark, sf_dir):
+    from tidewake.functions.documents import json_numbers as flatten
+
+    e = table(spark, sf_dir, "events")
+    made = F.concat(F.lit('{"k":'), F.get_json_object("props", "$.k"), F.lit(',"list":[1.5,{"deep":'), (F.col("event_id") % 7).cast("string"), F.lit('},"x",null,true],"more":{"a":{"b":'), F.col("event_id").cast("string"), F.lit("}}}"))
+    return flatten(e.select("event_id", made.alias("j")), ["event_id"], "j")
+
+
+@query("snapshot_ranges", """SELECT 'customer.balance' AS contract, count(*) FILTER (NOT coalesce(c_acctbal BETWEEN -999.99 AND 9999.99, false)) AS observed, CAST(0 AS BIGINT) AS expected, count(*) FILTER (NOT coalesce(c_acctbal BETWEEN -999.99 AND 9999.99, false)) = 0 AS passed FROM customer
+UNION ALL SELECT 'customer.segment', count(*) FILTER (NOT regexp_full_match(c_mktsegment, '[A-H][A-Z]+')), 0, count(*) FILTER (NOT regexp_full_match(c_mktsegment, '[A-H][A-Z]+')) = 0 FROM customer
+UNION ALL SELECT 'customer.nation', count(*) FILTER (NOT c_nationkey BETWEEN 0 AND 24), 0, count(*) FILTER (NOT c_nationkey BETWEEN 0 AND 24) = 0 FROM customer""")
+def snapshot_ranges(spark, sf_dir):
+    rules = {"balance": F.col("c_acctbal").between(-999.99, 9999.99), "segment": ids.full_match("c_mktsegment", "[A-H][A-Z]+"), "nation": F.col("c_nationkey").between(0, 24)}
+    return contracts.ranges(table(spark, sf_dir, "customer"), "customer", rules)

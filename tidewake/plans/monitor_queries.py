@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewake.functions.identifiers import micros, week_start
 from tidewake.operators import graph, monitor
 from tidewake.plans.inputs import EVENTS_SQL, event_log, query, table
-from tidewake.plans.score_queries import rounded
+from tidewake.plans.score_queries import p_sql, rounded
 
 #: Events as revisions: a user's events of a week revise each other; the score is the value, an error the outcome.
 REV_SQL = """rev AS (SELECT *, CAST(date_trunc('week', ts) AS DATE) AS week, row_number() OVER (PARTITION BY user_id, CAST(date_trunc('week', ts) AS DATE) ORDER BY ts, event_id) AS revision,
@@ -134,6 +134,35 @@ def seasonal_shrinkage_monitor(spark, sf_dir):
     return rounded(out, "expected", "z").withColumn("week", F.col("week").cast("string"))
 
 
+@query("weekly_monitor", f"""WITH {EVENTS_SQL}, w AS (SELECT service, CAST(date_trunc('week', ts) AS DATE) AS week, count(*) AS n, count(*) FILTER (event_type IN ('error', 'signup')) AS e FROM ev GROUP BY 1, 2), m AS (SELECT *, month(week) AS mo FROM w),
+s AS (SELECT *, {', '.join(f"sum({c}) OVER ({p} ORDER BY week RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING) AS {a}{c}" for a, p in (('s', 'PARTITION BY service'), ('m', 'PARTITION BY mo'), ('g', '')) for c in ('n', 'e'))} FROM m),
+x AS (SELECT *, CAST(ge AS DOUBLE) / CAST(gn AS DOUBLE) AS g FROM s), y AS (SELECT *, least(greatest((coalesce(se, 0) + 50 * g) / CAST(coalesce(sn, 0) + 50 AS DOUBLE) + (coalesce(me, 0) + 50 * g) / CAST(coalesce(mn, 0) + 50 AS DOUBLE) - g, 0.001), 0.999) AS expected FROM x WHERE g IS NOT NULL),
+z AS (SELECT service, week, n, e, (e / n - expected) / sqrt(expected * (1 - expected) / n) AS z FROM y), p AS (SELECT *, {p_sql('z')} AS p FROM z), r AS (SELECT *, count(*) OVER (PARTITION BY week) AS m, row_number() OVER (PARTITION BY week ORDER BY p, service) AS i FROM p),
+a AS (SELECT *, min(least(1.0, p * m * list_sum(list_transform(range(1, m + 1), lambda k: 1.0::DOUBLE / k)) / i)) OVER (PARTITION BY week ORDER BY i DESC) AS pa, CASE WHEN z > 0 THEN 'up' ELSE 'down' END AS direction FROM r),
+b AS (SELECT *, pa <= 0.9 AS breach FROM a), c AS (SELECT *, breach AND coalesce(lag(breach) OVER w, false) AND lag(direction) OVER w = direction AND date_diff('day', lag(week) OVER w, week) = 7 AS persists FROM b WINDOW w AS (PARTITION BY service ORDER BY week)),
+d AS (SELECT *, row_number() OVER (PARTITION BY week, coalesce(persists, false) ORDER BY abs(z) DESC, service) AS nth FROM c)
+SELECT service, CAST(week AS VARCHAR) AS week, n, e, round(z, 6) AS z, round(pa, 5) AS p_adjusted, direction, CASE WHEN NOT breach THEN 'quiet' WHEN NOT coalesce(persists, false) THEN 'watch' WHEN nth <= 1 THEN 'fired' ELSE 'over_budget' END AS state FROM d""")
+def weekly_monitor(spark, sf_dir):
+    w = event_log(spark, sf_dir).groupBy("service", week_start("ts").alias("week")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type").isin("error", "signup")).alias("e"))
+    out = monitor.weekly_monitor(w, "service", "week", F.month("week"), "n", "e", alpha=0.9, budget=1)
+    return out.select("service", F.col("week").cast("string").alias("week"), "n", "e", F.round("z", 6).alias("z"), F.round("p_adjusted", 5).alias("p_adjusted"), "direction", "state")
+
+
+@query("ledger_state", """WITH c AS (SELECT user_id AS alert_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS back, event_id FROM events)
+SELECT alert_id, event_id AS batch FROM c WHERE back = 1 AND event_type IN ('view', 'click', 'purchase')""")
+def ledger_state(spark, sf_dir):
+    """Events as changes of one alert for each user: errors and signups retract it, all others fire it."""
+    e = table(spark, sf_dir, "events")
+    ledger = e.select(F.col("user_id").alias("alert_id"), F.when(F.col("event_type").isin("error", "signup"), "retracted").otherwise("fired").alias("action"), F.col("event_id").cast("string").alias("alert_hash"), F.col("event_id").alias("batch"), F.lit(1).alias("step"))
+    return monitor.active_alerts(ledger, "alert_id", "alert_hash").select("alert_id", F.col("alert_hash").cast("long").alias("batch"))
+
+
+@query("daily_alert_budget", f"""WITH {EVENTS_SQL} SELECT event_id, row_number() OVER (PARTITION BY site, CAST(ts AS DATE) ORDER BY cents DESC, event_id) <= 5 AS within_budget FROM ev WHERE event_type = 'error'""")
+def daily_alert_budget(spark, sf_dir):
+    rows = event_log(spark, sf_dir).filter("event_type = 'error'")
+    return monitor.daily_budget(rows, "ts", "cents", "event_id", 5, ["site"]).select("event_id", "within_budget")
+
+
 @query("metric_provenance", f"""WITH {EVENTS_SQL}, {REV_SQL}, x AS (SELECT week, service, event_id, sha256('{{"event_id":' || event_id || ',"revision":' || revision || '}}') AS h FROM rev),
 s AS (SELECT week, service, count(*) AS n_inputs, min(event_id) AS first_input, max(event_id) AS last_input, {', '.join(f"CAST(sum(CAST('0x' || substr(h, {1 + 15 * i}, 15) AS BIGINT)) AS VARCHAR) AS d{i}" for i in range(4))} FROM x GROUP BY 1, 2)
 SELECT CAST(week AS VARCHAR) AS week, service, n_inputs, first_input, last_input, sha256(concat_ws('|', n_inputs, d0, d1, d2, d3)) AS input_digest FROM s""")

@@ -86,10 +86,28 @@ def decision_curve(spark, sf_dir):
     return rounded(cl.decision_curve(scored_cases(spark, sf_dir), "y", "score", _THRESHOLDS), "model", "treat_all")
 
 
-@query("logistic_calibration")
+def _logistic_sql(y: str) -> str:
+    return f"""WITH RECURSIVE {SCORED_SQL}, x AS (SELECT ln(least(greatest(score, 1e-6), 1 - 1e-6) / (1 - least(greatest(score, 1e-6), 1 - 1e-6))) AS x, {y} AS y FROM scored), step AS (
+    SELECT 0 AS i, 0.0::DOUBLE AS a, 1.0::DOUBLE AS b
+    UNION ALL
+    SELECT i + 1, a + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) FROM (
+        SELECT i, a, b, sum(y - q) AS g0, sum((y - q) * x) AS g1, sum(q * (1 - q)) AS h00, sum(q * (1 - q) * x) AS h01, sum(q * (1 - q) * x * x) AS h11 FROM (SELECT *, 1 / (1 + exp(-(a + b * x))) AS q FROM step, x WHERE i < 30) GROUP BY i, a, b))
+SELECT CASE WHEN isfinite(a) THEN round(a, 6) END AS intercept, CASE WHEN isfinite(b) THEN round(b, 6) END AS slope FROM step WHERE i = 30"""
+
+
+def _logistic(spark, sf_dir, y):
+    found = cl.logistic_calibration(scored_cases(spark, sf_dir), y, "score")
+    return rounded(spark.createDataFrame([found or (None, None)], "intercept double, slope double"), "intercept", "slope")
+
+
+@query("logistic_calibration", _logistic_sql("y"))
 def logistic_calibration(spark, sf_dir):
-    found = cl.logistic_calibration(scored_cases(spark, sf_dir), "y", "score")
-    return spark.createDataFrame([found or (None, None)], "intercept double, slope double")
+    return _logistic(spark, sf_dir, "y")
+
+
+@query("logistic_calibration_toxic", _logistic_sql("y2"))
+def logistic_calibration_toxic(spark, sf_dir):
+    return _logistic(spark, sf_dir, "y2")
 
 
 _REF_SQL, _REF = "ts < TIMESTAMP '2024-01-16'", (lambda: F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz"))
@@ -185,7 +203,14 @@ def by_adjust(spark, sf_dir):
     return rounded(multiplicity.benjamini_yekutieli(_pvalues(spark, sf_dir), "p", "n_nationkey"), "by")
 
 
-@query("two_sided_p_values")
+def p_sql(z: str) -> str:
+    """Two-sided normal p of an expression in SQL, by the power series of the error function, each term from logarithms."""
+    x = f"(abs({z}) / sqrt(2.0::DOUBLE))"
+    term = f"exp(n * ln(2.0::DOUBLE) + (2 * n + 1) * ln({x}) - (lgamma(2.0::DOUBLE * n + 2) - n * ln(2.0::DOUBLE) - lgamma(n + 1.0::DOUBLE)) - {x} * {x})"
+    return f"CASE WHEN {z} = 0 THEN 1.0::DOUBLE ELSE greatest(0.0::DOUBLE, 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 300), lambda n: {term}))) END"
+
+
+@query("two_sided_p_values", f"SELECT n_nationkey, z, round({p_sql('z')}, 6) AS p FROM (SELECT n_nationkey, (n_nationkey - 12) / 4.0::DOUBLE AS z FROM nation)")
 def two_sided_p_values(spark, sf_dir):
     z = (F.col("n_nationkey") - 12) / F.lit(4.0)
-    return table(spark, sf_dir, "nation").select("n_nationkey", z.alias("z"), two_sided_p(z).alias("p"))
+    return rounded(table(spark, sf_dir, "nation").select("n_nationkey", z.alias("z"), two_sided_p(z).alias("p")), "p")
