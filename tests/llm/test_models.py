@@ -127,6 +127,8 @@ def test_scores_equal_brute_force(spark, strings, words):
     n, v = sum(c.values()), len(c)
     for i in range(len(texts)):
         assert out[i].score == pytest.approx(want[i], abs=1e-6)
+        size = len((" ".join(tokens[i][:-1]) + "\n").encode())
+        assert out[i].bits_per_byte == pytest.approx(-want[i] * math.log2(10) / size, abs=1e-6)
         assert out[i].base_score == pytest.approx(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens[i]))
         assert (out[i].n_tokens, out[i].n_known, out[i].train_tokens) == (len(tokens[i]), sum(c[w] > 0 for w in tokens[i]), n)
 

@@ -25,6 +25,7 @@ used, whole.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 
@@ -328,7 +329,10 @@ def _table(df: DataFrame, value: str) -> Lookup:
 
 
 def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, broadcast_strings: int = BROADCAST_STRINGS, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
-    """id_col, held_out, n_tokens, n_known, train_tokens, base_score, score for each row; rows with ``held_out`` aren't learned from."""
+    """id_col, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for each row; rows with ``held_out`` aren't learned from.
+
+    ``bits_per_byte`` is the code length of a text's words, a space between and a newline at the end, for each of these bytes.
+    """
     spark = docs.sparkSession
     tables = Tables(spark, "ctw")
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
@@ -364,7 +368,8 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
                 b = whole.slice(start, 128)
                 lists = [words_of(t) for t in b.column(3).to_pylist()]
                 out = {k: [] for k in ("n_tokens", "n_known", "base", "score", "rare", "grams")}
-                codes, starts = strings_of([line_of(ws) for ws in lists], depth)
+                lines = [line_of(ws) for ws in lists]
+                codes, starts = strings_of(lines, depth)
                 if model_table is not None:
                     out["score"] = np.add.reduceat(model_table.find(codes)[0], starts) / _LN10
                 else:
@@ -386,16 +391,16 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
                     out["rare"].append([{"key": x, "m": y} for x, y in zip(rest.tolist(), m.tolist(), strict=True)])
                 kind = pa.list_(pa.struct([("key", pa.int64()), ("m", pa.int64())]))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), b.column(1), b.column(2), pa.array(out["n_tokens"], pa.int64()), pa.array(out["n_known"], pa.int64()), pa.array(out["base"], pa.float64()), pa.array(out["score"], pa.float64()), pa.array(out["rare"], kind), pa.array(out["grams"] or [[]] * len(lists), kind)],
-                    names=["row", "id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare", "grams"],
+                    [b.column(0), b.column(1), b.column(2), pa.array(out["n_tokens"], pa.int64()), pa.array(out["n_known"], pa.int64()), pa.array(out["base"], pa.float64()), pa.array(out["score"], pa.float64()), pa.array([len(x) for x in lines], pa.int64()), pa.array(out["rare"], kind), pa.array(out["grams"] or [[]] * len(lists), kind)],
+                    names=["row", "id", "held_out", "n_tokens", "n_known", "base_score", "score", "n_scored", "rare", "grams"],
                 )
 
     listed = "array<struct<key:bigint,m:bigint>>"
     source = source.select(F.monotonically_increasing_id().alias("row"), "id", "held_out", "text")
-    fields = [source.schema["row"], source.schema["id"], source.schema["held_out"], *(T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known")), *(T.StructField(c, T.DoubleType()) for c in ("base_score", "score"))]
+    fields = [source.schema["row"], source.schema["id"], source.schema["held_out"], *(T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known")), *(T.StructField(c, T.DoubleType()) for c in ("base_score", "score")), T.StructField("n_scored", T.LongType())]
     schema = T.StructType([*fields, *(T.StructField(c, T._parse_datatype_string(listed)) for c in ("rare", "grams"))])
     scored = source.mapInArrow(run, schema)
-    plain = ["row", "id", "held_out", "n_tokens", "n_known", "base_score", "score"]
+    plain = ["row", "id", "held_out", "n_tokens", "n_known", "base_score", "score", "n_scored"]
     if not settled or not in_memory:
         scored = tables.write(scored)
         extra = None
@@ -410,6 +415,6 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
         extra = extra.groupBy("row").agg(F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("model").alias("model"))
         zero = lambda c: F.coalesce(F.col(c), F.lit(0))
         scored = scored.join(extra, "row", "left").select(
-            "row", "id", "held_out", "n_tokens", (F.col("n_known") + zero("known")).alias("n_known"), (F.col("base_score") + zero("base")).alias("base_score"), (F.col("score") + zero("model")).alias("score")
+            "row", "id", "held_out", "n_tokens", (F.col("n_known") + zero("known")).alias("n_known"), (F.col("base_score") + zero("base")).alias("base_score"), (F.col("score") + zero("model")).alias("score"), "n_scored"
         )
-    return scored.select(*plain).select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    return scored.select(*plain).select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", (-F.col("score") * math.log2(10) / F.col("n_scored")).alias("bits_per_byte"))
