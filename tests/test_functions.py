@@ -55,3 +55,24 @@ def test_normal_probabilities(spark):
     assert one(spark, prob.normal_cdf(F.lit(0.0))) == 0.5
     assert one(spark, prob.exponential_rmst(F.lit(0.5), 10.0)) == pytest.approx(10 * 0.5 / math.log(2))
     assert one(spark, prob.e_value(F.lit(2.0))) == pytest.approx(2 + math.sqrt(2))
+
+
+def test_offsets_and_elapsed_seconds_equal_the_standard_library(spark):
+    from datetime import datetime, timedelta
+
+    from tidewake.functions import timezones as tz
+
+    walls = [datetime(2025, 11, 2, 0, 30) + timedelta(minutes=20 * i) for i in range(12)] + [datetime(2026, 3, 8, 0, 30) + timedelta(minutes=20 * i) for i in range(12)] + [datetime(2024, 7, 1)]
+    df = spark.createDataFrame([(w,) for w in walls], "w timestamp_ntz")
+    for zone in ("America/Chicago", "Europe/Berlin", "UTC", "Australia/Lord_Howe"):
+        found = {r.w: r.o for r in df.select("w", tz.valid_offsets(F.col("w"), zone).alias("o")).collect()}
+        assert all(found[w] == tz.scalar_offsets(w, zone) for w in walls)
+    out = df.select("w", tz.elapsed(F.lit("2025-11-02 00:00:00").cast("timestamp_ntz"), F.lit(-18000), F.col("w"), F.lit(-21600)).alias("s")).collect()
+    assert all(r.s == tz.scalar_elapsed(datetime(2025, 11, 2), -18000, r.w, -21600) for r in out)
+
+
+def test_numbers_of_any_json(spark):
+    from tidewake.functions.documents import json_numbers
+
+    df = spark.createDataFrame([(1, '{"a": {"b": [1, {"c": 2.5}]}, "d": "3"}'), (2, None), (3, "not json"), (4, "7"), (5, "[[], {}]")], "path int, v string")
+    assert sorted((r.k, r.path, r.number) for r in json_numbers(df.withColumnRenamed("path", "k"), ["k"], "v").collect()) == [(1, "a.b[0]", 1.0), (1, "a.b[1].c", 2.5), (4, "", 7.0)]

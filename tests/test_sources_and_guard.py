@@ -193,3 +193,47 @@ def test_stream_takes_first_arrivals_and_revisions_in_sequence(spark, tmp_path):
     assert accepted["e8"].is_late and accepted["e8"].is_backfill and not accepted["e1"].is_late
     rejected = {(r.event_id, r.reason) for r in spark.read.parquet(str(tmp_path / "state/rejected")).collect()}
     assert rejected == {("e1", "conflict"), ("e4", "sequence"), ("e6", "sequence"), ("e7", "sequence")}
+
+
+def test_catalogs_and_loaders(spark, tmp_path):
+    from tidewake.sources import catalogs
+
+    spark.range(3).write.parquet(str(tmp_path / "x.parquet"))
+    (tmp_path / "y.csv").write_text("a,b\n1,\n")
+    assert catalogs.attach(spark, str(tmp_path), "other") == ["other_x"] and spark.table("other_x").count() == 3
+    with pytest.raises(Exception):
+        spark.sql("INSERT INTO other_x VALUES (9)")
+    assert catalogs.load_csvs(spark, str(tmp_path), "c") == ["c_y"] and spark.table("c_y").dtypes == [("a", "string"), ("b", "string")]
+    (tmp_path / "q.csv").write_text("question_id,question,asker_role\n1, How many? ,planner\n")
+    assert catalogs.read_questions(spark, str(tmp_path / "q.csv")).first().question == "How many?"
+    (tmp_path / "q2.csv").write_text("question_id,question,asker_role\n1,a,x\n1,b,x\n")
+    with pytest.raises(ValueError):
+        catalogs.read_questions(spark, str(tmp_path / "q2.csv")).count()
+    (tmp_path / "cases.json").write_text('{"question": "a", "expected": "refuse"}\n')
+    assert catalogs.read_cases(spark, str(tmp_path / "cases.json")).count() == 1
+    (tmp_path / "bad.json").write_text('{"question": "a", "expected": "maybe"}\n')
+    with pytest.raises(ValueError):
+        catalogs.read_cases(spark, str(tmp_path / "bad.json"))
+
+
+def test_small_sinks_and_sources(spark, tmp_path):
+    a, b = spark.createDataFrame([(1, "x")], "k int, a string"), spark.createDataFrame([(2, 0.5)], "k int, b double")
+    stacked = publish.stack_by_name([a, b])
+    assert stacked.columns == ["k", "a", "b"] and sorted((r.k, r.b) for r in stacked.collect()) == [(1, None), (2, 0.5)]
+    publish.write_csv(stacked, str(tmp_path / "s"), ["k"])
+    assert [r.k for r in event_log.read_inferred(spark, str(tmp_path / "s")).orderBy("k").collect()] == [1, 2] and event_log.read_inferred(spark, str(tmp_path / "s")).dtypes[0] == ("k", "int")
+    publish.append_rows(a, str(tmp_path / "ledger"))
+    publish.append_rows(a, str(tmp_path / "ledger"))
+    assert spark.read.json(str(tmp_path / "ledger")).count() == 2
+    assert sorted(publish.upsert(a, spark.createDataFrame([(1, "new"), (3, "y")], "k int, a string"), ["k"]).collect()) == [(1, "new"), (3, "y")]
+    assert event_log.literal_table(spark, "a int, b string", [(1, "x")]).first() == (1, "x")
+    spark.range(5).coalesce(1).write.parquet(str(tmp_path / "p"))
+    assert event_log.footer_rows(spark, str(tmp_path / "p")) == 5
+    import hashlib
+
+    (tmp_path / "f").write_bytes(b"abc" * 1000)
+    assert incremental.file_digest(spark, str(tmp_path / "f")) == hashlib.sha256(b"abc" * 1000).hexdigest()
+    with pytest.raises(ContractError, match="null"):
+        publish.publish(spark, str(tmp_path / "o"), {"t": publish.Artifact(spark.createDataFrame([(None, 1)], "k int, v int"), ("k",))}, {})
+    weekly = scored_cases.weekly_counts(spark.createDataFrame([("2026-01-05T10:00:00+00:00", "A", "A-1", 0.5)], "scored_at string, site string, service_code string, score double"))
+    assert weekly.select("n", "mean_score").first() == (1, 0.5)

@@ -86,9 +86,15 @@ def test_bootstraps_repeat_and_bracket(spark):
 
 
 def test_power_grows_with_effect_and_ignores_partitioning(spark):
-    grid = [("none", 8, 8, 0.0, 0.5), ("large", 8, 8, 2.0, 0.5)]
-    a, b = ({r.scenario: r.power for r in matrix.rollout_power(spark, grid, 20, 5).collect()} for _ in range(2))
-    assert a == b and a["none"] < a["large"] == 1
+    design = matrix.Rollout((0.3,) * 8, (50,) * 8, ("A", "B") * 4, (4, 4, 8, 8, 4, 4, 8, 8), weeks=16, policy_week=None)
+    run = lambda: {r.effect: r.power for r in matrix.rollout_power(spark, design, (0.0, -0.2), (0.01,), 60, 7, chunk=20).collect()}
+    first = run()
+    assert first[-0.2] > 0.9 > first[0.0]
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        assert run() == first
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
 def test_components_of_a_chain(spark):
@@ -101,3 +107,70 @@ def test_components_of_a_chain(spark):
 def test_unknown_predicate_names_are_refused():
     with pytest.raises(ValueError):
         cohort.parse_predicate("password:x", {"site": "site"})
+
+
+def test_running_totals_of_many_buckets(spark):
+    import random
+
+    from tidewake.operators import ranks
+
+    rng = random.Random(1)
+    rows = [(rng.choice(["a", None]), v, rng.randrange(5)) for v in rng.sample(range(10_000), 700)]
+    df = spark.createDataFrame(rows, "g string, v int, c int")
+    for down in (False, True):
+        for r in ranks.running(df, ["g"], "v", {"before": F.col("c")}, down, buckets=16).collect():
+            assert r.before == sum(c for g, v, c in rows if g == r.g and (v > r.v if down else v < r.v))
+    placed = ranks.positions(spark.createDataFrame([(1, 5), (2, 5), (3, 4), (4, 9)], "i int, s int"), "s", "i", descending=True)
+    assert {r.i: (r._position, r._rows) for r in placed.collect()} == {4: (1, 4), 1: (2, 4), 2: (3, 4), 3: (4, 4)}
+    points = [0.0, 0.1, 0.5, 0.77, 1.0]
+    assert ranks.quantiles(df, "v", points).first().edges == pytest.approx(list(np.quantile([v for _, v, _ in rows], points)))
+    assert ranks.quantiles(df.limit(0), "v", [0.5]).first().edges == [None]
+
+
+def test_wins_are_those_of_all_pairs(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(rng.choice("abc"), rng.randrange(2), rng.randrange(6) / 6) for _ in range(120)]
+    df = spark.createDataFrame(rows, "c string, y int, s double")
+    want = {}
+    for c, y, s in rows:
+        for d, z, t in rows:
+            if y == 1 and z == 0:
+                want[c, d] = want.get((c, d), 0) + (s > t) + 0.5 * (s == t)
+    assert {(r.a, r.b): r.wins for r in resample.win_matrix(df, "c", "y", "s").collect() if r.wins or (r.a, r.b) in want} == want
+    out = {r.measure: r for r in resample.classification_bootstrap(df, "c", "y", "s", 0.5, 50, "t").collect()}
+    auc = sum(want.values()) / (sum(y for _, y, _ in rows) * sum(1 - y for _, y, _ in rows))
+    assert out["auc"].estimate == pytest.approx(auc) and out["auc"].low <= auc <= out["auc"].high and len(out) == 9
+    assert cl.rank_auc(df, "y", "s").first().auc == pytest.approx(auc)
+
+
+def test_power_without_effect_is_half_alpha_and_grows(spark):
+    design = matrix.Rollout((0.2,) * 8, (40,) * 8, ("A", "B") * 4, (16, 16, 24, 24, 32, 32, 40, 40))
+    out = {r.effect: r for r in matrix.rollout_power(spark, design, (0.0, -0.05, -0.1), (0.03,), 600, 3).collect()}
+    assert out[0.0].simulations == 600 and out[0.0].power < 0.06 and out[-0.1].power > out[-0.05].power > out[0.0].power and out[-0.1].power > 0.9
+
+
+def test_panels_with_missing_cells_equal_dummies():
+    rng = np.random.default_rng(5)
+    y, d, seen = rng.normal(size=(1, 5, 9)), rng.integers(0, 2, (1, 5, 9)).astype(float), rng.random((1, 5, 9)) > 0.15
+    beta, _ = matrix.two_way_many(y, d, seen)
+    u, t = np.indices((5, 9))
+    x = np.column_stack([d[0].ravel(), *(u.ravel() == i for i in range(5)), *(t.ravel() == j for j in range(1, 9))])[seen[0].ravel()]
+    assert beta[0] == pytest.approx(np.linalg.lstsq(x.astype(float), y[0].ravel()[seen[0].ravel()], rcond=None)[0][0], abs=1e-6)
+
+
+def test_predicates_and_their_refusals(spark):
+    df = spark.createDataFrame([("a", 3.0, "2026-01-03"), ("a", 5.0, "2026-01-05")], "s string, v double, d string").withColumn("d", F.to_date("d"))
+    names = {"s": "s", "v": "v", "d": "d"}
+    keep = lambda text: [r.v for r in df.filter(cohort.parse_predicate(text, names)).collect()]
+    assert keep("weekend:d") == [3.0] and keep("s:a|v>=4") == [5.0] and keep("v<4") == [3.0]
+    for bad in ("x:1", "v=1", "weekend:x", "v"):
+        with pytest.raises(ValueError):
+            cohort.parse_predicate(bad, names)
+
+
+def test_component_ids_stay_apart_beyond_two_digits(spark):
+    labels = spark.range(150).select(F.col("id").alias("n"), F.col("id").alias("root"))
+    ids = [r.component for r in graph.component_listing(labels, "n").orderBy("root").collect()]
+    assert len(set(ids)) == 150 and ids[0] == "IC-001" and ids[-1] == "IC-150"

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+from zoneinfo import ZoneInfo
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,3 +39,21 @@ def resolve_offset(offsets: Column, stated: Column, fixed_utc: Column) -> tuple[
 def to_utc(wall: Column, offset: Column) -> Column:
     """UTC wall clock of a wall clock with an offset in seconds."""
     return wall - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), offset.cast("decimal(18,6)"))
+
+
+def scalar_offsets(wall: datetime, zone: str) -> list[int]:
+    """``valid_offsets`` of one wall clock, from the standard library: what the Column expression must equal."""
+    z = ZoneInfo(zone)
+    found = {wall.replace(tzinfo=z, fold=f).utcoffset() for f in (0, 1)}
+    return sorted(int(o.total_seconds()) for o in found if (wall.replace(tzinfo=ZoneInfo("UTC")) - o).astimezone(z).replace(tzinfo=None) == wall)
+
+
+def scalar_elapsed(start: datetime, start_offset: int, end: datetime, end_offset: int) -> float:
+    """Seconds between two wall clocks with their offsets."""
+    return ((end - timedelta(seconds=end_offset)) - (start - timedelta(seconds=start_offset))).total_seconds()
+
+
+def elapsed(start: Column, start_offset: Column, end: Column, end_offset: Column) -> Column:
+    """Seconds between two wall clocks with their offsets; null where an offset isn't known."""
+    micros = F.timestamp_diff("MICROSECOND", to_utc(start, start_offset), to_utc(end, end_offset))
+    return micros / F.lit(1e6)

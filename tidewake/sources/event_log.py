@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Sequence
 
@@ -49,19 +50,35 @@ def _wall_clock(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, F.col(name).cast("timestamp_ntz"))
 
 
+def _schema(spark: SparkSession, path: str) -> T.StructType:
+    """A file's columns; where timestamps are in nanoseconds, the session is set to read these as numbers."""
+    try:
+        return spark.read.parquet(path).schema
+    except Exception as e:
+        if "NANOS" not in str(e):
+            raise
+        spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
+        return spark.read.parquet(path).schema
+
+
 def read_events(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """The files of a log as one table, columns by name, both generations of the service code, and the month of the file.
 
-    Each footer is checked before any row is read.
+    Each footer is checked before any row is read. Files of the same columns are one scan, so the plan
+    grows with the generations of the log and not with its files.
     """
-    spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
-    out = None
+    alike: dict[str, list[str]] = {}
     for path in paths:
-        df = spark.read.parquet(path)
-        if errors := schema_errors(spark, df, COLUMNS, GENERATIONS):
+        found = _schema(spark, path)
+        if errors := schema_errors(spark, spark.createDataFrame([], found), COLUMNS, GENERATIONS):
             raise ContractError(f"{path}: {'; '.join(errors)}")
-        df = _wall_clock(df, "ingest_ts").withColumn("source_partition", F.lit(month_of(path)))
-        df = df.withColumns({c: F.col(c).cast("double") for c in ("cost_cad", "tz_offset_hours")})
+        month_of(path)
+        alike.setdefault(found.json(), []).append(path)
+    out = None
+    for kind, files in alike.items():
+        df = spark.read.schema(T.StructType.fromJson(json.loads(kind))).parquet(*files)
+        df = df.withColumn("source_partition", F.regexp_extract(F.col("_metadata.file_path"), _MONTH.pattern.replace("\\Z", "$"), 1))
+        df = _wall_clock(df, "ingest_ts").withColumns({c: F.col(c).cast("double") for c in ("cost_cad", "tz_offset_hours")})
         df = df.withColumns({c: F.lit(None).cast("string") for c in GENERATIONS if c not in df.columns})
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     if out is None:

@@ -6,7 +6,6 @@ import hashlib
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidewake.sources.store import Store
 
@@ -14,8 +13,14 @@ STATE = "state.json"
 
 
 def file_digest(spark: SparkSession, path: str) -> str:
-    """sha256 of a file's bytes, read by an executor."""
-    return spark.read.format("binaryFile").load(path).select(F.sha2("content", 256)).first()[0]
+    """sha256 of a file's bytes, read as a stream: a file of any size."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(where)
+    try:
+        return jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+    finally:
+        stream.close()
 
 
 def plan(state: dict, inputs: dict[str, str], version: str, replay: tuple[str, str] | None = None) -> tuple[list[str], list[str]]:

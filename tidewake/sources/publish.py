@@ -37,9 +37,18 @@ def write_ordered(df: DataFrame, path: str, order: Sequence[str], single: bool =
     (out.coalesce(1) if single else out).write.option("compression", "zstd").parquet(path)
 
 
-def write_csv(df: DataFrame, path: str, order: Sequence[str] = ()) -> None:
+def stack_by_name(frames: Sequence[DataFrame]) -> DataFrame:
+    """Tables below one another, columns in the order in which they are first seen, what a table lacks null."""
+    out = frames[0]
+    for df in frames[1:]:
+        out = out.unionByName(df, allowMissingColumns=True)
+    return out
+
+
+def write_csv(df: DataFrame, path: str, order: Sequence[str] = (), single: bool = True) -> None:
+    """CSV with a header, in a total order; one file for readers that need one, else files in that order."""
     out = df.orderBy(*(F.col(c).asc_nulls_last() for c in order)) if order else df
-    out.coalesce(1).write.csv(path, header=True)
+    (out.coalesce(1) if single else out).write.csv(path, header=True)
 
 
 def append_rows(df: DataFrame, path: str) -> None:
@@ -72,6 +81,8 @@ def publish(spark: SparkSession, location: str, artifacts: dict[str, Artifact],
             written = spark.read.parquet(store.at(path))
         if a.grain and not repeated_keys(written, a.grain).isEmpty():
             raise ContractError(f"{name}: rows repeat {', '.join(a.grain)}")
+        if a.grain and not written.filter(" OR ".join(f"`{k}` IS NULL" for k in a.grain)).isEmpty():
+            raise ContractError(f"{name}: null in {', '.join(a.grain)}")
         entries[name] = {"kind": a.kind, "grain": list(a.grain), "rows": written.count(), "digest": content_digest(written), "bytes": sum(size for _, size, _ in store.files(path))}
     manifest = {"artifacts": entries, "inputs": inputs}
     identity = hashlib.sha256(json.dumps({n: e["digest"] for n, e in sorted(entries.items())} | {"inputs": inputs}, sort_keys=True, default=str).encode()).hexdigest()
