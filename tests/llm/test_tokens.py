@@ -66,3 +66,22 @@ def test_sentencepiece_counts(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert bpe.bpe_decode(bpe.bpe_encode(df, PATH), PATH).collect() == [] == bpe.count_tokens(df, PATH).collect()
+
+
+def test_piece_counts_equal_the_library():
+    """Without identifiers: words of any script, runs of spaces, byte fall back, special strings."""
+    import sentencepiece
+
+    path = tokenizer_path("piece_bpe_32k.model")
+    tool, counter, rng = sentencepiece.SentencePieceProcessor(model_file=path), bpe.PieceCounter(path), random.Random(1)
+    texts = ["", " ", "  a  b ", "\n\n x", "\u65e5\u672c\u8a9e \U0001f600", "\u2581a\u2581\u2581b", "a" * 500, "<s> </s> <unk> <0x41>", "\x00 \x07a"]
+    texts += ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(160, 600), rng.randrange(0x4E00, 0x4E50), 0x2581, 32, 0x1F600])) for _ in range(rng.randrange(1, 60))) for _ in range(500)]
+    assert [counter.count_text(t) for t in texts] == [len(tool.encode(t)) for t in texts]
+
+
+def test_tasks_leave_nothing_behind():
+    batch = __import__("pyarrow").RecordBatch.from_pydict({"id": [1], "text": ["some words here"]})
+    for _ in bpe._forgetting([batch], PATH, bpe._encoder, bpe._counter):
+        bpe.encode_text(PATH, "some words here"), bpe.count_text(PATH, "some words here")
+        assert len(bpe._encoder(PATH)[1]) and len(bpe._counter(PATH)[1])
+    assert not len(bpe._encoder(PATH)[1]) and not len(bpe._counter(PATH)[1]) and not any(map(len, bpe._encoder(PATH)[1].more))
