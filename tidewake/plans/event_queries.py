@@ -310,3 +310,43 @@ UNION ALL SELECT 'customer.nation', count(*) FILTER (NOT c_nationkey BETWEEN 0 A
 def snapshot_ranges(spark, sf_dir):
     rules = {"balance": F.col("c_acctbal").between(-999.99, 9999.99), "segment": ids.full_match("c_mktsegment", "[A-H][A-Z]+"), "nation": F.col("c_nationkey").between(0, 24)}
     return contracts.ranges(table(spark, sf_dir, "customer"), "customer", rules)
+
+
+#: Events in the shape of a normalized log, each class of ids with a fault of its own.
+_FAULTS_SQL = f"""f AS (SELECT event_id AS n, event_id % 31 AS k, ts, ingest_ts, CASE WHEN user_id % 2 = 0 THEN 'A' ELSE 'B' END AS s, cents FROM ev),
+log AS (SELECT n, CASE WHEN k <> 1 THEN ts END AS event_ts_local, CASE WHEN k <> 2 THEN ingest_ts END AS ingest_ts_local, CASE WHEN k = 3 THEN '1999-01' ELSE strftime(ingest_ts, '%Y-%m') END AS source_partition, CASE k WHEN 4 THEN 'fax' WHEN 5 THEN 'hisB' ELSE 'hisA' END AS source_system,
+    CASE WHEN k IN (4, 5) THEN -6 WHEN n % 2 = 0 THEN -5 END AS tz, CASE k WHEN 6 THEN NULL WHEN 8 THEN 0 ELSE 1 END AS ec, CASE k WHEN 7 THEN NULL WHEN 9 THEN 0 ELSE 1 END AS ic, CASE WHEN k <> 10 THEN -6 END AS eo, CASE WHEN k <> 11 THEN -6 END AS io,
+    CASE WHEN k = 12 THEN 'x' ELSE printf('%016x', n) END AS event_id, CASE WHEN k <> 13 THEN 'C' || n END AS case_id, CASE WHEN k = 14 THEN 'other' WHEN n % 3 = 0 THEN 'case_closed' ELSE 'seen' END AS event_type, CASE WHEN k = 15 THEN 'Z' ELSE s END AS site,
+    CASE WHEN k = 16 THEN 'M1' ELSE 'MD0001' END AS clinician_id, CASE WHEN k <> 17 THEN 'MD0001' END AS dim_id, CASE WHEN k = 18 THEN NULL ELSE s || '-W1' END AS ward_id, CASE WHEN k = 19 THEN 'X' ELSE s END AS dim_site, s || '-W1' AS dim_ward,
+    CASE k WHEN 20 THEN '?' WHEN 21 THEN CASE s WHEN 'A' THEN 'B-ENT' ELSE 'A-ENT' END ELSE s || '-ENT' END AS service_code, CASE WHEN k = 22 THEN ' ent2 ' ELSE 'UNKNOWN' END AS raw_new, s || '-ENT' AS raw_old,
+    CASE WHEN k = 23 THEN NULL WHEN k = 24 THEN 1.0 WHEN n % 3 = 0 THEN CASE k WHEN 25 THEN 1e6 WHEN 26 THEN 1.005 ELSE cents / 100.0::DOUBLE END END AS cost,
+    ts AS event_utc, CASE WHEN k = 27 THEN ts - INTERVAL 1 HOUR ELSE ingest_ts END AS ingest_utc FROM f)"""
+
+
+@query("rejection_chain", f"""WITH {EVENTS_SQL}, {_FAULTS_SQL} SELECT n, CASE WHEN event_ts_local IS NULL THEN 'invalid_event_timestamp' WHEN ingest_ts_local IS NULL THEN 'invalid_ingest_timestamp' WHEN strftime(ingest_ts_local, '%Y-%m') <> source_partition THEN 'ingest_partition_mismatch'
+    WHEN source_system = 'fax' THEN 'unknown_source_system' WHEN source_system = 'hisB' AND tz <> 0 OR source_system = 'hisA' AND tz NOT IN (-5, -6) THEN 'invalid_supplied_offset' WHEN ec IS NULL THEN 'missing_event_timezone_rule' WHEN ic IS NULL THEN 'missing_ingest_timezone_rule'
+    WHEN ec = 0 THEN 'event_nonexistent_local_time' WHEN ic = 0 THEN 'ingest_nonexistent_local_time' WHEN eo IS NULL THEN 'unresolved_event_timezone' WHEN io IS NULL THEN 'unresolved_ingest_timezone' WHEN length(event_id) <> 16 THEN 'malformed_event_id' WHEN case_id IS NULL THEN 'malformed_case_id'
+    WHEN event_type = 'other' THEN 'unknown_event_type' WHEN site = 'Z' THEN 'invalid_site' WHEN length(clinician_id) <> 6 THEN 'malformed_clinician_id' WHEN dim_id IS NULL THEN 'unmatched_clinician_id' WHEN ward_id IS NULL THEN 'malformed_ward_id' WHEN dim_site <> site THEN 'clinician_dimension_mismatch'
+    WHEN service_code = '?' THEN 'invalid_service_code' WHEN service_code[1] <> site THEN 'service_site_mismatch' WHEN raw_new <> 'UNKNOWN' THEN 'conflicting_service_codes' WHEN event_type = 'case_closed' AND cost IS NULL THEN 'missing_close_cost' WHEN event_type <> 'case_closed' AND cost IS NOT NULL THEN 'unexpected_event_cost'
+    WHEN cost NOT BETWEEN 0 AND 100000 THEN 'cost_out_of_range' WHEN cost = 1.005 THEN 'cost_not_cent_exact' WHEN ingest_utc < event_utc THEN 'negative_ingest_lag' WHEN ingest_utc > event_utc + INTERVAL 10 DAY THEN 'ingest_lag_exceeds_contract' END AS reason FROM log""")
+def rejection_chain(spark, sf_dir):
+    from tidewake.operators.rejection import EventRules, rejection_reason
+
+    n = F.col("event_id")
+    k, s = n % 31, F.col("site")
+    is_ = lambda *v: k.isin(*v)
+    unless = lambda v, c: F.when(~is_(v), c)
+    closed = n % 3 == 0
+    cost = F.when(is_(23), None).when(is_(24), 1.0).when(closed, F.when(is_(25), 1e6).when(is_(26), 1.005).otherwise(F.col("cents") / 100.0))
+    log = event_log(spark, sf_dir).select(
+        n.alias("n"), unless(1, F.col("ts")).alias("event_ts_local"), unless(2, F.col("ingest_ts")).alias("ingest_ts_local"), F.when(is_(3), "1999-01").otherwise(F.date_format("ingest_ts", "yyyy-MM")).alias("source_partition"),
+        F.when(is_(4), "fax").when(is_(5), "hisB").otherwise("hisA").alias("source_system"), F.when(is_(4, 5), -6.0).when(n % 2 == 0, -5.0).alias("tz_offset_hours"),
+        unless(6, F.when(is_(8), 0).otherwise(1)).alias("event_offset_count"), unless(7, F.when(is_(9), 0).otherwise(1)).alias("ingest_offset_count"), unless(10, F.lit(-6)).alias("event_offset_hours"), unless(11, F.lit(-6)).alias("ingest_offset_hours"),
+        F.when(is_(12), "x").otherwise(F.lower(F.lpad(F.hex(n), 16, "0"))).alias("event_id"), unless(13, F.concat(F.lit("C"), n.cast("string"))).alias("case_id"), F.when(is_(14), "other").when(closed, "case_closed").otherwise("seen").alias("event_type"),
+        F.when(is_(15), "Z").otherwise(s).alias("site"), F.when(is_(16), "M1").otherwise("MD0001").alias("clinician_id"), unless(17, F.lit("MD0001")).alias("dim_clinician_id"), unless(18, F.concat(s, F.lit("-W1"))).alias("ward_id"),
+        F.when(is_(19), "X").otherwise(s).alias("dim_site"), F.concat(s, F.lit("-W1")).alias("dim_ward_id"), F.when(is_(20), "?").when(is_(21), F.when(s == "A", "B-ENT").otherwise("A-ENT")).otherwise(F.concat(s, F.lit("-ENT"))).alias("service_code"),
+        F.when(is_(22), " ent2 ").otherwise("UNKNOWN").alias("raw_service_code"), F.concat(s, F.lit("-ENT")).alias("raw_svc_code"), cost.alias("cost_cad"),
+        F.col("ts").alias("event_ts_utc"), F.when(is_(27), F.col("ts") - F.expr("interval 1 hour")).otherwise(F.col("ingest_ts")).alias("ingest_ts_utc"),
+    )
+    rules = EventRules({"hisA": (-5.0, -6.0), "hisB": (0.0,), "device": ()}, ("seen", "case_closed"), ("A", "B"), "case_closed")
+    return log.select("n", rejection_reason(rules).alias("reason"))
