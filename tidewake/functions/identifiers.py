@@ -27,7 +27,7 @@ def canonical_case_id(c: Column | str) -> Column:
 
 
 def joined_key(*cs: Column | str, missing: str = "<NULL>", sep: str = "|") -> Column:
-    """Columns as one text, with nulls spelled out so that no two rows of different content meet."""
+    """Columns as one text, nulls spelled out. Values that hold the separator or spell the null mark can meet others; a caller that has such values must escape them."""
     return F.concat_ws(sep, *(F.coalesce(col(c).cast("string"), F.lit(missing)) for c in cs))
 
 

@@ -350,3 +350,22 @@ def rejection_chain(spark, sf_dir):
     )
     rules = EventRules({"hisA": (-5.0, -6.0), "hisB": (0.0,), "device": ()}, ("seen", "case_closed"), ("A", "B"), "case_closed")
     return log.select("n", rejection_reason(rules).alias("reason"))
+
+
+@query("canonical_id_join", """WITH raw AS (SELECT c_custkey, c_nationkey, CASE c_custkey % 4 WHEN 0 THEN ' ' || c_custkey || ' ' WHEN 1 THEN 'c' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') WHEN 2 THEN 'X' || c_custkey ELSE CAST(c_custkey AS VARCHAR) END AS raw_id FROM customer),
+named AS (SELECT c_nationkey, CASE WHEN regexp_full_match(upper(trim(raw_id)), 'C[0-9]{9}') THEN upper(trim(raw_id)) WHEN regexp_full_match(upper(trim(raw_id)), '[0-9]{1,9}') THEN 'C' || lpad(upper(trim(raw_id)), 9, '0') END AS case_id FROM raw)
+SELECT o_orderkey, c_nationkey, case_id IS NOT NULL AS matched FROM orders LEFT JOIN named ON 'C' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') = case_id""")
+def canonical_id_join(spark, sf_dir):
+    """Orders to customers whose ids are spelled in several ways, on the canonical spelling of both."""
+    k = F.col("c_custkey")
+    text = k.cast("string")
+    raw = F.when(k % 4 == 0, F.concat(F.lit(" "), text, F.lit(" "))).when(k % 4 == 1, F.concat(F.lit("c"), F.lpad(text, 9, "0"))).when(k % 4 == 2, F.concat(F.lit("X"), text)).otherwise(text)
+    named = table(spark, sf_dir, "customer").select("c_nationkey", ids.canonical_case_id(raw).alias("case_id"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", ids.canonical_case_id(F.col("o_custkey").cast("string")).alias("id"))
+    return o.join(named, F.col("id") == F.col("case_id"), "left").select("o_orderkey", "c_nationkey", F.col("case_id").isNotNull().alias("matched"))
+
+
+@query("kind_grain", """SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) > 1""")
+def kind_grain(spark, sf_dir):
+    """Cases with more than one event of a kind: what a workflow's grain forbids."""
+    return contracts.repeated_keys(table(spark, sf_dir, "events"), ["user_id", "event_type"])

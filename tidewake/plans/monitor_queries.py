@@ -202,6 +202,31 @@ def component_listing(spark, sf_dir):
     return graph.component_listing(_labels(spark, sf_dir), "node")
 
 
+_TWO_SQL = """near AS (SELECT DISTINCT s_suppkey AS node, 'n' || s_nationkey AS via FROM supplier WHERE s_acctbal > 5000 UNION SELECT DISTINCT l_suppkey, 'p' || l_partkey FROM lineitem WHERE l_quantity = 50 AND l_returnflag = 'R'), hubs AS (SELECT via, min(node) AS a FROM near GROUP BY 1),
+links AS (SELECT a, node AS b FROM near JOIN hubs USING (via) UNION SELECT node, a FROM near JOIN hubs USING (via)), reach AS (SELECT DISTINCT node, node AS other FROM near UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.other), roots AS (SELECT node, min(other) AS root FROM reach GROUP BY 1)"""
+
+
+def _two_kinds(spark, sf_dir):
+    """Suppliers linked by a nation (those of large balances) or by a part (full, returned lines)."""
+    s, li = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "lineitem")
+    by_nation = s.filter("s_acctbal > 5000").select(F.col("s_suppkey").alias("node"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("via"))
+    by_part = li.filter("l_quantity = 50 AND l_returnflag = 'R'").select(F.col("l_suppkey").alias("node"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("via"))
+    near = by_nation.unionByName(by_part).distinct()
+    return graph.components(near.select("node"), graph.shared_edges(near, "node", "via"), "node")
+
+
+@query("components_two_kinds", f"WITH RECURSIVE {_TWO_SQL} SELECT node, root, sha256('IC|' || root) AS component_id FROM roots")
+def components_two_kinds(spark, sf_dir):
+    return _two_kinds(spark, sf_dir).withColumn("component_id", F.sha2(F.concat(F.lit("IC|"), F.col("root").cast("string")).cast("binary"), 256))
+
+
+@query("component_sequences", f"""WITH RECURSIVE {_TWO_SQL}, c AS (SELECT root, count(*) AS n, root % 2 AS stratum FROM roots GROUP BY 1)
+SELECT root, n, stratum, CAST((row_number() OVER (PARTITION BY stratum ORDER BY sha256('seed-7|' || root), root) - 1) % 4 + 1 AS INTEGER) AS sequence FROM c""")
+def component_sequences(spark, sf_dir):
+    found = _two_kinds(spark, sf_dir).groupBy("root").agg(F.count(F.lit(1)).alias("n")).withColumn("stratum", F.col("root") % 2)
+    return graph.assign_sequences(found, "root", "stratum", 4, "seed-7").select("root", "n", "stratum", "sequence")
+
+
 @query("component_assignment", """SELECT n_nationkey, n_regionkey, CAST((row_number() OVER (PARTITION BY n_regionkey ORDER BY sha256('seed-7|' || n_nationkey), n_nationkey) - 1) % 3 + 1 AS INTEGER) AS sequence FROM nation""")
 def component_assignment(spark, sf_dir):
     return graph.assign_sequences(table(spark, sf_dir, "nation"), "n_nationkey", "n_regionkey", 3, "seed-7").select("n_nationkey", "n_regionkey", "sequence")

@@ -76,3 +76,28 @@ def top_orders(spark, sf_dir):
 
     best = table(spark, sf_dir, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(25)  # the feature is a top 25
     return best.select("o_orderkey", "o_custkey", F.row_number().over(Window.orderBy(F.desc("o_totalprice"), "o_orderkey")).cast("long").alias("rank"))
+
+
+_PSI_SQL = "sum(((q + 0.5) / (nq + 2.5) - (p + 0.5) / (np + 2.5)) * ln(((q + 0.5) / (nq + 2.5)) / ((p + 0.5) / (np + 2.5))))"
+
+
+@query("monitor_snapshot", f"""WITH {EVENTS_SQL}, e AS (SELECT *, ts < TIMESTAMP '2024-01-16' AS ref, least(1.0::DOUBLE, greatest(0.0::DOUBLE, value / 100.0::DOUBLE)) AS score, CAST(event_type IN ('error', 'purchase') AS INTEGER) AS y FROM ev),
+bins AS (SELECT b, count(*) FILTER (ref) AS p, count(*) FILTER (NOT ref) AS q FROM (SELECT least(CAST(floor(score * 5) AS INTEGER), 4) AS b, ref FROM e) GROUP BY 1), psi AS (SELECT {_PSI_SQL} AS v FROM (SELECT coalesce(p, 0)::DOUBLE AS p, coalesce(q, 0)::DOUBLE AS q, (SELECT sum(p) FROM bins)::DOUBLE AS np, (SELECT sum(q) FROM bins)::DOUBLE AS nq FROM range(5) r LEFT JOIN bins ON b = r.range)),
+share AS (SELECT max(abs(q / nq - p / np)) AS v FROM (SELECT count(*) FILTER (ref)::DOUBLE AS p, count(*) FILTER (NOT ref)::DOUBLE AS q, sum(count(*) FILTER (ref)) OVER () AS np, sum(count(*) FILTER (NOT ref)) OVER () AS nq FROM e GROUP BY event_type))
+SELECT 'brier' AS metric, round(avg((score - y) * (score - y)) FILTER (ref), 6) AS before, round(avg((score - y) * (score - y)) FILTER (NOT ref), 6) AS after, round(avg((score - y) * (score - y)) FILTER (NOT ref) - avg((score - y) * (score - y)) FILTER (ref), 6) AS shift FROM e
+UNION ALL SELECT 'null_rate', round(avg(CAST(json_extract(props, '$.k') IS NULL OR user_id % 7 = 0 AS INTEGER)) FILTER (ref), 6), round(avg(CAST(json_extract(props, '$.k') IS NULL OR user_id % 7 = 0 AS INTEGER)) FILTER (NOT ref), 6), round(avg(CAST(json_extract(props, '$.k') IS NULL OR user_id % 7 = 0 AS INTEGER)) FILTER (NOT ref) - avg(CAST(json_extract(props, '$.k') IS NULL OR user_id % 7 = 0 AS INTEGER)) FILTER (ref), 6) FROM e
+UNION ALL SELECT 'score_psi', NULL, NULL, round(v, 6) FROM psi UNION ALL SELECT 'kind_share', NULL, NULL, round(v, 6) FROM share""")
+def monitor_snapshot(spark, sf_dir):
+    """Brier score, rate of missing features, PSI of scores and the largest shift of a category, before and after a date."""
+    from tidewake.operators import drift
+
+    score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("value") / F.lit(100.0)))
+    y = F.col("event_type").isin("error", "purchase").cast("int")
+    e = event_log(spark, sf_dir).withColumns({"score": score, "y": y, "feature": F.when(F.col("user_id") % 7 != 0, F.get_json_object("props", "$.k"))})
+    ref = F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")
+    means = planning.before_after_snapshot(e, ~ref, {"brier": (F.col("score") - F.col("y")) * (F.col("score") - F.col("y")), "null_rate": F.col("feature").isNull()})
+    none = F.lit(None).cast("double")
+    psi = drift.psi_fixed(e, "score", ref, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]).agg(F.sum("psi_part").alias("shift"))
+    share = drift.share_shift(e, "event_type", ref).agg(F.max("largest").alias("shift"))
+    extra = psi.select(F.lit("score_psi").alias("metric"), none.alias("before"), none.alias("after"), "shift").unionByName(share.select(F.lit("kind_share").alias("metric"), none.alias("before"), none.alias("after"), "shift"))
+    return rounded(means.unionByName(extra), "before", "after", "shift")

@@ -91,6 +91,27 @@ class ScoredCaseMonitor:
         """Every change to the alerts, in order."""
         return self.spark.read.option("basePath", self.store.at("history")).parquet(self.store.at("history")).orderBy("batch", "alert_id", "step")
 
+    def current_alerts(self) -> DataFrame:
+        """The alerts whose last change fired them."""
+        return monitor.active_alerts(self.history(), "alert_id", "alert_hash")
+
+    def current_metrics(self, wanted: dict[str, object] | None = None) -> DataFrame:
+        """Weekly metrics of all that was accepted, filtered by site, service or week."""
+        return monitor.equal_filters(self.metrics(self._known()), wanted or {}, ["week", "site", "service_code"])
+
+    def provenance(self, wanted: dict[str, object] | None = None) -> DataFrame:
+        """The events behind each weekly metric."""
+        from tidewake.functions.identifiers import week_start
+
+        rows = monitor.active_revisions(self._known(), ["case_id"], "revision", "event_id").withColumn("week", week_start("scored_at_utc"))
+        return monitor.provenance_inputs(rows, ["week", "site", "service_code"], ["event_id", "revision", "content_hash", "model_version", "commit_sha"], wanted)
+
+    def _known(self) -> DataFrame:
+        found = self._accepted(self.store.read_json("state.json", {"batch": -1})["batch"])
+        if found is None:
+            raise ValueError("no batch was applied")
+        return found
+
     def metrics(self, accepted: DataFrame) -> DataFrame:
         from tidewake.functions.identifiers import week_start
 
