@@ -23,7 +23,7 @@ import array
 import heapq
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -34,6 +34,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tidewake.llm.common import few
+
 #: Offset that turns the last character of a word into its word-final symbol.
 FINAL = 0x1000
 #: Entries in each of the two generations of a worker's caches, and the longest text that is kept.
@@ -219,6 +221,74 @@ class MergeCounter:
         return n - merges
 
 
+class PieceCounter:
+    """Token counts of a sentencepiece byte-pair model: pairs merged by score from a heap over a linked list, no identifiers.
+
+    The library's normalizer prepares the text; merging, the fall back to bytes and user-defined symbols
+    are done here. Words are merged apart where no piece of the vocabulary spans a word's start.
+    """
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        tool = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.normalize = tool.normalize
+        self.scores: dict[str, float] = {}
+        self.bytes_known = tool.is_byte(tool.piece_to_id("<0x41>"))
+        for i in range(tool.get_piece_size()):
+            piece = tool.id_to_piece(i)
+            if tool.is_control(i) or tool.is_unknown(i) or tool.is_byte(i) or tool.is_unused(i):
+                continue
+            self.scores[piece] = tool.get_score(i)
+        space = "\u2581"
+        self.apart = not any(space in p.lstrip(space) for p in self.scores)
+        self._word = re.compile(f"{space}*[^{space}]*")
+        self.words = Remembered(self.count)
+
+    def count_text(self, text: str | None) -> int:
+        text = self.normalize(text or "")
+        if not self.apart:
+            return self.count(text)
+        known = self.words
+        return sum([known[w] for w in self._word.findall(text) if w])
+
+    def count(self, word: str) -> int:
+        scores = self.scores
+        n = len(word)
+        piece: list[str | None] = list(word)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(-s, i, word[i : i + 2]) for i in range(n - 1) if (s := scores.get(word[i : i + 2])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, joined = heapq.heappop(heap)
+            if piece[i] is None or (j := after[i]) >= n or piece[i] + piece[j] != joined:
+                continue
+            piece[i], piece[j] = joined, None
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (s := scores.get(joined + piece[k])) is not None:
+                    heapq.heappush(heap, (-s, i, joined + piece[k]))
+            if (h := before[i]) >= 0 and (s := scores.get(piece[h] + joined)) is not None:
+                heapq.heappush(heap, (-s, h, piece[h] + joined))
+        tokens, unknown = 0, False
+        for p in piece:
+            if p is None:
+                continue
+            if p in scores:
+                tokens, unknown = tokens + 1, False
+            elif self.bytes_known:
+                tokens += len(p.encode())
+            else:  # what isn't known side by side is one token
+                tokens, unknown = tokens + (not unknown), True
+        return tokens
+
+
+@lru_cache(maxsize=4)
+def piece_counter(path: str) -> PieceCounter:
+    return PieceCounter(path)
+
+
 @lru_cache(maxsize=4)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
@@ -233,7 +303,14 @@ class Remembered(dict):
 
     def __init__(self, compute: Callable):
         super().__init__()
-        self.compute, self.old = compute, {}
+        self.compute, self.old, self.more = compute, {}, []
+
+    def forget(self) -> None:
+        """Drop all that is kept, here and in what this was built on."""
+        self.clear()
+        self.old = {}
+        for other in self.more:
+            other.forget() if isinstance(other, Remembered) else other.clear()
 
     def __missing__(self, text: str):
         value = self.old.get(text)
@@ -250,13 +327,16 @@ class Remembered(dict):
 @lru_cache(maxsize=4)
 def _encoder(path: str) -> tuple[Vocabulary, Remembered]:
     v = vocabulary(path)
-    word_ids = Remembered(PrefixCoder(v).encode)
+    coder = PrefixCoder(v)
+    word_ids = Remembered(coder.encode)
 
     def chunk_ids(chunk: str) -> tuple[int, ...]:
         words = v.words(chunk)
         return word_ids[words[0]] if len(words) == 1 else tuple([i for w in words for i in word_ids[w]])
 
-    return v, Remembered(chunk_ids)
+    chunks = Remembered(chunk_ids)
+    chunks.more = [word_ids, coder.fits]
+    return v, chunks
 
 
 @lru_cache(maxsize=4)
@@ -267,7 +347,9 @@ def _counter(path: str) -> tuple[Vocabulary, Remembered]:
     def chunk_count(chunk: str) -> int:
         return sum([word_count[w] for w in v.words(chunk)])
 
-    return v, Remembered(chunk_count)
+    chunks = Remembered(chunk_count)
+    chunks.more = [word_count]
+    return v, chunks
 
 
 def encode_text(path: str, text: str | None) -> array.array:
@@ -308,19 +390,22 @@ def _lists(values: list[array.array]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, type=pa.int32()))
 
 
-def _few(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """Smaller batches, so that what is held beside the text stays small."""
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
+def _forgetting(batches: Iterable[pa.RecordBatch], path: str, *parts: Callable) -> Iterator[pa.RecordBatch]:
+    """Small batches; what the workers remember of words is dropped at the end of a task, so that other stages have the memory."""
+    try:
+        yield from few(batches)
+    finally:
+        for part in parts:
+            if part.cache_info().currsize:
+                part(path)[1].forget()
 
 
 def bpe_encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, ids array<int>: each whole text encoded with the tokenizer file at ``path``."""
 
     def run(batches):
-        for whole in batches:
-            for batch in _few(whole):
-                yield pa.RecordBatch.from_arrays([batch.column(0), _lists([encode_text(path, t) for t in batch.column(1).to_pylist()])], names=["id", "ids"])
+        for batch in _forgetting(batches, path, _encoder):
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists([encode_text(path, t) for t in batch.column(1).to_pylist()])], names=["id", "ids"])
 
     source = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
     schema = T.StructType([T.StructField("id", source.schema["id"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
@@ -331,34 +416,41 @@ def bpe_decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     """id_col, ids, decoded: null ids decode to the empty text; an id outside the vocabulary fails."""
 
     def run(batches):
-        for whole in batches:
-            for batch in _few(whole):
-                column = batch.column(1)
-                flat, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-                texts = [decode_ids(path, flat[a:b].tolist()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), column, pa.array(texts, pa.string())], names=["id", "ids", "decoded"])
+        for batch in few(batches):
+            column = batch.column(1)
+            flat, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+            texts = [decode_ids(path, flat[a:b].tolist()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), column, pa.array(texts, pa.string())], names=["id", "ids", "decoded"])
 
     source = df.selectExpr(f"`{id_col}` AS id", f"coalesce(`{ids_col}`, array()) AS ids")
     schema = T.StructType([T.StructField("id", source.schema["id"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
     return source.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
+def bpe_roundtrip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, ids, decoded: each whole text encoded, and its ids decoded, by one worker."""
+
+    def run(batches):
+        for batch in _forgetting(batches, path, _encoder):
+            coded = [encode_text(path, t) for t in batch.column(1).to_pylist()]
+            texts = pa.array([decode_ids(path, ids) for ids in coded], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(coded), texts], names=["id", "ids", "decoded"])
+
+    source = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
+    schema = T.StructType([T.StructField("id", source.schema["id"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+    return source.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+
+
 def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_bytes, n_tokens: UTF-8 bytes and tokens of each whole text for a ``.json`` file (tokenizers) or ``.model`` file (sentencepiece)."""
 
     def run(batches):
-        if path.endswith(".model"):
-            import sentencepiece
-
-            tool = sentencepiece.SentencePieceProcessor(model_file=path)
-            count = lambda t: len(tool.encode(t or ""))
-        else:
-            count = lambda t: count_text(path, t)
-        for whole in batches:
-            for batch in _few(whole):
-                texts = batch.column(1)
-                n_bytes = pc.fill_null(pc.binary_length(texts.cast(pa.binary())), 0).cast(pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0), n_bytes, pa.array([count(t) for t in texts.to_pylist()], pa.int64())], names=["id", "n_bytes", "n_tokens"])
+        pieces = path.endswith(".model")
+        count = piece_counter(path).count_text if pieces else (lambda t: count_text(path, t))
+        for batch in few(batches) if pieces else _forgetting(batches, path, _counter):
+            texts = batch.column(1)
+            n_bytes = pc.fill_null(pc.binary_length(texts.cast(pa.binary())), 0).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), n_bytes, pa.array([count(t) for t in texts.to_pylist()], pa.int64())], names=["id", "n_bytes", "n_tokens"])
 
     source = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
     schema = T.StructType([T.StructField("id", source.schema["id"].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +18,8 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 SPACE_PATTERN = r"[\x20\x09-\x0D]"
 
 
-#: Deletes the shuffle files of a statement when it ends.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: shuffle files go when it is written, as they aren't read again, and Python workers get small batches.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 #: Groups that are broadcast at most, the largest; all others are joined by a shuffle.
 MOST_HOT = 50_000
 #: Rows that a group may bring to one task in any case.
@@ -36,6 +39,31 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+@contextlib.contextmanager
+def _settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Settings of the session for the time of a statement."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def few(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, so that what a worker holds beside a batch stays small; freed memory goes back when the task ends."""
+    try:
+        for b in batches:
+            for at in range(0, b.num_rows, rows):
+                yield b.slice(at, rows)
+    finally:
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # where the C library can, its free memory too
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 class Tables:
     """Intermediate tables in the shared folder.
 
@@ -51,13 +79,8 @@ class Tables:
     def write(self, df: DataFrame, partitions: Iterable[str] = ()) -> DataFrame:
         path = f"{self.base}/{self.count}"
         self.count += 1
-        # what was shuffled for a table isn't read again once it is written
-        before = self.spark.conf.get(_CLEANUP, None)
-        self.spark.conf.set(_CLEANUP, "true")
-        try:
+        with _settings(self.spark, _WRITING):
             df.write.partitionBy(*partitions).parquet(path) if partitions else df.write.parquet(path)
-        finally:
-            self.spark.conf.unset(_CLEANUP) if before is None else self.spark.conf.set(_CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._tidewake_path = path
         return out
@@ -73,6 +96,14 @@ class Tables:
         where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+_CAPITALS = re.compile("[A-Z]+").sub
+
+
+def lower_az(text: str) -> str:
+    """Lower-case A-Z and nothing else."""
+    return text.lower() if text.isascii() else _CAPITALS(lambda m: m[0].lower(), text)
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewake.llm.common import WORD_PATTERN, Tables
+from tidewake.llm.common import WORD_PATTERN, Tables, lower_az
 
 DEPTH = 5
 #: Context bytes by which strings are dealt; shorter contexts are worked out on the driver.
@@ -48,14 +48,13 @@ HELD_WORDS, HELD_STRINGS = 200_000, 1_500_000
 CHUNK_BYTES = 4_000_000
 
 _WORDS = re.compile(WORD_PATTERN).findall
-_LOWER = str.maketrans({c: chr(c + 32) for c in range(65, 91)})
 _LN10 = float(np.log(10))
 
 
 def words_of(text: str | None) -> list[str]:
     if not text:
         return []
-    return _WORDS(text.lower() if text.isascii() else text.translate(_LOWER))
+    return _WORDS(lower_az(text))
 
 
 def line_of(words: list[str]) -> bytes:

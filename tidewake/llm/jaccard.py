@@ -37,17 +37,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewake.llm.common import WORD_PATTERN, Tables, free_name, join_groups, join_spread, with_key
+from tidewake.llm.common import WORD_PATTERN, Tables, few, free_name, join_groups, join_spread, lower_az, with_key
 
 #: Words whose hash a worker remembers.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 200_000
 #: Ids that are broadcast at most; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Growth of the number of blocks from band to band.
 GROWTH = 1.4
 
 _WORDS = re.compile(WORD_PATTERN).findall
-_LOWER = str.maketrans({c: chr(c + 32) for c in range(65, 91)})
 _MIX = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15)]
 
 
@@ -72,7 +71,7 @@ class WordHashes(dict):
 
 def shingle_set(text: str | None, words: int, known: WordHashes) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's shingles."""
-    found = _WORDS(text.lower() if text.isascii() else text.translate(_LOWER)) if text else []
+    found = _WORDS(lower_az(text)) if text else []
     if not found:
         return np.empty(0, dtype=np.uint64)
     h = np.fromiter(map(known.__getitem__, found), dtype=np.uint64, count=len(found))
@@ -145,18 +144,16 @@ def features(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     def run(batches):
         known = WordHashes()
         kind = pa.list_(pa.struct([("band", pa.int32()), ("bits", pa.list_(pa.int64()))]))
-        for whole in batches:
-            for start in range(0, whole.num_rows, 256):
-                b = whole.slice(start, 256)
-                prints, keys, parts = [], [], []
-                for text in b.column(2).to_pylist():
-                    s = shingle_set(text, words, known)
-                    prints.append(fingerprint(s))
-                    mine = list(sketches(s, num, den))
-                    keys.append(np.concatenate([m[1] for m in mine]).view(np.int64) if mine else np.empty(0, np.int64))
-                    parts.append([{"band": band, "bits": bits.view(np.int64)} for band, _, bits in mine])
-                columns = [pa.array([p[i] for p in prints], pa.int64()) for i in range(3)]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns, pa.array(keys, pa.list_(pa.int64())), pa.array(parts, kind)], names=["row", "id", "n", "f1", "f2", "keys", "parts"])
+        for b in few(batches):
+            prints, keys, parts = [], [], []
+            for text in b.column(2).to_pylist():
+                s = shingle_set(text, words, known)
+                prints.append(fingerprint(s))
+                mine = list(sketches(s, num, den))
+                keys.append(np.concatenate([m[1] for m in mine]).view(np.int64) if mine else np.empty(0, np.int64))
+                parts.append([{"band": band, "bits": bits.view(np.int64)} for band, _, bits in mine])
+            columns = [pa.array([p[i] for p in prints], pa.int64()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns, pa.array(keys, pa.list_(pa.int64())), pa.array(parts, kind)], names=["row", "id", "n", "f1", "f2", "keys", "parts"])
 
     fields = [docs.schema["row"], docs.schema["id"], *(T.StructField(c, T.LongType()) for c in ("n", "f1", "f2"))]
     schema = T.StructType([*fields, T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("parts", T._parse_datatype_string(_PART))])
@@ -168,13 +165,11 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches):
         known = WordHashes()
-        for whole in batches:
-            for start in range(0, whole.num_rows, 256):
-                b = whole.slice(start, 256)
-                sets = [shingle_set(t, words, known) for t in b.column(1).to_pylist()]
-                prints = [fingerprint(s) for s in sets]
-                columns = [pa.array([p[i] for p in prints], pa.int64()) for i in range(3)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["n", "f1", "f2", "items"])
+        for b in few(batches):
+            sets = [shingle_set(t, words, known) for t in b.column(1).to_pylist()]
+            prints = [fingerprint(s) for s in sets]
+            columns = [pa.array([p[i] for p in prints], pa.int64()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["n", "f1", "f2", "items"])
 
     return docs.mapInArrow(run, "n bigint, f1 bigint, f2 bigint, items array<bigint>")
 

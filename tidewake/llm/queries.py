@@ -21,8 +21,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def op1_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer_path()
-    coded = bpe.bpe_decode(bpe.bpe_encode(table(spark, sf_dir, "documents"), path), path)
+    coded = bpe.bpe_roundtrip(table(spark, sf_dir, "documents"), tokenizer_path())
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
