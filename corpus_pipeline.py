@@ -35,8 +35,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    path = tokenizer_path()
-    coded = bpe.bpe_decode(bpe.bpe_encode(docs, path), path)
+    coded = bpe.bpe_roundtrip(docs, tokenizer_path())
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
