@@ -73,7 +73,7 @@ def test_scores_equal_brute_force(spark, trained):
 
     for r in quality.score_quality(df, model).collect():
         raw = (texts[r.doc_id] or "").encode()
-        parts = [raw[i : i + 128] for i in range(0, len(raw), 128)]
+        parts = [raw[i : i + quality.SEGMENT] for i in range(0, len(raw), quality.SEGMENT)]
         saved = sum(size(p, model.bad) - size(p, model.good) for p in parts) / (len(raw) + 20)
         z = model.intercept + model.slope * (saved - model.centre) / model.scale
         assert r.score == pytest.approx(1 / (1 + math.exp(-max(-35, min(35, z)))))

@@ -27,12 +27,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewake.llm.common import few
+
 #: Labelled rows taken from each class at most; half build a dictionary, half fit the curve.
 SAMPLE_ROWS = 4000
 #: Segments that one document gives a dictionary at most, evenly spread over its whole text.
 SAMPLE_SEGMENTS = 64
-SEGMENT = 128
-DICTIONARY_BYTES = 32768
+SEGMENT = 256
+DICTIONARY_BYTES = 65536
 LEVEL = 3
 #: Bytes of a frame that hold no text.
 FRAME = 9
@@ -122,7 +124,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
 
     def cut(batches):
-        for b in batches:
+        for b in few(batches):
             out = []
             for label, text in zip(b.column("label").to_pylist(), b.column("text").to_pylist(), strict=True):
                 parts = segments(text)
@@ -143,7 +145,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str
 
     def measure(batches):
         compressors = model.compressors()
-        for b in batches:
+        for b in few(batches):
             m = sizes_of(b.column("text").to_pylist(), compressors)
             yield pa.RecordBatch.from_arrays([b.column("label"), *(pa.array(m[:, i]) for i in range(3))], names=["label", "g", "b", "n"])
 
@@ -164,7 +166,7 @@ def score_quality(df: DataFrame, model: QualityModel, id_col: str = "doc_id", te
 
     def run(batches):
         compressors = model.compressors() if model.constant is None else None
-        for b in batches:
+        for b in few(batches):
             sizes = sizes_of(b.column(1).to_pylist(), compressors) if compressors else np.zeros((b.num_rows, 3))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(sizes), pa.float64())], names=["id", "score"])
 
@@ -179,7 +181,7 @@ def keep_good(df: DataFrame, model: QualityModel, threshold: float = 0.7, text_c
 
     def run(batches):
         compressors = model.compressors() if model.constant is None else None
-        for b in batches:
+        for b in few(batches):
             sizes = sizes_of(b.column(place).to_pylist(), compressors) if compressors else np.zeros((b.num_rows, 3))
             yield b.filter(pa.array(model.score(sizes) >= threshold))
 
