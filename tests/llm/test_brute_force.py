@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.test_models import LOWER, brute_scores, prose
-from tidewake.llm import ctw, exact_dedup, langid, mixing, search
+from tidewake.llm import ctw, exact_dedup, jaccard, langid, mixing, search
 from tidewake.llm.common import WORD_PATTERN
 
 
@@ -120,7 +120,8 @@ def test_words_that_share_a_hash_are_seen(spark):
 
 
 def test_clashing_names_in_all_helpers(spark):
-    schema = "doc_id bigint, text string, source string, row bigint, id bigint, u double, size int, key string, level int, name string"
+    schema = "doc_id bigint, text string, source string, row bigint, id bigint, u double, size int, key string, level int, `a.b` string"
     df = spark.createDataFrame([(1, "a b c", "s", 9, 9, 0.1, 9, "k", 9, "n"), (2, "d e", "t", 9, 9, 0.1, 9, "k", 9, "n")], schema)
     assert {r.doc_id for r in exact_dedup.exact_dedup(df).collect()} == {1, 2} and mixing.mix_sources(df).count() == 2
-    assert exact_dedup.keep_one(df).columns == df.columns == mixing.mixed_rows(df).columns
+    for kept in (exact_dedup.keep_one(df), mixing.mixed_rows(df), jaccard.keep_first(df)):
+        assert kept.columns == df.columns and {r["a.b"] for r in kept.collect()} <= {"n"}

@@ -126,6 +126,11 @@ def free_name(base: str, *frames: DataFrame) -> str:
     return base
 
 
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns of a frame, whatever characters their names hold."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+
+
 def with_key(docs: DataFrame, id_col: str, label: str) -> tuple[DataFrame, str]:
     """The rows with a column that tells them apart: the id itself where it does, else a written row number."""
     if docs.groupBy(id_col).count().filter((F.col("count") > 1) | F.col(id_col).isNull()).isEmpty():

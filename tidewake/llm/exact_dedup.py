@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import SPACE_PATTERN, Tables, free_name, join_groups
+from tidewake.llm.common import SPACE_PATTERN, Tables, columns_of, free_name, join_groups
 
 BLOCK = 2048
 
@@ -97,4 +97,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     if not docs.groupBy(id_col).count().filter("count > 1").isEmpty():  # repeated ids: one row for each text
         first = Window.partitionBy(id_col, own).orderBy(F.desc_nulls_last(F.length(text_col)), text_col)
         out = out.withColumn(nth, F.row_number().over(first)).filter(F.col(nth) == 1)
-    return out.select(*docs.columns)
+    return out.select(*columns_of(docs))

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewake.llm.common import WORD_PATTERN, Tables, few, free_name, join_groups, join_spread, lower_az, with_key
+from tidewake.llm.common import WORD_PATTERN, Tables, columns_of, few, free_name, join_groups, join_spread, lower_az, with_key
 
 #: Words whose hash a worker remembers.
 KNOWN_WORDS = 200_000
@@ -391,4 +391,4 @@ def keep_first(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, i
     gone_key = free_name("_gone", rows)
     found = jaccard_components(rows, words, num, den, key, text_col, count=False).filter("NOT first").select(F.col(key).alias(gone_key))
     gone = Tables(docs.sparkSession, "jaccard-gone").write(found)
-    return rows.join(_smaller(gone), F.col(key) == F.col(gone_key), "left_anti").select(*docs.columns)
+    return rows.join(_smaller(gone), F.col(key) == F.col(gone_key), "left_anti").select(*columns_of(docs))

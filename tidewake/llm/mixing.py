@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import WORD_PATTERN, Tables, free_name, with_key
+from tidewake.llm.common import WORD_PATTERN, Tables, columns_of, free_name, with_key
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
@@ -154,4 +154,4 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     plan = mix_sources(rows, key, text_col, source_col, weights, most, seed).filter("copies > 0").select(F.col(key).alias(its_key), F.col("copies").cast("int").alias(copies))
     plan = Tables(docs.sparkSession, "mix-plan").write(plan)
     out = rows.join(F.broadcast(plan) if plan.count() <= BROADCAST_IDS else plan, F.col(key) == F.col(its_key))
-    return out.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
+    return out.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*columns_of(docs))
