@@ -107,6 +107,14 @@ class Vocabulary:
             return text.lower().split()
         return self.normalize(text).split(" ")
 
+    def pieces(self, chunk: str) -> list[str] | None:
+        """The pre-tokens of a chunk of plain letters, digits and signs, each of which is such a chunk itself; null for other chunks."""
+        if self.usual is None or not chunk.isascii():
+            return None
+        if chunk.isalpha():
+            return [chunk]
+        return None if _UNUSUAL.search(chunk) else self.usual(chunk)
+
     def words(self, chunk: str) -> list[str]:
         """The symbols of each word in a chunk."""
         if not chunk:
@@ -331,8 +339,10 @@ def _encoder(path: str) -> tuple[Vocabulary, Remembered]:
     word_ids = Remembered(coder.encode)
 
     def chunk_ids(chunk: str) -> tuple[int, ...]:
-        words = v.words(chunk)
-        return word_ids[words[0]] if len(words) == 1 else tuple([i for w in words for i in word_ids[w]])
+        pieces = v.pieces(chunk)
+        if pieces is None:
+            return tuple([i for w in v.words(chunk) for i in word_ids[w]])
+        return coder.encode(v.word(pieces[0])) if len(pieces) == 1 else tuple([i for p in pieces for i in chunks[p]])
 
     chunks = Remembered(chunk_ids)
     chunks.more = [word_ids, coder.fits]
@@ -342,10 +352,14 @@ def _encoder(path: str) -> tuple[Vocabulary, Remembered]:
 @lru_cache(maxsize=4)
 def _counter(path: str) -> tuple[Vocabulary, Remembered]:
     v = vocabulary(path)
-    word_count = Remembered(MergeCounter(v).count)
+    counter = MergeCounter(v)
+    word_count = Remembered(counter.count)
 
     def chunk_count(chunk: str) -> int:
-        return sum([word_count[w] for w in v.words(chunk)])
+        pieces = v.pieces(chunk)
+        if pieces is None:
+            return sum([word_count[w] for w in v.words(chunk)])
+        return counter.count(v.word(pieces[0])) if len(pieces) == 1 else sum([chunks[p] for p in pieces])
 
     chunks = Remembered(chunk_count)
     chunks.more = [word_count]
