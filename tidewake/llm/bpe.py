@@ -39,7 +39,7 @@ from tidewake.llm.common import few
 #: Offset that turns the last character of a word into its word-final symbol.
 FINAL = 0x1000
 #: Entries in each of the two generations of a worker's caches, and the longest text that is kept.
-CACHE_SIZE = 60_000
+CACHE_SIZE = 150_000
 #: Pairs of tokens whose compatibility a worker remembers.
 KNOWN_PAIRS = 200_000
 CACHE_CHARS = 48
