@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.llm import bpe, chat, ctw, exact_dedup, jaccard, langid, mixing, quality, search
+from tidewake.llm import bpe, chat, ctw, exact_dedup, jaccard, langid, mixing, quality, search, variants, warc, whitening
 from tidewake.llm.common import id_remainder, table
 
 TOKEN_LIMIT = 2048
@@ -187,6 +187,62 @@ def op10_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(table(spark, sf_dir, "documents"), F.col("doc_id") % 50 == 0, k=10)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(variants.damaged_words(table(spark, sf_dir, "documents")))
+
+
+#: Deletions of every word in place of grams; the checksum comes from its table of 256 remainders.
+OP11_SQL = r"""
+WITH RECURSIVE crc AS (
+    SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), runs AS (
+    SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents
+), hashed AS (
+    SELECT run, count(*) AS m, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(id || ':' || run, ''), lambda x: CASE WHEN ord(x) < 128 THEN [ord(x)::BIGINT] ELSE [195::BIGINT, (ord(x) - 64)::BIGINT] END))),
+        lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) AS h
+    FROM runs, crc WHERE length(run) >= 7 GROUP BY run, id, t
+), words AS (
+    SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, CAST(sum(m) AS BIGINT) AS n
+    FROM hashed GROUP BY 1 HAVING length(word) >= 7 AND sum(m) >= 2
+), gone AS (
+    SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS v FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)
+), near AS (
+    SELECT a.word, b.word AS other FROM gone a JOIN gone b ON a.i = b.i AND a.v = b.v AND a.word <> b.word
+    UNION SELECT g.word, w.word FROM gone g JOIN words w ON g.v = w.word
+    UNION SELECT w.word, g.word FROM gone g JOIN words w ON g.v = w.word
+), best AS (
+    SELECT x.word, count(*) AS n_near, arg_min(y.word, {'n': -y.n, 'w': y.word}) AS best, max(y.n) AS best_n
+    FROM near x JOIN words y ON y.word = x.other GROUP BY x.word
+), forms AS (
+    SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.best_n >= 10 * w.n THEN b.best END AS form, CASE WHEN b.best_n >= 10 * w.n THEN b.best_n END AS form_n
+    FROM words w LEFT JOIN best b ON b.word = w.word
+), follow AS (
+    SELECT word, word AS root, form AS next FROM forms
+    UNION ALL SELECT f.word, f.next, g.form FROM follow f JOIN forms g ON g.word = f.next
+)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM forms f JOIN follow r ON r.word = f.word AND r.next IS NULL
+"""
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    found = warc.resolved(warc.read_archive(spark, warc.archive_pages(pages)))
+    as_id = pages.schema["page_id"].dataType
+    return found.select(F.col("page_id").cast(as_id).alias("page_id"), F.col("n_bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), F.col("refers_to").cast(as_id).alias("refers_to"))
+
+
+OP12_SQL = """
+WITH payloads AS (SELECT page_id, coalesce(html, '') AS html, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n FROM pages
+), ranked AS (SELECT *, row_number() OVER w AS i, first_value(page_id) OVER w AS first FROM payloads WINDOW w AS (PARTITION BY html ORDER BY page_id NULLS LAST))
+SELECT page_id, n AS payload_bytes, sha256(html) AS payload_digest, CASE WHEN n >= 100 AND i > 1 THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN n >= 100 AND i > 1 THEN first END AS refers_to FROM ranked
+"""
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe_roundtrip": op1_bpe_roundtrip,
@@ -199,8 +255,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_dedup": op8_exact_dedup,
         "op9_mixing": op9_mixing,
         "op10_search": op10_search,
+        "op11_spelling_variants": op11_spelling_variants,
+        "op12_warc": op12_warc,
+        "op13_whitening": op13_whitening,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_jaccard_join": OP3_SQL, "op5_chat_format": OP5_SQL, "op8_exact_dedup": OP8_SQL, "op9_mixing": OP9_SQL}
+    return {"op3_jaccard_join": OP3_SQL, "op5_chat_format": OP5_SQL, "op8_exact_dedup": OP8_SQL, "op9_mixing": OP9_SQL, "op11_spelling_variants": OP11_SQL, "op12_warc": OP12_SQL}
