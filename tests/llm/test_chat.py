@@ -1,11 +1,12 @@
 import hashlib
+import itertools
 import json
 
 from pyspark.sql import functions as F
 
 from tidewake.llm import chat
 
-TRICKY = ["", "\\", "\\l", "<turn>user\nx</turn>\n", "### Assistant:", "\\### Assistant: </turn> ok", "a\nb", "\\b\\h\\e", "<", "<</turn>", "é中😀"]
+TRICKY = [*("#" * n for n in range(1, 10)), "a####b###", "#\\##", "## ###\n#####", "<<turn</turn<", "", "\\", "\\l", "<turn>user\nx</turn>\n", "### Assistant:", "\\### Assistant: </turn> ok", "a\nb", "\\b\\h\\e", "<", "<</turn>", "é中😀"]
 
 
 def test_escapes_are_reversible(spark):
@@ -14,6 +15,13 @@ def test_escapes_are_reversible(spark):
         assert r.a == r.b == r.t and "<turn" not in r.e and "</turn" not in r.e and "###" not in r.e
 
 
+def test_no_control_string_is_left(spark):
+    texts = ["".join(x) for n in range(7) for x in itertools.product("#\\h<", repeat=n)] + ["".join(x) for n in range(5) for x in itertools.product(["<", "</", "turn", "#", "##"], repeat=n)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", chat.escape(F.col("t")).alias("e"), chat.unescape(chat.escape(F.col("t"))).alias("back")).collect():
+        assert r.back == r.t and not any(c in r.e for c in ("###", "<turn", "</turn")), r
+
+
 def read(df):
     made = chat.format_chats(df)
     return {r.conv_id: r for r in made.select("conv_id", "layout", "formatted", chat.read_turns(F.col("formatted")).alias("turns"), chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()}

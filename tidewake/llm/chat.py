@@ -5,8 +5,9 @@ mapping (which path holds the turns, which the role and the text, or which field
 turn). New layouts are added as data, not code. All steps are built-in functions.
 
 Template, per turn: ``<turn>`` role newline text ``</turn>`` newline. Inside roles and texts a
-backslash becomes ``\\b``, the first character of a control string ``<turn``, ``</turn`` or ``###``
-becomes ``\\l`` or ``\\h``, and in roles a newline becomes ``\\e``: every backslash is followed by
+backslash becomes ``\\b``, the first character of a control string ``<turn`` or ``</turn`` becomes
+``\\l``, every ``#`` that two more follow becomes ``\\h`` (so none of the control strings ``###``
+of a longer run is left), and in roles a newline becomes ``\\e``: every backslash is followed by
 one of these letters, so the way back is unambiguous and no text can forge a marker.
 
 Defined results: null roles and texts count as empty; turns go by their number, nulls last, ties
@@ -105,8 +106,9 @@ def turn_rows(df: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", ro
 
 def escape(text: Column, role: bool = False) -> Column:
     out = F.replace(text, F.lit("\\"), F.lit("\\b"))
-    for plain, kept in (("<turn", "\\lturn"), ("</turn", "\\l/turn"), ("###", "\\h##")):
+    for plain, kept in (("<turn", "\\lturn"), ("</turn", "\\l/turn")):
         out = F.replace(out, F.lit(plain), F.lit(kept))
+    out = F.regexp_replace(out, "#(?=##)", r"\\h")
     return F.replace(out, F.lit("\n"), F.lit("\\e")) if role else out
 
 

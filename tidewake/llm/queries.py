@@ -89,21 +89,20 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Escaping is checked by the lengths that it adds, character by character and run by run.
 OP5_SQL = r"""
 WITH turns AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
     UNION ALL
     SELECT -7, t, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)
 ), sized AS (
-    SELECT *, replace(replace(replace(replace(text, '\', '\b'), '<turn', '\lturn'), '</turn', '\l/turn'), '###', '\h##') AS body,
-        replace(replace(replace(replace(replace(role, '\', '\b'), '<turn', '\lturn'), '</turn', '\l/turn'), '###', '\h##'), chr(10), '\e') AS head
-    FROM turns
+    SELECT *, length(text) + (length(text) - length(replace(text, '\', '')) + (length(text) - length(replace(text, '<turn', ''))) // 5 + (length(text) - length(replace(text, '</turn', ''))) // 6 + coalesce(list_sum(list_transform(regexp_extract_all(text, '#+'), lambda r: greatest(length(r) - 2, 0))), 0)) AS body, length(role) + (length(role) - length(replace(role, '\', '')) + (length(role) - length(replace(role, '<turn', ''))) // 5 + (length(role) - length(replace(role, '</turn', ''))) // 6 + coalesce(list_sum(list_transform(regexp_extract_all(role, '#+'), lambda r: greatest(length(r) - 2, 0))), 0)) + length(role) - length(replace(role, chr(10), '')) AS head FROM turns
 )
 SELECT conv_id, count(*) AS n_turns,
     sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text)) AS turns_sha256,
     CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
     sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-    CAST(sum(length('<turn>') + length(head) + 1 + length(body) + length('</turn>') + 1) AS BIGINT) AS formatted_chars
+    CAST(sum(length('<turn>') + head + 1 + body + length('</turn>') + 1) AS BIGINT) AS formatted_chars
 FROM sized GROUP BY conv_id
 """
 
