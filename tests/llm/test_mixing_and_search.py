@@ -89,6 +89,17 @@ def test_rows_of_the_mix_keep_clashing_columns(spark):
     assert rows.columns == odd.columns and {tuple(r[3:6]) for r in rows.collect()} == {(7, 8, 9)}
 
 
+def test_reruns_of_repeated_ids_agree(spark):
+    """Rows that share ids, in one, three and seven partitions and two orders: the same mix, to the row."""
+    rows = [(None if i % 11 == 0 else i % 40, f"{'word ' * (1 + i * 7 % 60)}{i % 90}", "abc"[i % 3]) for i in range(450)] * 2
+    runs, texts = set(), set()
+    for n, order in ((1, "text"), (3, "source"), (7, "text")):
+        df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(n).sortWithinPartitions(F.desc(order))
+        runs.add(tuple(sorted(map(str, mixing.mix_sources(df).collect()))))
+        texts.add(tuple(sorted(map(str, mixing.mixed_rows(df).collect()))))
+    assert len(runs) == 1 and len(texts) == 1
+
+
 def test_mix_of_rows_without_ids_and_of_long_texts(spark):
     rows = [(None, f"w{i} " * (i % 7 + 1), "s") for i in range(300)] + [(1, "x " * 40_000, "t"), (2, "y", "t"), (3, "z " * 500, "u")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")

@@ -19,9 +19,10 @@ buckets of the order, refined where the cut falls, so that only the few rows of
 are ordered one by one. A row without an id has its random number from its text.
 
 Defined results: null text has size 0 and is taken 0 words; a null source is a source, last in
-order; sources without words get target 0; equal orders go by id, then row; rows that repeat an
-id, or a text without one, have the same random number and are taken one by one; reruns give the
-same rows; extra columns are ignored, whatever their names; an empty table gives an empty table.
+order; sources without words get target 0; equal orders go by id, then by a hash of the text, and
+what then ties is alike in all that the mix reads; rows that repeat an id, or a text without one,
+have the same random number and are taken one by one; reruns give the same rows, however they are
+partitioned; extra columns are ignored, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -85,14 +86,14 @@ def inclusion(rows: DataFrame, targets: DataFrame, most: int = MOST) -> DataFram
 BROADCAST_IDS = 1_000_000
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
-    """id_col, source, size, source_size, target, copies, taken: a row for each document."""
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED, key_col: str | None = None) -> DataFrame:
+    """id_col, source, size, source_size, target, copies, taken: a row for each document. ``key_col`` is returned in place of the id."""
     tables = Tables(docs.sparkSession, "mix")
     digits = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(text_col, F.lit("")).cast("binary"))), F.lit(f":{seed}")).cast("binary")), 1, 13), 16, 10)
     words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
     rows = tables.write(
         docs.select(
-            F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), words.alias("size"), ((digits.cast("double") + 0.5) / 2.0**52).alias("u")
+            F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(key_col or id_col).alias("key"), F.xxhash64(text_col).alias("hash"), F.col(source_col).alias("source"), words.alias("size"), ((digits.cast("double") + 0.5) / 2.0**52).alias("u")
         ).withColumn("bits", F.length(F.bin("size")))
     )
     plan = tables.write(inclusion(rows, source_targets(rows, weights, most), most))
@@ -127,8 +128,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own, at = (F.struct(*(F.col(f"{x}{i}").alias(f"b{i}") for i in range(LEVELS))) for x in "bc")
     place = F.when(F.col("q").isNull(), "out").when(F.col("has_cut").isNull(), "in").when(own < at, "in").when(own == at, "cut").otherwise("out")
     marked = marked.withColumn("place", place)
-    keep = ["row", "id", "source", "size", "source_size", "target", "base", "rest", "q", "u", "place"]
-    order = Window.partitionBy("source").orderBy("q", "u", "id", "row").rowsBetween(Window.unboundedPreceding, 0)
+    keep = ["row", "id", "key", "hash", "source", "size", "source_size", "target", "base", "rest", "q", "u", "place"]
+    order = Window.partitionBy("source").orderBy("q", "u", "id", "hash", "row").rowsBetween(Window.unboundedPreceding, 0)
     last = marked.filter("place = 'cut'").withColumn("fits", F.col("c_sum") + F.sum("size").over(order) <= F.col("rest"))
     last = last.withColumn("place", F.when(F.col("fits"), "in").otherwise("out"))
     placed = tables.write(marked.filter("place <> 'cut'").select(*keep).unionByName(last.select(*keep)))
@@ -137,21 +138,21 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spare = placed.filter("place = 'out' AND size > 0 AND base < " + str(most)).join(g, F.col("source").eqNullSafe(F.col("g_source")))
     miss = F.col("rest") - F.col("got")
     spare = spare.filter((miss > 0) & (F.abs(F.col("size") - miss) < miss))
-    pick = spare.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - miss).alias("off"), F.coalesce("q", F.lit(float("inf"))).alias("q"), F.col("u"), F.col("id"), F.col("row"))).alias("p"))
+    pick = spare.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - miss).alias("off"), F.coalesce("q", F.lit(float("inf"))).alias("q"), F.col("u"), F.col("id"), F.col("hash"), F.col("row"))).alias("p"))
     pick = pick.select(F.col("p.row").alias("p_row"))
     out = placed.join(F.broadcast(pick) if few else pick, F.col("row") == F.col("p_row"), "left")
     copies = F.col("base") + ((F.col("place") == "in") | F.col("p_row").isNotNull()).cast("long")
-    return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select(F.col("key").alias(key_col or id_col), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
     """The mix itself: every row of ``docs``, with all its columns, whatever these are called, as often as the mix takes it.
 
-    Where ids repeat or are null, rows are told apart by a written row number, which then makes their random numbers.
+    Where ids repeat or are null, rows are told apart by a written row number; their random numbers come from id and text all the same.
     """
     rows, key = with_key(docs, id_col, "mix-rows")
     its_key, copies, nth = (free_name(x, rows) for x in ("_key", "_copies", "_copy"))
-    plan = mix_sources(rows, key, text_col, source_col, weights, most, seed).filter("copies > 0").select(F.col(key).alias(its_key), F.col("copies").cast("int").alias(copies))
+    plan = mix_sources(rows, id_col, text_col, source_col, weights, most, seed, key).filter("copies > 0").select(F.col(key).alias(its_key), F.col("copies").cast("int").alias(copies))
     plan = Tables(docs.sparkSession, "mix-plan").write(plan)
     out = rows.join(F.broadcast(plan) if plan.count() <= BROADCAST_IDS else plan, F.col(key) == F.col(its_key))
     return out.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*columns_of(docs))
