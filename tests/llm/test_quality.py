@@ -93,3 +93,40 @@ def test_filter_of_tables_with_clashing_columns(trained, spark):
     df = spark.createDataFrame([(1, GOOD * 3, 0.1, 5), (None, BAD * 3, 0.2, 5), (1, None, 0.3, 5)], "doc_id bigint, text string, score double, label int")
     kept = quality.keep_good(df, model)
     assert kept.columns == df.columns and 0.1 in {r.score for r in kept.collect()}
+
+
+def test_training_equals_brute_force(spark):
+    """Dictionaries from all segments of whole texts, however long, and a curve where its gradient vanishes."""
+    import numpy as np
+    import zstandard
+
+    texts = [(GOOD if i % 3 else BAD) * 8 * (1 + i % 9) + f"{i} {i * i} " for i in range(400)]
+    texts[3], texts[4] = BAD[::-1] * 2000 + "zq" * 400, GOOD[::-1] * 2000 + "jk" * 400
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(9, "a longer copy" + texts[9] * 3)] * 50, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(400)], "doc_id bigint, quality int")
+    model = quality.train_quality(docs, labels, F.lit(True))
+    texts[9] = min(texts[9], "a longer copy" + texts[9] * 3)
+    curve = {r[0] for r in spark.range(400).filter(F.pmod(F.xxhash64("id", F.lit("curve")), F.lit(2)) == 1).collect()}
+    cut = lambda raw: [raw[i : i + quality.SEGMENT] for i in range(0, len(raw), quality.SEGMENT)]
+    for label, got in ((1, model.good), (0, model.bad)):
+        parts = sorted(p for i, t in enumerate(texts) if i not in curve and (i % 3 > 0) == label for p in cut(t.encode()))
+        assert sum(map(len, parts)) > quality.DICTIONARY_BYTES and got == zstandard.train_dictionary(quality.DICTIONARY_BYTES, parts, level=3).as_bytes()
+    sizes = quality.sizes_of([texts[i] for i in sorted(curve)], model.compressors())
+    y = np.array([i % 3 > 0 for i in sorted(curve)], float)
+    x = (sizes[:, 1] - sizes[:, 0]) / (sizes[:, 2] + 20)
+    assert (model.centre, model.scale) == pytest.approx((x.mean(), x.std() + 1e-9))
+    x = (x - model.centre) / model.scale
+    share = sum(i % 3 > 0 for i in range(400)) / 400
+    residual = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean())) * (y - 1 / (1 + np.exp(-(model.intercept + model.slope * x))))
+    assert abs(residual.sum()) < 1e-3 and abs((residual * x).sum() - model.slope) < 1e-3
+
+
+def test_a_handful_of_rows(spark):
+    """No switch by size: few labelled rows make dictionaries too, where both classes have text on both sides."""
+    docs = spark.createDataFrame([(i, (GOOD if i % 2 else BAD) + str(i)) for i in range(16)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(16)], "doc_id bigint, quality int")
+    model = quality.train_quality(docs, labels, F.lit(True))
+    out = {r.doc_id: r.score for r in quality.score_quality(docs, model).collect()}
+    assert model.constant is None and all((out[i] > 0.5) == bool(i % 2) for i in out)
+    empty = docs.withColumn("text", F.when(F.col("doc_id") % 2 == 1, F.col("text")))
+    assert quality.train_quality(empty, labels, F.lit(True)).constant == 0.5

@@ -6,13 +6,15 @@ not the text's own past explain it. The difference of the two sizes, over the te
 a constant that holds short texts back, is the only signal. A logistic curve of it, fitted on
 labelled rows that built no dictionary and weighted back to the classes' true shares, is the score.
 
-Training takes a bounded, documented sample (``SAMPLE_ROWS`` rows of each class, chosen by a hash
-of the id, and of each text that builds a dictionary ``SAMPLE_SEGMENTS`` segments at most, evenly
-spread over all of it); scoring reads every whole text.
+Training takes a bounded, documented sample of rows (``SAMPLE_ROWS`` of each class, chosen by a hash
+of the id), each with its whole text; scoring reads every whole text. Where the texts of a class are
+too short to train a dictionary, all of them together are the dictionary.
 
 Defined results: null text counts as empty and is scored; labels other than 0 and 1, null labels
 and labels of unknown documents aren't learned from; several labels of one document count once,
-by their smallest; with one class only, every score is that class; with none, 0.5. A row without
+by their smallest, and of documents that share an id the text that comes first; with one class only, every score is that class; with none, 0.5. Where a class has
+no text for its dictionary, or only one class is left for the curve (which needs a handful of labelled
+rows), every score is the share of good ones among all labels. A row without
 an id is scored and, having no label, not learned from. Repeated rows get equal scores; extra columns
 are ignored, whatever their names; an empty table gives an empty table.
 """
@@ -31,8 +33,6 @@ from tidewake.llm.common import few
 
 #: Labelled rows taken from each class at most; half build a dictionary, half fit the curve.
 SAMPLE_ROWS = 4000
-#: Segments that one document gives a dictionary at most, evenly spread over its whole text.
-SAMPLE_SEGMENTS = 64
 SEGMENT = 256
 DICTIONARY_BYTES = 65536
 LEVEL = 3
@@ -106,10 +106,20 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return w
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> QualityModel:
-    """Fit on labelled rows for which ``learn``, a condition on the column ``id``, holds."""
+def dictionary(parts: list[bytes]) -> bytes:
+    """A dictionary trained on segments; where they hold too little for that, the segments themselves."""
     import zstandard
 
+    if sum(map(len, parts)) > DICTIONARY_BYTES:
+        try:
+            return zstandard.train_dictionary(DICTIONARY_BYTES, parts, level=LEVEL).as_bytes()
+        except zstandard.ZstdError:  # segments that have nothing in common
+            pass
+    return b"".join(parts)
+
+
+def train_quality(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> QualityModel:
+    """Fit on labelled rows for which ``learn``, a condition on the column ``id``, holds."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter(F.col("id").isNotNull() & F.col("label").isin(0, 1) & learn)
     known = known.groupBy("id").agg(F.min("label").alias("label"))
     shares = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
@@ -122,25 +132,21 @@ def train_quality(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str
     chosen = chosen.withColumn("curve", F.pmod(F.xxhash64("id", F.lit("curve")), F.lit(2)) == 1)
     # at most 2 * sample_rows ids are broadcast
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    texts = texts.groupBy("id", "label", "curve").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
 
     def cut(batches):
         for b in few(batches):
             out = []
             for label, text in zip(b.column("label").to_pylist(), b.column("text").to_pylist(), strict=True):
-                parts = segments(text)
-                keep = np.unique(np.linspace(0, len(parts) - 1, min(len(parts), SAMPLE_SEGMENTS)).astype(int)) if parts else []
-                out += [(label, parts[i]) for i in keep]
+                out += [(label, part) for part in segments(text)]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["label", "part"])
 
     built = texts.filter(~F.col("curve")).select("label", "text").mapInArrow(cut, "label int, part binary").orderBy("label", "part").toArrow()
     labels_of, parts = np.array(built.column("label").to_pylist()), built.column("part").to_pylist()
     by_label = {k: [p for p, v in zip(parts, labels_of, strict=True) if v == k] for k in (0, 1)}
-    if min(map(len, by_label.values())) < 16:
+    if not min(map(len, by_label.values())):
         return QualityModel(constant=shares.get(1, 0) / sum(shares.values()))
-    try:
-        good, bad = (zstandard.train_dictionary(DICTIONARY_BYTES, by_label[k], level=LEVEL).as_bytes() for k in (1, 0))
-    except zstandard.ZstdError:  # too little text for a trained dictionary: the text itself
-        good, bad = (b"".join(by_label[k])[-DICTIONARY_BYTES:] for k in (1, 0))
+    good, bad = dictionary(by_label[1]), dictionary(by_label[0])
     model = QualityModel(good, bad)
 
     def measure(batches):
