@@ -3,14 +3,17 @@
 A principal's rows and columns are filtered in an isolated session that knows a single view,
 ``cases``. A statement passes a text check, then is parsed by Spark itself, and the plan is walked
 node by node: it must be one query, read ``cases`` (or its own common table expressions) and
-nothing else, call only listed functions, hold only listed expressions once it is analyzed, and
-stay under a ceiling of scans and of rows that joins without an equality can make. Only then does
-it run, under a tag by which a timer can cancel it, and with its rows, columns and cells capped.
-Every statement leaves an audit row of hashes and counts, admitted or not.
+nothing else, call only listed functions and hold only listed expressions. Names are a first look:
+once the statement is analyzed, every leaf of its plan must be the scope's own files. The optimized
+plan is then bounded node by node (``plan_bounds``) with the figures of those files, and a statement
+that could make more rows than the ceiling, in whatever joins, is refused. Only then does it run,
+under a tag by which a timer can cancel it, and with its rows, columns and cells capped. Answers say
+where they come from, and every statement leaves an audit row of hashes and counts, admitted or not.
 """
 
 from __future__ import annotations
 
+import dataclasses
 import hashlib
 import json
 import math
@@ -28,6 +31,8 @@ from py4j.java_gateway import is_instance_of
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewake.plans.plan_bounds import NoBound, PlanBounds, TableFigures, each, figures_of, kind_of
+
 VIEW = "cases"
 _DENIED = re.compile(r"\b(insert|update|delete|merge|drop|create|alter|truncate|set|reset|use|cache|uncache|refresh|add|load|describe|show|explain|analyze|call|grant|revoke|copy|attach|pragma)\b|\binformation_schema\b|\bsystem\b|`", re.I)
 #: Functions that a statement may call, by the names that Spark's parser leaves unresolved.
@@ -73,6 +78,8 @@ class Answer:
     truncated: bool
     scope: str
     statement: str = field(repr=False, default="")
+    #: Versions and digests of what the answer rests on, and the bounds under which it ran.
+    provenance: dict = field(repr=False, default_factory=dict)
 
 
 def scoped(source: DataFrame, scope: Scope, site: str = "site", service: str = "service", day: str = "referral_date") -> DataFrame:
@@ -96,18 +103,14 @@ def check_text(sql: str, limits: Limits) -> None:
         raise Refused("length")
     if unicodedata.normalize("NFKC", sql) != sql or not sql.isascii() or any(ord(c) < 32 and c not in "\n\t\r" for c in sql):
         raise Refused("characters")
-    bare = re.sub(r"'(?:[^']|'')*'", "''", sql)
+    # as Spark reads literals: a backslash takes the next character with it, two quotes in a row go on
+    bare = re.sub(r"'(?:[^'\\]|\\.|'')*'", "''", sql, flags=re.S)
     if ";" in bare or "--" in bare or "/*" in bare:
         raise Refused("separator or comment")
     if m := _DENIED.search(bare):
         raise Refused(f"word {m[0]!r}")
 
 
-def _each(seq) -> Iterator:
-    for i in range(seq.length()):
-        yield seq.apply(i)
-
-
 def nodes(session: SparkSession, plan) -> Iterator[tuple[str, object, bool]]:
     """(class, node, whether it is an expression) of a plan, its subqueries and their expressions."""
     gateway, left = session.sparkContext._gateway, [plan]
@@ -115,16 +118,44 @@ def nodes(session: SparkSession, plan) -> Iterator[tuple[str, object, bool]]:
         node = left.pop()
         expression = is_instance_of(gateway, node, _EXPRESSION)
         yield node.getClass().getSimpleName(), node, expression
-        left += _each(node.children())
+        left += each(node.children())
         if not expression:
-            left += _each(node.expressions())
-            left += [x for x in _each(node.innerChildren()) if is_instance_of(gateway, x, _QUERY_PLAN)]
+            left += each(node.expressions())
+            left += [x for x in each(node.innerChildren()) if is_instance_of(gateway, x, _QUERY_PLAN)]
         elif is_instance_of(gateway, node, "org.apache.spark.sql.catalyst.expressions.PlanExpression"):
             left.append(node.plan())
 
 
-def check_plan(session: SparkSession, sql: str, limits: Limits) -> None:
-    """Rules on the statement as Spark parses, analyzes and optimizes it."""
+#: Leaves that read no data: a row without columns, rows that the optimizer has worked out, and common table expressions, which stand in the same plan.
+_DATALESS = frozenset("OneRowRelation LocalRelation CTERelationRef".split())
+
+
+@dataclass(frozen=True)
+class ScopeTable:
+    """The written rows of a scope: the only files that a statement may read, and their figures."""
+
+    path: str
+    figures: TableFigures
+    digest: str
+
+
+def write_scope(rows: DataFrame, path: str) -> ScopeTable:
+    """Rows of a scope written under ``path``, with the digest of what they hold, in whatever order."""
+    rows.write.parquet(path)
+    table = rows.sparkSession.read.parquet(path)
+    text = F.sha2(F.to_json(F.struct(*table.columns), {"ignoreNullFields": "false"}).cast("binary"), 256)
+    parts = table.agg(F.count(F.lit(1)), *(F.sum(F.conv(F.substring(text, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")) for i in range(4))).first()
+    return ScopeTable(path, figures_of(table), _hash([str(p) for p in parts]))
+
+
+def _files(relation) -> set[str]:
+    """Root paths of a relation over files; none for any other relation."""
+    of = relation.relation()
+    return {p.toString() for p in each(of.location().rootPaths())} if kind_of(of) == "HadoopFsRelation" else set()
+
+
+def check_plan(session: SparkSession, sql: str, limits: Limits, scope: ScopeTable) -> PlanBounds:
+    """Rules on the statement as Spark parses, analyzes and optimizes it; what it can make and read."""
     state = session._jsparkSession.sessionState()
     try:
         parsed = state.sqlParser().parsePlan(sql)
@@ -136,16 +167,16 @@ def check_plan(session: SparkSession, sql: str, limits: Limits) -> None:
         if kind == "UnresolvedWith":
             if node.allowRecursion():
                 raise Refused("recursion")
-            own |= {x._1().lower() for x in _each(node.cteRelations())}
+            own |= {x._1().lower() for x in each(node.cteRelations())}
     for kind, node, expression in found:
         if not expression and re.search(r"Command|Insert|Drop|Create|Set|Replace|Alter|Cache|InlineTable|LocalRelation|ScriptTransformation|TableValuedFunction|TVF|Generate|Describe|Show", kind):
             raise Refused("not a query")
         if kind == "UnresolvedRelation":
-            name = ".".join(_each(node.multipartIdentifier())).lower()
+            name = ".".join(each(node.multipartIdentifier())).lower()
             if name not in own:
                 raise Refused(f"relation {name!r}")
         if kind == "UnresolvedFunction":
-            name = ".".join(_each(node.nameParts())).lower()
+            name = ".".join(each(node.nameParts())).lower()
             if name not in ALLOWED_FUNCTIONS:
                 raise Refused(f"function {name!r}")
     try:
@@ -153,18 +184,31 @@ def check_plan(session: SparkSession, sql: str, limits: Limits) -> None:
         analyzed = execution.analyzed()
     except Exception as e:
         raise Refused("analysis") from e
-    for kind, _, expression in nodes(session, analyzed):
+    allowed = {session.sparkContext._jvm.org.apache.hadoop.fs.Path(scope.path).toUri().getPath()}
+    reads = 0
+    for kind, node, expression in nodes(session, analyzed):
         if expression and kind not in ALLOWED_EXPRESSIONS:
             raise Refused(f"expression {kind!r}")
-    if analyzed.collectLeaves().length() > limits.scans:
+        # whatever a name meant, the files behind it must be those of the scope
+        if not expression and not node.children().length() and kind not in _DATALESS:
+            paths = {session.sparkContext._jvm.org.apache.hadoop.fs.Path(p).toUri().getPath() for p in _files(node)} if kind == "LogicalRelation" else set()
+            if not paths or paths != allowed:
+                raise Refused("data outside the scope")
+            reads += 1
+    if reads > limits.scans:
         raise Refused("scans")
-    equal = session.sparkContext._jvm.org.apache.spark.sql.catalyst.planning.ExtractEquiJoinKeys
+    bounds = PlanBounds(session, scope.figures)
     try:
-        open_joins = sum(kind == "Join" and equal.unapply(node).isEmpty() for kind, node, _ in nodes(session, execution.optimizedPlan()))
+        bounds.visit(execution.optimizedPlan())
+    except NoBound as e:
+        raise Refused(f"node {str(e)!r}") from e
     except Exception as e:
         raise Refused("analysis") from e
-    if open_joins and max(session.table(VIEW).count(), 1) ** (open_joins + 1) > limits.possible_rows:
+    if bounds.scans > limits.scans:
+        raise Refused("scans")
+    if max(bounds.largest, bounds.scans * scope.figures.rows) > limits.possible_rows:
         raise Refused("possible rows")
+    return bounds
 
 
 def cell(value, limits: Limits):
@@ -181,14 +225,18 @@ def cell(value, limits: Limits):
 class GuardedQueries:
     """Answers statements of one principal in a session of its own; ``audit`` takes a row for each."""
 
-    def __init__(self, spark: SparkSession, rows: DataFrame, scope: Scope, location: str, limits: Limits = Limits(), audit: Callable[[dict], None] | None = None):
-        path = f"{location.rstrip('/')}/scope-{uuid.uuid4().hex}"
-        rows.write.parquet(path)
-        self.scope, self.limits, self.audit = scope, limits, audit
+    def __init__(self, spark: SparkSession, rows: DataFrame, scope: Scope, location: str, limits: Limits = Limits(), audit: Callable[[dict], None] | None = None, policy_version: str = "1", commit: str = "unavailable"):
+        self.scope, self.limits, self.audit, self.policy_version, self.commit = scope, limits, audit, policy_version, commit
+        self.table = write_scope(rows, f"{location.rstrip('/')}/scope-{uuid.uuid4().hex}")
         self.session = spark.newSession()
-        self.session.read.parquet(path).createOrReplaceTempView(VIEW)
+        self.session.read.parquet(self.table.path).createOrReplaceTempView(VIEW)
         self.session.conf.set("spark.sql.runSQLOnFiles", "false")
 
+    def close(self) -> None:
+        """Deletes the written rows of the scope; no statement can be answered afterwards."""
+        where = self.session.sparkContext._jvm.org.apache.hadoop.fs.Path(self.table.path)
+        where.getFileSystem(self.session.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
     def answer(self, sql: str) -> Answer:
         began, out, reason = time.time(), None, None
         try:
@@ -210,7 +258,7 @@ class GuardedQueries:
 
     def _answer(self, sql: str) -> Answer:
         check_text(sql, self.limits)
-        check_plan(self.session, sql, self.limits)
+        bounds = check_plan(self.session, sql, self.limits, self.table)
         frame = self.session.sql(sql)
         names = frame.columns
         if len(names) > self.limits.columns or len({n.lower() for n in names}) < len(names) or not all(_LABEL.fullmatch(n) for n in names):
@@ -227,7 +275,13 @@ class GuardedQueries:
             timer.cancel()
             self.session.removeTag(tag)
         kept = found[: self.limits.rows]
-        return Answer(frame.columns, [[cell(v, self.limits) for v in r] for r in kept], len(found) > len(kept), self.scope.name, sql)
+        return Answer(frame.columns, [[cell(v, self.limits) for v in r] for r in kept], len(found) > len(kept), self.scope.name, sql, self._provenance(sql, bounds))
+
+    def _provenance(self, sql: str, bounds: PlanBounds) -> dict:
+        return {
+            "policy_version": self.policy_version, "commit": self.commit, "statement_sha256": hashlib.sha256(sql.encode()).hexdigest(), "scope_sha256": scope_digest(self.scope), "data_sha256": self.table.digest,
+            "scope_rows": self.table.figures.rows, "scans": bounds.scans, "possible_rows": bounds.largest, "limits": dataclasses.asdict(self.limits),
+        }
 
 
 #: Names of result columns: letters, digits and underscores.
@@ -238,10 +292,14 @@ def _hash(value) -> str:
     return hashlib.sha256(json.dumps(value, sort_keys=True, default=str, separators=(",", ":")).encode()).hexdigest()
 
 
+def scope_digest(scope: Scope) -> str:
+    return _hash([scope.columns, scope.sites, scope.services, scope.first_day, scope.last_day])
+
+
 def audit_row(scope: Scope, sql: str, answer: Answer | None, reason: str | None, seconds: float) -> dict:
     """What happened to a statement, in hashes and counts: neither its text nor its rows."""
     return {
-        "principal_sha256": _hash(scope.name), "scope_sha256": _hash([scope.columns, scope.sites, scope.services, scope.first_day, scope.last_day]), "statement_sha256": hashlib.sha256(sql.encode()).hexdigest(), "admitted": answer is not None,
+        "principal_sha256": _hash(scope.name), "scope_sha256": scope_digest(scope), "statement_sha256": hashlib.sha256(sql.encode()).hexdigest(), "admitted": answer is not None,
         "reason": reason, "rows": len(answer.rows) if answer else None, "truncated": answer.truncated if answer else None, "rows_sha256": _hash(answer.rows) if answer else None, "millis": round(seconds * 1000),
     }
 

@@ -55,6 +55,7 @@ def guarded_answers(spark, sf_dir):
     for i, question in enumerate(("How many cases are there by site?", "What is the cancellation rate per service?", "mean readiness"), 1):
         for r in asked.ask(question, guard.PROVIDERS["template"]()).rows:
             rows.append((i, str(r[0]) if len(r) > 1 else "all", round(float(r[-1]), 6)))
+    asked.close()
     return spark.createDataFrame(rows, "question int, label string, answer double")
 
 
@@ -80,3 +81,50 @@ def refusal_eval(spark, sf_dir):
         decision, _ = guard.question_sql(question, SCOPE.columns)
         rows.append((expected, decision, expected == decision, 10 + i, i + 1))
     return guard.evaluation_summary(spark.createDataFrame(rows, "expected string, decision string, correct boolean, millis bigint, cost bigint"))
+
+
+#: Rows that a statement of the evidence run may make.
+POSSIBLE_ROWS = 1_000_000
+#: (name, statement, rule that refuses it, or none). Joins are refused or answered by the data's own counts.
+STATEMENTS = [
+    ("count", "SELECT count(*) AS n FROM cases", None), ("subquery", "SELECT max(n) AS n FROM (SELECT site, count(*) AS n FROM cases GROUP BY site) g", None), ("named subquery", "WITH x AS (SELECT service_code, count(*) AS n FROM cases GROUP BY service_code) SELECT min(n) AS n FROM x", None),
+    ("join on groups", "SELECT sum(g.n) AS n FROM cases c JOIN (SELECT site, count(*) AS n FROM cases GROUP BY site) g ON c.site = g.site", None), ("semi join", "SELECT count(*) AS n FROM cases WHERE service_code IN (SELECT service_code FROM cases WHERE cancellation_proxy)", None),
+    ("self join by day", "SELECT count(*) AS n FROM cases a JOIN cases b ON a.service_code = b.service_code AND a.referral_date = b.referral_date", "possible rows"), ("self join by site", "SELECT count(*) AS n FROM cases a JOIN cases b ON a.site = b.site", "possible rows"),
+    ("three-way self join", "SELECT count(*) AS n FROM cases a JOIN cases b ON a.site = b.site JOIN cases c ON b.site = c.site", "possible rows"), ("cross join", "SELECT count(*) AS n FROM cases a CROSS JOIN cases b", "possible rows"), ("comma join", "SELECT count(*) AS n FROM cases a, cases b WHERE a.readiness_days < b.readiness_days", "possible rows"),
+    ("five scans", "SELECT 1 AS n FROM cases UNION ALL SELECT 2 FROM cases UNION ALL SELECT 3 FROM cases UNION ALL SELECT 4 FROM cases UNION ALL SELECT 5 FROM cases", "scans"), ("other column", "SELECT case_key FROM cases", "analysis"), ("other table", "SELECT * FROM analytics_cases", "relation 'analytics_cases'"),
+    ("hidden table", "SELECT (SELECT max(o_orderkey) FROM orders) AS n FROM cases", "relation 'orders'"), ("catalog", "SELECT * FROM cases JOIN information_schema.tables t ON TRUE", "word 'information_schema'"), ("comment", "SELECT * FROM cases -- all", "separator or comment"), ("second statement", "SELECT 1 AS a; SELECT 2 AS a", "separator or comment"),
+    ("full-width semicolon", "SELECT 1 AS a FROM cases；", "characters"), ("file function", "SELECT * FROM read_csv('secret.csv')", "not a query"), ("attach", "ATTACH 'other' AS other", "word 'ATTACH'"), ("write", "DELETE FROM cases", "word 'DELETE'"), ("recursion", "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t) SELECT n FROM t", "recursion"),
+    ("reflection", "SELECT reflect('java.lang.System', 'getProperty', 'user.home') AS x FROM cases", "function 'reflect'"), ("generator", "SELECT explode(sequence(1, 1000000)) AS x FROM cases", "function 'explode'"), ("quoted separator", r"SELECT '\'; --' AS x FROM cases WHERE site = 'no\'ne'", None), ("empty", " ", "length"), ("labels", "SELECT site, site FROM cases", "columns"),
+]
+_EVIDENCE_SQL = f"""WITH {_CASES_SQL}, sizes AS (
+    SELECT count(*) AS n, (SELECT max(c) FROM (SELECT count(*) AS c FROM cases GROUP BY site)) AS by_site, (SELECT max(c) FROM (SELECT count(*) AS c FROM cases GROUP BY service_code)) AS by_service, (SELECT max(c) FROM (SELECT count(*) AS c FROM cases GROUP BY referral_date)) AS by_day,
+        count(*) FILTER (service_code IN (SELECT service_code FROM cases WHERE cancellation_proxy)) AS n_semi FROM cases
+), joins AS (
+    SELECT 'self join by day' AS statement, n * least(by_service, by_day) AS possible, (SELECT sum(c * c) FROM (SELECT count(*) AS c FROM cases GROUP BY service_code, referral_date)) AS answer FROM sizes
+    UNION ALL SELECT 'self join by site', n * by_site, (SELECT sum(c * c) FROM (SELECT count(*) AS c FROM cases GROUP BY site)) FROM sizes
+    UNION ALL SELECT 'three-way self join', n * by_site * by_site, (SELECT sum(c * c * c) FROM (SELECT count(*) AS c FROM cases GROUP BY site)) FROM sizes
+    UNION ALL SELECT 'cross join', n * n, n * n FROM sizes
+    UNION ALL SELECT 'comma join', n * n, (SELECT sum(c * below) FROM (SELECT c, sum(c) OVER (ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS below FROM (SELECT readiness_days AS d, count(*) AS c FROM cases GROUP BY 1))) FROM sizes
+), fixed(statement, rule) AS (VALUES {', '.join("('" + name + "', '" + rule.replace("'", "''") + "')" for name, _, rule in STATEMENTS if rule and rule != 'possible rows')})
+SELECT statement, possible <= {POSSIBLE_ROWS} AS admitted, CASE WHEN possible > {POSSIBLE_ROWS} THEN 'possible rows' END AS rule, CASE WHEN possible <= {POSSIBLE_ROWS} THEN CAST(answer AS DOUBLE) END AS answer FROM joins
+UNION ALL SELECT statement, false, rule, NULL FROM fixed
+UNION ALL SELECT 'count', true, NULL, CAST(n AS DOUBLE) FROM sizes UNION ALL SELECT 'subquery', true, NULL, CAST(by_site AS DOUBLE) FROM sizes
+UNION ALL SELECT 'named subquery', true, NULL, CAST((SELECT min(c) FROM (SELECT count(*) AS c FROM cases GROUP BY service_code)) AS DOUBLE) UNION ALL SELECT 'join on groups', true, NULL, CAST((SELECT sum(c * c) FROM (SELECT count(*) AS c FROM cases GROUP BY site)) AS DOUBLE)
+UNION ALL SELECT 'semi join', true, NULL, CAST(n_semi AS DOUBLE) FROM sizes UNION ALL SELECT 'quoted separator', true, NULL, NULL"""
+
+
+@query("guard_evidence", _EVIDENCE_SQL)
+def guard_evidence(spark, sf_dir):
+    """What the guard does with each statement of a corpus of ordinary ones and attacks, over the scope's rows of orders."""
+    from tidewake.operators.graph import shared_dir
+
+    asked = guard.GuardedQueries(spark, _cases(spark, sf_dir), SCOPE, shared_dir(spark), guard.Limits(possible_rows=POSSIBLE_ROWS))
+    rows = []
+    for name, sql, _ in STATEMENTS:
+        try:
+            answer = asked.answer(sql).rows
+            rows.append((name, True, None, float(answer[0][-1]) if answer and answer[0][-1] is not None else None))
+        except guard.Refused as e:
+            rows.append((name, False, str(e), None))
+    asked.close()
+    return spark.createDataFrame(rows, "statement string, admitted boolean, rule string, answer double")
