@@ -74,16 +74,26 @@ def weekly_metrics(df: DataFrame, week: str, segment: Sequence[str], score: str,
     Weeks are summed once; baselines are sums of those sums over a frame of rows, so each case is read once.
     """
     k = len(edges) - 1
-    bin_ = F.least(sum((F.col(score) >= e).cast("int") for e in edges[1:]), F.lit(k - 1))
+    bin_ = score_bin(score, edges)
     known = matured & F.col(outcome).isNotNull()
     sums = df.withColumn("_bin", bin_).groupBy(week, *segment).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(known).alias("n_mature"), F.sum(F.when(known, F.col(outcome)).otherwise(0)).cast("double").alias("events"),
         F.sum(F.when(known, F.col(score)).otherwise(0.0)).alias("score_sum"), F.sum(F.when(known, (F.col(score) - F.col(outcome)) * (F.col(score) - F.col(outcome))).otherwise(0.0)).alias("squares"),
         *(F.count_if(F.col("_bin") == i).alias(f"b{i}") for i in range(k)),
     )
+    return metrics_of_sums(sums, week, segment, k, baseline_weeks, least_outcomes)
+
+
+def score_bin(score: str, edges: Sequence[float]) -> Column:
+    return F.least(sum((F.col(score) >= e).cast("int") for e in edges[1:]), F.lit(len(edges) - 2))
+
+
+def metrics_of_sums(sums: DataFrame, week: str, segment: Sequence[str], k: int, baseline_weeks: int, least_outcomes: int = 1) -> DataFrame:
+    """The measures from weekly sums: n, n_mature, events, score_sum, squares and the counts b0, b1, ... of ``k`` score bins."""
+    out = sums
     before = Window.partitionBy(*segment).orderBy(week).rowsBetween(-baseline_weeks, -1)
     past = lambda c: F.sum(c).over(before)
-    out = sums.withColumns({"baseline_n": F.count(F.lit(1)).over(before), "past_mature": past("n_mature"), "past_events": past("events")} | {f"p{i}": past(f"b{i}") for i in range(k)})
+    out = out.withColumns({"baseline_n": F.count(F.lit(1)).over(before), "past_mature": past("n_mature"), "past_events": past("events")} | {f"p{i}": past(f"b{i}") for i in range(k)})
     total = sum(F.col(f"p{i}") for i in range(k))
     share = lambda c, t: (c + 0.5) / (t + 0.5 * k)
     psi = sum((share(F.col(f"b{i}"), F.col("n")) - share(F.col(f"p{i}"), total)) * F.ln(share(F.col(f"b{i}"), F.col("n")) / share(F.col(f"p{i}"), total)) for i in range(k))

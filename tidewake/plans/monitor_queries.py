@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -36,6 +38,19 @@ def revision_sequence(spark, sf_dir):
     return monitor.check_revisions(rows, "case", "revision", "event_id", "corrects").select("event_id", "sequence_ok")
 
 
+@query("revisions_follow_on", f"""WITH {EVENTS_SQL}, {REV_SQL}, base AS (SELECT user_id, week, max(revision) AS r0, arg_max(event_id, revision) AS e0 FROM rev WHERE revision <= 2 GROUP BY ALL),
+fresh AS (SELECT event_id, user_id, week, ts, corrects, revision + CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END AS revision FROM rev WHERE revision > 2),
+twins AS (SELECT *, row_number() OVER (PARTITION BY user_id, week, revision ORDER BY ts, event_id) AS twin FROM fresh),
+chain AS (SELECT t.*, revision = coalesce(lag(revision) OVER w, r0) + 1 AND corrects IS NOT DISTINCT FROM coalesce(lag(event_id) OVER w, e0) AS ok FROM twins t JOIN base USING (user_id, week) WHERE twin = 1 WINDOW w AS (PARTITION BY user_id, week ORDER BY revision))
+SELECT event_id, bool_and(ok) OVER (PARTITION BY user_id, week ORDER BY revision ROWS UNBOUNDED PRECEDING) AS sequence_ok FROM chain UNION ALL SELECT event_id, false FROM twins WHERE twin > 1""")
+def revisions_follow_on(spark, sf_dir):
+    """What a batch continues: two revisions of each case are accepted, later ones come with gaps and with two of a number."""
+    rows = revisions(spark, sf_dir)
+    fresh = rows.filter("revision > 2").withColumn("revision", F.col("revision") + F.when(F.col("event_id") % 7 == 0, 1).otherwise(0))
+    found = monitor.follow_on(fresh, rows.filter("revision <= 2"), ["user_id", "week"], "revision", "event_id", "corrects", ["ts"])
+    return found.select("event_id", "sequence_ok")
+
+
 @query("replay_conflicts", f"""WITH {EVENTS_SQL}, old AS (SELECT event_id, sha256(event_type || '|' || cents) AS h FROM ev WHERE event_id % 3 = 0),
 sent AS (SELECT event_id, event_type, cents, 0 AS try FROM ev WHERE event_id % 2 = 0 UNION ALL SELECT event_id, event_type, cents, 1 FROM ev WHERE event_id % 10 = 0 UNION ALL SELECT event_id, event_type, cents + 5, 2 FROM ev WHERE event_id % 14 = 0),
 batch AS (SELECT event_id, try, sha256(event_type || '|' || (cents + CASE WHEN event_id % 12 = 0 THEN 1 ELSE 0 END)) AS h FROM sent),
@@ -181,6 +196,28 @@ def last_write_wins(spark, sf_dir):
     return event_log(spark, sf_dir).groupBy("user_id").agg(latest.alias("r"), micros(F.max("ingest_ts")).alias("arrived_us")).select("user_id", "r.*", "arrived_us")
 
 
+#: Days on which the waves of ``merge_by_version`` end.
+_WAVES = ("2024-01-12", "2024-01-25")
+
+
+@query("merge_by_version", f"""WITH {EVENTS_SQL}, last AS (SELECT user_id, first(event_type ORDER BY ingest_ts DESC, event_id DESC) AS event_type, first(cents ORDER BY ingest_ts DESC, event_id DESC) AS cents FROM ev GROUP BY 1)
+SELECT * FROM last WHERE user_id NOT IN (SELECT user_id FROM ev WHERE event_type = 'error' AND event_id % 50 = 0 AND ingest_ts >= TIMESTAMP '{_WAVES[1]}')""")
+def merge_by_version(spark, sf_dir):
+    """Three waves of arrivals merged into a versioned table, each into the buckets of its users; the last one takes some users out."""
+    from tidewake.operators.graph import shared_dir
+    from tidewake.sources.versioned import Snapshot, VersionedTable
+
+    table_, at = VersionedTable(spark, f"{shared_dir(spark)}/merge-{uuid.uuid4().hex}", ["user_id"], "user_id bigint, event_type string, cents bigint"), Snapshot()
+    log, day = event_log(spark, sf_dir).withColumn("user_id", F.col("user_id").cast("bigint")), lambda d: F.lit(d).cast("timestamp_ntz")
+    bounds = [F.lit(True), *(F.col("ingest_ts") >= day(d) for d in _WAVES)]
+    for i, begins in enumerate(bounds):
+        wave = log.filter(begins & (~bounds[i + 1] if i + 1 < len(bounds) else F.lit(True)))
+        latest = wave.groupBy("user_id").agg(F.max_by(F.struct("event_type", "cents"), F.struct("ingest_ts", "event_id")).alias("r")).select("user_id", "r.*")
+        gone = wave.filter("event_type = 'error' AND event_id % 50 = 0").select("user_id").distinct() if i + 1 == len(bounds) else None
+        at = table_.commit(table_.merge(at, latest if gone is None else latest.join(gone, "user_id", "left_anti"), gone))
+    return table_.read(at)
+
+
 _GRAPH_SQL = """links AS (SELECT DISTINCT s_nationkey AS node, l_partkey AS via FROM lineitem JOIN supplier ON l_suppkey = s_suppkey), stars AS (SELECT via, min(node) AS a FROM links GROUP BY 1),
 edges AS (SELECT a, node AS b FROM links JOIN stars USING (via) UNION SELECT node, a FROM links JOIN stars USING (via)),
 reach AS (SELECT DISTINCT node, node AS other FROM links UNION SELECT r.node, e.b FROM reach r JOIN edges e ON e.a = r.other), roots AS (SELECT node, min(other) AS root FROM reach GROUP BY 1)"""

@@ -55,6 +55,15 @@ class Store:
             stream.close()
         self.replace(part, name)
 
+    def create_json(self, name: str, value) -> None:
+        """JSON in a file that mustn't be there yet; of two that create it at once, one fails."""
+        raw = (json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False) + "\n").encode()
+        stream = self._fs.create(self._path(name), False)
+        try:
+            stream.write(raw)
+        finally:
+            stream.close()
+
     def replace(self, old: str, new: str) -> None:
         """Rename over what is there, in one step where the store has one; readers see the former file or the new one."""
         fs = self._jvm.org.apache.hadoop.fs
