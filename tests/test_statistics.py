@@ -109,16 +109,18 @@ def test_unknown_predicate_names_are_refused():
         cohort.parse_predicate("password:x", {"site": "site"})
 
 
-def test_running_totals_of_many_buckets(spark):
+def test_running_totals_of_many_parts(spark, monkeypatch):
     import random
 
     from tidewake.operators import ranks
 
+    monkeypatch.setattr(ranks, "FEW_ROWS", 10)
+
     rng = random.Random(1)
     rows = [(rng.choice(["a", None]), v, rng.randrange(5)) for v in rng.sample(range(10_000), 700)]
     df = spark.createDataFrame(rows, "g string, v int, c int")
     for down in (False, True):
-        for r in ranks.running(df, ["g"], "v", {"before": F.col("c")}, down, buckets=16).collect():
+        for r in ranks.running(df, ["g"], "v", {"before": F.col("c")}, down).collect():
             assert r.before == sum(c for g, v, c in rows if g == r.g and (v > r.v if down else v < r.v))
     placed = ranks.positions(spark.createDataFrame([(1, 5), (2, 5), (3, 4), (4, 9)], "i int, s int"), "s", "i", descending=True)
     assert {r.i: (r._position, r._rows) for r in placed.collect()} == {4: (1, 4), 1: (2, 4), 2: (3, 4), 3: (4, 4)}
@@ -174,3 +176,20 @@ def test_component_ids_stay_apart_beyond_two_digits(spark):
     labels = spark.range(150).select(F.col("id").alias("n"), F.col("id").alias("root"))
     ids = [r.component for r in graph.component_listing(labels, "n").orderBy("root").collect()]
     assert len(set(ids)) == 150 and ids[0] == "IC-001" and ids[-1] == "IC-150"
+
+
+def test_hot_values_are_cut_by_their_ties(spark):
+    """Nine of ten rows share a value: positions stay exact, and the sort deals the value to several tasks."""
+    from tidewake.operators import ranks
+
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(4000).select(F.col("id").alias("i"), F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(7).cast("double").alias("v"), F.spark_partition_id().alias("_p"))
+        placed = ranks.positions(df, "v", "i").select("i", "v", "_position", "_rows").collect()
+        order = sorted(((i if i % 10 == 0 else 7.0), i) for i in range(4000))
+        assert [(r.v, r.i) for r in sorted(placed, key=lambda r: r._position)] == order and {r._rows for r in placed} == {4000}
+        parts = df.orderBy("v", "i").filter("v = 7").select(F.spark_partition_id().alias("p")).distinct().count()
+        assert parts > 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)

@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewake.operators.ranks import running
+from tidewake.operators.ranks import Ordered
 
 
 def kaplan_meier(df: DataFrame, time: str, event: str, *by: str) -> DataFrame:
     """At-risk numbers, events, and survival before and after each distinct time."""
     counts = df.groupBy(*by, time).agg(F.count_if(F.col(event)).alias("d"), F.count(F.lit(1)).alias("c"))
-    counts = running(counts, by, time, {"at_risk": F.col("c")}, descending=True).withColumn("at_risk", F.col("at_risk") + F.col("c"))
+    ordered = Ordered(counts, by, time)
+    rows = ordered.before(ordered.rows, {"at_risk": F.col("c")}, descending=True).withColumn("at_risk", F.col("at_risk") + F.col("c"))
     step = 1 - F.col("d") / F.col("at_risk")
-    return running(counts, by, time, {"before": step}, product=True).withColumn("survival", F.col("before") * step)
+    return ordered.before(rows, {"before": step}, product=True).withColumn("survival", F.col("before") * step).drop("_part")
 
 
 def restricted_mean(df: DataFrame, time: str, event: str, horizon: float, *by: str) -> DataFrame:
