@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewake.plans import cohort_queries, event_queries, guard_queries, monitor_queries, planning_queries, resample_queries, score_queries  # noqa: F401  (they register their queries)
+from tidewake.plans import cohort_queries, event_queries, guard_queries, monitor_queries, planning_queries, resample_queries, score_queries, temporal_queries  # noqa: F401  (they register their queries)
 from tidewake.plans.inputs import QUERIES, SQL, Query
 
 
