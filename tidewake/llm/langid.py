@@ -22,7 +22,6 @@ ignored; an empty table gives an empty table.
 from __future__ import annotations
 
 import re
-import unicodedata
 from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass
@@ -49,9 +48,7 @@ SCRIPT_STARTS = [0x0000, 0x0250, 0x0370, 0x0400, 0x0530, 0x0590, 0x0600, 0x0900,
 SCRIPT_NAMES = ["latin", "other", "greek", "cyrillic", "armenian", "hebrew", "arabic", "indic", "thai", "other", "georgian", "hangul", "other", "latin", "greek", "other", "kana", "other", "han", "other", "hangul", "other", "han", "other"]
 SCRIPTS = sorted(set(SCRIPT_NAMES))
 
-#: Word characters that are numbers but not decimal digits (fractions, superscripts, Roman numerals): no letters.
-_NUMBERS = "".join(c for c in map(chr, range(0x20000)) if unicodedata.category(c) in ("No", "Nl"))
-_LETTERS = re.compile(rf"[^\W\d_{_NUMBERS}]+")
+_LETTERS = re.compile(r"[^\W\d_]+")
 _BEYOND_LATIN = re.compile("[^\x00-ɏ]")
 
 
@@ -64,7 +61,11 @@ def script_of(word: str) -> int:
 
 
 def words_of(text: str | None) -> list[str]:
-    return _LETTERS.findall(text.lower()) if text else []
+    """Runs of letters. The pattern also takes numbers that aren't decimal digits (fractions, superscripts, Roman numerals); these part words."""
+    found = _LETTERS.findall(text.lower()) if text else []
+    if all(map(str.isalpha, found)):
+        return found
+    return [x for w in found for x in "".join(c if c.isalpha() else " " for c in w).split()]
 
 
 def ngram_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
