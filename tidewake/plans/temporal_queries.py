@@ -29,9 +29,9 @@ def asof_order_of_nation(spark, sf_dir):
     return temporal.asof_join(ships, marks, ["nation"], "l_shipdate", "o_orderdate", ["o_orderkey"], "o_orderkey", within=86_400).drop("l_shipdate")
 
 
-@query("open_orders", """WITH spans AS (SELECT o_custkey, o_orderkey AS open_key, o_orderdate AS opened, max(l_shipdate) AS closed FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)
+@query("orders_still_open", """WITH spans AS (SELECT o_custkey, o_orderkey AS open_key, o_orderdate AS opened, max(l_shipdate) AS closed FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)
 SELECT o.o_orderkey, count(*) AS n_open, min(s.open_key) AS first_open FROM orders o JOIN spans s ON s.o_custkey = o.o_custkey AND o.o_orderdate >= s.opened AND o.o_orderdate < s.closed GROUP BY 1""")
-def open_orders(spark, sf_dir):
+def orders_still_open(spark, sf_dir):
     """At each order, the orders of the same customer that are open: placed, and not wholly shipped."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     closed = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("closed"))
