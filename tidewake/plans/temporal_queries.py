@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidewake.functions.identifiers import micros
 from tidewake.operators import temporal
+from tidewake.operators.graph import shared_dir
+from tidewake.operators.sketches import Sketches, trailing
 from tidewake.plans.inputs import EVENTS_SQL, event_log, query, table
+from tidewake.sources import incremental
 
 
 @query("asof_last_order", """WITH marks AS (SELECT o_custkey AS user_id, o_orderdate AS at, max(o_orderkey) AS o_orderkey, arg_max(o_totalprice, o_orderkey) AS o_totalprice FROM orders GROUP BY 1, 2)
@@ -55,3 +60,33 @@ def purchase_within_hours(spark, sf_dir):
     views = log.filter("event_type = 'view'").select("event_id", "user_id", "ts")
     purchases = log.filter("event_type = 'purchase'").select(F.col("event_id").alias("purchase_id"), "user_id", F.col("ts").alias("bought_at"), "cents")
     return temporal.followed_within(views, purchases, "user_id", "ts", "bought_at", "3 hours", how="left_outer").select("event_id", "purchase_id", "cents")
+
+
+_SKETCHES = Sketches(distinct=("user_id",), quantiles=("value",))
+_SKETCH_SCHEMA = "week date, service string, n bigint, user_id_distinct binary, value_quantiles binary"
+
+
+@query("trailing_sketches", f"""WITH {EVENTS_SQL}, weekly AS (SELECT CAST(date_trunc('week', ingest_ts) AS DATE) AS week, service, user_id, value FROM ev), spans AS (SELECT DISTINCT week FROM weekly)
+SELECT CAST(s.week AS VARCHAR) AS week, service, count(*) AS n, count(DISTINCT user_id) AS users, true AS users_within, true AS median_within, true AS p90_within
+FROM spans s JOIN weekly w ON w.week BETWEEN s.week - 21 AND s.week GROUP BY 1, 2""")
+def trailing_sketches(spark, sf_dir):
+    """Users and quantiles of four weeks of arrivals, merged from the sketches kept of each week, and whether they are as near to the exact figures as stated."""
+    week = F.date_trunc("week", "ingest_ts").cast("date")
+    log = event_log(spark, sf_dir).select(week.alias("week"), "service", "user_id", "value")
+    at = f"{shared_dir(spark)}/sketches-{uuid.uuid4().hex}"
+    build = lambda weeks: _SKETCHES.build(log.filter(F.col("week").cast("string").isin(weeks)), ["week", "service"]).withColumn("partition", F.col("week").cast("string"))
+    incremental.refresh_together(spark, at, incremental.row_digests(log, "week"), incremental.version_of(_SKETCHES), build)
+    kept = incremental.read_together(spark, at, _SKETCH_SCHEMA).drop("partition")
+    ends = kept.select("week").distinct()
+    merged = _SKETCHES.merge(trailing(kept, "week", 4).join(ends, "week", "left_semi"), ["week", "service"])
+    found = _SKETCHES.estimates(merged, ["week", "service"], {"median": 0.5, "p90": 0.9})
+    # one row for each week and service, whatever the rows
+    rows = trailing(log, "week", 4).join(F.broadcast(found.withColumnRenamed("n", "n_kept")), ["week", "service"])
+    counts = [F.count_if(F.col("value") < F.col(f"value_{q}")).alias(f"under_{q}") for q in ("median", "p90")] + [F.count_if(F.col("value") <= F.col(f"value_{q}")).alias(f"upto_{q}") for q in ("median", "p90")]
+    exact = rows.groupBy("week", "service", "n_kept", "user_id_distinct").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"), F.count("value").alias("numbers"), *counts)
+    error = F.lit(_SKETCHES.rank_error) * F.col("numbers")
+    within = lambda q, f: (F.col(f"under_{q}") <= f * F.col("numbers") + error) & (F.col(f"upto_{q}") >= f * F.col("numbers") - error)
+    return exact.select(
+        F.col("week").cast("string").alias("week"), "service", "n", "users", ((F.col("n") == F.col("n_kept")) & (F.abs(F.col("users") - F.col("user_id_distinct")) <= F.ceil(_SKETCHES.distinct_error * F.col("users")))).alias("users_within"),
+        within("median", 0.5).alias("median_within"), within("p90", 0.9).alias("p90_within"),
+    )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewake.operators.contracts import ContractError, schema_errors
-from tidewake.sources.store import Store
+from tidewake.sources.store import Store, plain_path
 
 _MONTH = re.compile(r"ingest_month=(\d{4}-(?:0[1-9]|1[0-2]))\.parquet\Z")
 _TEXT = ("string",)
@@ -91,6 +91,14 @@ def footer_rows(spark: SparkSession, path: str) -> int:
     return spark.read.parquet(path).count()
 
 
+def rows_by_file(spark: SparkSession, paths: Sequence[str]) -> dict[str, int]:
+    """path → rows, for any number of files in one job that reads no column; a file without rows has 0."""
+    plain = {plain_path(spark, p): p for p in paths}
+    # a row for each file of a list that the driver holds
+    found = spark.read.schema("event_id string").parquet(*paths).groupBy(F.col("_metadata.file_path").alias("path")).count().collect() if paths else []
+    return dict.fromkeys(paths, 0) | {plain[plain_path(spark, r.path, escaped=True)]: r["count"] for r in found}
+
+
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """CSV with a header, every column text: types are tried where they are used."""
     return spark.read.csv(path, header=True, inferSchema=False)

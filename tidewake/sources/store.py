@@ -8,6 +8,12 @@ from collections.abc import Iterator
 from pyspark.sql import SparkSession
 
 
+def plain_path(spark: SparkSession, path: str, escaped: bool = False) -> str:
+    """A path without scheme and host; ``escaped`` for those that Spark's file metadata give."""
+    jvm = spark.sparkContext._jvm
+    return jvm.java.net.URI(path).getPath() if escaped else jvm.org.apache.hadoop.fs.Path(path).toUri().getPath()
+
+
 class Store:
     def __init__(self, spark: SparkSession, base: str):
         self.spark, self.base = spark, base.rstrip("/")
