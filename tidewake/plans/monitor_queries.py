@@ -239,6 +239,12 @@ def component_listing(spark, sf_dir):
     return graph.component_listing(_labels(spark, sf_dir), "node")
 
 
+@query("component_members", f"""WITH RECURSIVE {_GRAPH_SQL}, ids AS (SELECT root, 'IC-' || lpad(CAST(row_number() OVER (ORDER BY root) AS VARCHAR), greatest(2, length(CAST(count(*) OVER () AS VARCHAR)))::INT, '0') AS component FROM roots GROUP BY root)
+SELECT component, root, node FROM roots JOIN ids USING (root)""")
+def component_members(spark, sf_dir):
+    return graph.component_members(_labels(spark, sf_dir).checkpoint(), "node")
+
+
 _TWO_SQL = """near AS (SELECT DISTINCT s_suppkey AS node, 'n' || s_nationkey AS via FROM supplier WHERE s_acctbal > 5000 UNION SELECT DISTINCT l_suppkey, 'p' || l_partkey FROM lineitem WHERE l_quantity = 50 AND l_returnflag = 'R'), hubs AS (SELECT via, min(node) AS a FROM near GROUP BY 1),
 links AS (SELECT a, node AS b FROM near JOIN hubs USING (via) UNION SELECT node, a FROM near JOIN hubs USING (via)), reach AS (SELECT DISTINCT node, node AS other FROM near UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.other), roots AS (SELECT node, min(other) AS root FROM reach GROUP BY 1)"""
 
