@@ -77,6 +77,26 @@ def test_publishing_is_atomic_and_content_addressed(spark, tmp_path):
     assert publish.verify(spark, where, first) == ["t"]
 
 
+def test_ordered_artifacts_have_row_groups_of_fixed_rows_and_as_many_files_as_tasks(spark, tmp_path):
+    df = spark.range(300_000).select((F.col("id") * 7919 % 300_000).alias("k"))
+    publish.write_ordered(df, str(tmp_path / "one"), ["k"], single=True)
+    (file,) = (tmp_path / "one").glob("*.parquet")
+    meta = pq.ParquetFile(file).metadata
+    assert [meta.row_group(i).num_rows for i in range(meta.num_row_groups)] == [publish.ROW_GROUP_ROWS, publish.ROW_GROUP_ROWS, 300_000 - 2 * publish.ROW_GROUP_ROWS]
+    assert meta.row_group(0).column(0).compression == "ZSTD" and pq.read_table(file)["k"].to_pylist() == list(range(300_000))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        publish.write_csv(df, str(tmp_path / "many"), ["k"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    files = [f.read_text().splitlines() for f in sorted((tmp_path / "many").glob("*.csv"))]
+    assert len(files) > 1 and all(lines[0] == "k" for lines in files)
+    assert [int(v) for lines in files for v in lines[1:]] == list(range(300_000))
+    publish.write_csv(df.limit(0), str(tmp_path / "none"), ["k"])
+    assert spark.read.csv(str(tmp_path / "none"), header=True).columns == ["k"]
+
+
 CASES = [("A", "A-1", "2026-01-05", True, 3.0), ("A", "A-2", "2026-01-06", False, 5.0), ("B", "B-1", "2026-01-07", True, 7.0), ("A", "B-9", "2026-01-08", True, 9.0), ("A", "A-1", "2030-01-01", True, 1.0)]
 
 

@@ -22,6 +22,10 @@ class Artifact:
     kind: str = "parquet"
 
 
+#: Fixed value: rows of a row group in ordered artifacts.
+ROW_GROUP_ROWS = 122_880
+
+
 def content_digest(df: DataFrame) -> str:
     """A digest of a table's rows as a multiset: the same however they are ordered or split into files."""
     cells = [F.coalesce(F.to_json(F.struct(F.col(c).alias("v"))), F.lit("")) for c in sorted(df.columns)]
@@ -32,9 +36,9 @@ def content_digest(df: DataFrame) -> str:
 
 
 def write_ordered(df: DataFrame, path: str, order: Sequence[str], single: bool = False) -> None:
-    """Parquet with zstd, rows in a total order; one file only where a reader needs one."""
+    """Parquet with zstd, rows in a total order and row groups of ``ROW_GROUP_ROWS`` rows; one file only where a reader needs one."""
     out = df.orderBy(*(F.col(c).asc_nulls_last() for c in order)) if order else df
-    (out.coalesce(1) if single else out).write.option("compression", "zstd").parquet(path)
+    (out.coalesce(1) if single else out).write.option("compression", "zstd").option("parquet.block.row.count.limit", ROW_GROUP_ROWS).parquet(path)
 
 
 def stack_by_name(frames: Sequence[DataFrame]) -> DataFrame:
@@ -45,8 +49,8 @@ def stack_by_name(frames: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
-def write_csv(df: DataFrame, path: str, order: Sequence[str] = (), single: bool = True) -> None:
-    """CSV with a header, in a total order; one file for readers that need one, else files in that order."""
+def write_csv(df: DataFrame, path: str, order: Sequence[str] = (), single: bool = False) -> None:
+    """CSV in files that each have the header, rows in a total order from file to file; one file only where a reader needs one."""
     out = df.orderBy(*(F.col(c).asc_nulls_last() for c in order)) if order else df
     (out.coalesce(1) if single else out).write.csv(path, header=True)
 
