@@ -193,3 +193,45 @@ def test_hot_values_are_cut_by_their_ties(spark):
         assert parts > 1
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
+@pytest.mark.parametrize("cells, counts, sent", [(7, 30, 1_000), (100_000, 1 << 20, 1_000), (7, 1, 0)])
+def test_wins_and_draws_of_many_ranges_equal_pairs(spark, monkeypatch, cells, counts, sent):
+    import random
+
+    monkeypatch.setattr(resample, "RANGE_CELLS", cells)
+    monkeypatch.setattr(resample, "STEP_COUNTS", counts)
+    monkeypatch.setattr(resample, "MATRIX_CLUSTERS", sent)
+    rng = random.Random(5)
+    # a third of all rows in one cluster, half of the rows with one score, rows without score, ties, a cluster of one class
+    rows = [("hot" if rng.random() < 0.33 else f"c{rng.randrange(5)}", rng.randrange(2), None if rng.random() < 0.02 else 0.5 if rng.random() < 0.5 else rng.randrange(90) / 90) for _ in range(600)]
+    rows += [("one", 1, 0.4), ("one", 1, float("nan")), ("c1", 0, float("nan"))]
+    df = spark.createDataFrame(rows, "c string, y int, s double").repartition(5)
+    key = lambda s: (s != s, s if s == s else 0.0)  # noqa: E731  NaN is above all numbers
+    want = {}
+    for a, ya, sa in rows:
+        for b, yb, sb in rows:
+            if ya == 1 and yb == 0 and sa is not None and sb is not None:
+                want[a, b] = want.get((a, b), 0) + (1.0 if key(sa) > key(sb) else 0.5 if key(sa) == key(sb) else 0.0)
+    got = {(r.a, r.b): r.wins for r in resample.win_matrix(df, "c", "y", "s").collect()}
+    assert got == {k: v for k, v in want.items() if v}
+    stats = df.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+    wins = spark.createDataFrame([(a, b, w) for (a, b), w in got.items()], "a string, b string, wins double")
+    names = sorted({r[0] for r in rows})
+    sizes = {c: sum(r[0] == c for r in rows) for c in names}
+    times = {}
+    for r in resample.cluster_multiplicities(stats, "c", 40, "t").collect():
+        times.setdefault(r.draw, {})[r.c] = r.times
+    for r in resample.resampled_sums(stats, "c", ["n"], 40, "t", wins).collect():
+        t = times.pop(r.draw)
+        assert sum(t.values()) == len(names) and r.n == sum(sizes[c] * x for c, x in t.items())
+        assert r.wins == pytest.approx(sum(t.get(a, 0) * t.get(b, 0) * w for (a, b), w in got.items()))
+    assert not times
+
+
+def test_no_clusters_no_draws(spark):
+    df = spark.createDataFrame([], "c string, y int, s double")
+    assert resample.win_matrix(df, "c", "y", "s").isEmpty()
+    assert resample.resampled_sums(df.groupBy("c").agg(F.count(F.lit(1)).alias("n")), "c", ["n"], 9, "t").isEmpty()
+    found = resample.classification_bootstrap(df, "c", "y", "s", 0.5, 9, "t")
+    assert {r.draws for r in found.collect()} == {None}
