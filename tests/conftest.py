@@ -6,7 +6,7 @@ from tidewake.session import session
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     s = session("local[4]", "tests", **{
-        "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
+        "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.executor.heartbeatInterval": "500ms",
         "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")), "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
     })
     s.sparkContext.setLogLevel("ERROR")

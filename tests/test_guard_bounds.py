@@ -124,3 +124,28 @@ def test_figures_and_provenance(guarded, rows, spark, tmp_path):
     again = guard.GuardedQueries(spark, rows.repartition(5), SCOPE, str(tmp_path))
     other = guard.GuardedQueries(spark, rows.filter("k > 0"), SCOPE, str(tmp_path))
     assert again.table.digest == p["data_sha256"] != other.table.digest and again.answer(sql).provenance["scope_sha256"] == p["scope_sha256"]
+
+
+PAIRS = "SELECT count(*) AS n FROM cases a JOIN cases b ON a.site = b.site"
+
+
+@pytest.mark.parametrize("bounds, rule", [({"made_rows": 5_000_000}, "rows made"), ({"seconds": 1.0}, "seconds"), ({"read_bytes": 100}, "bytes read")])
+def test_a_running_statement_is_stopped(spark, tmp_path, bounds, rule):
+    # 400 million pairs of one site, which the bounds of the plan are told to let pass
+    rows = spark.range(20_000).select(F.col("id").alias("k"), F.lit("A").alias("site"), F.lit("A-1").alias("service"), F.lit(1).alias("days"))
+    audit = []
+    g = guard.GuardedQueries(spark, rows.coalesce(1), SCOPE, str(tmp_path), guard.Limits(**({"possible_rows": 10**13, "made_rows": 10**13, "seconds": 600.0} | bounds)), audit.append)
+    with pytest.raises(guard.Refused, match=f"stopped: {rule}"):
+        g.answer(PAIRS)
+    assert audit[-1]["admitted"] is False and audit[-1]["millis"] < 60_000
+    # the thread is as it was, and the session goes on
+    assert spark.sparkContext.getLocalProperty("spark.jobGroup.id") is None
+    if rule != "bytes read":
+        assert g.answer("SELECT max(k) AS k FROM cases").rows == [[19_999]]
+
+
+def test_what_a_statement_took_is_in_its_provenance(guarded):
+    taken = guarded.answer("SELECT site, count(*) AS n FROM cases GROUP BY site").provenance
+    assert taken["made_rows"] == 600 and taken["read_bytes"] > 0
+    joined = guarded.answer("SELECT count(*) AS n FROM cases a JOIN cases b ON a.k = b.k").provenance
+    assert 600 <= joined["made_rows"] <= joined["possible_rows"]

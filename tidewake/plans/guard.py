@@ -7,7 +7,8 @@ nothing else, call only listed functions and hold only listed expressions. Names
 once the statement is analyzed, every leaf of its plan must be the scope's own files. The optimized
 plan is then bounded node by node (``plan_bounds``) with the figures of those files, and a statement
 that could make more rows than the ceiling, in whatever joins, is refused. Only then does it run,
-under a tag by which a timer can cancel it, and with its rows, columns and cells capped. Answers say
+watched while it runs and stopped at bounds of time, rows made and bytes read (``watch``), and with its rows,
+columns and cells capped. Answers say
 where they come from, and every statement leaves an audit row of hashes and counts, admitted or not.
 """
 
@@ -18,7 +19,6 @@ import hashlib
 import json
 import math
 import re
-import threading
 import time
 import unicodedata
 import uuid
@@ -31,6 +31,7 @@ from py4j.java_gateway import is_instance_of
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewake.plans import watch
 from tidewake.plans.plan_bounds import NoBound, PlanBounds, TableFigures, each, figures_of, kind_of
 
 VIEW = "cases"
@@ -69,6 +70,9 @@ class Limits:
     scans: int = 4
     possible_rows: int = 10_000_000
     seconds: float = 30.0
+    #: Rows that a node of the running plan may make, and bytes that its stages may read.
+    made_rows: int = 10_000_000
+    read_bytes: int = 1 << 36
 
 
 @dataclass
@@ -263,24 +267,20 @@ class GuardedQueries:
         names = frame.columns
         if len(names) > self.limits.columns or len({n.lower() for n in names}) < len(names) or not all(_LABEL.fullmatch(n) for n in names):
             raise Refused("columns")
-        tag = f"guard-{uuid.uuid4().hex}"
-        timer = threading.Timer(self.limits.seconds, lambda: self.session.interruptTag(tag))
-        self.session.addTag(tag)
-        timer.start()
+        limits = self.limits
         try:
-            found = frame.limit(self.limits.rows + 1).collect()
+            found, used = watch.run(self.session, frame, lambda f: f.limit(limits.rows + 1).collect(), limits.seconds, limits.made_rows, limits.read_bytes)
+        except watch.Stopped as e:
+            raise Refused(f"stopped: {e}") from e
         except Exception as e:
-            raise Refused("timeout or failure") from e
-        finally:
-            timer.cancel()
-            self.session.removeTag(tag)
+            raise Refused("failure") from e
         kept = found[: self.limits.rows]
-        return Answer(frame.columns, [[cell(v, self.limits) for v in r] for r in kept], len(found) > len(kept), self.scope.name, sql, self._provenance(sql, bounds))
+        return Answer(frame.columns, [[cell(v, self.limits) for v in r] for r in kept], len(found) > len(kept), self.scope.name, sql, self._provenance(sql, bounds, used))
 
-    def _provenance(self, sql: str, bounds: PlanBounds) -> dict:
+    def _provenance(self, sql: str, bounds: PlanBounds, used: watch.Usage) -> dict:
         return {
             "policy_version": self.policy_version, "commit": self.commit, "statement_sha256": hashlib.sha256(sql.encode()).hexdigest(), "scope_sha256": scope_digest(self.scope), "data_sha256": self.table.digest,
-            "scope_rows": self.table.figures.rows, "scans": bounds.scans, "possible_rows": bounds.largest, "limits": dataclasses.asdict(self.limits),
+            "scope_rows": self.table.figures.rows, "scans": bounds.scans, "possible_rows": bounds.largest, "made_rows": used.rows, "read_bytes": used.read_bytes, "limits": dataclasses.asdict(self.limits),
         }
 
 
