@@ -182,13 +182,18 @@ def subgroup_effects(df: DataFrame, y: Column, service: str, arm: Column, after:
 def shifted_switches(df: DataFrame, y: Column, service: str, arm: Column, when: str, switch: str, shifts: Sequence[int], horizons: Sequence[int]) -> DataFrame:
     """The effect if the switch were days earlier or later, and with only the days of a horizon on either side; 0 stands for all days.
 
-    Rows are copied for each variant that takes them; services and variants are then cells.
+    Rows become sums of each service, arm and day first; only these cells are copied for each variant that takes them.
     """
-    variants = F.explode(F.array(*(F.struct(F.lit(s).alias("shift"), F.lit(h).alias("horizon")) for s in shifts for h in horizons)))
     days = F.datediff(F.to_date(when), F.lit(switch).cast("date"))
-    rows = df.withColumn("_y", y).withColumn("_arm", arm).withColumn("_d", days).select(service, "_y", "_arm", "_d", variants.alias("v")).select(service, "_y", "_arm", (F.col("_d") - F.col("v.shift")).alias("_d"), "v.*")
-    rows = rows.filter((F.col("horizon") == 0) | F.col("_d").between(-F.col("horizon"), F.col("horizon") - 1))
-    return clustered_effect(did_by(rows, F.col("_y"), service, F.col("_arm"), F.col("_d") >= 0, ["shift", "horizon"]), ["shift", "horizon"])
+    cells = df.select(service, y.alias("_y"), arm.alias("_arm"), days.alias("_d")).groupBy(service, "_arm", "_d").agg(F.count(F.lit(1)).alias("_n"), F.count("_y").alias("_k"), F.sum("_y").alias("_s"))
+    variants = F.explode(F.array(*(F.struct(F.lit(s).alias("shift"), F.lit(h).alias("horizon")) for s in shifts for h in horizons)))
+    cells = cells.withColumn("v", variants).select(service, "_arm", "_n", "_k", "_s", (F.col("_d") - F.col("v.shift")).alias("_d"), "v.*")
+    cells = cells.filter((F.col("horizon") == 0) | F.col("_d").between(-F.col("horizon"), F.col("horizon") - 1))
+    side = lambda a, t: F.col("_arm").eqNullSafe(F.lit(bool(a))) & (F.col("_d") >= 0 if t else F.col("_d") < 0)
+    # no cell, no mean: try_divide is null then, and so is the difference
+    mean = lambda a, t: F.try_divide(F.sum(F.when(side(a, t), F.col("_s"))), F.sum(F.when(side(a, t), F.col("_k"))))
+    did = cells.groupBy("shift", "horizon", service).agg(F.sum("_n").alias("n"), (mean(1, 1) - mean(1, 0) - (mean(0, 1) - mean(0, 0))).alias("did"))
+    return clustered_effect(did.filter("did IS NOT NULL"), ["shift", "horizon"])
 
 
 def placebo_switch(df: DataFrame, y: Column, service: str, arm: Column, when: str, switch: str, placebo: str) -> DataFrame:

@@ -155,13 +155,18 @@ def reconcile(left: DataFrame, right: DataFrame, matches: DataFrame, key: str) -
     return out.withColumn("status", status).withColumn("known", F.col("_known").isNotNull()).drop("_known", "in_left", "in_right")
 
 
-def resolve_unanimous(df: DataFrame, key: str, columns: Sequence[str], only: Column | None = None) -> DataFrame:
-    """A column's value where all rows of a key agree, else null, and how many values there are."""
+def resolve_unanimous(df: DataFrame, key: str, columns: Sequence[str], only: Column | None = None, counted: dict[str, Column] | None = None) -> DataFrame:
+    """A column's value where all rows of a key agree, else null, and how many values there are; ``counted`` adds the distinct values of expressions.
+
+    All counts are of one aggregation over one scan: partial ones drop repeats before rows move.
+    """
     pick = lambda c: F.when(only, F.col(c)) if only is not None else F.col(c)
     aggs = []
     for c in columns:
-        aggs += [F.when(F.count_distinct(pick(c)) == 1, F.min(pick(c))).alias(c), F.count_distinct(pick(c)).alias(f"n_{c}")]
-    return df.groupBy(key).agg(*aggs)
+        value = pick(c)
+        # extremes tell unanimity, without the set of values
+        aggs += [F.when(F.min(value) == F.max(value), F.min(value)).alias(c), F.count_distinct(value).alias(f"n_{c}")]
+    return df.groupBy(key).agg(*aggs, *(F.count_distinct(c).alias(n) for n, c in (counted or {}).items()))
 
 
 def enrich_with_audit(facts: DataFrame, dimension: DataFrame, key: str, dim_key: str, mismatch: Column) -> DataFrame:

@@ -226,14 +226,21 @@ SELECT stage, label, round(diff, 6) AS diff, round(diff - lag(diff) OVER (ORDER
 def bias_audit_stages(spark, sf_dir):
     o, li, c = (table(spark, sf_dir, t) for t in ("orders", "lineitem", "customer"))
     after = F.col("o_orderdate") >= F.lit("1998-05-01").cast("timestamp_ntz")
-    diff = lambda y: F.avg(F.when(after, y.cast("double"))) - F.avg(F.when(~after, y.cast("double")))
     lines = o.join(li, o.o_orderkey == li.l_orderkey)
-    cases = lines.groupBy("o_orderkey", "o_orderdate", "o_custkey").agg(F.bool_or(F.col("l_returnflag") == "R").cast("int").alias("ret"))
-    joined = cases.join(c, F.col("o_custkey") == F.col("c_custkey"))
-    stage = lambda df, i, name, d: df.agg(d.alias("diff")).select(F.lit(i).alias("stage"), F.lit(name).alias("label"), "diff")
-    per = joined.groupBy("c_nationkey").agg(diff(F.col("ret")).alias("d"))
-    out = stage(lines, 1, "rows", diff((F.col("l_returnflag") == "R").cast("int"))).unionAll(stage(cases, 2, "cases", diff(F.col("ret"))))
-    out = out.unionAll(stage(joined.filter("c_acctbal > 0"), 3, "eligible", diff(F.col("ret")))).unionAll(stage(per, 4, "equal_service", F.avg("d")))
+    cases = lines.groupBy("o_orderkey", "o_orderdate", "o_custkey").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(F.col("l_returnflag") == "R").alias("n_returned"))
+    joined = cases.join(c.select("c_custkey", "c_nationkey", "c_acctbal"), F.col("o_custkey") == F.col("c_custkey"), "left")
+    # one pass over the lines: every stage is a ratio of sums of a few cells of nation and side
+    returned, known, eligible = F.col("n_returned") > 0, F.col("c_custkey").isNotNull(), F.col("c_acctbal") > 0
+    sides = joined.groupBy("c_nationkey", after.alias("after")).agg(
+        F.sum("n_returned").alias("x1"), F.sum("n_lines").alias("n1"), F.count_if(returned).alias("x2"), F.count(F.lit(1)).alias("n2"),
+        F.count_if(returned & eligible).alias("x3"), F.count_if(eligible).alias("n3"), F.count_if(returned & known).alias("x4"), F.count_if(known).alias("n4"),
+    )
+    rate = lambda i, t: F.try_divide(F.sum(F.when(F.col("after") == t, F.col(f"x{i}"))), F.sum(F.when(F.col("after") == t, F.col(f"n{i}"))))
+    diff = lambda i: rate(i, True) - rate(i, False)
+    per = sides.groupBy("c_nationkey").agg(diff(4).alias("d"))
+    totals = sides.agg(*(diff(i).alias(f"d{i}") for i in (1, 2, 3))).crossJoin(per.agg(F.avg("d").alias("d4")))  # two rows of one
+    stages = F.array(*(F.struct(F.lit(i).alias("stage"), F.lit(name).alias("label"), F.col(f"d{i}").alias("diff")) for i, name in enumerate(("rows", "cases", "eligible", "equal_service"), 1)))
+    out = totals.select(F.inline(stages))
     return rounded(out.withColumn("delta", F.col("diff") - F.lag("diff").over(Window.orderBy("stage"))), "diff", "delta")
 
 
