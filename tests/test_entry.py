@@ -15,7 +15,7 @@ DATA = Path("/root/testdata/sf0.001")
 SAMPLE = [
     "canonical_dedup", "case_workflow", "snapshot_case_summary", "reconciliation_full_outer", "rejection_chain", "timezone_offsets", "json_numbers", "code_in_columns", "many_to_one_contract", "rank_auc", "average_precision", "reliability_bins_wilson", "km_rmst", "psi_quantile",
     "two_sided_p_values", "logistic_calibration_toxic", "did_service_effects", "before_after_z51", "subgroup_effects", "sensitivity_shifts", "missingness_effects", "uplift_bins", "weekly_metrics", "weekly_monitor", "replay_conflicts", "metric_provenance", "components",
-    "component_listing", "component_members", "trailing_sketches", "guarded_template_16", "guarded_answers", "two_way_fixed_effects", "monitor_snapshot",
+    "component_listing", "component_members", "trailing_sketches", "study_clocks", "bias_ledger", "endpoint_sensitivity", "guarded_template_16", "guarded_answers", "two_way_fixed_effects", "monitor_snapshot",
 ]
 
 

@@ -72,3 +72,14 @@ def test_same_week_rows_do_not_see_each_other(spark):
     df = spark.createDataFrame(rows, "s string, w string, n int, e int").withColumn("w", F.col("w").cast("date"))
     out = {(r.s, str(r.w)): r.expected for r in monitor.seasonal_shrinkage(df, "s", "w", F.month("w"), "n", "e").collect()}
     assert out["a", "2026-01-05"] is None and out["a", "2026-01-12"] == pytest.approx((1 + 50 * 0.5) / 60 + 0.5 - 0.5)
+
+
+def test_study_windows_on_both_clocks(spark):
+    # the night of the change in spring: 02:30 does not exist; the evening before the window starts is inside it in UTC
+    rows = spark.createDataFrame([(0, "2026-03-08 02:30:00"), (1, "2026-03-07 19:00:00"), (2, None), (3, "2026-03-14 23:59:59"), (4, "2026-03-07 19:00:00")], "k int, w string").withColumn("w", F.col("w").cast("timestamp_ntz"))
+    found = {r.k: r for r in events.window_labels(rows, "w", "America/Chicago", "2026-03-08", "2026-03-15", fixed_utc=F.when(F.col("k") == 4, True)).collect()}
+    assert (found[0].resolution, found[0].local_window, found[0].utc_window) == ("nonexistent_local_time", "within", "unknown")
+    assert (found[1].local_window, found[1].utc_window, found[1].offset) == ("before", "within", -21600)
+    assert (found[2].local_window, found[2].utc_window) == ("unknown", "unknown")
+    assert (found[3].local_window, found[3].utc_window) == ("within", "after")
+    assert (found[4].local_window, found[4].utc_window, found[4].resolution) == ("before", "before", "fixed_utc")

@@ -235,3 +235,41 @@ def test_no_clusters_no_draws(spark):
     assert resample.resampled_sums(df.groupBy("c").agg(F.count(F.lit(1)).alias("n")), "c", ["n"], 9, "t").isEmpty()
     found = resample.classification_bootstrap(df, "c", "y", "s", 0.5, 9, "t")
     assert {r.draws for r in found.collect()} == {None}
+
+
+def test_bias_that_would_explain_an_effect(spark):
+    df = spark.createDataFrame([("a", 0.10, 0.3), ("b", 0.20, 0.5)], "s string, did double, r double")
+    found = {(r.method, r.exposure, r.setting): r.estimate for r in cohort.bias_ledger(df, "did", "r", [2.0], [0.5], [3.0]).collect()}
+    ratio = 0.4 / (0.4 - 0.15)
+    assert found["e_value", None, None] == pytest.approx(ratio + (ratio * (ratio - 1)) ** 0.5)
+    assert found["bias_factor", 2.0, 4 / 3] == pytest.approx(ratio / (4 / 3))
+    assert found["partial_r2", None, 0.5] == pytest.approx(0.15 - 0.1 / 2**0.5)
+    assert found["selection_odds", None, 3.0] == pytest.approx(3 * 0.65 / (0.35 + 3 * 0.65) - 0.5)
+    # no positive counterfactual risk: no ratio, and nothing made of it; no services: nothing known at all
+    none = {r.method: r.estimate for r in cohort.bias_ledger(df.withColumn("r", F.lit(0.1)), "did", "r", [2.0], [0.5], [3.0]).collect()}
+    assert none["e_value"] is None and none["bias_factor"] is None and none["partial_r2"] is not None
+    assert [r.estimate for r in cohort.bias_ledger(df.limit(0), "did", "r", [2.0], [0.5], [3.0]).collect()] == [None] * 4
+
+
+def test_endpoints_use_their_complete_cases(spark):
+    rows = [("s", a, t, float(a and t), None if (a, t) == (1, 1) and i == 0 else 2.0 * a * t) for a in (0, 1) for t in (0, 1) for i in range(3)]
+    rows += [("half", 1, t, 1.0, 1.0) for t in (0, 1)]  # one arm alone: no difference of differences
+    df = spark.createDataFrame(rows, "s string, a int, t int, e double, snap double")
+    ends = {"event": F.col("e"), "snapshot": F.col("snap"), "never": F.lit(None).cast("double")}
+    found = {r.endpoint: r for r in cohort.endpoint_sensitivity(df, ends, "s", F.col("a") == 1, F.col("t") == 1).collect()}
+    assert set(found) == {"event", "snapshot"}
+    assert (found["event"].n, found["event"].missing, found["event"].effect, found["event"].se) == (12, 0, 1.0, None)
+    assert (found["snapshot"].n, found["snapshot"].missing, found["snapshot"].effect, found["snapshot"].weighted_effect) == (11, 1, 2.0, 2.0)
+
+
+def test_shifted_switches_equal_shifted_rows(spark):
+    rows = [(f"s{i % 3}", i % 2, f"2024-01-{1 + i % 28:02d}", float(i * i % 7)) for i in range(300)]
+    df = spark.createDataFrame(rows, "s string, a int, d string, y double").withColumn("d", F.to_date("d"))
+    found = {(r["shift"], r.horizon): r.effect for r in cohort.shifted_switches(df, F.col("y"), "s", F.col("a") == 1, "d", "2024-01-15", (-3, 0, 40), (0, 5)).collect()}
+    for shift in (-3, 0):
+        for horizon in (0, 5):
+            at = F.datediff("d", F.lit("2024-01-15").cast("date")) - shift
+            kept = df if not horizon else df.filter(at.between(-horizon, horizon - 1))
+            want = cohort.clustered_effect(cohort.did_by(kept, F.col("y"), "s", F.col("a") == 1, at >= 0, []), []).first().effect
+            assert found[shift, horizon] == pytest.approx(want)
+    assert (40, 0) not in found  # no day after it

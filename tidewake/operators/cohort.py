@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewake.functions.probability import exponential_rmst, shifted_odds, two_proportion_z
+from tidewake.functions.probability import clipped, e_value, exponential_rmst, shifted_odds, two_proportion_z
 from tidewake.operators.classification import in_equal_bins
 from tidewake.operators.ranks import positions
 
@@ -132,6 +132,54 @@ def bias_grid(effect: DataFrame, ratio: str, prevalences: Sequence[float], assoc
     return out.withColumn("bias", bias).withColumn("adjusted", F.col(ratio) / F.col("bias"))
 
 
+def bias_ledger(effects: DataFrame, effect: str, risk: str, ratios: Sequence[float], shares: Sequence[float], odds: Sequence[float]) -> DataFrame:
+    """method, exposure, outcome, setting, estimate: what unmeasured bias would have to be, or would leave, from rows of services' effects and treated risks.
+
+    ``e_value`` is the smallest joint risk ratio that explains the mean effect away; ``bias_factor`` moves the risk ratio
+    to the null by a confounder of the given risk ratios with exposure and outcome; ``partial_r2`` moves the effect to the
+    null by a confounder that explains a share of the services' variance; ``selection_odds`` shifts the odds of an effect
+    read as a share above one half. A risk ratio without a positive counterfactual risk is null, and what rests on it.
+    """
+    one = effects.agg(F.avg(effect).alias("_e"), F.avg(risk).alias("_r"), F.stddev_samp(effect).alias("_sd"))
+    one = one.withColumn("_rr", F.when((F.col("_r") > 0) & (F.col("_r") - F.col("_e") > 0), F.col("_r") / (F.col("_r") - F.col("_e"))))
+    e, rr = F.col("_e"), F.col("_rr")
+
+    def row(method: str, estimate: Column, exposure: float | None = None, outcome: float | None = None, setting: float | None = None) -> Column:
+        known = {k: F.lit(v).cast("double").alias(k) for k, v in (("exposure", exposure), ("outcome", outcome), ("setting", setting))}
+        return F.struct(F.lit(method).alias("method"), *known.values(), estimate.alias("estimate"))
+
+    rows = [row("e_value", e_value(rr))]
+    for a in ratios:
+        for b in ratios:
+            factor = a * b / (a + b - 1)
+            rows.append(row("bias_factor", F.when(rr < 1, rr * factor).otherwise(rr / factor), a, b, factor))
+    rows += [row("partial_r2", e - F.signum(e) * (share / (1 - share)) ** 0.5 * F.col("_sd"), setting=share) for share in shares]
+    rows += [row("selection_odds", F.when(e.isNotNull(), shifted_odds(clipped(e + 0.5, 1e-6), o) - 0.5), setting=o) for o in odds]
+    return one.select(F.inline(F.array(*rows)))
+
+
+def endpoint_sensitivity(df: DataFrame, endpoints: dict[str, Column], service: str, arm: Column, after: Column) -> DataFrame:
+    """The effect under each definition of the endpoint, over the cases that have it: equal weights, with inference, and weighted by treated cases after the switch.
+
+    All definitions are sums of one pass over the cases; a definition counts the services in which all four cells have cases of it.
+    """
+    sides = {f"{a}{t}": (arm if a else ~arm) & (after if t else ~after) for a in (1, 0) for t in (1, 0)}
+    values = df.select(service, *(c.alias(f"_c{k}") for k, c in sides.items()), *(y.cast("double").alias(f"_y{i}") for i, y in enumerate(endpoints.values())))
+    sums = values.groupBy(service).agg(*(f(F.when(F.col(f"_c{k}"), F.col(f"_y{i}"))).alias(f"{n}{i}_{k}") for i in range(len(endpoints)) for k in sides for n, f in (("k", F.count), ("s", F.sum))), F.count(F.lit(1)).alias("_n"))
+    mean = lambda i, k: F.try_divide(F.col(f"s{i}_{k}"), F.col(f"k{i}_{k}"))
+
+    def row(i: int, name: str) -> Column:
+        observed = sum((F.col(f"k{i}_{k}") for k in sides), F.lit(0))
+        return F.struct(F.lit(name).alias("endpoint"), observed.alias("n"), (F.col("_n") - observed).alias("missing"), F.col(f"k{i}_11").alias("treated"), (mean(i, "11") - mean(i, "10") - (mean(i, "01") - mean(i, "00"))).alias("did"))
+
+    cells = sums.select(F.inline(F.array(*(row(i, name) for i, name in enumerate(endpoints))))).filter("did IS NOT NULL")
+    out = cells.groupBy("endpoint").agg(
+        F.count(F.lit(1)).alias("n_services"), F.sum("n").alias("n"), F.sum("missing").alias("missing"), F.avg("did").alias("effect"), (F.stddev_samp("did") / F.sqrt(F.count(F.lit(1)))).alias("se"),
+        (F.sum(F.col("did") * F.col("treated")) / F.sum("treated")).alias("weighted_effect"),
+    )
+    return out
+
+
 def subgroup_rates(df: DataFrame, y: str, cluster: str, dimensions: dict[str, Column], least_clusters: int, least_rows: int) -> DataFrame:
     """Rates of every level of every dimension; levels of few clusters or rows keep their counts and lose their rate."""
     pairs = F.explode(F.array(*(F.struct(F.lit(d).alias("dimension"), c.cast("string").alias("level")) for d, c in dimensions.items())))

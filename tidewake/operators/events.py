@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewake.functions.identifiers import boundary_seconds, full_match
+from tidewake.functions.timezones import resolve_offset, to_utc, valid_offsets
 
 
 def first_reason(*rules: tuple[str, Column]) -> Column:
@@ -47,6 +48,18 @@ def window_label(when: Column, start: str, end: str) -> Column:
     return F.when(when.isNull(), "unknown").when(day < F.lit(start).cast("date"), "before").when(day < F.lit(end).cast("date"), "within").otherwise("after")
 
 
+def window_labels(df: DataFrame, wall: str, zone: str | Column, start: str, end: str, stated: Column | None = None, fixed_utc: Column | None = None) -> DataFrame:
+    """Adds ``offset``, ``resolution``, ``local_window`` and ``utc_window``: where a wall clock, and the UTC clock that it stands for, lie in a study window of dates.
+
+    A wall clock without one certain offset has no UTC clock, and its UTC window is ``unknown``.
+    """
+    offsets = valid_offsets(F.col(wall), zone)
+    rows = df.withColumn("_offsets", offsets)
+    offset, how = resolve_offset(F.col("_offsets"), stated if stated is not None else F.lit(None).cast("int"), F.coalesce(fixed_utc, F.lit(False)) if fixed_utc is not None else F.lit(False))
+    rows = rows.withColumns({"offset": offset, "resolution": how}).drop("_offsets")
+    return rows.withColumns({"local_window": window_label(F.col(wall), start, end), "utc_window": window_label(to_utc(F.col(wall), F.col("offset")), start, end)})
+
+
 def survivors(df: DataFrame, key: Sequence[str], order: Sequence[Column], seen: str, sources: str | None = None) -> DataFrame:
     """One row for each key, the first by ``order``, with its number of copies, first and last sighting and distinct sources.
 

@@ -151,6 +151,35 @@ def qba_grid(spark, sf_dir):
     return rounded(cohort.bias_grid(effect, "ratio", _PREV, _ASSOC), "ratio", "bias", "adjusted")
 
 
+#: The grids of the sensitivity analysis: fixed values.
+_RATIOS, _SHARES, _ODDS = (1.25, 1.5, 2.0, 3.0), (0.01, 0.05, 0.10, 0.20), (1.25, 1.5, 2.0, 3.0)
+_P_SQL = "least(greatest(e + 0.5, 1e-6), 1 - 1e-6)"
+
+
+@query("bias_ledger", f"""WITH {STUDY_SQL}, {_DID_SQL}, o AS (SELECT avg(r11 - r10 - (r01 - r00)) AS e, avg(r11) AS r, stddev_samp(r11 - r10 - (r01 - r00)) AS sd FROM did WHERE smallest > 0),
+x AS (SELECT *, CASE WHEN r > 0 AND r - e > 0 THEN r / (r - e) END AS rr FROM o), v AS (SELECT *, greatest(rr, 1 / rr) AS h FROM x), g AS (SELECT unnest({list(_RATIOS)}::DOUBLE[]) AS a), k AS (SELECT unnest({list(_RATIOS)}::DOUBLE[]) AS b)
+SELECT method, exposure, outcome, round(setting, 6) AS setting, round(estimate, 6) AS estimate FROM (
+    SELECT 'e_value' AS method, NULL::DOUBLE AS exposure, NULL::DOUBLE AS outcome, NULL::DOUBLE AS setting, h + sqrt(h * h - h) AS estimate FROM v
+    UNION ALL SELECT 'bias_factor', a, b, a * b / (a + b - 1), rr * pow(a * b / (a + b - 1), CASE WHEN rr < 1 THEN 1 ELSE -1 END) FROM v, g, k
+    UNION ALL SELECT 'partial_r2', NULL, NULL, q, CASE WHEN e > 0 THEN e - sqrt(q / (1 - q)) * sd WHEN e < 0 THEN e + sqrt(q / (1 - q)) * sd ELSE e END FROM v, (SELECT unnest({list(_SHARES)}::DOUBLE[]) AS q)
+    UNION ALL SELECT 'selection_odds', NULL, NULL, q, CASE WHEN e IS NOT NULL THEN q * {_P_SQL} / (1 - {_P_SQL} + q * {_P_SQL}) - 0.5 END FROM v, (SELECT unnest({list(_ODDS)}::DOUBLE[]) AS q))""")
+def bias_ledger(spark, sf_dir):
+    effects = _did(spark, sf_dir)
+    return rounded(cohort.bias_ledger(effects, "did", "r11", _RATIOS, _SHARES, _ODDS), "setting", "estimate")
+
+
+_ENDPOINTS = {"event": "y", "snapshot_status": "CASE status WHEN 'F' THEN 1 WHEN 'O' THEN 0 END", "snapshot_balance": "CASE WHEN c_acctbal > 0 THEN c_acctbal END"}
+
+
+@query("endpoint_sensitivity", f"""WITH {STUDY_SQL}, l AS ({' UNION ALL '.join(f"SELECT '{name}' AS endpoint, service, {ARM_SQL} AS arm, after, CAST({e} AS DOUBLE) AS v FROM study" for name, e in _ENDPOINTS.items())}),
+m AS (SELECT endpoint, service, arm, after, avg(v) AS v, count(v) AS k, count(*) - count(v) AS gone FROM l GROUP BY ALL), d AS (SELECT endpoint, service, sum(k) AS n, sum(gone) AS missing, sum(k) FILTER (arm AND after) AS treated, sum(CASE WHEN arm = after THEN v ELSE -v END) AS did FROM m GROUP BY 1, 2 HAVING count(v) = 4)
+SELECT endpoint, count(*) AS n_services, CAST(sum(n) AS BIGINT) AS n, CAST(sum(missing) AS BIGINT) AS missing, round(avg(did), 6) AS effect, round(stddev_samp(did) / sqrt(count(*)), 6) AS se, round(sum(did * treated) / CAST(sum(treated) AS DOUBLE), 6) AS weighted_effect FROM d GROUP BY 1""")
+def endpoint_sensitivity(spark, sf_dir):
+    """An outcome of the record of events beside two of the mutable snapshot, these over complete cases."""
+    found = cohort.endpoint_sensitivity(study(spark, sf_dir), {name: F.expr(e) for name, e in _ENDPOINTS.items()}, "service", ARM(), F.col("after"))
+    return rounded(found, "effect", "se", "weighted_effect")
+
+
 @query("subgroup_suppression", f"""WITH {SCORED_SQL}, g AS (SELECT y, source, unnest([{{'d': 'service', 'l': service}}, {{'d': 'toxic', 'l': CAST(y2 AS VARCHAR)}}, {{'d': 'length', 'l': CASE WHEN score >= 0.9 THEN 'long' ELSE 'short' END}}, {{'d': 'source', 'l': source}}]) AS g FROM scored),
 c AS (SELECT g.d AS dimension, g.l AS level, count(*) AS n, count(DISTINCT source) AS n_clusters, avg(y) AS rate FROM g GROUP BY 1, 2)
 SELECT dimension, level, n, n_clusters, n_clusters < 5 OR n < 20 AS suppressed, round(CASE WHEN n_clusters >= 5 AND n >= 20 THEN rate END, 6) AS rate FROM c""")

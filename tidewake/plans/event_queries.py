@@ -131,6 +131,19 @@ def timezone_offsets(spark, sf_dir):
     return e.select("event_id", F.col("wall").cast("string").alias("wall"), F.array_join(F.col("offsets").cast("array<string>"), ",").alias("offsets"), F.col("offset").cast("long").alias("offset"), "resolution", to_utc(F.col("wall"), F.col("offset")).cast("string").alias("utc"))
 
 
+_WINDOW_SQL = "CASE WHEN {c} IS NULL THEN 'unknown' WHEN CAST({c} AS DATE) < DATE '2024-01-08' THEN 'before' WHEN CAST({c} AS DATE) < DATE '2024-01-22' THEN 'within' ELSE 'after' END"
+
+
+@query("study_clocks", f"""WITH {EVENTS_SQL}, c AS (SELECT *, CASE WHEN event_id % 10 = 0 THEN 'fixed_utc' WHEN event_id % 7 = 0 AND event_id % 2 = 0 THEN 'stated_offset_invalid' ELSE 'unique' END AS resolution, CASE WHEN event_id % 10 = 0 THEN ts ELSE ts + INTERVAL 7 HOUR END AS utc FROM ev)
+SELECT site, resolution, {_WINDOW_SQL.format(c='ts')} AS local_window, {_WINDOW_SQL.format(c='utc')} AS utc_window, count(*) AS n, CAST(sum(cents) AS BIGINT) AS cents FROM c GROUP BY ALL""")
+def study_clocks(spark, sf_dir):
+    """Events by their place in the study window on both clocks: seven hours move some across its ends."""
+    e = event_log(spark, sf_dir)
+    stated = F.when(F.col("event_id") % 7 == 0, F.when(F.col("event_id") % 2 == 0, -18000).otherwise(-25200))
+    rows = events.window_labels(e, "ts", "America/Phoenix", "2024-01-08", "2024-01-22", stated, F.col("event_id") % 10 == 0)
+    return rows.groupBy("site", "resolution", "local_window", "utc_window").agg(F.count(F.lit(1)).alias("n"), F.sum("cents").alias("cents"))
+
+
 @query("dimension_enrich_audit", """
 SELECT audit, count(*) AS n_orders, count(DISTINCT c_nationkey) AS n_nations FROM (
     SELECT CASE WHEN key IS NULL THEN 'no_key' WHEN c_custkey IS NULL THEN 'unknown_key' WHEN c_nationkey <> o_custkey % 25 THEN 'mismatch' ELSE 'match' END AS audit, c_nationkey
