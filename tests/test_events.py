@@ -83,3 +83,17 @@ def test_study_windows_on_both_clocks(spark):
     assert (found[2].local_window, found[2].utc_window) == ("unknown", "unknown")
     assert (found[3].local_window, found[3].utc_window) == ("within", "after")
     assert (found[4].local_window, found[4].utc_window, found[4].resolution) == ("before", "before", "fixed_utc")
+
+
+def test_metrics_of_every_kind_are_found_by_id(spark):
+    rows = spark.createDataFrame([(1, "2024-01-01", "a", 0.5, 1), (2, "2024-01-01", "a", 0.5, None), (3, "2024-01-01", "a", None, 0), (4, "2024-01-08", "a", None, None)], "e int, w string, s string, score double, y int")
+    rows = rows.withColumn("w", F.to_date("w"))
+    kinds = {"drift": F.col("score").isNotNull(), "calibration": (F.col("score") > 0) & (F.col("y") >= 0), "outcome": F.col("y") >= 0}
+    found = {}
+    for r in monitor.by_kind(rows, kinds, ["w", "s"]).collect():
+        found.setdefault(r.metric_id, set()).add(r.e)
+    assert found == {"drift/2024-01-01/a": {1, 2}, "calibration/2024-01-01/a": {1}, "outcome/2024-01-01/a": {1, 3}}
+    for metric_id, inputs in found.items():
+        assert {(r.metric_id, r.e) for r in monitor.find_metric(rows, kinds, ["w", "s"], ["e"], metric_id).collect()} == {(metric_id, e) for e in inputs}
+    for missing in ("drift/2024-01-08/a", "other/2024-01-01/a", "drift/2024-01-01", "drift/no day/a"):
+        assert monitor.find_metric(rows, kinds, ["w", "s"], ["e"], missing).isEmpty()

@@ -178,6 +178,24 @@ def provenance_inputs(df: DataFrame, metric: Sequence[str], inputs: Sequence[str
     return rows.select(*metric, *inputs)
 
 
+def by_kind(df: DataFrame, kinds: dict[str, Column], metric: Sequence[str]) -> DataFrame:
+    """The rows, once for each kind of metric that takes them, with ``kind`` and the ``metric_id`` of kind and keys; a condition that is null doesn't hold."""
+    taken = F.filter(F.array(*(F.when(takes, F.lit(kind)) for kind, takes in kinds.items())), lambda k: k.isNotNull())
+    rows = df.withColumn("kind", F.explode(taken))
+    return rows.withColumn("metric_id", F.concat_ws("/", "kind", *(F.col(c).cast("string") for c in metric)))
+
+
+def find_metric(df: DataFrame, kinds: dict[str, Column], metric: Sequence[str], inputs: Sequence[str], metric_id: str) -> DataFrame:
+    """The exact inputs of one metric of whatever kind by its id; the parts of the id are filters on the keys, which reach the scan. No rows for a metric that isn't there."""
+    kind, *values = metric_id.split("/")
+    if kind not in kinds or len(values) != len(metric):
+        return by_kind(df.filter(F.lit(False)), kinds, metric).select("metric_id", "kind", *inputs)
+    rows = df.filter(kinds[kind])
+    for key, value in zip(metric, values, strict=True):
+        rows = rows.filter(F.col(key) == F.lit(value).try_cast(df.schema[key].dataType))
+    return by_kind(rows, {kind: F.lit(True)}, metric).select("metric_id", "kind", *inputs)
+
+
 def retract(ledger: DataFrame, alert_ids: DataFrame, key: str, content: str) -> DataFrame:
     """Rows to append so that listed alerts that stand are retracted; unknown and already retracted ones give none."""
     standing = active_alerts(ledger, key, content)

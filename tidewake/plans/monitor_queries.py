@@ -190,6 +190,24 @@ def provenance_lookup(spark, sf_dir):
     return monitor.provenance_inputs(revisions(spark, sf_dir), ["week", "service"], ["event_id", "revision"], {"service": "A-2"}).withColumn("week", F.col("week").cast("string"))
 
 
+_KINDS = {"drift": "score IS NOT NULL", "calibration": "score IS NOT NULL AND outcome IS NOT NULL", "outcome": "outcome = 1 OR outcome = 0"}
+_KIND_SQL = " UNION ALL ".join(f"SELECT '{k}' AS kind, * FROM rev WHERE {c}" for k, c in _KINDS.items())
+
+
+@query("provenance_kinds", f"""WITH {EVENTS_SQL}, {REV_SQL}, k AS ({_KIND_SQL}), x AS (SELECT kind || '/' || CAST(week AS VARCHAR) || '/' || service AS metric_id, kind, event_id, sha256('{{"event_id":' || event_id || ',"revision":' || revision || '}}') AS h FROM k),
+s AS (SELECT metric_id, kind, count(*) AS n_inputs, min(event_id) AS first_input, max(event_id) AS last_input, {', '.join(f"CAST(sum(CAST('0x' || substr(h, {1 + 15 * i}, 15) AS BIGINT)) AS VARCHAR) AS d{i}" for i in range(4))} FROM x GROUP BY 1, 2)
+SELECT metric_id, kind, n_inputs, first_input, last_input, sha256(concat_ws('|', n_inputs, d0, d1, d2, d3)) AS input_digest FROM s""")
+def provenance_kinds(spark, sf_dir):
+    """What every drift, calibration and outcome metric rests on, by its id, in one aggregation."""
+    rows = monitor.by_kind(revisions(spark, sf_dir), {k: F.expr(c) for k, c in _KINDS.items()}, ["week", "service"])
+    return monitor.provenance(rows, ["metric_id", "kind"], ["event_id", "revision"])
+
+
+@query("provenance_by_id", f"""WITH {EVENTS_SQL}, {REV_SQL}, k AS ({_KIND_SQL}) SELECT metric_id, kind, event_id, CAST(revision AS INTEGER) AS revision FROM (SELECT *, kind || '/' || CAST(week AS VARCHAR) || '/' || service AS metric_id FROM k) WHERE metric_id = 'calibration/2024-01-15/A-2'""")
+def provenance_by_id(spark, sf_dir):
+    return monitor.find_metric(revisions(spark, sf_dir), {k: F.expr(c) for k, c in _KINDS.items()}, ["week", "service"], ["event_id", "revision"], "calibration/2024-01-15/A-2")
+
+
 @query("last_write_wins", f"""WITH {EVENTS_SQL} SELECT user_id, first(event_type ORDER BY ingest_ts DESC, event_id DESC) AS event_type, first(cents ORDER BY ingest_ts DESC, event_id DESC) AS cents, epoch_us(max(ingest_ts)) AS arrived_us FROM ev GROUP BY 1""")
 def last_write_wins(spark, sf_dir):
     latest = F.max_by(F.struct("event_type", "cents"), F.struct("ingest_ts", "event_id"))
