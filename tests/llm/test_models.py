@@ -133,6 +133,24 @@ def test_scores_equal_brute_force(spark, strings, words):
         assert (out[i].n_tokens, out[i].n_known, out[i].train_tokens) == (len(tokens[i]), sum(c[w] > 0 for w in tokens[i]), n)
 
 
+def test_strings_move_once_for_a_group_of_texts(spark):
+    """What is written and joined are distinct strings of groups, not the strings of every text; groups end at a bound."""
+    rng = random.Random(5)
+    texts = [prose("en", 40, rng) for _ in range(8)] * 40 + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "row bigint, text string").select("row", F.col("row").alias("id"), F.lit(False).alias("held_out"), "text").coalesce(1)
+    strings = lambda ts: set(ctw.strings_of([ctw.line_of(ctw.words_of(t)) for t in ts])[0].tolist())
+    for held, least in ((10**6, 1), (50, 2)):
+        rows = ctw.grouped(df, held=held, chunk=2000).collect()
+        assert {r.row: r.text for r in rows if r.key is None} == dict(enumerate(texts))
+        groups = collections.defaultdict(lambda: ([], []))
+        for r in rows:
+            groups[r.group][r.key is None].append(r.text if r.key is None else r.key)
+        assert len(groups) >= least
+        assert all(len(keys) == len(set(keys)) and set(keys) == strings(ts) for keys, ts in groups.values())
+    scores = [{r.id: r.score for r in ctw.score_texts(df, F.col("id") % 7 == 1, id_col="id", broadcast_strings=n).collect()} for n in (0, 10**6)]
+    assert scores[0] == scores[1] and len(scores[0]) == len(texts)
+
+
 def test_scores_without_training_or_rows(spark):
     df = spark.createDataFrame([(1, "ab")], "doc_id bigint, text string")
     r = ctw.score_texts(df, F.lit(True)).first()

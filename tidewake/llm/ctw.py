@@ -32,11 +32,12 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewake.llm.common import WORD_PATTERN, Tables, lower_az
+from tidewake.llm.common import WORD_PATTERN, Tables, few, lower_az
 
 DEPTH = 5
 #: Context bytes by which strings are dealt; shorter contexts are worked out on the driver.
@@ -46,6 +47,8 @@ BROADCAST_WORDS = 1_000_000
 #: Distinct words, and strings, that a worker holds before it passes their counts on.
 HELD_WORDS, HELD_STRINGS = 200_000, 1_500_000
 CHUNK_BYTES = 4_000_000
+#: Bytes of the texts of a group, about; it ends before where it has more than HELD_STRINGS distinct strings.
+GROUP_BYTES = 128_000_000
 
 _WORDS = re.compile(WORD_PATTERN).findall
 _LN10 = float(np.log(10))
@@ -322,12 +325,44 @@ def string_model(tables: Tables, strings: DataFrame, depth: int = DEPTH, partiti
     return tables.write(by_context().mapInArrow(downward, "key bigint, logp double"))
 
 
+def grouped(source: DataFrame, depth: int = DEPTH, held: int = HELD_STRINGS, chunk: int = CHUNK_BYTES) -> DataFrame:
+    """group, key, row, id, held_out, text: the rows of ``source`` with their group (key null), and each distinct string of a group (all others null)."""
+
+    def run(batches):
+        part, number = TaskContext.get().partitionId() << 32, 0
+        codes, lines, size = np.empty(0, np.int64), [], 0
+
+        def merged() -> np.ndarray:
+            return np.unique(np.concatenate([codes, np.unique(strings_of(lines, depth)[0])])) if lines else codes
+
+        def key_rows(b: pa.RecordBatch):
+            for i in range(0, len(codes), 500_000):
+                k = codes[i : i + 500_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), part | number)), pa.array(k), *(pa.nulls(len(k), c.type) for c in b.columns)], names=["group", "key", *b.schema.names])
+
+        for b in few(batches, 128):
+            new = [line_of(words_of(t)) for t in b.column("text").to_pylist()]
+            lines += new
+            size += sum(map(len, new))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, part | number)), pa.nulls(b.num_rows, pa.int64()), *b.columns], names=["group", "key", *b.schema.names])
+            if size > chunk:
+                codes, lines, size = merged(), [], 0
+            if len(codes) > held:
+                yield from key_rows(b)
+                codes, number = np.empty(0, np.int64), number + 1
+        codes = merged()
+        if len(codes):
+            yield from key_rows(b)
+
+    return source.mapInArrow(run, T.StructType([T.StructField("group", T.LongType()), T.StructField("key", T.LongType()), *(T.StructField(f.name, f.dataType) for f in source.schema)]))
+
+
 def _table(df: DataFrame, value: str) -> Lookup:
     found = df.select("key", value).toArrow()
     return Lookup(found.column(0).to_numpy(), found.column(1).to_numpy().astype(float))
 
 
-def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, broadcast_strings: int = BROADCAST_STRINGS, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, broadcast_strings: int = BROADCAST_STRINGS, broadcast_words: int = BROADCAST_WORDS, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """id_col, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for each row; rows with ``held_out`` aren't learned from.
 
     ``bits_per_byte`` is the code length of a text's words, a space between and a newline at the end, for each of these bytes.
@@ -359,61 +394,81 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
     known = spark.sparkContext.broadcast((frequent, _table(model, "logp") if in_memory else None))
     settled = so_far <= broadcast_words  # every word of the training texts is in the broadcast table
 
+    def scores(whole: pa.RecordBatch, frequent: Lookup, model_table: Lookup, ids: WordKeys):
+        for start in range(0, whole.num_rows, 128):
+            b = whole.slice(start, 128)
+            lists = [words_of(t) for t in b.column("text").to_pylist()]
+            out = {k: [] for k in ("n_tokens", "n_known", "base", "rare")}
+            lines = [line_of(ws) for ws in lists]
+            codes, starts = strings_of(lines, depth)
+            score = np.add.reduceat(model_table.find(codes)[0], starts) / _LN10
+            for ws in lists:
+                mine = np.fromiter(map(ids.__getitem__, ws), dtype=np.int64, count=len(ws))
+                logs, hit = frequent.find(mine)
+                out["n_tokens"].append(len(ws) + 1)
+                out["n_known"].append(int(hit.sum()) + (1 if ends else 0))
+                rest, m = np.unique(mine[~hit], return_counts=True)
+                base = logs[hit].sum() + np.log10((ends + 0.5) / floor)
+                if settled:
+                    base += m.sum() * np.log10(0.5 / floor)
+                    rest, m = rest[:0], m[:0]
+                out["base"].append(float(base))
+                out["rare"].append([{"key": x, "m": y} for x, y in zip(rest.tolist(), m.tolist(), strict=True)])
+            kind = pa.list_(pa.struct([("key", pa.int64()), ("m", pa.int64())]))
+            yield pa.RecordBatch.from_arrays(
+                [b.column("row"), b.column("id"), b.column("held_out"), pa.array(out["n_tokens"], pa.int64()), pa.array(out["n_known"], pa.int64()), pa.array(out["base"], pa.float64()), pa.array(score, pa.float64()), pa.array([len(x) for x in lines], pa.int64()), pa.array(out["rare"], kind)],
+                names=["row", "id", "held_out", "n_tokens", "n_known", "base_score", "score", "n_scored", "rare"],
+            )
+
     def run(batches):
         frequent, model_table = known.value
         ids = WordKeys()
         for whole in batches:
-            for start in range(0, whole.num_rows, 128):
-                b = whole.slice(start, 128)
-                lists = [words_of(t) for t in b.column(3).to_pylist()]
-                out = {k: [] for k in ("n_tokens", "n_known", "base", "score", "rare", "grams")}
-                lines = [line_of(ws) for ws in lists]
-                codes, starts = strings_of(lines, depth)
-                if model_table is not None:
-                    out["score"] = np.add.reduceat(model_table.find(codes)[0], starts) / _LN10
-                else:
-                    out["score"] = np.zeros(len(lists))
-                    for part in np.split(codes, starts[1:]):
-                        c, m = np.unique(part, return_counts=True)
-                        out["grams"].append([{"key": x, "m": y} for x, y in zip(c.tolist(), m.tolist(), strict=True)])
-                for ws in lists:
-                    mine = np.fromiter(map(ids.__getitem__, ws), dtype=np.int64, count=len(ws))
-                    logs, hit = frequent.find(mine)
-                    out["n_tokens"].append(len(ws) + 1)
-                    out["n_known"].append(int(hit.sum()) + (1 if ends else 0))
-                    rest, m = np.unique(mine[~hit], return_counts=True)
-                    base = logs[hit].sum() + np.log10((ends + 0.5) / floor)
-                    if settled:
-                        base += m.sum() * np.log10(0.5 / floor)
-                        rest, m = rest[:0], m[:0]
-                    out["base"].append(float(base))
-                    out["rare"].append([{"key": x, "m": y} for x, y in zip(rest.tolist(), m.tolist(), strict=True)])
-                kind = pa.list_(pa.struct([("key", pa.int64()), ("m", pa.int64())]))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0), b.column(1), b.column(2), pa.array(out["n_tokens"], pa.int64()), pa.array(out["n_known"], pa.int64()), pa.array(out["base"], pa.float64()), pa.array(out["score"], pa.float64()), pa.array([len(x) for x in lines], pa.int64()), pa.array(out["rare"], kind), pa.array(out["grams"] or [[]] * len(lists), kind)],
-                    names=["row", "id", "held_out", "n_tokens", "n_known", "base_score", "score", "n_scored", "rare", "grams"],
-                )
+            yield from scores(whole, frequent, model_table, ids)
+
+    def run_groups(batches):
+        """The same for rows by group, in each the strings with their values and then the texts."""
+        frequent, _ = known.value
+        ids, at, parts, model_table = WordKeys(), None, [], None
+        for whole in batches:
+            group, is_text = whole.column("group").to_numpy(), whole.column("key").is_null().to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero((group[1:] != group[:-1]) | (is_text[1:] != is_text[:-1])) + 1
+            for start, end in zip([0, *edges], [*edges, len(group)], strict=True):
+                if start == end:
+                    continue
+                b = whole.slice(start, end - start)
+                if group[start] != at:
+                    at, parts, model_table = group[start], [], None
+                if not is_text[start]:
+                    parts.append([b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "logp")])
+                    continue
+                if model_table is None:
+                    model_table, parts = Lookup(*(np.concatenate(p) for p in zip(*parts, strict=True))), []
+                yield from scores(b, frequent, model_table, ids)
 
     listed = "array<struct<key:bigint,m:bigint>>"
     source = source.select(F.monotonically_increasing_id().alias("row"), "id", "held_out", "text")
     fields = [source.schema["row"], source.schema["id"], source.schema["held_out"], *(T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known")), *(T.StructField(c, T.DoubleType()) for c in ("base_score", "score")), T.StructField("n_scored", T.LongType())]
-    schema = T.StructType([*fields, *(T.StructField(c, T._parse_datatype_string(listed)) for c in ("rare", "grams"))])
-    scored = source.mapInArrow(run, schema)
+    schema = T.StructType([*fields, *(T.StructField(c, T._parse_datatype_string(listed)) for c in ("rare",))])
+    if in_memory:
+        scored = source.mapInArrow(run, schema)
+    else:
+        # few large groups: the more texts share a table, the fewer strings move
+        texts = max(-(-sums.get(0, 0) // group_bytes), 3 * spark.sparkContext.defaultParallelism)
+        marked = tables.write(grouped(source.coalesce(texts), depth))
+        found = marked.filter("key IS NOT NULL").join(model, "key")
+        rows_of = marked.filter("key IS NULL").withColumn("logp", F.lit(None).cast("double")).unionByName(found)
+        rows_of = rows_of.repartition(max(partitions, texts), "group").sortWithinPartitions("group", F.col("key").asc_nulls_last())
+        scored = tables.write(rows_of.mapInArrow(run_groups, schema))
+        tables.drop(marked)
     plain = ["row", "id", "held_out", "n_tokens", "n_known", "base_score", "score", "n_scored"]
-    if not settled or not in_memory:
-        scored = tables.write(scored)
-        extra = None
-        if not settled:
-            rare = scored.select("row", F.explode("rare").alias("x")).select("row", "x.key", "x.m")
-            rare = rare.join(words.filter(F.col("n") < least), "key", "left")
-            extra = rare.select("row", F.when(F.col("n") > 0, F.col("m")).otherwise(0).alias("known"), (F.col("m") * F.log10((F.coalesce("n", F.lit(0)) + 0.5) / floor)).alias("base"), F.lit(0.0).alias("model"))
-        if not in_memory:
-            grams = scored.select("row", F.explode("grams").alias("x")).select("row", "x.key", "x.m").join(model, "key")
-            grams = grams.select("row", F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"), (F.col("m") * F.col("logp") / _LN10).alias("model"))
-            extra = grams if extra is None else extra.unionByName(grams)
-        extra = extra.groupBy("row").agg(F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("model").alias("model"))
+    if not settled:
+        if in_memory:
+            scored = tables.write(scored)
+        rare = scored.select("row", F.explode("rare").alias("x")).select("row", "x.key", "x.m")
+        rare = rare.join(words.filter(F.col("n") < least), "key", "left")
+        extra = rare.select("row", F.when(F.col("n") > 0, F.col("m")).otherwise(0).alias("known"), (F.col("m") * F.log10((F.coalesce("n", F.lit(0)) + 0.5) / floor)).alias("base"))
+        extra = extra.groupBy("row").agg(F.sum("known").alias("known"), F.sum("base").alias("base"))
         zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-        scored = scored.join(extra, "row", "left").select(
-            "row", "id", "held_out", "n_tokens", (F.col("n_known") + zero("known")).alias("n_known"), (F.col("base_score") + zero("base")).alias("base_score"), (F.col("score") + zero("model")).alias("score"), "n_scored"
-        )
+        scored = scored.join(extra, "row", "left").select("row", "id", "held_out", "n_tokens", (F.col("n_known") + zero("known")).alias("n_known"), (F.col("base_score") + zero("base")).alias("base_score"), "score", "n_scored")
     return scored.select(*plain).select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", (-F.col("score") * math.log2(10) / F.col("n_scored")).alias("bits_per_byte"))
