@@ -97,3 +97,16 @@ def test_metrics_of_every_kind_are_found_by_id(spark):
         assert {(r.metric_id, r.e) for r in monitor.find_metric(rows, kinds, ["w", "s"], ["e"], metric_id).collect()} == {(metric_id, e) for e in inputs}
     for missing in ("drift/2024-01-08/a", "other/2024-01-01/a", "drift/2024-01-01", "drift/no day/a"):
         assert monitor.find_metric(rows, kinds, ["w", "s"], ["e"], missing).isEmpty()
+
+
+def test_unanimous_values_move_once(spark):
+    """Equal results for keys in sets and keys of many rows; rows aren't copied for each distinct count."""
+    rows = [(k, v, w, c) for k in (1, 2, 3, None) for v, w, c in [("a", 0.0, 1), ("a", -0.0, 2), ("b" if k == 2 else "a", None, 2)]] + [(3, "a", 1.0, None)]
+    df = spark.createDataFrame(rows, "k int, v string, w double, c int")
+    want = {1: ("a", 1, 0.0, 1, 2), 2: (None, 2, 0.0, 1, 2), 3: ("a", 1, None, 2, 2), None: ("a", 1, 0.0, 1, 2)}
+    for most in (10**6, 3, 0):
+        out = events.resolve_unanimous(df, "k", ["v", "w"], counted={"n": F.col("c")}, most_rows=most)
+        assert out.dtypes == [("k", "int"), ("v", "string"), ("n_v", "bigint"), ("w", "double"), ("n_w", "bigint"), ("n", "bigint")]
+        assert {r.k: (r.v, r.n_v, r.w, r.n_w, r.n) for r in out.collect()} == want
+    plan = events.resolve_unanimous(df, "k", ["v"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Expand") == 0 and "collect_set" in plan

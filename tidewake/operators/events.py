@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from tidewake.functions.identifiers import boundary_seconds, full_match
 from tidewake.functions.timezones import resolve_offset, to_utc, valid_offsets
 
+#: Rows of a key whose values may meet in one set.
+MOST_ROWS = 50_000
+
 
 def first_reason(*rules: tuple[str, Column]) -> Column:
     """The name of the first rule that holds; a rule that is null doesn't."""
@@ -168,18 +171,31 @@ def reconcile(left: DataFrame, right: DataFrame, matches: DataFrame, key: str) -
     return out.withColumn("status", status).withColumn("known", F.col("_known").isNotNull()).drop("_known", "in_left", "in_right")
 
 
-def resolve_unanimous(df: DataFrame, key: str, columns: Sequence[str], only: Column | None = None, counted: dict[str, Column] | None = None) -> DataFrame:
+def resolve_unanimous(df: DataFrame, key: str, columns: Sequence[str], only: Column | None = None, counted: dict[str, Column] | None = None, most_rows: int = MOST_ROWS) -> DataFrame:
     """A column's value where all rows of a key agree, else null, and how many values there are; ``counted`` adds the distinct values of expressions.
 
-    All counts are of one aggregation over one scan: partial ones drop repeats before rows move.
+    Only the key and these values move, each row once, and the values of a key meet in one set. Keys of more than
+    ``MOST_ROWS`` rows, which are counted first, go through partial distinct counts instead, so that no set and no task holds more.
     """
     pick = lambda c: F.when(only, F.col(c)) if only is not None else F.col(c)
-    aggs = []
-    for c in columns:
-        value = pick(c)
-        # extremes tell unanimity, without the set of values
-        aggs += [F.when(F.min(value) == F.max(value), F.min(value)).alias(c), F.count_distinct(value).alias(f"n_{c}")]
-    return df.groupBy(key).agg(*aggs, *(F.count_distinct(c).alias(n) for n, c in (counted or {}).items()))
+    names = [*(f"_v{i}" for i in range(len(columns))), *(f"_c{i}" for i in range(len(counted or {})))]
+    rows = df.select(F.col(key).alias("_key"), *(v.alias(n) for n, v in zip(names, [*map(pick, columns), *(counted or {}).values()], strict=True)))
+    large = rows.groupBy(F.col("_key").alias("_large")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most_rows).select("_large")
+    same = F.col("_key").eqNullSafe(F.col("_large"))
+
+    def in_set(n: str) -> Column:
+        # 0.0 and -0.0 are one value
+        return F.size(F.collect_set(F.col(n) + 0 if rows.schema[n].dataType.typeName() in ("float", "double") else F.col(n))).cast("long")
+
+    def resolved(x: DataFrame, distinct: Callable[[str], Column]) -> DataFrame:
+        aggs = []
+        for c, n in zip(columns, names, strict=False):
+            # extremes tell unanimity
+            aggs += [F.when(F.min(n) == F.max(n), F.min(n)).alias(c), distinct(n).alias(f"n_{c}")]
+        return x.groupBy(F.col("_key").alias(key)).agg(*aggs, *(distinct(n).alias(c) for c, n in zip(counted or {}, names[len(columns) :], strict=True)))
+
+    few = rows.join(F.broadcast(large), same, "left_anti").repartition("_key")
+    return resolved(few, in_set).unionByName(resolved(rows.join(F.broadcast(large), same, "left_semi"), F.count_distinct))
 
 
 def enrich_with_audit(facts: DataFrame, dimension: DataFrame, key: str, dim_key: str, mismatch: Column) -> DataFrame:
