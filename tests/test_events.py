@@ -110,3 +110,10 @@ def test_unanimous_values_move_once(spark):
         assert {r.k: (r.v, r.n_v, r.w, r.n_w, r.n) for r in out.collect()} == want
     plan = events.resolve_unanimous(df, "k", ["v"])._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Expand") == 0 and "collect_set" in plan
+
+
+def test_coverage_is_one_aggregation(spark):
+    left, right = spark.createDataFrame([(1,), (1,), (2,), (None,)], "a int"), spark.createDataFrame([(2,), (3,), (3,), (None,)], "b int")
+    out = contracts.coverage(left, right, "a", "b")
+    assert sorted(out.collect(), key=str) == sorted([("left_only", 1), ("left_only", None), ("right_only", 3), ("right_only", None)], key=str)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
