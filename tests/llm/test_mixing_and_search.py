@@ -128,6 +128,28 @@ def test_search_equals_brute_force(spark, docs, monkeypatch):
         assert [s for _, s in found.get(q, [])] == pytest.approx([scores[i] for i in want])
 
 
+def test_shards_reach_workers_one_by_one(spark, docs, monkeypatch):
+    """A shard may have tens of megabytes, so that a batch of several is too much beside them."""
+    monkeypatch.setattr(search, "SHARD_ROWS", 8)
+    made = search._searcher
+
+    def watched(*args):
+        inner = made(*args)
+
+        def run(batches):
+            def each():
+                for b in batches:
+                    assert b.num_rows == 1
+                    yield b
+
+            yield from inner(each())
+
+        return run
+
+    monkeypatch.setattr(search, "_searcher", watched)
+    assert search.search(docs.coalesce(1), F.col("doc_id") % 50 == 0, k=2).count() > 0
+
+
 def test_search_of_odd_tables(spark, docs):
     assert search.search(docs.limit(0), F.lit(True)).collect() == []
     odd = spark.createDataFrame([(0, None, 1), (1, " ", 1), (2, "a b", 1), (2, "a b", 1), (None, "A", 1)], "doc_id bigint, text string, rank int")
