@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from tests.llm.test_dedup_and_joins import frame, sets_of
 from tidewake.llm import jaccard
 
@@ -46,3 +48,15 @@ def test_links_across_chunks(spark, monkeypatch):
         monkeypatch.setattr(jaccard, "MATRIX_COLUMNS", columns)
         found = {r.doc_id: r.n_links for r in jaccard.jaccard_components(frame(spark, texts), 3, 85).collect()}
         assert [found[i] for i in range(len(texts))] == want and max(want) > 20
+
+
+def test_pairs_of_many_keys_are_passed_on_once(spark):
+    """Documents of different components that share dozens of keys made a row for each of them."""
+    rng = random.Random(4)
+    keys = {i: set(rng.sample(range(60), 40)) for i in range(12)} | {20: {0, 99}, 21: {99}}
+    rows = spark.createDataFrame([(k, i, i // 2, 5, [i]) for i, mine in keys.items() for k in mine], "key bigint, node bigint, comp bigint, n bigint, bits array<bigint>")
+    found = [tuple(r) for r in jaccard.pairs_across(jaccard.with_keys_before(rows), F.col("na") == F.col("nb")).collect()]
+    want = {(a, b) for a in keys for b in keys if a // 2 < b // 2 and keys[a] & keys[b]}
+    assert set(found) == want and len(want) > 60
+    assert len(found) == len(want) < sum(len(keys[a] & keys[b]) for a, b in want) / 15
+    assert all(len(r.before) <= jaccard.KEYS_BEFORE for r in jaccard.with_keys_before(rows).collect())

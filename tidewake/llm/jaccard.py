@@ -13,10 +13,11 @@ size, then by Hamming distance, and what is left is verified on the sets.
 Documents with equal sets are one class and are joined once. Of the classes that share a key, each
 is first verified against the first of them; then the first of each component found so far against
 that of the key's first component; and what still shares a key across components is compared pair by
-pair. So no link that joins components is left out, and a group of many near copies isn't made into
-all of its pairs. Links lie inside components, and there all of them are counted, each class with
-its members: a component is cut into chunks of a bounded number of elements, each two chunks meet in
-one task, and a product of their incidence matrices gives the size of every intersection.
+pair, a pair of many keys under the first that it shares. So no link that joins components is left
+out, and a group of many near copies isn't made into all of its pairs. Links lie inside components,
+and there all of them are counted, each class with its members: a component is cut into chunks of a
+bounded number of elements, each two chunks meet in one task, and a product of their incidence
+matrices gives the size of every intersection.
 
 Defined results: null and empty texts, and texts without words, have no shingles and are linked
 with nothing; a text with fewer words than a shingle has one shingle, the whole sequence; rows
@@ -193,6 +194,29 @@ def connect(tables: Tables, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return labels
 
 
+#: Keys that a row carries of those before its own.
+KEYS_BEFORE = 16
+
+
+def with_keys_before(rows: DataFrame) -> DataFrame:
+    """The rows (key, node, ...) with ``before``: the node's last keys before this one, in an order that all nodes have in common."""
+    return rows.withColumn("before", F.collect_list("key").over(Window.partitionBy("node").orderBy("key").rowsBetween(-KEYS_BEFORE, -1)))
+
+
+def pairs_across(rows: DataFrame, close: Column) -> DataFrame:
+    """The pairs (a, b) of rows (key, node, comp, n, bits, before) that share a key across components and for which ``close`` holds, given na, nb, bits_a, bits_b.
+
+    A pair that also shares one of the keys before meets there, so it is passed on under the first key that
+    it shares, and again only after ``KEYS_BEFORE`` keys that are a side's own.
+    """
+
+    def side(x: str) -> DataFrame:
+        return rows.select(F.col("key").alias(f"key_{x}"), F.col("node").alias(x), F.col("comp").alias(f"comp_{x}"), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}"), F.col("before").alias(f"before_{x}"))
+
+    meet = (F.col("key_a") == F.col("key_b")) & (F.col("comp_a") < F.col("comp_b")) & close & ~F.arrays_overlap("before_a", "before_b")
+    return side("a").join(side("b"), meet).select("a", "b")
+
+
 #: Documents, and elements of their sets, of a chunk that is compared with another.
 CHUNK_DOCS, CHUNK_ITEMS = 256, 1 << 18
 #: Columns of an incidence matrix that are held at once.
@@ -357,14 +381,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     # what is left, pair by pair across components; only pairs that can be similar enough are passed on
     rows = mixed(rows, labels)
     left = bits.select("node", F.explode("parts").alias("part")).select("node", "part.band", "part.bits")
-    rows = tables.write(rows.join(left, ["node", "band"]))
-
-    def side(x: str) -> DataFrame:
-        return rows.select(F.col("key").alias(f"key_{x}"), F.col("node").alias(x), F.col("comp").alias(f"comp_{x}"), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}"))
-
-    na, nb = F.col("na"), F.col("nb")
-    meet = (F.col("key_a") == F.col("key_b")) & (F.col("comp_a") < F.col("comp_b")) & near_sizes(na, nb) & near(na, nb, apart(F.col("bits_a"), F.col("bits_b")))
-    labels = merged(labels, links(tables.write(side("a").join(side("b"), meet).select("a", "b").distinct()), filtered=True))
+    rows = tables.write(with_keys_before(rows).join(left, ["node", "band"]))
+    close = near_sizes(F.col("na"), F.col("nb")) & near(F.col("na"), F.col("nb"), apart(F.col("bits_a"), F.col("bits_b")))
+    labels = merged(labels, links(tables.write(pairs_across(rows, close).distinct()), filtered=True))
     across = labels.select("node", F.lit(None).cast("long").alias("across")).limit(0)
     if count:
         across = tables.write(count_links(labels, classes.select("node", "n", "members"), sets, num, den, n_rows))
