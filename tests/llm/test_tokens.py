@@ -87,3 +87,15 @@ def test_tasks_leave_nothing_behind():
         bpe.encode_text(PATH, "some words here"), bpe.count_text(PATH, "some words here")
         assert len(bpe._encoder(PATH)[1]) and len(bpe._counter(PATH)[1])
     assert not len(bpe._encoder(PATH)[1]) and not len(bpe._counter(PATH)[1]) and not any(map(len, bpe._encoder(PATH)[1].more))
+
+
+def test_control_characters_and_signs_beside_words(library):
+    """Control characters without others failed to encode; words were kept once for every sign beside them."""
+    texts = [f % chr(i) for i in range(0x260) for f in ("%s", "a%sb", "'%s 's")]
+    texts += ["\x01\x02 \x7f", "don't DON'T 'll", "12 a1b2 ½ x² İstanbul straße"]
+    for text in texts:
+        ids = list(library.encode(text, add_special_tokens=False).ids)
+        assert (list(bpe.encode_text(PATH, text)), bpe.count_text(PATH, text)) == (ids, len(ids)), repr(text)
+    bpe._encoder(PATH)[1].forget()
+    bpe.encode_text(PATH, 'zqword zqword, zqword. (zqword) "zqword"')
+    assert sum("zqword" in chunk for chunk in bpe._encoder(PATH)[1]) == 1

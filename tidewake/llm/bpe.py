@@ -2,10 +2,9 @@
 
 Two independent ways of reaching the library's segmentation:
 
-* ``PrefixCoder`` keeps, for every prefix of a word, the one token that ends the prefix's
-  encoding. Suffix matches from an automaton over the vocabulary are the candidates; the right
-  one is the candidate that is compatible with the last token of the prefix that it leaves.
-  The ids follow from the back-pointers.
+* ``PrefixCoder`` lengthens the encoding of a prefix of a word, which is unique, by a token that
+  is compatible with its last one. The longest tokens of the vocabulary that follow are tried
+  first; where none leads on to the word's end, the last token is taken back.
 * ``MergeCounter`` merges the lowest-ranked adjacent pair again and again, on a heap over a
   linked list, and counts merges without naming a token.
 
@@ -25,7 +24,7 @@ import json
 import re
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -47,15 +46,19 @@ CACHE_CHARS = 48
 _UNUSUAL = re.compile("[^\x00-\x1b\x20-ɏ]")
 #: The splitting pattern of the word tokenizers, and the characters that stand for bytes in byte-level vocabularies.
 _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The same for lower-case text without unusual characters, whose letters and numbers are listed.
+_LETTERS, _NUMBERS = ("".join(regex.findall(p, "".join(map(chr, range(0x250))))) for p in (r"\p{L}", r"\p{N}"))
+_usual_pieces = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+").findall
 _PLAIN_BYTES = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTE_NAMES = {b: chr(b) for b in _PLAIN_BYTES} | {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if b not in _PLAIN_BYTES)}
+_CHARACTER_NAMES = {i: "".join(_BYTE_NAMES[b] for b in chr(i).encode()) for i in range(0x250)}
 
 
 class Vocabulary:
     """The parts of a tokenizer file that the coders need.
 
-    ``split(text)`` yields chunks between white space after normalization, with special tokens
-    given as integers. Characters outside Latin, whose tables differ between Unicode versions,
+    ``split(text)`` yields chunks between white space after normalization, or the pre-tokens
+    themselves where the text has usual characters alone, with special tokens given as integers. Characters outside Latin, whose tables differ between Unicode versions,
     go through the library's own normalizer and splitter.
     """
 
@@ -68,7 +71,7 @@ class Vocabulary:
         tool = Tokenizer.from_file(path)
         self.normalize, self.pieces_of = tool.normalizer.normalize_str, tool.pre_tokenizer.pre_tokenize_str
         steps = spec["pre_tokenizer"].get("pretokenizers", [{}])
-        self.usual = regex.compile(_PIECES).findall if steps[0].get("pattern", {}).get("Regex") == _PIECES else None
+        self.usual = steps[0].get("pattern", {}).get("Regex") == _PIECES
         self.suffix = model.get("end_of_word_suffix") or ""
         self.ids: dict[str, int] = {self._symbols(t): i for t, i in model["vocab"].items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -103,44 +106,51 @@ class Vocabulary:
         yield self._chunks(text[at:])
 
     def _chunks(self, text: str) -> list[str]:
-        if not _UNUSUAL.search(text):
-            return text.lower().split()
-        return self.normalize(text).split(" ")
+        if _UNUSUAL.search(text):
+            return self.normalize(text).split(" ")
+        text = text.lower()
+        return text.split() if not self.usual or _UNUSUAL.search(text) else _usual_pieces(text)
 
     def pieces(self, chunk: str) -> list[str] | None:
-        """The pre-tokens of a chunk of plain letters, digits and signs, each of which is such a chunk itself; null for other chunks."""
-        if self.usual is None or not chunk.isascii():
+        """The pre-tokens of a chunk of usual letters, digits and signs, each of which is such a chunk itself; null for other chunks."""
+        if not self.usual or _UNUSUAL.search(chunk):
             return None
-        if chunk.isalpha():
-            return [chunk]
-        return None if _UNUSUAL.search(chunk) else self.usual(chunk)
+        return [chunk] if chunk.isalpha() else _usual_pieces(chunk)
+
+    def plain_word(self, piece: str) -> str:
+        """The symbols of one pre-token that ``pieces`` gives."""
+        return self.word(piece if piece.isascii() and piece.isprintable() else piece.translate(_CHARACTER_NAMES))
 
     def words(self, chunk: str) -> list[str]:
         """The symbols of each word in a chunk."""
         if not chunk:
             return []
-        if self.usual is None or _UNUSUAL.search(chunk):
+        if not self.usual or _UNUSUAL.search(chunk):
             return [self.word(piece) for piece, _ in self.pieces_of(chunk)]
-        if chunk.isascii():
-            return [self.word(piece) for piece in self.usual(chunk)]
-        return [self.word(piece.encode().decode("latin-1").translate(_BYTE_NAMES)) for piece in self.usual(chunk)]
+        return [self.plain_word(piece) for piece in _usual_pieces(chunk)]
 
 
 class PrefixCoder:
-    """Encodes a word by dynamic programming over its prefixes."""
+    """Encodes a word prefix by prefix, each ending in a token that is compatible with the last one."""
 
     def __init__(self, vocabulary: Vocabulary):
-        import ahocorasick
-
         self.v = vocabulary
-        self.automaton = ahocorasick.Automaton()
-        for token, i in vocabulary.ids.items():
-            self.automaton.add_word(token, (len(token), i, token))
-        self.automaton.make_automaton()
         self.tokens = {i: t for t, i in vocabulary.ids.items()}
         self.fits: dict[int, bool] = {}
         #: Tokens that merging their own symbols gives back: single symbols, and those whose two parts stay apart until their own merge.
-        self.sound = {i for t, i in vocabulary.ids.items() if (p := vocabulary.parts.get(t)) is None or self.compatible(p[0], p[1], p[2])}
+        sound = [(t, i) for t, i in vocabulary.ids.items() if (p := vocabulary.parts.get(t)) is None or self.compatible(p[0], p[1], p[2])]
+        #: symbol → (the symbols that may follow, the id of the longest token so far or -1)
+        self.tree: dict[str, tuple[dict, int]] = {}
+        #: Each token's number of symbols, and the longest token that it begins with or -1.
+        self.sizes, self.shorter = {i: len(t) for t, i in sound}, {}
+        for token, i in sorted(sound, key=lambda x: len(x[0])):
+            node, best = self.tree, -1
+            for symbol in token[:-1]:
+                if symbol not in node:
+                    node[symbol] = ({}, best)
+                node, best = node[symbol]
+            self.shorter[i] = best
+            node[token[-1]] = ({}, i)
 
     def compatible(self, left: str, right: str, until: int | None = None) -> bool:
         """Whether merging left + right from single symbols comes to exactly these two tokens, and stops there (or goes on with the merge of rank ``until``).
@@ -166,36 +176,46 @@ class PrefixCoder:
                 b, b_gone = pb[0], pb[2]
 
     def encode(self, word: str) -> tuple[int, ...]:
-        """The ids of a word: back-pointers from its end over the last token of every prefix."""
-        n = len(word)
-        last, sizes = [-1] * (n + 1), [0] * (n + 1)
-        fits, tokens = self.fits, self.tokens
-        for at, (length, i, token) in self.automaton.iter(word):
-            end = at + 1
-            if last[end] >= 0:
-                continue
-            if length <= at:
-                left = last[end - length]
-                if left < 0:
-                    continue
-                key = left << 20 | i
-                fit = fits.get(key)
-                if fit is None:
-                    if len(fits) > KNOWN_PAIRS:
-                        fits.clear()
-                    fit = fits[key] = self.compatible(tokens[left], token)
-                if not fit:
-                    continue
-            elif i not in self.sound:
-                continue
-            last[end], sizes[end] = i, length
-        out, at = [], n
-        while at > 0:
-            if last[at] < 0:
-                raise ValueError(f"no encoding ends at symbol {at} of a word of {n} symbols")
-            out.append(last[at])
-            at -= sizes[at]
-        return tuple(out[::-1])
+        """The ids of a word: the longest token that fits the last one, step by step, and back where none does.
+
+        What stands so far is the encoding of its prefix, which is unique, so a place from which
+        no token leads on is given up for good.
+        """
+        fits, sizes, shorter, n = self.fits, self.sizes, self.shorter, len(word)
+        out: list[int] = []
+        given_up: set[int] = set()
+        at, last = 0, -1
+        while at < n:
+            node, i = self.tree, -1
+            for symbol in islice(word, at, None) if at else word:
+                step = node.get(symbol)
+                if step is None:
+                    break
+                node, i = step
+            while True:
+                if i < 0:
+                    if not out:
+                        raise ValueError(f"no encoding of a word of {n} symbols")
+                    given_up.add(at)
+                    i = out.pop()
+                    at -= sizes[i]
+                    last = out[-1] if out else -1
+                elif not given_up or at + sizes[i] not in given_up:
+                    if last < 0:
+                        break
+                    key = last << 20 | i
+                    fit = fits.get(key)
+                    if fit is None:
+                        if len(fits) > KNOWN_PAIRS:
+                            fits.clear()
+                        fit = fits[key] = self.compatible(self.tokens[last], self.tokens[i])
+                    if fit:
+                        break
+                i = shorter[i]
+            out.append(i)
+            at += sizes[i]
+            last = i
+        return tuple(out)
 
 
 class MergeCounter:
@@ -336,13 +356,17 @@ class Remembered(dict):
 def _encoder(path: str) -> tuple[Vocabulary, Remembered]:
     v = vocabulary(path)
     coder = PrefixCoder(v)
-    word_ids = Remembered(coder.encode)
 
-    def chunk_ids(chunk: str) -> tuple[int, ...]:
+    def ids_of(word: str) -> bytes:
+        return array.array("i", coder.encode(word)).tobytes()
+
+    word_ids = Remembered(ids_of)
+
+    def chunk_ids(chunk: str) -> bytes:
         pieces = v.pieces(chunk)
         if pieces is None:
-            return tuple([i for w in v.words(chunk) for i in word_ids[w]])
-        return coder.encode(v.word(pieces[0])) if len(pieces) == 1 else tuple([i for p in pieces for i in chunks[p]])
+            return b"".join([word_ids[w] for w in v.words(chunk)])
+        return ids_of(v.plain_word(pieces[0])) if len(pieces) == 1 else b"".join([chunks[p] for p in pieces])
 
     chunks = Remembered(chunk_ids)
     chunks.more = [word_ids, coder.fits]
@@ -359,7 +383,7 @@ def _counter(path: str) -> tuple[Vocabulary, Remembered]:
         pieces = v.pieces(chunk)
         if pieces is None:
             return sum([word_count[w] for w in v.words(chunk)])
-        return counter.count(v.word(pieces[0])) if len(pieces) == 1 else sum([chunks[p] for p in pieces])
+        return counter.count(v.plain_word(pieces[0])) if len(pieces) == 1 else sum([chunks[p] for p in pieces])
 
     chunks = Remembered(chunk_count)
     chunks.more = [word_count]
@@ -374,7 +398,7 @@ def encode_text(path: str, text: str | None) -> array.array:
         if isinstance(part, int):
             ids.append(part)
         else:
-            ids.extend(chain.from_iterable(map(known.__getitem__, part)))
+            ids.frombytes(b"".join(map(known.__getitem__, part)))
     return ids
 
 
@@ -388,8 +412,7 @@ def token_names(path: str) -> dict[int, str]:
 
 def decode_ids(path: str, ids) -> str:
     """Token names joined by a space, as a tokenizer file without a decoder gives them."""
-    names = token_names(path)
-    return " ".join([names[i] for i in ids])
+    return " ".join(map(token_names(path).__getitem__, ids))
 
 
 def count_text(path: str, text: str | None) -> int:
