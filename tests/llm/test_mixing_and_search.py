@@ -4,6 +4,7 @@ import random
 import re
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,3 +156,46 @@ def test_search_of_odd_tables(spark, docs):
     odd = spark.createDataFrame([(0, None, 1), (1, " ", 1), (2, "a b", 1), (2, "a b", 1), (None, "A", 1)], "doc_id bigint, text string, rank int")
     out = search.search(odd, F.lit(True), k=2).collect()
     assert sorted((r.query_id or -1, r["rank"]) for r in out) == [(-1, 1), (-1, 2), (2, 1), (2, 1), (2, 2), (2, 2)]
+
+
+@pytest.mark.parametrize("dense, bound, at_once, blocks, first", [(3, 8, 7, 1, 1), (1, 1, 64, 3, 2), (500, 500, 1000, 2, 9)])
+def test_a_shard_answers_many_queries_at_once(spark, docs, monkeypatch, dense, bound, at_once, blocks, first):
+    """One pass over a shard for many queries, whose sums of 32 bits leave no score, order or tie to rounding."""
+    for name, value in (("DENSE_TERMS", dense), ("BOUND_TERMS", bound), ("QUERIES_AT_ONCE", at_once), ("BLOCK_DOCS", 4), ("BLOCKS_AT_ONCE", blocks), ("FIRST_BLOCKS", first), ("SHARD_ROWS", 60)):
+        monkeypatch.setattr(search, name, value)
+    calls, inner = [], search.Shard.search
+    monkeypatch.setattr(search.Shard, "search", lambda *a: calls.append(1) or inner(*a))
+    # copies, and texts of five to seven words, which a mean of 10^9 words sets apart by some 10^-9 of a score
+    rows = [(i, t) for i, t, _, _ in documents(200)] + [(1000 - i, " ".join(["near", "by", *"vwxyz"[: 3 + i % 3]])) for i in range(60)]
+    index = search.build_index(spark.createDataFrame(rows, "id bigint, text string").coalesce(1)).toArrow().to_batches(max_chunksize=1)
+    mean, rng = 1e9, random.Random(5)
+    known = search.Keys()
+    tf = [collections.Counter(search.words_of(t)) for _, t in rows]
+    asked = [{w: rng.uniform(0.1, 9) for w in tf[q]} for q in range(0, len(rows), 2) if tf[q]]
+    queries_ = []
+    for q, words in enumerate(asked):
+        queries_ += sorted((q, known.keys[known[w]], weight, w) for w, weight in words.items())
+    number_of = {x: i for i, x in enumerate(sorted({x[1] for x in queries_}))}
+    names, starts = np.unique([x[0] for x in queries_], return_index=True)
+
+    class Shared:
+        value = (names, np.append(starts, len(queries_)), np.array(sorted(number_of)), np.array([number_of[x[1]] for x in queries_]), np.array([x[2] for x in queries_]))
+
+    found = collections.defaultdict(list)
+    for b in search._searcher(Shared, mean, 5)(iter(index)):
+        for r in b.to_pylist():
+            found[r["query"]].append((r["id"], r["score"]))
+    for q in names.tolist():
+        terms = [(x[3], x[2]) for x in queries_[starts[q] :] if x[0] == q]
+        scores = {}
+        for (i, _), c in zip(rows, tf, strict=True):
+            total = 0.0
+            for w, weight in terms:
+                if w in c:
+                    total += weight * (c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * sum(c.values()) / mean)))
+            if total > 0:
+                scores[i] = total
+        want = sorted(scores, key=lambda i: (-round(scores[i], 12), i))[:5]
+        assert [i for i, _ in found[q]] == want
+        assert [s for _, s in found[q]] == pytest.approx([scores[i] for i in want], rel=1e-12)
+    assert len(calls) == len(index) * -(-len(names) // at_once)
